@@ -1,0 +1,75 @@
+"""Global order without a single-task window.
+
+``Window.orderBy(...)`` with no ``partitionBy`` moves every row into one task.
+That is fine for tables bounded by construction (weeks, sections, one row per
+threshold bucket) but not for orders or customers at cluster scale.  The
+helpers here give the same results in a distributed way:
+
+1. ``orderBy`` range-partitions the rows (sampled bounds) and sorts each range;
+2. each row is tagged with its partition and its position in the partition and
+   the result is checkpointed into the shared folder, so every later use sees
+   the same assignment even when an executor is lost and work is redone;
+3. per-partition counts / sums (one row per partition — bounded by the number
+   of partitions) give prefix offsets, which are broadcast back.
+
+A global row number or a running sum is then ``offset + local value``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from retail_spark.session import cut_lineage
+
+_PART, _MID = "_rs_part", "_rs_mid"
+
+
+def _sorted_tagged(df: DataFrame, order: list[Column]) -> DataFrame:
+    tagged = (df.orderBy(*order)
+              .select("*", F.spark_partition_id().alias(_PART),
+                      F.monotonically_increasing_id().alias(_MID)))
+    return cut_lineage(tagged)
+
+
+def global_row_number(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
+    """1-based position of each row in the total order ``order``."""
+    s = _sorted_tagged(df, order)
+    per_part = s.groupBy(_PART).agg(F.count(F.lit(1)).alias("_n"), F.min(_MID).alias("_m0"))
+    w = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select(_PART, "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (s.join(F.broadcast(offsets), _PART)   # one row per partition
+            .withColumn(name, F.col("_off") + (F.col(_MID) - F.col("_m0")) + 1)
+            .drop(_PART, _MID, "_m0", "_off"))
+
+
+def global_running_sum(df: DataFrame, order: list[Column], values: dict[str, Column],
+                       row_number: str | None = None) -> DataFrame:
+    """Inclusive running sums of ``values`` (name → expression) in ``order``.
+
+    Optionally also adds a 1-based ``row_number`` column.
+    """
+    base = df.select("*", *[e.alias(f"_v_{k}") for k, e in values.items()])
+    s = _sorted_tagged(base, order)
+    local = Window.partitionBy(_PART).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
+    aggs = [F.count(F.lit(1)).alias("_n"), F.min(_MID).alias("_m0")]
+    aggs += [F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values]
+    per_part = s.groupBy(_PART).agg(*aggs)
+    w = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select(
+        _PART, "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off_n"),
+        *[F.coalesce(F.sum(f"_t_{k}").over(w), F.lit(0)).alias(f"_off_{k}") for k in values])
+    out = s.join(F.broadcast(offsets), _PART)
+    for k in values:
+        out = out.withColumn(k, F.col(f"_off_{k}") + F.sum(f"_v_{k}").over(local))
+    if row_number:
+        out = out.withColumn(row_number, F.col("_off_n") + (F.col(_MID) - F.col("_m0")) + 1)
+    drop = [_PART, _MID, "_m0", "_off_n"] + [f"_v_{k}" for k in values] + [f"_off_{k}" for k in values]
+    return out.drop(*drop)
+
+
+def with_total(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
+    """Attach whole-table aggregates to every row: one aggregate pass, then a
+    join with its single-row result (broadcast, one row)."""
+    tot = df.agg(*[e.alias(k) for k, e in exprs.items()])
+    return df.crossJoin(F.broadcast(tot))
