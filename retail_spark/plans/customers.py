@@ -74,7 +74,7 @@ def quintile(df: DataFrame, value: str, key: str, name: str, reverse: bool = Fal
     """
     order = [F.desc(value) if reverse else F.asc(value), F.asc(key)]
     ranked = global_row_number(df, order, "_k")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    n = ranked.agg(F.count(F.lit(1)).alias("_n"))   # reads the checkpointed rows
     score = F.when(F.col("_n") < 5, F.lit(3)).otherwise(
         F.greatest(F.lit(1), F.ceil((F.col("_k") - 1) * 5.0 / (F.col("_n") - 1))))
     return (ranked.crossJoin(F.broadcast(n)).withColumn(name, score.cast("int")).drop("_k", "_n"))
