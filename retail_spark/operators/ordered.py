@@ -73,3 +73,34 @@ def with_total(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     join with its single-row result (broadcast, one row)."""
     tot = df.agg(*[e.alias(k) for k, e in exprs.items()])
     return df.crossJoin(F.broadcast(tot))
+
+
+def keyed_clamped_running(df: DataFrame, key: str, order: list[Column], delta: Column,
+                          start: Column, name: str = "level") -> DataFrame:
+    """Running level per key that never goes below zero (WN24).
+
+    ``L_t = max(0, L_{t−1} + d_t)`` with ``L_0 = start`` equals
+    ``C_t − min(0, min_{k≤t} C_k)`` where ``C`` is the unclamped running sum
+    starting at ``start``.  Rows are sorted globally by (key, order), so a hot
+    key is spread over many range partitions; each (partition, key) segment
+    computes local prefix sums and minima, and one summary row per segment
+    (bounded by partitions + keys) carries the offsets between segments.
+    """
+    base = df.select("*", delta.alias("_d"), start.alias("_s0"))
+    s = _sorted_tagged(base, [F.asc(key)] + list(order))
+    local = Window.partitionBy(_PART, key).orderBy(_MID)
+    run = local.rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_ls", F.sum("_d").over(run)).withColumn("_lmin", F.min("_ls").over(run))
+    seg = s.groupBy(_PART, key).agg(F.sum("_d").alias("_segsum"), F.min("_ls").alias("_segmin"))
+    before = Window.partitionBy(key).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.withColumn("_off", F.coalesce(F.sum("_segsum").over(before), F.lit(0.0)))
+    # lowest running sum reached in the earlier segments of the same key
+    seg = (seg.withColumn("_segmin_abs", F.col("_off") + F.col("_segmin"))
+           .withColumn("_prevmin", F.min("_segmin_abs").over(before)))
+    out = s.join(seg.select(_PART, key, "_off", "_prevmin"), [_PART, key])
+    c_t = F.col("_s0") + F.col("_off") + F.col("_ls")
+    run_min = F.col("_s0") + F.col("_off") + F.col("_lmin")
+    run_min = F.least(run_min, F.coalesce(F.col("_s0") + F.col("_prevmin"), run_min))
+    return (out.withColumn("running_unclamped", c_t)
+            .withColumn(name, F.greatest(F.lit(0.0), c_t - F.least(F.lit(0.0), run_min)))
+            .drop(_PART, _MID, "_d", "_s0", "_ls", "_lmin", "_off", "_prevmin"))
