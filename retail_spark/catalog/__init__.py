@@ -21,7 +21,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, QueryFn] = {}
 _ORACLES: dict[str, str] = {}
 
-MODULES = ("reporting", "relational", "features", "segments", "timeseries",
+MODULES = ("reporting", "relational", "eda", "segments", "timeseries",
            "recommend", "anomaly", "inventory", "models", "files", "streams")
 
 

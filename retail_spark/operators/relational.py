@@ -180,8 +180,8 @@ def with_shares(df: DataFrame, cols: dict[str, str]) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, std, min, exact quartiles, max per column, long form (AG21)."""
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    long = df.select(F.expr(f"stack({len(cols)}, {pairs}) AS (column, value)"))
-    return long.groupBy("column").agg(
+    long = df.select(F.expr(f"stack({len(cols)}, {pairs}) AS (column_name, value)"))
+    return long.groupBy("column_name").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.percentile("value", 0.25).alias("q25"), F.percentile("value", 0.5).alias("q50"),
