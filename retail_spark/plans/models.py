@@ -323,7 +323,7 @@ def svd_recommend(inter: DataFrame, n: int, k: int = 10, user: str = "customer_i
 
     n_items = n_items or inter.agg(F.max(item)).first()[0] + 1
     mean = inter.groupBy(user).agg((F.sum(value) / F.lit(float(n_items))).alias("_mu"))
-    rows = (inter.groupBy(user).agg(F.collect_list(F.struct(item, F.col(value).cast("double"))).alias("v"))
+    rows = (inter.groupBy(user).agg(F.collect_list(F.struct(item, F.col(value).cast("double").alias(value))).alias("v"))
             .join(mean, user).orderBy(user))
     rows = cut_lineage(rows)
     dense = rows.rdd.map(lambda r: Vectors.dense(_centred(r.v, r._mu, n_items)))
