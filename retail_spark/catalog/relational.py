@@ -139,7 +139,8 @@ SELECT order_id, line_number, item_id,
 """ + ",\n".join(f"CASE WHEN category = '{c}' THEN quantity ELSE 0 END AS qty_x_{c.lower()}"
                  for c in CATEGORIES) + "\nFROM sale_lines")
 def category_interactions(t):
-    """PRJ6: value × (category == g) for each category g, one select."""
+    """PRJ6: value × (category == g) for each category g, one select; SF3
+    slugged column names."""
     s = t.sale_lines
     return s.select("order_id", "line_number", "item_id",
                     *[F.when(F.col("category") == c, F.col("quantity")).otherwise(0)

@@ -169,7 +169,8 @@ def weekly_demand(t):
 
 @register("weekly_features", sql=cte(DAILY, WEEKLY, FEATS) + "SELECT * FROM feats")
 def weekly_features(t):
-    """WN1–WN5: lags, lag combos, rolling stats, expanding mean, momentum, chain totals, calendar."""
+    """WN1 lags, WN2 lag combinations, WN3 leakage-safe rolling stats, WN4
+    expanding mean, WN5 volatility and momentum, chain totals, calendar."""
     return TS.weekly_features(weekly(t), "section")
 
 
