@@ -13,7 +13,7 @@ from retail_spark.plans import customers as C
 from retail_spark.session import shared_path
 from retail_spark.sources import files as IO
 
-ORDERS_SCHEMA = ("order_id BIGINT, customer_id BIGINT, status STRING, total_amount DOUBLE, "
+ORDERS_SCHEMA = ("order_id BIGINT, customer_id BIGINT, status STRING, status_code STRING, total_amount DOUBLE, "
                  "created_at TIMESTAMP_NTZ, cashier_id STRING, table_id BIGINT")
 
 

@@ -9,12 +9,15 @@ from retail_spark.catalog import register
 from retail_spark.functions import exprs as X
 from retail_spark.operators import relational as O
 from retail_spark.plans import customers as C
+from retail_spark.session import cut_lineage
 
 CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 def features(t):
-    orders = C.order_level(t.valid_lines)
+    # one row per order, read by RFM, basket, preference and profile steps:
+    # written once to the shared checkpoint folder instead of recomputed
+    orders = cut_lineage(C.order_level(t.valid_lines))
     scores = C.rfm_scores(C.rfm_base(orders))
     return orders, C.customer_features(orders, scores, t.customers_v)
 

@@ -10,6 +10,7 @@ from retail_spark.catalog import register
 from retail_spark.catalog.segments import cte
 from retail_spark.operators.windows import sequences
 from retail_spark.plans import timeseries as TS
+from retail_spark.session import cut_lineage
 
 TRAIN_END = dt.date(2000, 6, 30)
 VAL_END = dt.date(2000, 12, 31)
@@ -41,7 +42,9 @@ def daily(t):
 
 
 def weekly(t):
-    return TS.split_by_date(TS.weekly_demand(daily(t), "section"), "week_start", TRAIN_END, VAL_END)
+    # series × weeks (calendar-bounded per series), reused by forecasts,
+    # scales and metrics: materialized once
+    return cut_lineage(TS.split_by_date(TS.weekly_demand(daily(t), "section"), "week_start", TRAIN_END, VAL_END))
 
 
 def preds_long(t):

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from retail_spark.functions import exprs as X
 from retail_spark.operators.ordered import global_row_number, global_running_sum
+from retail_spark.session import cut_lineage
 
 # Fixed values of the reference rules.
 RULES = [  # (condition builder key, weight, reason)
@@ -145,7 +146,8 @@ def split_by_position(df: DataFrame, order: list[Column], fracs=(0.7, 0.85)) ->
 def model_frame(lines: DataFrame, labels: DataFrame, label_lines: DataFrame) -> DataFrame:
     """Orders with cashier / customer context, z-scores (WN17), basket
     deviation (WN18), time flags (SF13), labels and the 70/15/15 split."""
-    o = order_features(lines)
+    # order features feed two profiles and the join back: materialize once
+    o = cut_lineage(order_features(lines))
     o = o.join(cashier_profile(o), "cashier_id", "left").join(customer_profile(o), "customer_id", "left")
     z = lambda v, m, s: F.coalesce(X.safe_div(F.col(v) - F.col(m), s), F.lit(0.0))
     o = o.select("*", z("total_amount", "cashier_mean_amount", "cashier_std_amount").alias("amount_z_cashier"),

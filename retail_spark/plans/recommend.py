@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from retail_spark.operators.broadcast import bounded
 from retail_spark.operators.ordered import global_row_number
+from retail_spark.session import cut_lineage
 
 # Fixed values of the reference blend.
 FP_WEIGHT, SIM_WEIGHT = 0.6, 0.4
@@ -62,7 +63,9 @@ def rules(b: DataFrame, min_support: float, min_confidence: float, min_lift: flo
          .filter(F.col("lift") >= min_lift)
          .select(F.sort_array("antecedent").alias("antecedent"),
                  F.col("consequent")[0].alias("consequent"), "support", "confidence", "lift"))
-    return r.withColumn("count", F.round(F.col("support") * n).cast("bigint"))
+    # rules (bounded by the frequent itemsets) are read by several branches:
+    # write them once instead of re-mining per branch
+    return cut_lineage(r.withColumn("count", F.round(F.col("support") * n).cast("bigint")))
 
 
 def prune(r: DataFrame, tol: float = PRUNE_TOLERANCE) -> DataFrame:

@@ -86,6 +86,7 @@ class Tables:
                     F.col("o_orderpriority").alias("cashier_id"),
                     (F.col("l_returnflag") == "R").alias("is_voided"),
                     status_of(F.col("o_orderstatus")).alias("status"),
+                    F.col("o_orderstatus").alias("status_code"),
                 ))
 
     @cached_property
@@ -98,6 +99,7 @@ class Tables:
             F.col("o_orderkey").alias("order_id"),
             F.col("o_custkey").alias("customer_id"),
             status_of(F.col("o_orderstatus")).alias("status"),
+            F.col("o_orderstatus").alias("status_code"),
             F.col("o_totalprice").alias("total_amount"),
             F.col("o_orderdate").alias("created_at"),
             F.col("o_orderpriority").alias("cashier_id"),
@@ -211,14 +213,14 @@ SELECT l.l_orderkey AS order_id, l.l_linenumber AS line_number,
        o.o_orderpriority AS payment_method, o.o_orderpriority AS cashier_id,
        l.l_returnflag = 'R' AS is_voided,
        CASE o.o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'in_progress'
-            WHEN 'P' THEN 'draft' END AS status
+            WHEN 'P' THEN 'draft' END AS status, o.o_orderstatus AS status_code
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN part p ON l.l_partkey = p.p_partkey""",
     "valid_lines": "SELECT * FROM sale_lines WHERE NOT is_voided",
     "orders_v": """
 SELECT o_orderkey AS order_id, o_custkey AS customer_id,
        CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'in_progress'
-            WHEN 'P' THEN 'draft' END AS status,
+            WHEN 'P' THEN 'draft' END AS status, o_orderstatus AS status_code,
        o_totalprice AS total_amount, o_orderdate AS created_at,
        o_orderpriority AS cashier_id, (o_orderkey % 30) + 1 AS table_id
 FROM orders""",
