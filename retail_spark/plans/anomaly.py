@@ -65,8 +65,10 @@ def item_demand_stats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def line_context(lines: DataFrame) -> DataFrame:
     """Price deviation from the item median and demand z-score per line (JN3)."""
     dd, st = item_demand_stats(lines)
-    l = lines.join(item_price_stats(lines), "item_id", "left").join(dd, ["order_date", "item_id"], "left") \
-        .join(st, "item_id", "left")
+    # both item-level tables are joined with each other first (one row per
+    # item), so the lines are shuffled for one item join and one item-day join
+    items = item_price_stats(lines).join(st, "item_id", "full_outer")
+    l = lines.join(items, "item_id", "left").join(dd, ["order_date", "item_id"], "left")
     dev_pct = X.safe_div(F.col("price") - F.col("item_median_price"), "item_median_price")
     z = X.safe_div(F.col("item_daily_quantity") - F.col("item_mean_daily_quantity"), "item_std_daily_quantity")
     return l.select("*", dev_pct.alias("price_deviation_pct"),
@@ -81,8 +83,10 @@ def order_features(lines: DataFrame) -> DataFrame:
     first_key = F.col("line_number").cast("bigint") * 1_000_000_000 + F.col("item_id")
     g = l.groupBy("order_id", "order_ts", "order_date", "cashier_id", "customer_id", "payment_method").agg(
         F.min_by("category", first_key).alias("main_category"),
-        F.count(F.lit(1)).alias("basket_size"), F.countDistinct("item_id").alias("n_unique_items"),
-        F.countDistinct("category").alias("n_unique_categories"),
+        # distinct counts per order via sets bounded by the order's distinct
+        # values: two countDistinct would expand every line three times
+        F.count(F.lit(1)).alias("basket_size"), F.size(F.collect_set("item_id")).alias("n_unique_items"),
+        F.size(F.collect_set("category")).alias("n_unique_categories"),
         F.sum("line_total").alias("total_amount"), F.avg("line_total").alias("avg_line_total"),
         F.max("line_total").alias("max_line_total"), F.min("line_total").alias("min_line_total"),
         F.avg("price").alias("avg_item_price"), F.max("price").alias("max_item_price"),
