@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_spark.functions import exprs as X
-from retail_spark.operators.ordered import global_row_number, global_running_sum
+from retail_spark.operators.ordered import bucketed_row_number, global_row_number, global_running_sum
 from retail_spark.session import cut_lineage
 
 # Fixed values of the reference rules.
@@ -135,11 +135,17 @@ def label_rollup(labels: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("description")), " | ").alias("anomaly_description"))
 
 
-def split_by_position(df: DataFrame, order: list[Column], fracs=(0.7, 0.85)) -> DataFrame:
+def split_by_position(df: DataFrame, order: list[Column], fracs=(0.7, 0.85),
+                      day: Column | None = None) -> DataFrame:
     """Chronological split by row position: first floor(0.7n) train, up to
-    floor(0.85n) validation, rest test (WN19).  Distributed row number."""
-    ranked = global_row_number(df, order, "_pos")
-    n = ranked.agg(F.count(F.lit(1)).alias("_n"))   # reads the checkpointed rows
+    floor(0.85n) validation, rest test (WN19).  With a calendar ``day`` that
+    leads the order, positions come from per-day offsets and a rank within
+    the day; otherwise from the distributed global row number."""
+    if day is not None:
+        ranked = bucketed_row_number(df, day, order, "_pos")
+    else:
+        ranked = global_row_number(df, order, "_pos")
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
     idx = F.col("_pos") - 1
     return (ranked.crossJoin(F.broadcast(n))
             .withColumn("split", F.when(idx < F.floor(F.col("_n") * fracs[0]), "train")
@@ -164,7 +170,7 @@ def model_frame(lines: DataFrame, labels: DataFrame, label_lines: DataFrame) ->
     o = o.select("*", *[v.alias(k) for k, v in flags.items()])
     o = (o.join(labels, "order_id", "left").fillna(0, subset=["is_anomaly"])
          .join(label_rollup(label_lines), "order_id", "left"))
-    return split_by_position(o, [F.asc("order_ts"), F.asc("order_id")])
+    return split_by_position(o, [F.asc("order_ts"), F.asc("order_id")], day=F.to_date("order_ts"))
 
 
 # ---------------------------------------------------------------------------
@@ -319,12 +325,13 @@ def evaluate(df: DataFrame, score: str, threshold: float | Column, label: str =
     # (Spark resolves names case-insensitively: group and total columns get
     # distinct names, not _p / _P)
     per = df.groupBy(score).agg(F.count(F.lit(1)).alias("_gn"), F.sum(label).alias("_gp"))
-    desc = global_running_sum(per, [F.desc(score)], {"_cn": F.col("_gn"), "_cp": F.col("_gp")})
+    # one distributed ascending pass; "at or above" sums are total − below + own
+    asc = cut_lineage(global_running_sum(per, [F.asc(score)], {"_below": F.col("_gn"), "_below_p": F.col("_gp")}))
     pos = df.agg(F.sum(label).alias("_tp_all"), F.count(F.lit(1)).alias("_n_all"))
-    ap = (desc.crossJoin(F.broadcast(pos))
-          .agg(F.sum(F.when(c("_tp_all") > 0, c("_gp") / c("_tp_all") * (c("_cp") / c("_cn")))).alias("pr_auc")))
-    asc = global_running_sum(per, [F.asc(score)], {"_below": F.col("_gn")})
     P, N = c("_tp_all"), c("_n_all")
+    desc = (asc.crossJoin(F.broadcast(pos))
+            .withColumn("_cn", N - c("_below") + c("_gn")).withColumn("_cp", P - c("_below_p") + c("_gp")))
+    ap = desc.agg(F.sum(F.when(P > 0, c("_gp") / P * (c("_cp") / c("_cn")))).alias("pr_auc"))
     auc = (asc.crossJoin(F.broadcast(pos))
            .select((c("_below") - c("_gn") + (c("_gn") + 1) / 2.0).alias("_avg_rank"), "_gp", "_tp_all", "_n_all")
            .groupBy("_tp_all", "_n_all").agg(F.sum(c("_gp") * c("_avg_rank")).alias("_rs"))

@@ -90,6 +90,16 @@ def test_global_row_number_and_running_sum(spark):
     assert np.allclose(rs["cum"], pdf["v"].cumsum())
 
 
+def test_bucketed_row_number_matches_sort(spark):
+    from retail_spark.operators.ordered import bucketed_row_number
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"id": rng.permutation(300), "day": rng.integers(0, 20, 300)})
+    df = spark.createDataFrame(pdf).repartition(7)
+    got = bucketed_row_number(df, F.col("day"), [F.asc("id")], "rn").toPandas().sort_values("rn")
+    exp = pdf.sort_values(["day", "id"])
+    assert got["id"].tolist() == exp["id"].tolist() and got["rn"].tolist() == list(range(1, 301))
+
+
 def _greedy_prune(rules, tol=0.10):
     kept, seen = [], {}
     order = sorted(range(len(rules)), key=lambda i: (-rules[i][2], -rules[i][3], i))
