@@ -196,7 +196,7 @@ FROM customers_v c LEFT JOIN f ON c.customer_id = f.customer_id""")
 def first_cashier_per_customer(t):
     """JN4: dictionary lookup with default — the first order's cashier or 'cash'."""
     return O.map_or(t.customers_v.select("customer_id"), t.orders_v, "customer_id", "cashier_id",
-                    [F.asc("created_at"), F.asc("order_id")], "cash")
+                    ["created_at", "order_id"], "cash")
 
 
 @register("customer_merge_chain", sql="""
@@ -274,7 +274,7 @@ SELECT order_id, anomaly_type, description FROM (
   FROM anomaly_lines_v) WHERE rn = 1""")
 def first_label_per_order(t):
     """SO2: drop duplicate order labels, keeping the first in a stated order."""
-    return O.dedup(t.anomaly_lines_v, ["order_id"], [F.asc("anomaly_type"), F.asc("description")])
+    return O.dedup(t.anomaly_lines_v, ["order_id"], ["anomaly_type", "description"])
 
 
 @register("unsold_products", sql="""

@@ -79,12 +79,13 @@ def rejoin_stats(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> Dat
     return df.join(stats, keys, "left")
 
 
-def map_or(df: DataFrame, lookup: DataFrame, key: str, value: str, order: list[Column],
+def map_or(df: DataFrame, lookup: DataFrame, key: str, value: str, order_cols: list[str],
            default) -> DataFrame:
-    """Per-key first value of ``lookup`` in ``order`` with a default (JN4)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    first = (lookup.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-             .select(key, F.col(value).alias("_mapped")))
+    """Per-key first value of ``lookup`` in ascending ``order_cols`` with a
+    default (JN4).  ``min_by`` is a partial aggregate: a key with many lookup
+    rows is reduced map-side, not ranked in one task."""
+    first = (lookup.groupBy(key)
+             .agg(F.min_by(F.col(value), F.struct(*[F.col(c) for c in order_cols])).alias("_mapped")))
     return (df.join(first, key, "left")
             .withColumn(value, F.coalesce("_mapped", F.lit(default))).drop("_mapped"))
 
@@ -218,10 +219,12 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def dedup(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Drop duplicates on ``keys`` keeping the first row in ``order`` (SO2)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def dedup(df: DataFrame, keys: list[str], order_cols: list[str], last: bool = False) -> DataFrame:
+    """Drop duplicates on ``keys`` keeping the first (or last) row in the
+    ascending order of ``order_cols`` (SO2) — unlike ``dropDuplicates``,
+    which keeps any row.  Partial-aggregating ``min_by`` / ``max_by``."""
+    from retail_spark.operators.windows import pick_per
+    return pick_per(df, list(keys), list(order_cols), largest=last)
 
 
 def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int,

@@ -65,10 +65,22 @@ def moving_avg_full(df: DataFrame, order, value: str, n: int, keys=(), name: str
 
 
 def latest_per(df: DataFrame, keys, ts: str, tiebreak: list[str] | None = None) -> DataFrame:
-    """Latest row per key (WN14)."""
-    order = [F.col(ts).desc()] + [F.col(c).desc() for c in (tiebreak or [])]
-    return (df.withColumn("_rn", F.row_number().over(_w(keys, order)))
-            .filter("_rn = 1").drop("_rn"))
+    """Latest row per key (WN14): ``max_by`` of the row over (ts, tie-breaks),
+    a partial aggregate, so a hot key is reduced map-side instead of being
+    ranked in one task."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    return pick_per(df, keys, [ts] + list(tiebreak or []), largest=True)
+
+
+def pick_per(df: DataFrame, keys: list[str], order_cols: list[str], largest: bool = False) -> DataFrame:
+    """One whole row per key: the row with the smallest (or largest) value of
+    ``order_cols`` (ascending struct order).  ``min_by`` / ``max_by`` keep a
+    single candidate per key in each partial aggregate."""
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    key = F.struct(*[F.col(f"`{c}`") for c in order_cols])
+    pick = (F.max_by if largest else F.min_by)(row, key).alias("_row")
+    return df.groupBy(*keys).agg(pick).select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
 
 
 def first_per(df: DataFrame, keys, order: list[Column]) -> DataFrame:
