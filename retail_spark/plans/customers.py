@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_spark.functions import exprs as X
-from retail_spark.operators.ordered import global_row_number, global_running_sum
+from retail_spark.operators.ordered import bucketed_row_number, global_row_number, global_running_sum
 from retail_spark.operators.windows import preferred
 
 SECONDS_PER_DAY = 86400
@@ -66,15 +66,21 @@ def rfm_base(orders: DataFrame) -> DataFrame:
                     X.safe_div("monetary", "frequency").alias("monetary_per_order")))
 
 
-def quintile(df: DataFrame, value: str, key: str, name: str, reverse: bool = False) -> DataFrame:
+def quintile(df: DataFrame, value: str, key: str, name: str, reverse: bool = False,
+             discrete: bool = False) -> DataFrame:
     """pandas ``qcut(rank(method='first'), 5)`` score 1..5 (WN13).
 
     Rank k of n (ties by ``key``) scores ``max(1, ceil((k−1)·5/(n−1)))``;
     ``reverse`` ranks the largest value first.  Fewer than 5 rows → all 3.
     """
     order = [F.desc(value) if reverse else F.asc(value), F.asc(key)]
-    ranked = global_row_number(df, order, "_k")
-    n = ranked.agg(F.count(F.lit(1)).alias("_n"))   # reads the checkpointed rows
+    if discrete:
+        # small integer domain (days, order counts): per-value offsets + rank
+        # inside the value; no global sort
+        ranked = bucketed_row_number(df, -F.col(value) if reverse else F.col(value), [F.asc(key)], "_k")
+    else:
+        ranked = global_row_number(df, order, "_k")
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
     score = F.when(F.col("_n") < 5, F.lit(3)).otherwise(
         F.greatest(F.lit(1), F.ceil((F.col("_k") - 1) * 5.0 / (F.col("_n") - 1))))
     return (ranked.crossJoin(F.broadcast(n)).withColumn(name, score.cast("int")).drop("_k", "_n"))
@@ -83,8 +89,8 @@ def quintile(df: DataFrame, value: str, key: str, name: str, reverse: bool = Fal
 def rfm_scores(rfm: DataFrame) -> DataFrame:
     """R (reversed recency), F and M quintiles, code, score, segment, tier
     (WN13, SF5, SF19, SF20)."""
-    s = quintile(rfm, "recency", "customer_id", "R_score", reverse=True)
-    s = quintile(s, "frequency", "customer_id", "F_score")
+    s = quintile(rfm, "recency", "customer_id", "R_score", reverse=True, discrete=True)
+    s = quintile(s, "frequency", "customer_id", "F_score", discrete=True)
     s = quintile(s, "monetary", "customer_id", "M_score")
     score = F.col("R_score") + F.col("F_score") + F.col("M_score")
     return (s.withColumn("rfm_score", score)

@@ -30,8 +30,8 @@ def test_quintile_matches_pandas_qcut(spark, n):
     rng = np.random.default_rng(n)
     vals = [float(v) for v in rng.integers(0, 4, n)]          # many ties: first-come order matters
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "customer_id long, recency double")
-    for reverse in (False, True):
-        got = (C.quintile(df, "recency", "customer_id", "s", reverse=reverse)
+    for reverse, discrete in itertools.product((False, True), (False, True)):
+        got = (C.quintile(df, "recency", "customer_id", "s", reverse=reverse, discrete=discrete)
                .orderBy("customer_id").select("s").toPandas()["s"].tolist())
         assert got == _qcut_scores(vals, reverse)
 
