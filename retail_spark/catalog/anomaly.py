@@ -147,7 +147,7 @@ rs0 AS (SELECT rz.*, list_filter([
           + (CASE WHEN basket_size >= b99 THEN 0.25 ELSE 0.0 END)
           + (CASE WHEN max_abs_price_deviation_pct >= 0.30 THEN 0.40 ELSE 0.0 END) AS raw_rule
         FROM rz, b99),
-rs AS (SELECT * EXCLUDE (rl, raw_rule), least(greatest(raw_rule, 0.0), 1.0) AS rule_score,
+rs AS (SELECT * EXCLUDE (rl, raw_rule), CAST(least(greatest(raw_rule, 0.0), 1.0) AS DOUBLE) AS rule_score,
               CASE WHEN len(rl) > 0 THEN array_to_string(rl, '; ') ELSE 'no_rule_triggered' END AS rule_reasons FROM rs0)"""
 
 DENS_SQL = ("""
@@ -187,8 +187,10 @@ chosen AS (SELECT threshold FROM curve2 ORDER BY f1 DESC, recall DESC, precision
 def _eval_sql(score, tiebreak="order_ts DESC, order_id DESC"):
     return f"""
 te AS (SELECT *, CASE WHEN {score} >= (SELECT threshold FROM chosen) THEN 1 ELSE 0 END AS pred FROM scored2 WHERE split = 'test'),
-conf AS (SELECT sum(pred * is_anomaly) AS tp, sum(pred * (1 - is_anomaly)) AS fp, sum((1 - pred) * is_anomaly) AS fn,
-                sum((1 - pred) * (1 - is_anomaly)) AS tn, count(*) AS n, sum(is_anomaly) AS positives FROM te),
+conf AS (SELECT CAST(sum(pred * is_anomaly) AS BIGINT) AS tp, CAST(sum(pred * (1 - is_anomaly)) AS BIGINT) AS fp,
+                CAST(sum((1 - pred) * is_anomaly) AS BIGINT) AS fn,
+                CAST(sum((1 - pred) * (1 - is_anomaly)) AS BIGINT) AS tn, count(*) AS n,
+                CAST(sum(is_anomaly) AS BIGINT) AS positives FROM te),
 per AS (SELECT {score} AS s, count(*) AS n_, sum(is_anomaly) AS p_ FROM te GROUP BY 1),
 cum AS (SELECT *, sum(n_) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS cn,
                sum(p_) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS cp,
@@ -197,7 +199,7 @@ ap AS (SELECT sum(CASE WHEN (SELECT positives FROM conf) > 0 THEN p_ / (SELECT p
 auc AS (SELECT CASE WHEN max(P) > 0 AND max(N) - max(P) > 0
                     THEN (sum(p_ * (below - n_ + (n_ + 1) / 2.0)) - max(P) * (max(P) + 1) / 2) / (max(P) * (max(N) - max(P))) END AS roc_auc
         FROM cum, (SELECT positives AS P, n AS N FROM conf)),
-""" + ",\n".join(f"""k{k} AS (SELECT sum(is_anomaly) AS anomalies_found_at_{k}, count(*) AS kk{k} FROM
+""" + ",\n".join(f"""k{k} AS (SELECT CAST(sum(is_anomaly) AS BIGINT) AS anomalies_found_at_{k}, count(*) AS kk{k} FROM
    (SELECT is_anomaly FROM te ORDER BY {score} DESC, {tiebreak} LIMIT {k}))""" for k in (50, 100, 200)) + """,
 ev AS (SELECT conf.*, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
               CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall, (tp + fp) / n AS alert_rate,
@@ -408,7 +410,7 @@ def alert_detail(t):
 
 
 @register("risk_summary", sql=cte(*SCORED, CURVE_SQL, CHOSEN_SQL, ALERTS_SQL) + """
-SELECT risk_level, count(*) AS orders, avg(score) AS mean_score, sum(is_anomaly) AS true_anomalies,
+SELECT risk_level, count(*) AS orders, avg(score) AS mean_score, CAST(sum(is_anomaly) AS BIGINT) AS true_anomalies,
        count(*) * 100.0 / (SELECT count(*) FROM alerts) AS share_pct, sum(is_anomaly) / count(*) AS precision_in_level
 FROM alerts GROUP BY risk_level""")
 def risk_summary(t):

@@ -239,7 +239,7 @@ act AS (SELECT prof2.*, CASE
    WHEN avg_basket_size > q75b THEN 'Bundle and cross-sell offers'
    WHEN lower(hybrid_segment) LIKE '%low-value%' THEN 'Low-cost engagement campaign'
    ELSE 'Standard personalized communication' END AS recommended_action FROM prof2, th)
-SELECT recommended_action, count(*) AS segments, sum(customers) AS customers, sum(total_revenue) AS revenue
+SELECT recommended_action, count(*) AS segments, CAST(sum(customers) AS BIGINT) AS customers, sum(total_revenue) AS revenue
 FROM act GROUP BY recommended_action""")
 def action_summary(t):
     """AG37: segments, customers and revenue by recommended action."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from retail_spark.catalog import register
 from retail_spark.catalog.segments import cte
+from retail_spark.functions import exprs as X
 from retail_spark.operators.windows import sequences
 from retail_spark.plans import timeseries as TS
 from retail_spark.session import cut_lineage
@@ -194,12 +195,14 @@ SELECT series, section, week_start, quantity, rolling_mean_4w,
 FROM j""")
 def hierarchy_features(t):
     """WN6: (section, category) series under their section: parent lag / rolling and share."""
-    wk = weekly(t).select("section", "week_start")
-    lines = t.valid_lines.select("section", "category", "order_date", "quantity")
-    child = (lines.join(wk, (lines.section == wk.section) &
-                        lines.order_date.between(wk.week_start, F.date_add(wk.week_start, 6)))
-             .groupBy(F.concat_ws("/", lines.section, "category").alias("series"), lines.section, "week_start")
-             .agg(F.sum("quantity").alias("quantity")))
+    # each line's Tuesday week is computed, aggregated per (section, category,
+    # week), then kept only for the section's full weeks: an equi semi-join
+    full_weeks = weekly(t).select("section", "week_start")
+    child = (t.valid_lines
+             .groupBy(F.concat_ws("/", "section", "category").alias("series"), "section",
+                      X.week_start_tue("order_date").alias("week_start"))
+             .agg(F.sum("quantity").alias("quantity"))
+             .join(full_weeks, ["section", "week_start"], "left_semi"))
     return TS.hierarchy_features(child, "series", "section")
 
 
