@@ -274,7 +274,7 @@ def resolve_names(names: DataFrame, catalog: DataFrame, name: str = "name") -> D
     key = F.lower(F.trim(F.col(name)))
     nk = names.select(name, key.alias("_k")).distinct()
     ck = catalog.select(F.col(name).alias("match"), F.lower(F.trim(F.col(name))).alias("_c")).distinct()
-    exact = nk.join(ck, nk._k == ck._c).select(name, "match")
+    exact = nk.join(ck, F.col("_k") == F.col("_c")).select(name, "match")
     rest = nk.join(exact.select(name), name, "left_anti")
     cb = bounded(ck)
     sub = rest.join(cb, F.col("_c").contains(F.col("_k")) | F.col("_k").contains(F.col("_c")))

@@ -64,8 +64,8 @@ class Tables:
         li = self.raw("lineitem")
         o = self.raw("orders")
         p = self.raw("part")
-        return (li.join(o, li.l_orderkey == o.o_orderkey)
-                .join(p, li.l_partkey == p.p_partkey)
+        return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+                .join(p, F.col("l_partkey") == F.col("p_partkey"))
                 .select(
                     F.col("l_orderkey").alias("order_id"),
                     F.col("l_linenumber").alias("line_number"),
