@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from retail_spark.functions import exprs as X
 from retail_spark.operators.ordered import bucketed_row_number, global_row_number, global_running_sum
 from retail_spark.operators.windows import preferred
+from retail_spark.session import cut_lineage
 
 SECONDS_PER_DAY = 86400
 
@@ -89,6 +90,7 @@ def quintile(df: DataFrame, value: str, key: str, name: str, reverse: bool = Fal
 def rfm_scores(rfm: DataFrame) -> DataFrame:
     """R (reversed recency), F and M quintiles, code, score, segment, tier
     (WN13, SF5, SF19, SF20)."""
+    rfm = cut_lineage(rfm)   # one row per customer, read by all three rankings
     s = quintile(rfm, "recency", "customer_id", "R_score", reverse=True, discrete=True)
     s = quintile(s, "frequency", "customer_id", "F_score", discrete=True)
     s = quintile(s, "monetary", "customer_id", "M_score")
