@@ -182,10 +182,20 @@ def isolation_forest(df: DataFrame, feats: Sequence[str], n_trees: int = 100, sa
     trees × 2·sample nodes) is broadcast; path lengths are scored per batch."""
     depth = int(math.ceil(math.log2(sample)))
     cols = list(feats)
-    trees_in = (df.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-                .withColumn("_h", F.xxhash64(F.lit(SEED), "tree", *cols)))
-    w = Window.partitionBy("tree").orderBy("_h")
-    samp = trees_in.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample).drop("_r", "_h")
+    # Threshold hash sampling: a row joins tree t when its hash for t falls
+    # under tau, sized for ~4 × sample candidates per tree, so only candidate
+    # (row, tree) pairs are generated — never rows × trees.  Each tree then
+    # keeps the `sample` smallest hashes (the sample size is the operator's
+    # definition); a tree short of candidates grows on what it drew.
+    n = df.count()
+    tau = min(1.0, 4.0 * sample / max(n, 1))
+    scale = float(2 ** 31)
+    unit = lambda t: F.pmod(F.xxhash64(F.lit(SEED), t, *cols), F.lit(2 ** 31)) / scale
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: unit(t) < tau)
+    cand = (df.select(*cols, F.explode(trees).alias("tree"))
+            .withColumn("_h", unit(F.col("tree"))))
+    w = Window.partitionBy("tree").orderBy("_h", *cols)     # ≤ ~4·sample rows per tree
+    samp = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample).drop("_r", "_h")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(SEED + int(pdf["tree"].iloc[0]))
