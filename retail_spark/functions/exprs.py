@@ -8,6 +8,7 @@ values, in their natural order.
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 import re
 
@@ -53,6 +54,14 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def wall_clock(v) -> Column:
+    """A datetime constant as TIMESTAMP_NTZ, so comparisons with the
+    (zone-less) order timestamps do not depend on the session time zone."""
+    if isinstance(v, dt.datetime):
+        return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(v)
+
+
 # ---------------------------------------------------------------------------
 # Cleaning and coercion (SRC7, SRC8, SF1, SF2, PRJ1, PRJ2)
 

@@ -45,7 +45,8 @@ def search(df: DataFrame, text: str, cols: Sequence[str]) -> DataFrame:
 
 def since(df: DataFrame, ts: str, days: int, as_of) -> DataFrame:
     """Rows within the last ``days`` days before ``as_of`` (FIL8)."""
-    return df.filter(F.col(ts) >= F.lit(as_of) - F.make_interval(days=F.lit(days)))
+    from retail_spark.functions.exprs import wall_clock
+    return df.filter(F.col(ts) >= wall_clock(as_of) - F.make_interval(days=F.lit(days)))
 
 
 def between_dates(df: DataFrame, c: str, lo, hi) -> DataFrame:

@@ -14,6 +14,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retail_spark.functions.exprs import wall_clock
+
 # Fixed values of the reference dashboard.
 GROSS_MARGIN = 0.60
 NET_MARGIN = 0.36
@@ -64,7 +66,7 @@ def sales_by(orders: DataFrame, period: str = "daily", since: dt.datetime | None
     """Paid orders and revenue per day / ISO week / month, oldest first (AG3)."""
     df = paid(orders)
     if since is not None:
-        df = df.filter(F.col(ts) >= F.lit(since))
+        df = df.filter(F.col(ts) >= wall_clock(since))
     bucket = F.date_trunc(_TRUNC[period], F.col(ts)).cast("date")
     return (df.groupBy(bucket.alias("period_start"))
             .agg(F.count(F.lit(1)).alias("orders"),
@@ -142,6 +144,6 @@ def transactions(lines: DataFrame, orders: DataFrame, tax_rate: float = TAX_RATE
 
 def open_age_minutes(orders: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Whole minutes each open order has been open, never negative (AG46)."""
-    mins = F.floor(F.timestamp_diff("SECOND", F.col("created_at"), F.lit(as_of)) / 60)
+    mins = F.floor(F.timestamp_diff("SECOND", F.col("created_at"), wall_clock(as_of)) / 60)
     return (orders.filter(F.col("status").isin(*ACTIVE_STATUSES))
             .select("order_id", "table_id", F.greatest(F.lit(0), mins).cast("bigint").alias("age_minutes")))

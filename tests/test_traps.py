@@ -231,6 +231,19 @@ def test_zero_denominators_and_empty_input(spark):
     assert C.quintile(empty, "recency", "customer_id", "s").count() == 0
 
 
+def test_wall_clock_constants_ignore_session_zone(spark):
+    from retail_spark.plans import reporting as R
+    df = spark.createDataFrame([(1, dt.datetime(2001, 7, 31, 12, 0), "draft", 1)],
+                               "order_id long, created_at timestamp_ntz, status string, table_id long")
+    for zone in ("America/New_York", "Asia/Kolkata", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            got = R.open_age_minutes(df, dt.datetime(2001, 8, 1, 12, 0)).first()["age_minutes"]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert got == 1440, zone
+
+
 def test_two_item_antecedent_fires_only_on_full_match(spark):
     rules = spark.createDataFrame([(["a", "b"], "c", 0.1, 0.5, 2.0), (["a"], "d", 0.1, 0.4, 1.5)],
                                   "antecedent array<string>, consequent string, support double, confidence double, lift double")
