@@ -170,7 +170,9 @@ def model_frame(lines: DataFrame, labels: DataFrame, label_lines: DataFrame) ->
     o = o.select("*", *[v.alias(k) for k, v in flags.items()])
     o = (o.join(labels, "order_id", "left").fillna(0, subset=["is_anomaly"])
          .join(label_rollup(label_lines), "order_id", "left"))
-    return split_by_position(o, [F.asc("order_ts"), F.asc("order_id")], day=F.to_date("order_ts"))
+    # hour buckets lead the (order_ts, order_id) order: offsets over the calendar's
+    # hours, ranking inside an hour only
+    return split_by_position(o, [F.asc("order_ts"), F.asc("order_id")], day=F.date_trunc("hour", "order_ts"))
 
 
 # ---------------------------------------------------------------------------
