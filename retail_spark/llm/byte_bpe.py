@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from retail_spark.llm.text_udf import fresh, quoted, small_batches, without
 
-MEMORY = 300_000       # cuts (and pre-tokens) remembered by a worker process
+MEMORY = 500_000       # cuts (and pre-tokens) remembered by a worker process
 LONGEST_CUT = 64       # characters of a remembered cut
 _APART = re.compile(r" (?:\s|$)")   # white space after a space: such texts go through the pattern as a whole
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from retail_spark.llm import quality_rules
+from retail_spark.llm import byte_bpe, quality_rules, secret_scan, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op4_secret_scans": secret_scan.query,
+    "op5_byte_level_bpe": byte_bpe.query,
+    "op9_token_counts": token_counts.query,
+    "op10_toxicity": toxicity.query,
 }
 
 ORACLES = {
