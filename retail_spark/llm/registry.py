@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from retail_spark.llm import byte_bpe, quality_rules, secret_scan, token_counts, toxicity
+from retail_spark.llm import byte_bpe, quality_classifier, quality_rules, secret_scan, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_quality_classifier": quality_classifier.query,
     "op4_secret_scans": secret_scan.query,
     "op5_byte_level_bpe": byte_bpe.query,
+    "op8_simhash_near_dedup": simhash.query,
     "op9_token_counts": token_counts.query,
     "op10_toxicity": toxicity.query,
 }
