@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from retail_spark.llm import byte_bpe, quality_classifier, quality_rules, secret_scan, simhash, token_counts, toxicity
+from retail_spark.llm import (byte_bpe, decontamination, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash,
+                              token_counts, toxicity)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_quality_classifier": quality_classifier.query,
+    "op3_token_id_output": packing.query,
     "op4_secret_scans": secret_scan.query,
     "op5_byte_level_bpe": byte_bpe.query,
+    "op6_sharding": sharding.query,
+    "op7_benchmark_decontamination": decontamination.query,
     "op8_simhash_near_dedup": simhash.query,
     "op9_token_counts": token_counts.query,
     "op10_toxicity": toxicity.query,
@@ -16,4 +20,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
+    "op7_benchmark_decontamination": decontamination.SQL,
 }
