@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retail_spark.llm.text_udf import quoted
+from retail_spark.llm.text_udf import fresh, quoted
 from retail_spark.session import cut_lineage
 
 WINDOW = 5
@@ -152,8 +152,9 @@ def mark(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: st
 
 def clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) in which no item was found."""
-    bad = found.select(F.col("id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
-    return docs.join(bad, F.col(quoted(id_col)).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(F.col(quoted(text_col))) == F.col("_hit_hash")), "left_anti")
+    i, h = fresh(docs, "hit_id"), fresh(docs, "hit_hash")
+    bad = cut_lineage(found.select(F.col("id").alias(i), F.col("text_hash").alias(h)).distinct())
+    return docs.join(bad, F.col(quoted(id_col)).eqNullSafe(F.col(i)) & (F.xxhash64(F.col(quoted(text_col))) == F.col(h)), "left_anti")
 
 
 # ---- registered query -------------------------------------------------------

@@ -140,6 +140,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "
     return scored.withColumn(f"{prefix}expected_grade", total).drop(s)
 
 
+def select(docs: DataFrame, model: Model, grade: int = 1, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) with P(rating >= ``grade``) of at least ``least``."""
+    prefix = "_q"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "q"
+    return score(docs, model, text_col, prefix).filter(F.col(f"{prefix}tail_{grade}") >= least).select(*[F.col(quoted(c)) for c in docs.columns])
+
+
 def ratings_of(labels: DataFrame) -> DataFrame:
     """Three grades from the given labels: 0 poor quality, 1 good but toxic, 2 good."""
     good, toxic = F.col("quality"), F.coalesce(F.col("toxic"), F.lit(0))

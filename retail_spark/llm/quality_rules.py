@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retail_spark.llm.text_udf import fresh, quoted
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -34,16 +36,6 @@ OUTPUTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
            "n_lines", "n_nav_lines", "n_boiler_lines", "n_punct_lines", "line_chars", "lost_chars", "clean_text"]
 
 
-def _fresh(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` does not use (Spark compares names without case)."""
-    used = {c.lower() for c in df.columns}
-    name, n = f"_{stem}", 0
-    while name in used:
-        n += 1
-        name = f"_{stem}{n}"
-    return name
-
-
 def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
@@ -101,8 +93,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 50,
     characters.  ``clean_text`` is the text without the cut lines.
     """
     clash = [c for c in docs.columns if c.lower() in OUTPUTS and c != text_col]
-    t, w, h, ln, bad = (_fresh(docs, s) for s in ("txt", "words", "hashes", "lines", "bad"))
-    d = docs.drop(*clash).withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
+    t, w, h, ln, bad = (fresh(docs, s) for s in ("txt", "words", "hashes", "lines", "bad"))
+    d = docs.drop(*clash).withColumn(t, F.coalesce(F.col(quoted(text_col)), F.lit("")))
     d = d.withColumn(w, F.regexp_extract_all(F.col(t), F.lit(f"({WORD})"), F.lit(1)))
     words = F.col(w)
     d = d.withColumn(h, F.when(F.size(words) >= 4, F.sort_array(F.transform(
@@ -121,7 +113,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 50,
                            lambda a, x: a + F.when(x["rule"].between(1, 3) if cut else F.lit(True), x["chars"]).otherwise(0))
 
     d = d.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in clash],
+        *[F.col(quoted(c)) for c in docs.columns if c not in clash],
         F.size(words).cast("long").alias("n_words"),
         F.length(_without(F.col(t), SPACES)).cast("long").alias("word_chars"),
         (F.length(F.col(t)) - F.length(_without(F.col(t), SYMBOLS))).cast("long").alias("n_symbols"),

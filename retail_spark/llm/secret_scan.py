@@ -111,23 +111,24 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.join(repos, "value_hash")
 
 
-def classify(scanned: DataFrame, owner: Column, repo: Column, out: str = "secrets", min_owners: int = 3) -> DataFrame:
-    """Add to every span of ``scanned`` (a checkpointed result of ``scan``) n_owners, n_repos and class.
+def classify(scanned: DataFrame, rid: str, owner: Column, repo: Column, out: str = "secrets", min_owners: int = 3) -> DataFrame:
+    """Add to every span of ``scanned`` n_owners, n_repos and class; drops ``rid``.
 
-    class: ``example`` when at least ``min_owners`` owners hold the value, else
-    ``live`` when the value looks random, else ``weak``.
+    ``scanned`` is a stored result of ``scan`` with a unique row id ``rid`` in it
+    (stored, so that a lost task cannot number the rows anew).  A repository is
+    a pair of owner and repo.  class: ``example`` when at least ``min_owners``
+    owners hold the value, else ``live`` when it looks random, else ``weak``.
     """
-    rid, cols = fresh(scanned, "rid"), scanned.columns
-    # The owner and repository fields make the pair (owner, repo) the repository's identity.
-    rows = scanned.withColumn(rid, F.monotonically_increasing_id())
-    none = rows.filter(F.size(out) == 0).drop(rid)
-    some = rows.filter(F.size(out) > 0)
+    cols = [c for c in scanned.columns if c != rid]
+    none = scanned.filter(F.size(out) == 0).drop(rid)
+    some = scanned.filter(F.size(out) > 0)
+    counted = fresh(scanned, "held")
     found = some.select(F.col(rid).alias("rid"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
                         F.coalesce(repo.cast("string"), F.lit("")).alias("repo"),
                         F.explode(F.array_distinct(F.col(f"{out}.value_hash"))).alias("value_hash"))
     counts = found.select("rid", "value_hash").join(ownership(found), "value_hash")
     held = counts.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct(
-        "value_hash", F.struct("n_owners", "n_repos")))).alias("held")).withColumnRenamed("rid", rid)
+        "value_hash", F.struct("n_owners", "n_repos")))).alias(counted)).withColumnRenamed("rid", rid)
     known = some.join(held, rid)
 
     def labelled(span: Column, n: Column) -> Column:
@@ -135,7 +136,7 @@ def classify(scanned: DataFrame, owner: Column, repo: Column, out: str = "secret
         return F.struct(*[span[f].alias(f) for f in SPAN.names], n["n_owners"].alias("n_owners"), n["n_repos"].alias("n_repos"),
                         kind.alias("class"))
 
-    labels = F.transform(F.col(out), lambda s: labelled(s, F.element_at(F.col("held"), s["value_hash"])))
+    labels = F.transform(F.col(out), lambda s: labelled(s, F.element_at(F.col(counted), s["value_hash"])))
     empty = F.array().cast(T.ArrayType(T.StructType([*SPAN.fields, T.StructField("n_owners", T.LongType()),
                                                      T.StructField("n_repos", T.LongType()), T.StructField("class", T.StringType())])))
     rest = [F.col(quoted(c)) for c in cols if c != out]
@@ -177,8 +178,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     Owners are the sources; a repository is a source's part in one language."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    scanned = cut_lineage(scan(docs).drop("text"))
-    d = classify(scanned, F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang")))
+    scanned = cut_lineage(scan(docs).drop("text").withColumn("rid", F.monotonically_increasing_id()))
+    d = classify(scanned, "rid", F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang")))
     s = F.col("secrets")
 
     def n(field: str, value: str) -> Column:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retail_spark.llm.components import connected_components
-from retail_spark.llm.text_udf import quoted, small_batches
+from retail_spark.llm.text_udf import fresh, quoted, small_batches
 from retail_spark.session import cut_lineage
 
 SEED = 42
@@ -218,21 +218,41 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     return connected_components(links)
 
 
+def _roots(own: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, least, root) of each distinct fingerprint of ``own`` (id, fp): its smallest id and its component."""
+    classes = cut_lineage(own.groupBy("fp").agg(F.min("id").alias("least")))
+    found = fingerprint_components(classes.select("fp"), max_bits)
+    return cut_lineage(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """One row (id_col, fingerprint long, component_id) for each row of ``docs``.
 
     component_id: the smallest id that can be reached over links of at most ``max_bits`` differing bits."""
     ids = F.col(quoted(id_col)).alias("id")
     own = cut_lineage(add_fingerprint(docs.select(ids, F.col(quoted(text_col)).alias("text")), "text", shingle, "fp").select("id", "fp"))
-    classes = cut_lineage(own.groupBy("fp").agg(F.min("id").alias("least")))
-    found = fingerprint_components(classes.select("fp"), max_bits)
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = cut_lineage(rooted)
+    rooted = _roots(own, max_bits)
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut_lineage(rooted.join(names, "root").select("fp", "component_id"))
     return own.join(named, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """``docs`` with one row of each component, all columns: the one with the smallest id (null last), then text hash.
+
+    Rows that repeat both id and text count once."""
+    ids, text = F.col(quoted(id_col)), F.col(quoted(text_col))
+    own = cut_lineage(add_fingerprint(docs.select(ids.alias("id"), text.alias("text")), "text", shingle, "fp")
+                      .select("id", F.xxhash64("text").alias("h"), "fp"))
+    chosen = (own.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("c"))
+              .join(_roots(own, max_bits).select("fp", "root"), "fp").groupBy("root").agg(F.min("c").alias("c")))
+    k, h = fresh(docs, "id_key"), fresh(docs, "text_key")
+    as_key = (lambda c: F.coalesce(c.cast("string"), F.lit("")))
+    keys = cut_lineage(chosen.select(as_key(F.col("c.id")).alias(k), F.col("c.h").alias(h)))
+    return (docs.withColumns({k: as_key(ids), h: F.xxhash64(text)}).join(keys, [k, h], "left_semi")
+            .dropDuplicates([k, h]).select(*[F.col(quoted(c)) for c in docs.columns]))
+
+
 # ---- registered query -------------------------------------------------------
 
 def query(spark, sf_dir: str) -> DataFrame:
