@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from retail_spark.llm.text_udf import fresh, quoted, small_batches, without
 
-MEMORY = 500_000       # cuts (and pre-tokens) remembered by a worker process
+MEMORY = 400_000       # cuts that a worker process remembers for sure (and half as many pre-tokens)
 LONGEST_CUT = 64       # characters of a remembered cut
 _APART = re.compile(r" (?:\s|$)")   # white space after a space: such texts go through the pattern as a whole
 
@@ -50,63 +50,81 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     rank_of = ranks.get
     nxt = list(range(1, n + 2))          # part i spans piece[i:nxt[i]]
     prv = list(range(-1, n))
-    now = [-1] * (n + 1)                 # rank of the pair that starts at i; another rank in an entry makes it stale
+    now = [None] * (n + 1)               # rank of the pair that starts at i; another rank in an entry makes it stale
     bucket: dict[int, list[int]] = {}
-    low: dict[int, int] = {}             # bit r & 63 of low[r >> 6]: bucket r holds something
-    mid: dict[int, int] = {}             # bit b & 63 of mid[b >> 6]: low[b] is not zero
-    top = 0                              # bit a: mid[a] is not zero
-    fresh_pairs = range(n - 1)
+    low: dict[int, int] = {}             # bit r & 255 of low[r >> 8]: bucket r holds something
+    top = 0                              # bit b: low[b] is not zero
+    i, new = -1, range(n - 1)
     while True:
-        for i in fresh_pairs:
-            r = rank_of(piece[i:nxt[nxt[i]]])
-            if r is None:
-                now[i] = -1
-                continue
-            now[i] = r
-            if r in bucket:
-                heappush(bucket[r], i)
-                continue
-            bucket[r] = [i]
-            b, a = r >> 6, r >> 12
-            low[b] = low.get(b, 0) | 1 << (r & 63)
-            mid[a] = mid.get(a, 0) | 1 << (b & 63)
-            top |= 1 << a
+        for i in new:
+            r = now[i] = rank_of(piece[i:nxt[nxt[i]]])
+            if r is not None:
+                if r in bucket:
+                    heappush(bucket[r], i)
+                else:
+                    bucket[r] = [i]
+                    b = r >> 8
+                    if b in low:
+                        low[b] |= 1 << (r & 255)
+                    else:
+                        low[b] = 1 << (r & 255)
+                        top |= 1 << b
         while top:
-            a = (top & -top).bit_length() - 1
-            m = mid[a]
-            b = a << 6 | (m & -m).bit_length() - 1
+            b = (top & -top).bit_length() - 1
             w = low[b]
-            r = b << 6 | (w & -w).bit_length() - 1
+            r = (b << 8) + (w & -w).bit_length() - 1
             entries = bucket[r]
-            i = heappop(entries)
-            if not entries:
+            if len(entries) > 1:
+                i = heappop(entries)
+            else:
+                i = entries[0]
                 del bucket[r]
-                low[b] = w = w & (w - 1)
-                if not w:
-                    mid[a] = m = m & (m - 1)
-                    if not m:
-                        top &= top - 1
+                w &= w - 1
+                if w:
+                    low[b] = w
+                else:
+                    del low[b]
+                    top &= top - 1
             if now[i] == r:
                 break
         else:
             break
         j = nxt[i]                       # the part at j joins the part at i
-        k = nxt[j]
-        nxt[i] = k
-        now[i] = now[j] = -1
+        k = nxt[i] = nxt[j]
+        now[j] = now[i] = None
         p = prv[i]
         if k < n:
             prv[k] = i
-            fresh_pairs = (p, i) if p >= 0 else (i,)
+            new = (p, i) if p >= 0 else (i,)
         else:
-            fresh_pairs = (p,) if p >= 0 else ()
+            new = (p,) if p >= 0 else ()
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i:nxt[i]]])
-        i = nxt[i]
+        k = nxt[i]
+        out.append(ranks[piece[i:k]])
+        i = k
     return out
 
 
+class Memory(dict):
+    """Results by key, worked out when first asked for; keeps the keys of the last ``room`` to twice ``room`` results."""
+
+    def __init__(self, work: Callable[[str], bytes], room: int):
+        super().__init__()
+        self.work, self.room, self.old = work, room, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.work(key)
+        if len(key) <= LONGEST_CUT:
+            if len(self) >= self.room:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class Codec:
     """Encoder and decoder for one rank file and pre-token pattern, with bounded memory."""
 
@@ -114,46 +132,28 @@ class Codec:
         self.ranks = load_ranks(path)
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.cuts: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.tokens = Memory(self._token, MEMORY // 2)
+        self.cuts = Memory(self._cut, MEMORY)      # what follows a space, up to the next one
 
     def _token(self, s: str) -> bytes:
         piece = s.encode()
         whole = self.ranks.get(piece)
-        ids = [whole] if whole is not None else merge(piece, self.ranks)
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return b"".join([i.to_bytes(4, "little") for i in (merge(piece, self.ranks) if whole is None else (whole,))])
 
     def _pieces(self, text: str) -> bytes:
-        known, out = self.tokens, []
-        for s in self.find(text):
-            got = known.get(s)
-            if got is None:
-                got = self._token(s)
-                if len(s) <= LONGEST_CUT:
-                    known[s] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.tokens.__getitem__, self.find(text)))
+
+    def _cut(self, s: str) -> bytes:
+        return self._pieces(" " + s)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if len(self.tokens) > MEMORY:
-            self.tokens.clear()
         if _APART.search(text):
             return self._pieces(text)
         first, *rest = text.split(" ")
-        if len(self.cuts) > MEMORY:
-            self.cuts.clear()
-        cuts = self.cuts
-        new = set(rest).difference(cuts)
-        for s in new:
-            cuts[s] = self._pieces(" " + s)
-        out = b"".join(chain((self._pieces(first),), map(cuts.__getitem__, rest)))
-        for s in new:
-            if len(s) > LONGEST_CUT:
-                del cuts[s]
-        return out
+        return b"".join(chain((self._pieces(first),), map(self.cuts.__getitem__, rest)))
 
     def decode(self, ids: bytes | None) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))) if ids else b""

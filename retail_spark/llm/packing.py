@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_spark.llm.byte_bpe import codec
+from retail_spark.llm.byte_bpe import Codec
 from retail_spark.llm.text_udf import quoted, small_batches
 
 ROW = 2048            # ids of a packed row
@@ -88,6 +89,27 @@ def best_fit_decreasing(lengths: list[int], row: int) -> list[list[int]]:
     return out
 
 
+class LibraryCodec(Codec):
+    """The codec with the merges left to tiktoken: packing needs ids, not this library's own merging."""
+
+    def __init__(self, path: str, pattern: str):
+        super().__init__(path, pattern)
+        self.library = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+
+    def _pieces(self, text: str) -> bytes:
+        return np.array(self.library.encode_ordinary(text), dtype="<u4").tobytes()
+
+
+_CODECS: dict[tuple[str, str], LibraryCodec] = {}
+
+
+def _codec(path: str, pattern: str) -> LibraryCodec:
+    """One codec for each worker process, kept between tasks."""
+    if (path, pattern) not in _CODECS:
+        _CODECS[path, pattern] = LibraryCodec(path, pattern)
+    return _CODECS[path, pattern]
+
+
 def _matrices(pieces: list[tuple[int | None, int, np.ndarray]], row: int, pad: int, dtype: str, name: str) -> Iterator[pa.RecordBatch]:
     """Pack pieces (doc id, first token in the document, ids) and yield matrices of at most BLOCK rows."""
     packed = best_fit_decreasing([len(p[2]) for p in pieces], row)
@@ -119,7 +141,7 @@ def pack(docs: DataFrame, path: str, pattern: str, pad: int, id_col: str = "doc_
     small_batches(docs.sparkSession)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part = codec(path, pattern), TaskContext.get().partitionId()
+        own, part = _codec(path, pattern), TaskContext.get().partitionId()
         dtype = "<u2" if max(pad, *own.ranks.values()) < 1 << 16 else "<u4"
         pieces: list[tuple[int | None, int, np.ndarray]] = []
         held, window = 0, 0

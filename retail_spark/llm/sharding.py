@@ -34,7 +34,7 @@ from retail_spark.llm.text_udf import quoted
 from retail_spark.operators.ordered import global_running_sum
 from retail_spark.session import cut_lineage
 
-SUMMARY = 20_000      # group ends that the driver holds at a time
+SUMMARY = 20_000      # group ends that the driver holds at a time, or 16 times the square of the shards, if that is more
 OVERHEAD = 16         # bytes that each row takes besides its text
 
 
@@ -111,10 +111,10 @@ def even_cuts(ends: Ends, capacity: int, shards: int) -> list[int]:
     return out
 
 
-def _summary(groups: DataFrame, stretches: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(end, rows, number of ends) of equal slices of each stretch (a, b]: at most SUMMARY rows in all."""
+def _summary(groups: DataFrame, stretches: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
+    """(end, rows, number of ends) of equal slices of each stretch (a, b]: at most ``most`` rows in all."""
     size = sum(b - a for a, b in stretches)
-    width = max(1, -(-size // (SUMMARY - len(stretches))))
+    width = max(1, -(-size // (most - len(stretches))))
     cell = F.lit(None).cast("long")
     first = 0
     for a, b in stretches:
@@ -130,7 +130,10 @@ def minimax(groups: DataFrame, shards: int) -> tuple[Ends, int]:
     top = groups.agg(F.max("upto").alias("t"), F.max("size").alias("b")).first()
     total, biggest = top["t"], top["b"]
     floor = max(biggest, -(-total // shards))
-    found = _summary(groups, [(0, total)])
+    # The cuts can be off by a slice for each shard before them, so together they leave about shards² / most of all
+    # bytes open: with this many slices every round looks at a small part of what the round before looked at.
+    most = max(SUMMARY, 16 * shards * shards)
+    found = _summary(groups, [(0, total)], most)
     ends = Ends([x[0] for x in found], [x[1] for x in found], [x[2] - 1 for x in found])
     while True:
         enough = least(floor, total, lambda c: ends.fits(c, shards))
@@ -150,7 +153,7 @@ def minimax(groups: DataFrame, shards: int) -> tuple[Ends, int]:
             else:
                 merged.append((a, b))
         keep = [(p, r, h) for p, r, h in zip(ends.at, ends.rows, ends.hidden, strict=True) if not any(a < p <= b for a, b in merged)]
-        found = sorted(keep + [(p, r, n - 1) for p, r, n in _summary(groups, merged)])
+        found = sorted(keep + [(p, r, n - 1) for p, r, n in _summary(groups, merged, most)])
         ends = Ends([x[0] for x in found], [x[1] for x in found], [x[2] for x in found])
 
 
