@@ -4,10 +4,10 @@ Merging uses a rank queue in the form of a hierarchical bitmap.  Every merge
 rank has a bucket with the linked-list positions of the pairs that have this
 rank; three levels of 64-bit words say which buckets hold anything, and
 find-first-set on them gives the next rank.  An entry is stale when the pair at
-its position has another rank by now, and is skipped when it comes up.  Each
-merge costs a few word operations whatever the length of the pre-token, so a
-text that is one unbroken run of letters takes time in proportion to its length
-(times the logarithm of a bucket, which is kept in order of position).
+its position has another rank by now, and is skipped when it comes up.  A merge
+costs a few word operations whatever the length of the pre-token, so a text that
+is one unbroken run of letters takes time in proportion to its length.  The
+pre-tokens of a batch of texts share one queue.
 
 Pre-tokens never reach across a space that stands between two visible
 characters, so a text is cut there and each cut is encoded once per worker
@@ -22,8 +22,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable, Iterator
-from heapq import heappop, heappush
+from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -36,6 +35,7 @@ from retail_spark.llm.text_udf import fresh, quoted, small_batches, without
 
 MEMORY = 400_000       # cuts that a worker process remembers for sure (and half as many pre-tokens)
 LONGEST_CUT = 64       # characters of a remembered cut
+TOGETHER = 1 << 21     # characters of the texts that share a queue; one longer text has it alone
 _APART = re.compile(r" (?:\s|$)")   # white space after a space: such texts go through the pattern as a whole
 
 
@@ -44,85 +44,143 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token: lowest rank first, leftmost first among equals."""
-    n = len(piece)
+def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+    """The ids of each pre-token: lowest rank first, leftmost first among equals.
+
+    All pre-tokens share one queue: they do not touch each other, so taking ranks
+    in order over all of them takes them in order within each.  A pre-token
+    whose merge makes a pair of lower rank gets it served before its other pairs.
+    """
+    data = b"\0".join(pieces) + b"\0"
+    size = len(data)
+    nxt = list(range(1, size + 1))       # part i spans data[i:nxt[i]]
+    prv = list(range(-1, size - 1))
+    now: list[int | None] = [None] * (size + 1)   # rank of the pair that starts at i; another rank in an entry makes it stale
     rank_of = ranks.get
-    nxt = list(range(1, n + 2))          # part i spans piece[i:nxt[i]]
-    prv = list(range(-1, n))
-    now = [None] * (n + 1)               # rank of the pair that starts at i; another rank in an entry makes it stale
-    bucket: dict[int, list[int]] = {}
-    low: dict[int, int] = {}             # bit r & 255 of low[r >> 8]: bucket r holds something
-    top = 0                              # bit b: low[b] is not zero
-    i, new = -1, range(n - 1)
-    while True:
-        for i in new:
-            r = now[i] = rank_of(piece[i:nxt[nxt[i]]])
-            if r is not None:
-                if r in bucket:
-                    heappush(bucket[r], i)
-                else:
-                    bucket[r] = [i]
-                    b = r >> 8
-                    if b in low:
-                        low[b] |= 1 << (r & 255)
+    bucket: dict[int, list[int]] = {}    # positions in descending order, unless in unsorted
+    unsorted: set[int] = set()
+    ends, at = [], 0
+    for p in pieces:
+        prv[at] = -1
+        at += len(p) + 1
+        ends.append(at - 1)
+    for e in ends:
+        nxt[e] = 0                       # an end: no part begins here
+    for first, e in zip([0] + [e + 1 for e in ends], ends):
+        for i in range(first, e - 1):
+            now[i] = rank_of(data[i:i + 2])
+    for i in range(size - 2, -1, -1):
+        r = now[i]
+        if r is not None:
+            if r in bucket:
+                bucket[r].append(i)
+            else:
+                bucket[r] = [i]
+    low: dict[int, int] = {}             # bit r & 63 of low[r >> 6]: bucket r holds something
+    mid: dict[int, int] = {}             # bit b & 63 of mid[b >> 6]: low[b] is not zero
+    top = 0                              # bit a: mid[a] is not zero
+    for r in bucket:
+        low[r >> 6] = low.get(r >> 6, 0) | 1 << (r & 63)
+    for b in low:
+        mid[b >> 6] = mid.get(b >> 6, 0) | 1 << (b & 63)
+    for a in mid:
+        top |= 1 << a
+    while top:
+        a = (top & -top).bit_length() - 1
+        m = mid[a]
+        b = (a << 6) + (m & -m).bit_length() - 1
+        w = low[b]
+        r = (b << 6) + (w & -w).bit_length() - 1
+        entries = bucket[r]
+        if r in unsorted:
+            entries.sort(reverse=True)
+            unsorted.discard(r)
+        while entries:
+            i = entries.pop()
+            if now[i] != r:
+                continue
+            j = nxt[i]                   # the part at j joins the part at i
+            k = nxt[i] = nxt[j]
+            now[j] = None
+            lower = False
+            e = nxt[k]
+            if e:
+                prv[k] = i
+                r2 = now[i] = rank_of(data[i:e])
+                if r2 is not None:
+                    lower = r2 < r
+                    if r2 in bucket:
+                        bucket[r2].append(i)
+                        unsorted.add(r2)
                     else:
-                        low[b] = 1 << (r & 255)
-                        top |= 1 << b
-        while top:
-            b = (top & -top).bit_length() - 1
-            w = low[b]
-            r = (b << 8) + (w & -w).bit_length() - 1
-            entries = bucket[r]
-            if len(entries) > 1:
-                i = heappop(entries)
+                        bucket[r2] = [i]
+                        c = r2 >> 6
+                        low[c] = low.get(c, 0) | 1 << (r2 & 63)
+                        d = c >> 6
+                        mid[d] = mid.get(d, 0) | 1 << (c & 63)
+                        top |= 1 << d
             else:
-                i = entries[0]
-                del bucket[r]
-                w &= w - 1
-                if w:
-                    low[b] = w
-                else:
-                    del low[b]
-                    top &= top - 1
-            if now[i] == r:
+                now[i] = None
+            p = prv[i]
+            if p >= 0:
+                r2 = now[p] = rank_of(data[p:k])
+                if r2 is not None:
+                    lower = lower or r2 < r
+                    if r2 in bucket:
+                        bucket[r2].append(p)
+                        unsorted.add(r2)
+                    else:
+                        bucket[r2] = [p]
+                        c = r2 >> 6
+                        low[c] = low.get(c, 0) | 1 << (r2 & 63)
+                        d = c >> 6
+                        mid[d] = mid.get(d, 0) | 1 << (c & 63)
+                        top |= 1 << d
+            if lower:
                 break
-        else:
-            break
-        j = nxt[i]                       # the part at j joins the part at i
-        k = nxt[i] = nxt[j]
-        now[j] = now[i] = None
-        p = prv[i]
-        if k < n:
-            prv[k] = i
-            new = (p, i) if p >= 0 else (i,)
-        else:
-            new = (p,) if p >= 0 else ()
+        if not entries:
+            del bucket[r]
+            unsorted.discard(r)
+            low[b] = w = low[b] & ~(1 << (r & 63))
+            if not w:
+                mid[a] = m = mid[a] & ~(1 << (b & 63))
+                if not m:
+                    top &= ~(1 << a)
     out, i = [], 0
-    while i < n:
-        k = nxt[i]
-        out.append(ranks[piece[i:k]])
-        i = k
+    for e in ends:
+        ids = []
+        while i < e:
+            k = nxt[i]
+            ids.append(ranks[data[i:k]])
+            i = k
+        out.append(ids)
+        i = e + 1
     return out
 
 
-class Memory(dict):
-    """Results by key, worked out when first asked for; keeps the keys of the last ``room`` to twice ``room`` results."""
+class Remembered:
+    """Results by key in two generations: the last ``room`` new keys at least, twice as many at most."""
 
-    def __init__(self, work: Callable[[str], bytes], room: int):
-        super().__init__()
-        self.work, self.room, self.old = work, room, {}
+    def __init__(self, room: int):
+        self.room, self.now, self.old = room, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys without a result; results of the older generation that are asked for move to the newer one."""
+        rest = []
+        for k in keys.difference(self.now):
+            if k in self.old:
+                self.now[k] = self.old[k]
+            else:
+                rest.append(k)
+        return rest
 
-    def __missing__(self, key: str) -> bytes:
-        got = self.old.get(key)
-        if got is None:
-            got = self.work(key)
-        if len(key) <= LONGEST_CUT:
-            if len(self) >= self.room:
-                self.old = dict(self)
-                self.clear()
-            self[key] = got
-        return got
+    def trim(self, new: list[str]) -> None:
+        """Forget the long ones among ``new`` keys, and the older generation when the newer one is full."""
+        for k in new:
+            if len(k) > LONGEST_CUT:
+                del self.now[k]
+        if len(self.now) > self.room:
+            self.now, self.old = {}, self.now
 
 
 class Codec:
@@ -132,28 +190,48 @@ class Codec:
         self.ranks = load_ranks(path)
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.tokens = Memory(self._token, MEMORY // 2)
-        self.cuts = Memory(self._cut, MEMORY)      # what follows a space, up to the next one
-
-    def _token(self, s: str) -> bytes:
-        piece = s.encode()
-        whole = self.ranks.get(piece)
-        return b"".join([i.to_bytes(4, "little") for i in (merge(piece, self.ranks) if whole is None else (whole,))])
-
-    def _pieces(self, text: str) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, self.find(text)))
-
-    def _cut(self, s: str) -> bytes:
-        return self._pieces(" " + s)
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if _APART.search(text):
-            return self._pieces(text)
-        first, *rest = text.split(" ")
-        return b"".join(chain((self._pieces(first),), map(self.cuts.__getitem__, rest)))
+        self.tokens = Remembered(MEMORY // 2)
+        self.cuts = Remembered(MEMORY)      # what follows a space, up to the next one
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, without the memory of cuts."""
+        spelled = [self.find(t) for t in texts]
+        new = self.tokens.missing(set().union(*spelled))
+        known, rest = self.tokens.now, []
+        for s in new:
+            whole = self.ranks.get(s.encode())
+            if whole is None:
+                rest.append(s)
+            else:
+                known[s] = whole.to_bytes(4, "little")
+        for s, ids in zip(rest, merge_all([s.encode() for s in rest], self.ranks), strict=True):
+            known[s] = b"".join([i.to_bytes(4, "little") for i in ids])
+        out = [b"".join(map(known.__getitem__, x)) for x in spelled]
+        self.tokens.trim(new)
+        return out
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        whole = [bool(_APART.search(t)) for t in texts]
+        split = [[t] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        new = self.cuts.missing(set().union(*[s[1:] for s in split]))
+        # the first cut of a text has no space before it
+        encoded = self.plain([" " + s for s in new] + [s[0] for s in split])
+        known = self.cuts.now
+        known.update(zip(new, encoded))
+        out = [b"".join(chain((first,), map(known.__getitem__, s[1:]))) for s, first in zip(split, encoded[len(new):], strict=True)]
+        self.cuts.trim(new)
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; texts are taken some TOGETHER characters at a time."""
+        out, group, held = [], [], 0
+        for t in texts:
+            group.append(t or "")
+            held += len(group[-1])
+            if held >= TOGETHER:
+                out += self._group(group)
+                group, held = [], 0
+        return out + self._group(group)
 
     def decode(self, ids: bytes | None) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))) if ids else b""
@@ -179,7 +257,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for batch in batches:
-            yield pa.array([own.encode(x.as_py()) for x in batch], pa.binary())
+            yield pa.array(own.encode(batch.to_pylist()), pa.binary())
 
     tmp = fresh(docs, "ids")
     return (without(docs.withColumn(tmp, ids(F.col(quoted(text_col)))), ids_col, count_col)

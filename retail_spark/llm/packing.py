@@ -96,8 +96,8 @@ class LibraryCodec(Codec):
         super().__init__(path, pattern)
         self.library = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
 
-    def _pieces(self, text: str) -> bytes:
-        return np.array(self.library.encode_ordinary(text), dtype="<u4").tobytes()
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(self.library.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
 
 
 _CODECS: dict[tuple[str, str], LibraryCodec] = {}
@@ -146,8 +146,8 @@ def pack(docs: DataFrame, path: str, pattern: str, pad: int, id_col: str = "doc_
         pieces: list[tuple[int | None, int, np.ndarray]] = []
         held, window = 0, 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(own.encode(text.as_py()), dtype="<u4").astype(dtype)
+            for doc_id, raw in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
+                ids = np.frombuffer(raw, dtype="<u4").astype(dtype)
                 for at in range(0, max(1, len(ids)), row):
                     pieces.append((doc_id, at, ids[at:at + row]))
                 held += len(ids)
