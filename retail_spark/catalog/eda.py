@@ -64,16 +64,15 @@ def aov_by_section(t):
 
 
 @register("recomputed_demand", sql="""
-WITH d AS (SELECT order_date, section, count(*) AS lines, avg(price) AS mean_price FROM valid_lines
-           WHERE discount_rate < 0.1 GROUP BY 1, 2),
+WITH d AS (SELECT order_date, section, count(*) AS lines, avg(price) AS mean_price FROM valid_lines GROUP BY 1, 2),
 grid AS (SELECT DISTINCT order_date, section FROM sale_lines)
 SELECT g.order_date, g.section, coalesce(d.lines, 0) AS lines, d.mean_price
 FROM grid g LEFT JOIN d ON d.order_date = g.order_date AND d.section = g.section""")
 def recomputed_demand(t):
-    """AG32: demand recomputed from edited lines (here: lines below the top
-    discount kept) over the original (day, section) grid, missing → 0."""
+    """AG32: demand recomputed from the lines that are left (voided ones are
+    out) over the original (day, section) grid, missing → 0."""
     grid = t.sale_lines.select("order_date", "section").distinct()
-    d = (t.valid_lines.filter(F.col("discount_rate") < 0.1).groupBy("order_date", "section")
+    d = (t.valid_lines.groupBy("order_date", "section")
          .agg(F.count(F.lit(1)).alias("lines"), F.avg("price").alias("mean_price")))
     return (grid.join(d, ["order_date", "section"], "left")
             .withColumn("lines", F.coalesce("lines", F.lit(0))))
@@ -99,21 +98,3 @@ def latest_line_per_item(t):
     """WN14: latest sale line per item (ties by order, line, price)."""
     v = t.valid_lines.select("order_id", "item_id", "order_ts", "quantity", "line_number", "price")
     return latest_per(v, "item_id", "order_ts", ["order_id", "line_number", "price"])
-
-
-@register("rule_explanations", sql="""
-SELECT l_partkey AS item_id,
-       format('Customers who bought {} also bought {} (confidence {:.1f}%, lift {:.2f})',
-              'part ' || CAST(l_partkey AS VARCHAR), 'supplier ' || CAST(l_suppkey AS VARCHAR),
-              l_discount * 100, 1 + l_tax) AS explanation,
-       CASE WHEN l_tax - 0.04 >= 0 THEN 1 / (1 + exp(-(l_tax - 0.04) * 100))
-            ELSE exp((l_tax - 0.04) * 100) / (1 + exp((l_tax - 0.04) * 100)) END AS tax_sigmoid
-FROM lineitem""")
-def rule_explanations(t):
-    """SF6 templated explanation sentence and SF26 stable sigmoid, row-wise."""
-    li = t.raw("lineitem")
-    return li.select(F.col("l_partkey").alias("item_id"),
-                     X.explain_rule(F.concat(F.lit("part "), F.col("l_partkey").cast("string")),
-                                    F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")),
-                                    F.col("l_discount"), 1 + F.col("l_tax")).alias("explanation"),
-                     X.sigmoid((F.col("l_tax") - 0.04) * 100).alias("tax_sigmoid"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retail_spark.catalog import register
-from retail_spark.catalog.segments import BASE, NAMED, cte
+from retail_spark.catalog.segments import AUDIENCES, BASE, NAMED, cte
 from retail_spark.plans import customers as C
 from retail_spark.session import shared_path
 from retail_spark.sources import files as IO
@@ -97,18 +97,11 @@ def appended_line_flags(t):
     return t.spark.read.parquet(path).groupBy("section", "is_voided").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@register("audience_partitions", sql=cte(*BASE, NAMED) + """
-, q2 AS (SELECT quantile_cont(avg_basket_size, 0.75) AS b75, quantile_cont(weekend_order_rate, 0.75) AS w75 FROM named)
-SELECT customer_id, 'Large Basket' AS target_group FROM named, q2 WHERE avg_basket_size >= b75
-UNION ALL SELECT customer_id, 'Weekend' FROM named, q2 WHERE weekend_order_rate >= w75""")
+@register("audience_partitions", sql=cte(*BASE, NAMED, AUDIENCES) + "SELECT customer_id, target_group FROM long")
 def audience_partitions(t):
     """SNK4: one folder per target audience, read back with the partition column."""
     from retail_spark.catalog.segments import named_features
-    f = named_features(t)
-    q = f.agg(F.percentile("avg_basket_size", 0.75).alias("_b"), F.percentile("weekend_order_rate", 0.75).alias("_w"))
-    g = f.crossJoin(F.broadcast(q))
-    long = (g.filter(F.col("avg_basket_size") >= F.col("_b")).select("customer_id", F.lit("Large Basket").alias("target_group"))
-            .unionByName(g.filter(F.col("weekend_order_rate") >= F.col("_w"))
-                         .select("customer_id", F.lit("Weekend").alias("target_group"))))
+    from retail_spark.plans.customers import target_audiences
+    long = target_audiences(named_features(t)).select("customer_id", "target_group")
     path = IO.write_partitioned(long, shared_path(t.spark, "audiences"), "target_group")
     return t.spark.read.parquet(path).select("customer_id", "target_group")

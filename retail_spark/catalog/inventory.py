@@ -35,14 +35,14 @@ fc AS (SELECT item_id AS product_id, avg(price) AS avg_price, sum(quantity) / (S
        FROM valid_lines GROUP BY item_id)"""
 
 NEED = """
-need AS (SELECT r.ingredient_id, sum(fc.forecast * r.quantity_needed) AS need FROM fc JOIN recipe_v r USING (product_id)
+need AS (SELECT r.ingredient_id, sum(greatest(0, round_even(fc.forecast, 0)) * r.quantity_needed) AS need FROM fc JOIN recipe_v r USING (product_id)
          GROUP BY r.ingredient_id),
 sh AS (SELECT i.ingredient_id, i.ingredient_name, i.unit, i.current_stock, i.cost_per_unit, round(need, 1) AS need,
-              greatest(0.0, round(need, 1) - i.current_stock) AS shortage,
-              CASE WHEN greatest(0.0, round(need, 1) - i.current_stock) > 0.3 * round(need, 1) THEN 'CRITICAL'
-                   WHEN greatest(0.0, round(need, 1) - i.current_stock) > 0 THEN 'LOW'
+              greatest(0.0, round(round(need, 1) - i.current_stock, 1)) AS shortage,
+              CASE WHEN greatest(0.0, round(round(need, 1) - i.current_stock, 1)) > 0.3 * round(need, 1) THEN 'CRITICAL'
+                   WHEN greatest(0.0, round(round(need, 1) - i.current_stock, 1)) > 0 THEN 'LOW'
                    WHEN i.current_stock < 1.2 * round(need, 1) THEN 'WARNING' ELSE 'OK' END AS status,
-              greatest(0.0, round(need, 1) - i.current_stock) * i.cost_per_unit AS cost_impact
+              round(greatest(0.0, round(round(need, 1) - i.current_stock, 1)) * i.cost_per_unit, 2) AS cost_impact
        FROM need JOIN ingredients_v i USING (ingredient_id))"""
 
 
@@ -79,13 +79,14 @@ def shortage_priority(t):
 
 
 @register("top_ingredient_consumers", sql=cte(FC) + """
-, u AS (SELECT r.ingredient_id, r.product_id, fc.forecast * r.quantity_needed AS use, p.product_name
+, u AS (SELECT r.ingredient_id, r.product_id, round(greatest(0, round_even(fc.forecast, 0)) * r.quantity_needed, 1) AS use, p.product_name
         FROM fc JOIN recipe_v r USING (product_id) JOIN products_v p ON p.product_id = r.product_id),
 rk AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY use DESC, product_id) AS r FROM u)
-SELECT ingredient_id, string_agg(product_name, ', ' ORDER BY r) AS top_consumers FROM rk WHERE r <= 3 GROUP BY ingredient_id""")
+SELECT ingredient_id, string_agg(format('{} ({:.1f}{})', product_name, use, i.unit), ', ' ORDER BY r) AS top_consumers
+FROM rk JOIN ingredients_v i USING (ingredient_id) WHERE r <= 3 GROUP BY ingredient_id""")
 def top_ingredient_consumers(t):
-    """TK4: top-3 consuming products per ingredient as text."""
-    return INV.top_consumers(_fc(t), _recipe(t), t.products_v)
+    """TK4: top-3 consuming products per ingredient as text with amount and unit."""
+    return INV.top_consumers(_fc(t), _recipe(t), t.products_v, t.ingredients_v)
 
 
 @register("ingredient_usage_text", sql="""

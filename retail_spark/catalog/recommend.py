@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retail_spark.catalog import register
+from retail_spark.functions import exprs as X
 from retail_spark.catalog.segments import cte
 from retail_spark.plans import recommend as RC
 
@@ -164,6 +165,19 @@ def rules_summary(t):
     return RC.rules_summary(_rules(t))
 
 
+@register("rule_explanations", sql=cte(COUNTS, RULES) + """
+SELECT antecedent, consequent,
+       format('Customers who buy {} also buy {} ({:.0f}% confidence, {:.1f}x lift)',
+              array_to_string(antecedent, ', '), consequent, confidence * 100, lift) AS explanation,
+       CASE WHEN lift >= 1 THEN 1 / (1 + exp(-(lift - 1))) ELSE exp(lift - 1) / (1 + exp(lift - 1)) END AS lift_sigmoid
+FROM rules""")
+def rule_explanations(t):
+    """SF6 explanation sentence of each rule and SF26 stable sigmoid of its lift above one."""
+    return _rules(t).select("antecedent", "consequent",
+                            X.explain_rule(F.array_join("antecedent", ", "), "consequent", "confidence", "lift").alias("explanation"),
+                            X.sigmoid(F.col("lift") - 1).alias("lift_sigmoid"))
+
+
 @register("rule_recommendations", sql=cte(COUNTS, RULES, PRUNED, HIST, RULE_RECS) + "SELECT * FROM fp_recs WHERE rank <= 5")
 def rule_recommendations(t):
     """DP7: rule-based top-5 per customer (whole antecedent in history)."""

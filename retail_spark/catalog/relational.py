@@ -11,6 +11,7 @@ from retail_spark.catalog import register
 from retail_spark.functions import exprs as X
 from retail_spark.operators import relational as O
 from retail_spark.operators.ordered import global_row_number
+from retail_spark.sources.tables import has_status
 
 AS_OF = dt.datetime(2001, 8, 1)
 CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]   # p_type domain
@@ -21,14 +22,14 @@ CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]   # p_
 @register("paid_orders", sql="SELECT * FROM orders_v WHERE status = 'paid'")
 def paid_orders(t):
     """FIL1: equality filter on order status."""
-    return O.where_eq(t.orders_v, status="paid")
+    return t.orders_v.filter(has_status("paid"))
 
 
 @register("active_orders", sql="""
 SELECT * FROM orders_v WHERE status IN ('draft', 'in_progress', 'served')""")
 def active_orders(t):
     """FIL2: IN-list filter (open orders)."""
-    return O.where_in(t.orders_v, "status", ["draft", "in_progress", "served"])
+    return t.orders_v.filter(has_status("draft", "in_progress", "served"))
 
 
 @register("low_stock_flags", sql="""
@@ -64,7 +65,7 @@ def search_products(t):
 SELECT * FROM orders_v WHERE status = 'paid' AND cashier_id = '1-URGENT'""")
 def list_orders_filtered(t):
     """FIL6: optional conjunctive filters (table not given → not filtered)."""
-    return O.where_eq(t.orders_v, status="paid", table_id=None, cashier_id="1-URGENT")
+    return O.where_eq(t.orders_v.filter(has_status("paid")), table_id=None, cashier_id="1-URGENT")
 
 
 @register("visible_orders", sql="SELECT * FROM orders_v WHERE cashier_id = '3-MEDIUM'")
@@ -169,19 +170,18 @@ def paid_items(t):
     """JN1: order lines ⋈ paid orders (inner equi-join)."""
     li = t.raw("lineitem").select(F.col("l_orderkey").alias("order_id"),
                                   F.col("l_partkey").alias("item_id"), F.col("l_quantity").alias("quantity"))
-    o = O.where_eq(t.orders_v, status="paid").select("order_id", F.col("total_amount").alias("order_total"))
+    o = t.orders_v.filter(has_status("paid")).select("order_id", F.col("total_amount").alias("order_total"))
     return li.join(o, "order_id")
 
 
 @register("orders_with_customer", sql="""
 SELECT o.order_id, o.total_amount, coalesce(c.customer_name, 'Système') AS customer_name,
        coalesce(c.price_tier, 'unknown') AS price_tier
-FROM orders_v o LEFT JOIN (SELECT * FROM customers_v WHERE archetype <> 'BUILDING') c
+FROM orders_v o LEFT JOIN customers_v c
   ON o.customer_id = c.customer_id""")
 def orders_with_customer(t):
     """JN2: left dimension enrichment with defaults for unmatched rows."""
-    dim = t.customers_v.filter(F.col("archetype") != "BUILDING") \
-        .select("customer_id", "customer_name", "price_tier")
+    dim = t.customers_v.select("customer_id", "customer_name", "price_tier")
     return O.enrich(t.orders_v.select("order_id", "customer_id", "total_amount"), dim, "customer_id",
                     defaults={"customer_name": "Système", "price_tier": "unknown"}).drop("customer_id")
 
@@ -215,16 +215,15 @@ def customer_merge_chain(t):
 
 
 @register("profile_match", sql="""
-WITH p AS (SELECT customer_id, archetype FROM customers_v WHERE customer_id % 3 <> 0),
+WITH p AS (SELECT customer_id, archetype FROM customers_v),
 s AS (SELECT customer_id, sum(line_total) AS spend FROM valid_lines GROUP BY customer_id)
 SELECT coalesce(p.customer_id, s.customer_id) AS customer_id, p.archetype, s.spend,
        CASE WHEN p.customer_id IS NOT NULL AND s.customer_id IS NOT NULL THEN 'both'
             WHEN p.customer_id IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS profile_transaction_match
 FROM p FULL OUTER JOIN s ON p.customer_id = s.customer_id""")
 def profile_match(t):
-    """JN6: full outer merge of profiles and transactions with a match indicator
-    (profiles of every third customer are withheld so all three cases occur)."""
-    p = t.customers_v.filter(F.pmod("customer_id", F.lit(3)) != 0).select("customer_id", "archetype")
+    """JN6: full outer merge of profiles and transactions with a match indicator."""
+    p = t.customers_v.select("customer_id", "archetype")
     s = t.valid_lines.groupBy("customer_id").agg(F.sum("line_total").alias("spend"))
     return O.outer_indicator(p, s, "customer_id", "profile_transaction_match")
 
@@ -290,7 +289,7 @@ def unsold_products(t):
 SELECT DISTINCT customer_id, item_id FROM sale_lines WHERE status = 'paid'""")
 def customer_history(t):
     """SO5: distinct products each customer bought in paid orders."""
-    return t.sale_lines.filter(F.col("status") == "paid").select("customer_id", "item_id").distinct()
+    return t.sale_lines.filter(has_status("paid")).select("customer_id", "item_id").distinct()
 
 
 # -- sorts and limits --------------------------------------------------------

@@ -87,12 +87,12 @@ def dashboard_kpis(t):
 @register("category_counts", sql="""
 WITH cats AS (SELECT DISTINCT category FROM products_v)
 SELECT c.category, count(p.product_id) AS product_count
-FROM cats c LEFT JOIN (SELECT * FROM products_v WHERE price > 1500) p ON c.category = p.category
+FROM cats c LEFT JOIN products_v p ON c.category = p.category
 GROUP BY c.category""")
 def category_counts(t):
-    """AG5: products priced over 1500 per category, empty categories kept."""
+    """AG5: products per category, empty categories kept."""
     cats = t.products_v.select("category").distinct()
-    return R.category_counts(t.products_v.filter(F.col("price") > 1500), cats)
+    return R.category_counts(t.products_v, cats)
 
 
 @register("peak_hours", sql="""

@@ -332,18 +332,23 @@ def segment_kpis(t):
     return C.segment_kpis(features(t)[1])
 
 
-@register("targeting_summary", sql=cte(*BASE, NAMED) + """
-, q2 AS (SELECT quantile_cont(monetary, 0.75) AS m75, quantile_cont(frequency, 0.75) AS f75,
-               quantile_cont(recency, 0.75) AS r75, median(monetary) AS m50,
+AUDIENCES = """
+gapped AS (SELECT *, CAST(ceil(customer_tenure_days / 30.0) AS BIGINT) + 1 - frequency AS visit_gap FROM named),
+q2 AS (SELECT quantile_cont(monetary, 0.75) AS m75, quantile_cont(frequency, 0.75) AS f75,
+               quantile_cont(recency, 0.75) AS r75, median(monetary) AS m50, quantile_cont(visit_gap, 0.75) AS g75,
                quantile_cont(avg_discount_pct, 0.75) AS d75, quantile_cont(avg_basket_size, 0.75) AS b75,
-               quantile_cont(weekend_order_rate, 0.75) AS w75 FROM named),
+               quantile_cont(weekend_order_rate, 0.75) AS w75 FROM gapped),
 long AS (
-  SELECT 'VIP' AS target_group, monetary FROM named, q2 WHERE rfm_value_tier = 'High-Value' OR (monetary >= m75 AND frequency >= f75)
-  UNION ALL SELECT 'Churn Risk', monetary FROM named WHERE rfm_segment IN ('At Risk', 'Lost / Hibernating', 'Cannot Lose Them')
-  UNION ALL SELECT 'Win-Back', monetary FROM named, q2 WHERE recency >= r75 AND monetary >= m50
-  UNION ALL SELECT 'Discount-Sensitive', monetary FROM named, q2 WHERE avg_discount_pct >= d75 OR segment_name LIKE '%Discount%'
-  UNION ALL SELECT 'Large Basket', monetary FROM named, q2 WHERE avg_basket_size >= b75
-  UNION ALL SELECT 'Weekend', monetary FROM named, q2 WHERE weekend_order_rate >= w75)
+  SELECT customer_id, 'VIP' AS target_group, monetary FROM gapped, q2 WHERE rfm_value_tier = 'High-Value' OR (monetary >= m75 AND frequency >= f75)
+  UNION ALL SELECT customer_id, 'Churn Risk', monetary FROM gapped, q2
+    WHERE rfm_segment IN ('At Risk', 'Lost / Hibernating', 'Cannot Lose Them') OR (recency >= r75 AND visit_gap >= g75)
+  UNION ALL SELECT customer_id, 'Win-Back', monetary FROM gapped, q2 WHERE recency >= r75 AND monetary >= m50
+  UNION ALL SELECT customer_id, 'Discount-Sensitive', monetary FROM gapped, q2 WHERE avg_discount_pct >= d75 OR segment_name LIKE '%Discount%'
+  UNION ALL SELECT customer_id, 'Large Basket', monetary FROM gapped, q2 WHERE avg_basket_size >= b75
+  UNION ALL SELECT customer_id, 'Weekend', monetary FROM gapped, q2 WHERE weekend_order_rate >= w75)"""
+
+
+@register("targeting_summary", sql=cte(*BASE, NAMED, AUDIENCES) + """
 SELECT target_group, count(*) AS customers, sum(monetary) AS revenue, sum(monetary) / count(*) AS revenue_per_customer
 FROM long GROUP BY target_group""")
 def targeting_summary(t):
@@ -378,7 +383,7 @@ def customer_engagement(t):
     """SF18: visit gap / ratio / under-engaged flag; expected visits = one
     per started 30 days of tenure, plus the first."""
     r = C.rfm_base(C.order_level(t.valid_lines))
-    expected = (F.ceil(F.col("customer_tenure_days") / 30.0) + 1).alias("expected_visits")
+    expected = C.expected_visits().alias("expected_visits")
     r = r.select("customer_id", expected, F.col("frequency").alias("actual_visits"))
     e = X.engagement("expected_visits", "actual_visits")
     return r.select("*", *[v.alias(k) for k, v in e.items()])

@@ -121,13 +121,13 @@ f3 AS (SELECT section, week_start, quantity, split, lag_1w, lag_2w, lag_3w, lag_
 feats AS (SELECT * REPLACE (coalesce(total_lag_1w, (SELECT median(total_lag_1w) FROM f3)) AS total_lag_1w) FROM f3)"""
 
 PREDS = """
-hist AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY week_start DESC) AS back FROM weekly WHERE split <> 'test'),
-stats AS (SELECT section, avg(quantity) AS pred_mean, max_by(quantity, week_start) AS pred_last FROM hist GROUP BY section),
-test AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY week_start) AS h FROM weekly WHERE split = 'test'),
+hist AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY week_start DESC) AS back FROM weekly WHERE split = 'train'),
+stats AS (SELECT section, avg(quantity) AS pred_mean, max_by(quantity, week_start) AS pred_last, count(*) AS weeks FROM hist GROUP BY section),
+test AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY week_start) AS h FROM weekly WHERE split <> 'train'),
 fc AS (SELECT t.*, s.pred_mean, s.pred_last, h4.quantity AS pred_seasonal_4, h52.quantity AS pred_seasonal_52
        FROM test t LEFT JOIN stats s ON t.section = s.section
-       LEFT JOIN hist h4 ON t.section = h4.section AND h4.back = 4 - ((t.h - 1) % 4)
-       LEFT JOIN hist h52 ON t.section = h52.section AND h52.back = 52 - ((t.h - 1) % 52)),
+       LEFT JOIN hist h4 ON t.section = h4.section AND h4.back = least(4, s.weeks) - ((t.h - 1) % least(4, s.weeks))
+       LEFT JOIN hist h52 ON t.section = h52.section AND h52.back = least(52, s.weeks) - ((t.h - 1) % least(52, s.weeks))),
 preds AS (
   SELECT section, week_start, quantity AS actual, 'mean' AS model, pred_mean AS predicted FROM fc
   UNION ALL SELECT section, week_start, quantity, 'last', pred_last FROM fc
@@ -139,8 +139,8 @@ def _metrics(by):
     keys = ", ".join(by)
     return f"""SELECT {keys}, count(*) AS n, avg(abs(actual - predicted)) AS mae,
        sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse,
-       avg(CASE WHEN actual > 0 THEN abs(actual - predicted) / actual END) * 100 AS mape,
-       avg(CASE WHEN (abs(actual) + abs(predicted)) / 2 > 0 THEN abs(actual - predicted) / ((abs(actual) + abs(predicted)) / 2) END) * 100 AS smape,
+       avg(CASE WHEN actual > 0 THEN abs(actual - predicted) / actual END) AS mape,
+       avg(CASE WHEN (abs(actual) + abs(predicted)) / 2 > 0 THEN abs(actual - predicted) / ((abs(actual) + abs(predicted)) / 2) END) AS smape,
        sum(abs(actual - predicted)) / nullif(sum(actual), 0) AS wape, avg(actual - predicted) AS bias,
        CASE WHEN sum(actual * actual) - sum(actual) * sum(actual) / count(*) > 0
             THEN 1 - sum((actual - predicted) * (actual - predicted)) / (sum(actual * actual) - sum(actual) * sum(actual) / count(*))
@@ -406,14 +406,14 @@ def chain_acf(t):
 @register("section_acf", sql=cte(DAILY) + """
 , c AS (SELECT section, order_date, quantity - avg(quantity) OVER (PARTITION BY section) AS x FROM daily),
 den AS (SELECT section, sum(x * x) AS d FROM c GROUP BY section),
-lags AS (SELECT unnest(range(0, 8)) AS lag)
+lags AS (SELECT unnest(range(0, 31)) AS lag)
 SELECT a.section, lag, sum(a.x * b.x) / max(den.d) AS acf
 FROM c a CROSS JOIN lags JOIN c b ON b.section = a.section AND b.order_date = a.order_date - CAST(lag AS INTEGER)
 JOIN den ON den.section = a.section
 GROUP BY a.section, lag""")
 def section_acf(t):
-    """WN10: autocorrelation by section at lags 0..7."""
-    return TS.acf(daily(t), 7, "section")
+    """WN10: autocorrelation by section at lags 0..30."""
+    return TS.acf(daily(t), 30, "section")
 
 
 @register("chain_decomposition", sql=cte(DAILY, CHAIN) + """
@@ -457,7 +457,7 @@ def event_spikes(t):
 
 @register("naive_forecasts", sql=cte(DAILY, WEEKLY, PREDS) + "SELECT * FROM fc")
 def naive_forecasts(t):
-    """DP32: mean, last value and seasonal naive (4 and 52 weeks tiled) on the test split."""
+    """DP32: mean, last value and seasonal naive (4 and 52 weeks tiled) from train weeks, for validation and test weeks."""
     return TS.naive_forecasts(weekly(t), "section")
 
 

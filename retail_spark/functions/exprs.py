@@ -316,9 +316,8 @@ def sigmoid(x) -> Column:
 
 def explain_rule(antecedent, consequent, confidence, lift) -> Column:
     """Templated recommendation explanation (SF6)."""
-    return F.format_string("Customers who bought %s also bought %s (confidence %.1f%%, lift %.2f)",
-                           col_(antecedent), col_(consequent),
-                           col_(confidence) * 100, col_(lift))
+    return F.format_string("Customers who buy %s also buy %s (%.0f%% confidence, %.1fx lift)",
+                           col_(antecedent), col_(consequent), F.rint(col_(confidence) * 100), F.bround(col_(lift), 1))
 
 
 def json_field(c, key: str, kind: str = "bigint") -> Column:

@@ -17,7 +17,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retail_spark.operators.ordered import global_row_number
+from retail_spark.operators.ordered import exact_quantiles, global_row_number
 
 # ---------------------------------------------------------------------------
 # Filters (FIL1–FIL10)
@@ -56,7 +56,7 @@ def between_dates(df: DataFrame, c: str, lo, hi) -> DataFrame:
 
 def above_quantile(df: DataFrame, c: str, q: float) -> DataFrame:
     """Rows with ``c`` at or above its exact linear ``q`` quantile (FIL10)."""
-    thr = df.agg(F.percentile(c, q).alias("_thr"))
+    thr = exact_quantiles(df, {"_thr": (c, q)})
     return df.crossJoin(F.broadcast(thr)).filter(F.col(c) >= F.col("_thr")).drop("_thr")
 
 
@@ -136,9 +136,10 @@ def dense_grid(df: DataFrame, key: str, day: str, value: str, fill=0.0,
 def ingredient_need(forecast: DataFrame, recipe: DataFrame, ingredients: DataFrame,
                     qty: str = "forecast") -> DataFrame:
     """Bill-of-materials explosion: Σ forecast × quantity needed per ingredient (JN13)."""
+    units = F.greatest(F.lit(0.0), F.rint(qty))      # an item's forecast is a number of whole servings
     need = (forecast.join(recipe, "product_id")
             .groupBy("ingredient_id")
-            .agg(F.sum(F.col(qty) * F.col("quantity_needed")).alias("need")))
+            .agg(F.sum(units * F.col("quantity_needed")).alias("need")))
     return need.join(ingredients, "ingredient_id")
 
 
@@ -183,11 +184,11 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, std, min, exact quartiles, max per column, long form (AG21)."""
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     long = df.select(F.expr(f"stack({len(cols)}, {pairs}) AS (column_name, value)"))
-    return long.groupBy("column_name").agg(
+    plain = long.groupBy("column_name").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.percentile("value", 0.25).alias("q25"), F.percentile("value", 0.5).alias("q50"),
-        F.percentile("value", 0.75).alias("q75"), F.max("value").alias("max"))
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = exact_quantiles(long, {"q25": ("value", 0.25), "q50": ("value", 0.5), "q75": ("value", 0.75)}, ["column_name"])
+    return plain.join(q, "column_name", "left").select("column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def feature_corr(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:

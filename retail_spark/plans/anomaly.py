@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_spark.functions import exprs as X
-from retail_spark.operators.ordered import bucketed_row_number, global_row_number, global_running_sum
+from retail_spark.operators.ordered import exact_quantile_list, exact_quantiles, bucketed_row_number, global_row_number, global_running_sum
 from retail_spark.session import cut_lineage
 
 # Fixed values of the reference rules.
@@ -47,9 +47,9 @@ def _i(c: Column) -> Column:
 
 def item_price_stats(lines: DataFrame) -> DataFrame:
     """Median, mean and sample std of price per item; one-row std → 0 (AG9)."""
-    return lines.groupBy("item_id").agg(
-        F.median("price").alias("item_median_price"), F.avg("price").alias("item_mean_price"),
-        F.coalesce(F.stddev_samp("price"), F.lit(0.0)).alias("item_price_std"))
+    st = lines.groupBy("item_id").agg(
+        F.avg("price").alias("item_mean_price"), F.coalesce(F.stddev_samp("price"), F.lit(0.0)).alias("item_price_std"))
+    return exact_quantiles(lines, {"item_median_price": ("price", 0.5)}, ["item_id"]).join(st, "item_id")
 
 
 def item_demand_stats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -182,7 +182,7 @@ def model_frame(lines: DataFrame, labels: DataFrame, label_lines: DataFrame) ->
 def rule_score(df: DataFrame) -> DataFrame:
     """Weighted rule score clipped to [0, 1] with reasons (DP17).  The basket
     threshold is the exact q99 of the train split."""
-    q = df.filter(F.col("split") == "train").agg(F.percentile("basket_size", 0.99).alias("_b99"))
+    q = exact_quantiles(df.filter(F.col("split") == "train"), {"_b99": ("basket_size", 0.99)})
     d = df.crossJoin(F.broadcast(q))
     c = F.col
     conds = {
@@ -209,9 +209,9 @@ def robust_z(df: DataFrame, feats: Sequence[str]) -> DataFrame:
     """|x − median| / (1.4826 · MAD) per feature from train normal rows; row
     score 0.7 · p99 + 0.3 · max across the features (DP18)."""
     fit = _fit_rows(df)
-    med = fit.agg(*[F.median(f).alias(f"_med_{f}") for f in feats])
-    mad = (fit.crossJoin(F.broadcast(med))
-           .agg(*[F.median(F.abs(F.col(f) - F.col(f"_med_{f}"))).alias(f"_mad_{f}") for f in feats]))
+    med = cut_lineage(exact_quantiles(fit, {f"_med_{f}": (f, 0.5) for f in feats}))          # one row
+    off = fit.crossJoin(F.broadcast(med)).select(*[F.abs(F.col(f) - F.col(f"_med_{f}")).alias(f) for f in feats])
+    mad = exact_quantiles(off, {f"_mad_{f}": (f, 0.5) for f in feats})
     d = df.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(mad))
     zs = [F.abs((F.col(f) - F.col(f"_med_{f}")) /
                 (MAD_SCALE * F.greatest(F.col(f"_mad_{f}"), F.lit(1e-6)))) for f in feats]
@@ -267,7 +267,7 @@ def threshold_curve(df: DataFrame, score: str, label: str = "is_anomaly") -> Dat
     (number of thresholds ≤ score); counts per bucket are suffix-summed over
     ≤ 501 rows — no row × threshold product is formed."""
     fr = curve_fractions()
-    ths = df.agg(F.array_distinct(F.sort_array(F.percentile(score, fr))).alias("ths"))
+    ths = cut_lineage(exact_quantile_list(df, score, fr, "q").select(F.array_distinct(F.sort_array("q")).alias("ths")))   # one row
     d = df.select(score, label).crossJoin(F.broadcast(ths))
     b = d.select(F.size(F.filter("ths", lambda t: t <= F.col(score))).alias("bucket"), label)
     per = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_p"))
@@ -339,8 +339,9 @@ def evaluate(df: DataFrame, score: str, threshold: float | Column, label: str =
            .groupBy("_tp_all", "_n_all").agg(F.sum(c("_gp") * c("_avg_rank")).alias("_rs"))
            .select(F.when((P > 0) & (N - P > 0), (c("_rs") - P * (P + 1) / 2) / (P * (N - P))).alias("roc_auc")))
     out = conf.crossJoin(ap).crossJoin(auc)
+    best = cut_lineage(df.orderBy(F.desc(score), *[F.desc(t) for t in tiebreak]).limit(max(ks)))   # max(ks) rows, sorted once
     for k in ks:
-        top = (df.orderBy(F.desc(score), *[F.desc(t) for t in tiebreak]).limit(k)
+        top = (best.orderBy(F.desc(score), *[F.desc(t) for t in tiebreak]).limit(k)
                .agg(F.sum(label).alias(f"anomalies_found_at_{k}"), F.count(F.lit(1)).alias(f"_k{k}")))
         out = out.crossJoin(top)
         out = (out.withColumn(f"precision_at_{k}", c(f"anomalies_found_at_{k}") / c(f"_k{k}"))
@@ -358,7 +359,7 @@ def risk_levels(df: DataFrame, score: str, decision: float | Column) -> DataFram
     max(q75 of flagged scores, decision) clipped to ≤ .999; else ALERTE (DP24)."""
     dec = decision if isinstance(decision, Column) else F.lit(float(decision))
     flagged = df.filter(F.col(score) >= dec)
-    q = flagged.agg(F.percentile(score, 0.75).alias("_q75"))
+    q = exact_quantiles(flagged, {"_q75": (score, 0.75)})
     d = df.crossJoin(F.broadcast(q))
     high = F.when(F.col("_q75").isNull(), F.least(F.lit(1.0), dec + 0.20)).otherwise(F.greatest(F.col("_q75"), dec))
     high = F.least(F.greatest(high, dec), F.lit(0.999))
@@ -372,7 +373,7 @@ def risk_levels(df: DataFrame, score: str, decision: float | Column) -> DataFram
 def alert_reasons(df: DataFrame) -> DataFrame:
     """Readable reasons in fixed order; fallbacks for model-only and normal
     rows (DP25).  Basket and amount thresholds are the exact q99 over all orders."""
-    q = df.agg(F.percentile("basket_size", 0.99).alias("_b99"), F.percentile("total_amount", 0.99).alias("_a99"))
+    q = exact_quantiles(df, {"_b99": ("basket_size", 0.99), "_a99": ("total_amount", 0.99)})
     d = df.crossJoin(F.broadcast(q))
     c = F.col
     parts = F.array_compact(F.array(

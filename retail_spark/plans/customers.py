@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_spark.functions import exprs as X
-from retail_spark.operators.ordered import bucketed_row_number, global_row_number, global_running_sum
+from retail_spark.operators.ordered import exact_quantiles, global_row_number, global_running_sum
 from retail_spark.operators.windows import preferred
 from retail_spark.session import cut_lineage
 
@@ -67,20 +67,15 @@ def rfm_base(orders: DataFrame) -> DataFrame:
                     X.safe_div("monetary", "frequency").alias("monetary_per_order")))
 
 
-def quintile(df: DataFrame, value: str, key: str, name: str, reverse: bool = False,
-             discrete: bool = False) -> DataFrame:
+def quintile(df: DataFrame, value: str, key: str, name: str, reverse: bool = False) -> DataFrame:
     """pandas ``qcut(rank(method='first'), 5)`` score 1..5 (WN13).
 
     Rank k of n (ties by ``key``) scores ``max(1, ceil((k−1)·5/(n−1)))``;
     ``reverse`` ranks the largest value first.  Fewer than 5 rows → all 3.
     """
     order = [F.desc(value) if reverse else F.asc(value), F.asc(key)]
-    if discrete:
-        # small integer domain (days, order counts): per-value offsets + rank
-        # inside the value; no global sort
-        ranked = bucketed_row_number(df, -F.col(value) if reverse else F.col(value), [F.asc(key)], "_k")
-    else:
-        ranked = global_row_number(df, order, "_k")
+    # a range sort on (value, key): customers who share a value spread over several ranges
+    ranked = global_row_number(df, order, "_k")
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     score = F.when(F.col("_n") < 5, F.lit(3)).otherwise(
         F.greatest(F.lit(1), F.ceil((F.col("_k") - 1) * 5.0 / (F.col("_n") - 1))))
@@ -91,8 +86,8 @@ def rfm_scores(rfm: DataFrame) -> DataFrame:
     """R (reversed recency), F and M quintiles, code, score, segment, tier
     (WN13, SF5, SF19, SF20)."""
     rfm = cut_lineage(rfm)   # one row per customer, read by all three rankings
-    s = quintile(rfm, "recency", "customer_id", "R_score", reverse=True, discrete=True)
-    s = quintile(s, "frequency", "customer_id", "F_score", discrete=True)
+    s = quintile(rfm, "recency", "customer_id", "R_score", reverse=True)
+    s = quintile(s, "frequency", "customer_id", "F_score")
     s = quintile(s, "monetary", "customer_id", "M_score")
     score = F.col("R_score") + F.col("F_score") + F.col("M_score")
     return (s.withColumn("rfm_score", score)
@@ -176,8 +171,7 @@ def recommend_actions(features: DataFrame) -> DataFrame:
             .agg(*[PROFILE_AGGS[m]().alias(m) for m in
                    ["customers", "total_revenue", "avg_monetary", "avg_frequency", "avg_recency",
                     "avg_order_value", "avg_basket_size", "avg_discount_pct"]]))
-    th = features.agg(F.median("recency").alias("_med_rec"),
-                      F.percentile("avg_basket_size", 0.75).alias("_q75_basket"))
+    th = exact_quantiles(features, {"_med_rec": ("recency", 0.5), "_q75_basket": ("avg_basket_size", 0.75)})
     s = F.lower("hybrid_segment")
     c = F.col
     action = (F.when(s.contains("high-value") & (c("avg_recency") <= c("_med_rec")), ACTIONS["vip"])
@@ -230,27 +224,34 @@ def segment_kpis(features: DataFrame) -> DataFrame:
         F.count_if(F.col("rfm_value_tier") == "Low-Value").alias("low_value_customers"))
 
 
-def targeting_summary(features: DataFrame) -> DataFrame:
-    """Six target audiences (AG38): size, revenue, revenue per head.  The
-    audience flags are stacked into rows and grouped, one pass."""
-    q = features.agg(F.percentile("monetary", 0.75).alias("_m75"), F.percentile("frequency", 0.75).alias("_f75"),
-                     F.percentile("recency", 0.75).alias("_r75"), F.median("monetary").alias("_m50"),
-                     F.percentile("avg_discount_pct", 0.75).alias("_d75"),
-                     F.percentile("avg_basket_size", 0.75).alias("_b75"),
-                     F.percentile("weekend_order_rate", 0.75).alias("_w75"))
+def expected_visits() -> Column:
+    """One visit for each started 30 days of tenure, plus the first (stands for the profile's expectation)."""
+    return F.ceil(F.col("customer_tenure_days") / 30.0) + 1
+
+
+def target_audiences(features: DataFrame) -> DataFrame:
+    """(customer_id, monetary, target_group) of the six audiences (AG38, SNK4); a customer may be in several."""
     c = F.col
-    f = features.crossJoin(F.broadcast(q))
+    f = cut_lineage(features.withColumn("visit_gap", expected_visits() - c("frequency")))
+    q = exact_quantiles(f, {"_m75": ("monetary", 0.75), "_f75": ("frequency", 0.75), "_r75": ("recency", 0.75),
+                            "_m50": ("monetary", 0.5), "_d75": ("avg_discount_pct", 0.75), "_b75": ("avg_basket_size", 0.75),
+                            "_w75": ("weekend_order_rate", 0.75), "_g75": ("visit_gap", 0.75)})
+    f = f.crossJoin(F.broadcast(q))       # one row
     flags = {
         "VIP": (c("rfm_value_tier") == "High-Value") | ((c("monetary") >= c("_m75")) & (c("frequency") >= c("_f75"))),
-        "Churn Risk": c("rfm_segment").isin(*CHURN_SEGMENTS),
+        "Churn Risk": c("rfm_segment").isin(*CHURN_SEGMENTS) | ((c("recency") >= c("_r75")) & (c("visit_gap") >= c("_g75"))),
         "Win-Back": (c("recency") >= c("_r75")) & (c("monetary") >= c("_m50")),
         "Discount-Sensitive": (c("avg_discount_pct") >= c("_d75")) | c("segment_name").contains("Discount"),
         "Large Basket": c("avg_basket_size") >= c("_b75"),
         "Weekend": c("weekend_order_rate") >= c("_w75"),
     }
     arr = F.array(*[F.when(cond, F.lit(k)) for k, cond in flags.items()])
-    long = f.select("customer_id", "monetary", F.explode(F.array_compact(arr)).alias("target_group"))
-    return (long.groupBy("target_group")
+    return f.select("customer_id", "monetary", F.explode(F.array_compact(arr)).alias("target_group"))
+
+
+def targeting_summary(features: DataFrame) -> DataFrame:
+    """Size, revenue and revenue per head of the six target audiences (AG38)."""
+    return (target_audiences(features).groupBy("target_group")
             .agg(F.count(F.lit(1)).alias("customers"), F.sum("monetary").alias("revenue"))
             .withColumn("revenue_per_customer", F.col("revenue") / F.col("customers")))
 
@@ -270,12 +271,6 @@ def rfm_by_profile(features: DataFrame, by: str) -> DataFrame:
         F.avg("avg_basket_size").alias("avg_basket_size"))
 
 
-def share_by(df: DataFrame, key: str, c: str, values: list, v: Column | None = None,
-             prefix: str = "share_") -> DataFrame:
-    from retail_spark.operators.relational import share_pivot
-    return share_pivot(df, key, c, v, values, prefix)
-
-
 def segment_lookup(features: DataFrame, customer_id: int) -> DataFrame:
     """One customer's segment row with the size of their segment (DP30)."""
     sizes = features.groupBy("rfm_segment").agg(F.count(F.lit(1)).alias("segment_customers"))
@@ -283,8 +278,3 @@ def segment_lookup(features: DataFrame, customer_id: int) -> DataFrame:
             .join(sizes, "rfm_segment")
             .select("customer_id", "rfm_segment", "rfm_value_tier", "rfm_code", "recency", "frequency",
                     "monetary", "segment_customers"))
-
-
-def with_share_window(df: DataFrame, value: str, name: str) -> DataFrame:
-    """x / Σx over a table bounded by construction (segments)."""
-    return df.withColumn(name, F.col(value) * 100.0 / F.sum(value).over(Window.partitionBy()))

@@ -35,15 +35,15 @@ def stock_status(forecast: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def ingredient_shortages(forecast: DataFrame, recipe: DataFrame, ingredients: DataFrame) -> DataFrame:
-    """Recipe explosion (JN13) with need rounded to 0.1, shortage, status and
-    cost impact (SF23)."""
+    """Recipe explosion (JN13) with need and shortage rounded to 0.1, status and
+    cost impact rounded to 0.01 (SF23)."""
     need = ingredient_need(forecast, recipe, ingredients)
     n = F.round("need", 1)
-    short = F.greatest(F.lit(0.0), n - F.col("current_stock"))
+    short = F.greatest(F.lit(0.0), F.round(n - F.col("current_stock"), 1))
     return need.select("ingredient_id", "ingredient_name", "unit", "current_stock", "cost_per_unit",
                        n.alias("need"), short.alias("shortage"),
                        X.shortage_status(n, F.col("current_stock")).alias("status"),
-                       (short * F.col("cost_per_unit")).alias("cost_impact"))
+                       F.round(short * F.col("cost_per_unit"), 2).alias("cost_impact"))
 
 
 def severity_sorted(shortages: DataFrame) -> DataFrame:
@@ -51,26 +51,31 @@ def severity_sorted(shortages: DataFrame) -> DataFrame:
     return shortages.orderBy(X.severity_rank("status"), F.desc("shortage"), F.asc("ingredient_id"))
 
 
-def top_consumers(forecast: DataFrame, recipe: DataFrame, products: DataFrame, k: int = 3) -> DataFrame:
-    """Top-k products by forecast use of each ingredient, as text (TK4)."""
+def _first_k(df: DataFrame, key: str, order: dict[str, bool], k: int, salts: int = 32) -> DataFrame:
+    """The first k rows of each key in ``order`` (column → descending): k of each of ``salts`` parts of a key, then k of those."""
+    by = [F.desc(c) if down else F.asc(c) for c, down in order.items()]
+    part = F.pmod(F.xxhash64(*order), F.lit(salts))
+    some = df.withColumn("_s", part).withColumn("_r", F.row_number().over(Window.partitionBy(key, "_s").orderBy(*by))).filter(F.col("_r") <= k)
+    return some.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*by))).filter(F.col("_r") <= k).drop("_s")
+
+
+def top_consumers(forecast: DataFrame, recipe: DataFrame, products: DataFrame, ingredients: DataFrame, k: int = 3) -> DataFrame:
+    """Top-k products by forecast use of each ingredient, as text with amount and unit (TK4)."""
     use = (forecast.join(recipe, "product_id")
-           .select("ingredient_id", "product_id", (F.col("forecast") * F.col("quantity_needed")).alias("use"))
+           .select("ingredient_id", "product_id", F.round(F.greatest(F.lit(0.0), F.rint("forecast")) * F.col("quantity_needed"), 1).alias("use"))
            .join(products.select("product_id", "product_name"), "product_id"))
-    w = Window.partitionBy("ingredient_id").orderBy(F.desc("use"), F.asc("product_id"))
-    top = use.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    top = _first_k(use, "ingredient_id", {"use": True, "product_id": False}, k).join(ingredients.select("ingredient_id", "unit"), "ingredient_id")
+    text = F.format_string("%s (%.1f%s)", "product_name", "use", "unit")
     return top.groupBy("ingredient_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "product_name"))),
-                                 lambda s: s["product_name"]), ", ").alias("top_consumers"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", text.alias("t")))), lambda s: s["t"]), ", ").alias("top_consumers"))
 
 
 def used_in(recipe: DataFrame, products: DataFrame, k: int = 3) -> DataFrame:
     """'a, b, c and n others' usage text per ingredient (AG47)."""
     r = recipe.join(products.select("product_id", "product_name"), "product_id")
-    w = Window.partitionBy("ingredient_id").orderBy("product_name", "product_id")
-    r = r.withColumn("_r", F.row_number().over(w))
-    g = r.groupBy("ingredient_id").agg(
-        F.count(F.lit(1)).alias("n_products"),
-        F.sort_array(F.collect_list(F.when(F.col("_r") <= k, F.struct("_r", "product_name")))).alias("_first"))
+    first = _first_k(r, "ingredient_id", {"product_name": False, "product_id": False}, k)
+    g = (r.groupBy("ingredient_id").agg(F.count(F.lit(1)).alias("n_products"))
+         .join(first.groupBy("ingredient_id").agg(F.sort_array(F.collect_list(F.struct("_r", "product_name"))).alias("_first")), "ingredient_id"))
     names = F.array_join(F.transform("_first", lambda s: s["product_name"]), ", ")
     return g.select("ingredient_id", "n_products",
                     F.when(F.col("n_products") > k,

@@ -14,6 +14,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retail_spark.sources.tables import has_status
 from retail_spark.functions.exprs import wall_clock
 
 # Fixed values of the reference dashboard.
@@ -145,5 +146,5 @@ def transactions(lines: DataFrame, orders: DataFrame, tax_rate: float = TAX_RATE
 def open_age_minutes(orders: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Whole minutes each open order has been open, never negative (AG46)."""
     mins = F.floor(F.timestamp_diff("SECOND", F.col("created_at"), wall_clock(as_of)) / 60)
-    return (orders.filter(F.col("status").isin(*ACTIVE_STATUSES))
+    return (orders.filter(has_status(*ACTIVE_STATUSES))
             .select("order_id", "table_id", F.greatest(F.lit(0), mins).cast("bigint").alias("age_minutes")))

@@ -333,22 +333,24 @@ def spike(series: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def naive_forecasts(weekly: DataFrame, key: str) -> DataFrame:
-    """Predictions on the test split from history (train+val): mean, last
-    value, seasonal naive over the last 4 and 52 weeks tiled (DP32)."""
-    hist = weekly.filter(F.col("split") != "test")
-    test = weekly.filter(F.col("split") == "test")
+    """Predictions for validation and test weeks from the training weeks: mean,
+    last value, seasonal naive over the last 4 and 52 weeks tiled (DP32)."""
+    hist = weekly.filter(F.col("split") == "train")
+    test = weekly.filter(F.col("split") != "train")
     wd = Window.partitionBy(key).orderBy(F.desc("week_start"))
-    h = hist.withColumn("_back", F.row_number().over(wd))        # 1 = last history week
+    h = hist.withColumn("_back", F.row_number().over(wd))        # 1 = last training week
+    weeks = h.groupBy(key).agg(F.count(F.lit(1)).alias("_weeks"))
     stats = h.groupBy(key).agg(F.avg("quantity").alias("pred_mean"),
                                F.max_by("quantity", "week_start").alias("pred_last"))
     t = test.withColumn("h", F.row_number().over(Window.partitionBy(key).orderBy("week_start")))
-    out = t.join(stats, key, "left")
+    out = t.join(stats, key, "left").join(weeks, key, "left")
     for m in (4, 52):
-        # horizon h uses the history value m − pmod(h − 1, m) weeks back
+        # horizon h uses the value m − pmod(h − 1, m) weeks back; shorter histories are tiled whole
+        span = F.least(F.lit(m), F.col("_weeks"))
         back = h.select(key, F.col("_back").alias(f"_b{m}"), F.col("quantity").alias(f"pred_seasonal_{m}"))
-        out = (out.withColumn(f"_b{m}", F.lit(m) - F.pmod(F.col("h") - 1, F.lit(m)))
+        out = (out.withColumn(f"_b{m}", (span - F.pmod(F.col("h") - 1, span)).cast("int"))
                .join(back, [key, f"_b{m}"], "left").drop(f"_b{m}"))
-    return out
+    return out.drop("_weeks")
 
 
 def long_predictions(fc: DataFrame, key: str, models: Sequence[str]) -> DataFrame:
@@ -368,8 +370,8 @@ def forecast_metrics(preds: DataFrame, by: Sequence[str], scale: DataFrame | Non
     den = (F.abs(a) + F.abs(p)) / 2
     g = preds.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(ae).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        (F.avg(F.when(a > 0, ae / a)) * 100).alias("mape"),
-        (F.avg(F.when(den > 0, ae / den)) * 100).alias("smape"),
+        F.avg(F.when(a > 0, ae / a)).alias("mape"),
+        F.avg(F.when(den > 0, ae / den)).alias("smape"),
         F.try_divide(F.sum(ae), F.sum(a)).alias("wape"), F.avg(e).alias("bias"),
         F.sum(e * e).alias("_ssr"), (F.sum(a * a) - F.sum(a) * F.sum(a) / F.count(F.lit(1))).alias("_sst"))
     g = g.withColumn("r2", F.when(F.col("_sst") > 0, 1 - F.col("_ssr") / F.col("_sst")).otherwise(0.0)) \

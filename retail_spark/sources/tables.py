@@ -43,6 +43,14 @@ ANOMALY_MIN_DISCOUNT = 0.10
 ANOMALY_MIN_QUANTITY = 45.0
 
 
+CODE_BY_STATUS = {v: k for k, v in STATUS_BY_CODE.items()}
+
+
+def has_status(*labels: str) -> Column:
+    """Status test on the stored code, so that it reaches the scan (labels without a code match nothing)."""
+    return F.col("status_code").isin([CODE_BY_STATUS[s] for s in labels if s in CODE_BY_STATUS])
+
+
 def status_of(code: Column) -> Column:
     return (F.when(code == "F", "paid").when(code == "O", "in_progress")
             .when(code == "P", "draft"))
