@@ -13,6 +13,7 @@ from retail_spark.catalog import anomaly as CA
 from retail_spark.catalog import recommend as CR
 from retail_spark.catalog import timeseries as CT
 from retail_spark.catalog.segments import features
+from retail_spark.functions import exprs as X
 from retail_spark.operators.windows import latest_per
 from retail_spark.plans import anomaly as A
 from retail_spark.plans import customers as C
@@ -66,8 +67,7 @@ def ml_k_sweep(t):
 def ml_gmm_sweep(t):
     """ML4: Gaussian mixtures k = 1..5 with log-likelihood, AIC, BIC."""
     x = _seg_vectors(t)
-    small = VectorAssembler(inputCols=["recency", "frequency", "monetary"], outputCol="rfm_vec").transform(x)
-    return M.gmm_sweep(small, col="rfm_vec")
+    return M.gmm_sweep(x)
 
 
 @register("ml_pca_projection")
@@ -107,33 +107,64 @@ def _fm_data(t):
     idx = RC.item_index(lines.select(F.col("section").alias("item")))
     pos = (lines.select("order_id", "customer_id", F.col("section").alias("item"), "order_ts").distinct()
            .join(F.broadcast(idx), "item"))
-    neg = M.negatives(pos, idx, 2).join(pos.select("order_id", "customer_id", "order_ts").distinct(), "order_id")
+    neg = M.negatives(pos, idx.count()).join(pos.select("order_id", "customer_id", "order_ts").distinct(), "order_id")
     data = (pos.select("order_id", "customer_id", "item_idx", "order_ts", F.lit(1.0).alias("label"))
             .unionByName(neg.select("order_id", "customer_id", "item_idx", "order_ts", F.lit(0.0).alias("label"))))
-    data = data.withColumn("weekday", F.weekday("order_ts").cast("string")) \
-        .withColumn("customer", F.col("customer_id").cast("string")).withColumn("itm", F.col("item_idx").cast("string"))
-    return data, idx
+    return _context(data), idx
+
+
+def _context(data):
+    """Weekday, meal period and month beside customer and item, all as hashable text."""
+    return data.select("*", F.weekday("order_ts").cast("string").alias("weekday"), X.meal_period(F.hour("order_ts"), "training").alias("meal"),
+                       F.month("order_ts").cast("string").alias("month"), F.col("customer_id").cast("string").alias("customer"),
+                       F.col("item_idx").cast("string").alias("itm"))
+
+
+# the four context configurations
+FM_CONFIGS = {"base": [], "time": ["meal"], "calendar": ["weekday", "month"], "full": ["meal", "weekday", "month"]}
 
 
 @register("ml_negative_samples")
 def ml_negative_samples(t):
-    """JN12: two hash-chosen items per order that the order does not contain."""
+    """JN12: two hash-chosen items per positive that its order does not contain."""
     data, _ = _fm_data(t)
     return data.filter("label = 0").select("order_id", "item_idx")
 
 
+@register("negative_sample_counts", sql="""
+WITH pos AS (SELECT DISTINCT order_id, section FROM valid_lines),
+n AS (SELECT count(DISTINCT section) AS items FROM pos)
+SELECT order_id, count(*) * least(2, max(n.items) - count(*)) AS negatives, 0 AS in_order FROM pos, n
+GROUP BY order_id HAVING max(n.items) > count(*)""")
+def negative_sample_counts(t):
+    """JN12 check: min(2, available) negatives for each positive of an order, none of them in it."""
+    data, _ = _fm_data(t)
+    neg = data.filter("label = 0").select("order_id", "item_idx")
+    own = data.filter("label = 1").select("order_id", "item_idx", F.lit(1).alias("own"))
+    return (neg.join(own, ["order_id", "item_idx"], "left").groupBy("order_id")
+            .agg(F.count(F.lit(1)).alias("negatives"), F.count("own").cast("int").alias("in_order")))
+
+
+@register("ml_fm_configs")
+def ml_fm_configs(t):
+    """ML8: the four context configurations of the factorisation machine, AUC on held-out orders."""
+    data, _ = _fm_data(t)
+    return M.fm_compare(cut_lineage(data), FM_CONFIGS)
+
+
 @register("ml_fm_context_scores")
 def ml_fm_context_scores(t):
-    """ML8 factorisation machine on one-hot user / item / weekday with
-    negatives; ML9 scores every item in one context (customer 7, Monday)."""
+    """ML8 + ML9: factorisation machine with the full context; every item scored
+    in one context (customer 7, Monday, dinner, January) and DP10's multiplier,
+    score ÷ mean score of all items."""
     data, idx = _fm_data(t)
-    model, x = M.preprocess(data, ["label"], ["customer", "itm", "weekday"], out="fm_features")
-    x = cut_lineage(x.select("fm_features", "label", "order_id"))
-    fm = M.fm_fit(x, "fm_features")
-    ctx = (idx.select("item_idx", F.col("item_idx").cast("string").alias("itm"))
-           .withColumn("customer", F.lit("7")).withColumn("weekday", F.lit("0")).withColumn("label", F.lit(0.0)))
-    scored = fm.transform(model.transform(ctx))
-    return scored.select("item_idx", vector_to_array("probability")[1].alias("score"))
+    cols = ["customer", "itm", *FM_CONFIGS["full"]]
+    fm = M.fm_fit(cut_lineage(M.hashed(data, cols)), "fm_features")
+    ctx = idx.select("item_idx", F.col("item_idx").cast("string").alias("itm"), F.lit("7").alias("customer"),
+                     F.lit("0").alias("weekday"), F.lit("dinner").alias("meal"), F.lit("1").alias("month"))
+    scored = cut_lineage(fm.transform(M.hashed(ctx, cols)).select("item_idx", vector_to_array("probability")[1].alias("score")))
+    mean = scored.agg(F.avg("score").alias("m"))
+    return scored.crossJoin(F.broadcast(mean)).select("item_idx", "score", F.try_divide("score", "m").alias("multiplier"))
 
 
 def _anomaly_vectors(t):
@@ -146,23 +177,30 @@ def _anomaly_vectors(t):
     return cut_lineage(sc.transform(x).select("order_id", "split", "is_anomaly", "order_ts", "features", *CA.FEATS))
 
 
+def _train_normal(x):
+    return x.filter((F.col("split") == "train") & (F.col("is_anomaly") == 0))
+
+
 @register("ml_pca_reconstruction")
 def ml_pca_reconstruction(t):
-    """ML11: PCA reconstruction error with components reaching 90 % variance."""
+    """ML11: mean squared PCA reconstruction error, fitted on train-normal rows only; the explained
+    variance (80, 90 or 95 %) with the best average precision on validation rows."""
     x = _anomaly_vectors(t)
-    fit = x.filter((F.col("split") == "train") & (F.col("is_anomaly") == 0))
-    err, k = M.pca_reconstruction(fit, target=0.9)
-    del err
-    out, _ = M.pca_reconstruction(x, target=0.9, keep=["order_id", "split", "is_anomaly"])
-    return out.withColumn("components", F.lit(k))
+    keep = ["order_id", "split", "is_anomaly"]
+    best = None
+    for target in (0.80, 0.90, 0.95):
+        scored = cut_lineage(M.pca_reconstruction(x, M.pca_fit(_train_normal(x), target=target), keep=keep))
+        quality = A.evaluate(scored.filter("split = 'val'"), "pca_error", F.lit(0.0), ks=(50,), tiebreak=["order_id"]).first()["pr_auc"] or 0.0
+        if best is None or quality > best[0]:
+            best = (quality, target, scored)
+    return best[2].withColumn("target_variance", F.lit(best[1]))
 
 
 @register("ml_knn_scores")
 def ml_knn_scores(t):
-    """ML12: exact mean distance to the 5 nearest of ≤ 12 000 normal train rows."""
+    """ML12: mean distance to the 5 nearest of all normal train rows (inverted index, see the operator)."""
     x = _anomaly_vectors(t)
-    ref = x.filter((F.col("split") == "train") & (F.col("is_anomaly") == 0)).orderBy("order_id")
-    return M.knn_score(x, ref, 5, keep=["order_id", "split", "is_anomaly"])
+    return M.knn_score(x, _train_normal(x), 5, keep=["order_id", "split", "is_anomaly"])
 
 
 @register("ml_isolation_forest")

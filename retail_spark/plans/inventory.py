@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_spark.functions import exprs as X
-from retail_spark.operators.ordered import keyed_clamped_running
+from retail_spark.operators.ordered import global_row_number, keyed_clamped_running
 from retail_spark.operators.relational import ingredient_need
 
 
@@ -112,8 +112,11 @@ def invalid_transitions(log: DataFrame, allowed: DataFrame, key: str = "user_id"
                         order=("ts", "event_id"), state: str = "state") -> DataFrame:
     """Consecutive state pairs per key that the allowed-pairs table does not
     contain (DP16).  ``allowed`` is a small rule table: broadcast."""
-    w = Window.partitionBy(key).orderBy(*order)
-    pairs = log.withColumn("prev_state", F.lag(state).over(w)).filter(F.col("prev_state").isNotNull())
+    # neighbours by position in a range sort on (key, order): a busy key spreads over many ranges
+    ranked = global_row_number(log, [F.asc(key), *[F.asc(c) for c in order]], "_rn")
+    before = ranked.select((F.col("_rn") + 1).alias("_rn"), F.col(key).alias("_key"), F.col(state).alias("prev_state"))
+    pairs = (ranked.join(before, "_rn").filter((F.col(key) == F.col("_key")) & F.col("prev_state").isNotNull())
+             .drop("_rn", "_key"))
     ok = allowed.select(F.col("from_state").alias("prev_state"), F.col("to_state").alias(state))
     return pairs.join(F.broadcast(ok), ["prev_state", state], "left_anti")
 

@@ -18,19 +18,21 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import (FMClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import (PCA, Imputer, OneHotEncoder, StandardScaler, StringIndexer,
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
+from pyspark.ml.feature import (PCA, FeatureHasher, Imputer, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor
+from pyspark.mllib.linalg import Vectors as OldVectors
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retail_spark.operators.broadcast import bounded
 from retail_spark.session import cut_lineage
 
 SEED = 42
+SALTS = 4              # copies of a cell's rows, so that a cell that many rows ask is shared out
 
 
 # ---------------------------------------------------------------------------
@@ -110,15 +112,19 @@ def k_sweep(df: DataFrame, ks: Sequence[int] = range(2, 11), col: str = "feature
     return out.withColumn("is_best", F.row_number().over(w) == 1)
 
 
-def gmm_sweep(df: DataFrame, ks: Sequence[int] = (2, 3, 4, 5), col: str = "features") -> DataFrame:
-    """Gaussian mixtures (full covariance in MLlib, which needs k ≥ 2) with
+def gmm_sweep(df: DataFrame, ks: Sequence[int] = (1, 2, 3, 4, 5), col: str = "features") -> DataFrame:
+    """Gaussian mixtures (full covariance in MLlib; k = 1 in closed form) with
     AIC / BIC (ML4)."""
     n = df.count()
     d = len(df.select(col).first()[0])
     rows = []
     for k in ks:
-        m = GaussianMixture(k=k, seed=SEED, featuresCol=col, maxIter=100).fit(df)
-        ll = m.summary.logLikelihood
+        if k == 1:
+            # the maximum likelihood of one Gaussian: -n/2 (d log 2π + log|Σ| + d), degenerate directions floored
+            cov = RowMatrix(df.select(col).rdd.map(lambda r: OldVectors.fromML(r[0]))).computeCovariance().toArray() * (n - 1) / max(n, 1)
+            ll = -n / 2 * (d * math.log(2 * math.pi) + float(np.log(np.maximum(np.linalg.eigvalsh(cov), 1e-6)).sum()) + d)
+        else:
+            ll = GaussianMixture(k=k, seed=SEED, featuresCol=col, maxIter=100).fit(df).summary.logLikelihood
         p = k * (d + d * (d + 1) / 2) + (k - 1)
         rows.append({"k": k, "log_likelihood": ll, "aic": 2 * p - 2 * ll, "bic": p * math.log(n) - 2 * ll})
     return df.sparkSession.createDataFrame(pd.DataFrame(rows))
@@ -131,48 +137,89 @@ def pca2(df: DataFrame, col: str = "features", keep: Sequence[str] = ()) -> Data
     return m.transform(df).select(*keep, arr[0].alias("pc1"), arr[1].alias("pc2"))
 
 
-def pca_reconstruction(df: DataFrame, col: str = "features", target: float = 0.9, keep: Sequence[str] = ()):
-    """Squared reconstruction error with the fewest components reaching the
-    target explained variance (ML11).  Loadings (d × k) are model parameters."""
-    d = len(df.select(col).first()[0])
-    full = PCA(k=d, inputCol=col, outputCol="_p").fit(df)
-    cum = np.cumsum(full.explainedVariance.toArray())
-    k = int(np.searchsorted(cum, target) + 1)
-    v = full.pc.toArray()[:, :k]                      # d × k
-    proj = v @ v.T                                    # d × d
-    rows = [[float(x) for x in r] for r in proj]
+def pca_fit(fit: DataFrame, col: str = "features", target: float = 0.9) -> np.ndarray:
+    """Projection (d × d) onto the fewest components that reach the target explained variance of the fit rows."""
+    d = len(fit.select(col).first()[0])
+    full = PCA(k=d, inputCol=col, outputCol="_p").fit(fit)
+    k = int(np.searchsorted(np.cumsum(full.explainedVariance.toArray()), target) + 1)
+    v = full.pc.toArray()[:, :k]
+    return v @ v.T
+
+
+def pca_reconstruction(df: DataFrame, proj: np.ndarray, col: str = "features", keep: Sequence[str] = ()) -> DataFrame:
+    """Mean squared reconstruction error under a fitted projection (ML11)."""
     x = vector_to_array(col)
-    recon = F.array(*[F.aggregate(F.zip_with(x, F.array(*[F.lit(c) for c in row]), lambda a, b: a * b),
-                                  F.lit(0.0), lambda s, t: s + t) for row in rows])
+    recon = F.array(*[F.aggregate(F.zip_with(x, F.array(*[F.lit(float(c)) for c in row]), lambda a, b: a * b),
+                                  F.lit(0.0), lambda s, t: s + t) for row in proj])
     err = F.aggregate(F.zip_with(x, recon, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t)
-    return df.select(*keep, err.alias("pca_error")), k
+    return df.select(*keep, (err / F.lit(float(len(proj)))).alias("pca_error"))
 
 
 def knn_score(df: DataFrame, ref: DataFrame, k: int = 5, col: str = "features", keep: Sequence[str] = (),
-              max_ref: int = 12_000) -> DataFrame:
-    """Mean distance to the k nearest reference rows, exact (ML12).  The
-    reference set is capped at ``max_ref`` rows by the model definition and
-    broadcast; scoring runs per partition in numpy blocks."""
-    r = np.array([row[0] for row in ref.select(vector_to_array(col)).limit(max_ref).collect()], dtype=float)
-    bref = df.sparkSession.sparkContext.broadcast(r)
-    schema = ", ".join([f"{c} {t}" for c, t in df.select(*keep).dtypes] + ["knn_score double"])
-
-    def score(batches):
-        refm = bref.value
-        for pdf in batches:
-            x = np.stack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, refm.shape[1]))
-            out = pdf[list(keep)].copy()
-            vals = []
-            for i in range(0, len(x), 2048):
-                blk = x[i:i + 2048]
-                d2 = (blk ** 2).sum(1)[:, None] + (refm ** 2).sum(1)[None, :] - 2 * blk @ refm.T
-                d = np.sqrt(np.maximum(d2, 0.0))
-                kk = min(k, d.shape[1])
-                vals.append(np.sort(np.partition(d, kk - 1, axis=1)[:, :kk], axis=1).mean(axis=1))
-            out["knn_score"] = np.concatenate(vals) if vals else np.zeros(0)
-            yield out
-
-    return df.select(*keep, vector_to_array(col).alias("_x")).mapInPandas(score, schema)
+              fit_rows: int = 20_000, cell_rows: int = 1024, probes: int = 8, chunk: int = 4096) -> DataFrame:
+    """Mean distance to the k nearest of all reference rows (ML12), by an inverted index.
+
+    Centres are fitted on a bounded sample (``fit_rows`` rows in hash order); every
+    reference row goes to its nearest centre and every scored row asks its
+    ``probes`` nearest cells, with exact distances inside them — approximate only
+    in that farther cells are not asked.  Equal reference vectors are one row
+    with a count.  A cell above ``chunk`` rows is dealt in chunks, each of which
+    is asked, so no group grows with the data."""
+    v = ref.select(vector_to_array(col).alias("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    v = cut_lineage(v)
+    sample = v.orderBy(F.xxhash64("_v"), "_v").limit(fit_rows).select("_v").collect()
+    pts = np.array([r["_v"] for r in sample], dtype=float)
+    rng = np.random.default_rng(SEED)
+    n_cells = int(min(max(1, -(-v.count() // cell_rows)), 4096, len(pts)))
+    centres = pts[rng.choice(len(pts), n_cells, replace=False)]
+    for _ in range(10):
+        near = _nearest(pts, centres, 1)[:, 0]
+        centres = np.array([pts[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(n_cells)])
+    centres_b = df.sparkSession.sparkContext.broadcast(centres)         # at most 4096 rows
+    probes = min(probes, n_cells)
+
+    @F.pandas_udf("array<int>")
+    def cells(x: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(list(_nearest(np.stack(x.to_numpy()), centres_b.value, int(n.iloc[0])).astype("int32")))
+
+    placed = cut_lineage(v.withColumn("_cell", cells("_v", F.lit(1))[0]))
+    parts = placed.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_parts"))     # one row per cell
+    placed = placed.join(F.broadcast(parts), "_cell").withColumn("_part", F.pmod(F.xxhash64("_v"), F.col("_parts")).cast("int"))
+    rows = cut_lineage(df.select(*keep, vector_to_array(col).alias("_v")).withColumn("_row", F.monotonically_increasing_id()))
+    asked = (rows.select("_row", F.col("_v").alias("_q"), F.explode(cells("_v", F.lit(probes))).alias("_cell"))
+             .join(F.broadcast(parts), "_cell").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+             .withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")))
+    salted = placed.select("_cell", "_part", "_v", "_n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+
+    def nearest(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"_row": pd.Series(dtype="int64"), "_d": pd.Series(dtype=object)})
+        x, y, n = np.stack(q["_q"].to_numpy()), np.stack(r["_v"].to_numpy()), r["_n"].to_numpy()
+        out = []
+        for at in range(0, len(x), 512):
+            blk = x[at:at + 512]
+            d = np.sqrt(np.maximum((blk ** 2).sum(1)[:, None] + (y ** 2).sum(1)[None, :] - 2 * blk @ y.T, 0.0))
+            m = min(k, d.shape[1])
+            idx = np.argpartition(d, m - 1, axis=1)[:, :m]
+            for i, row in enumerate(idx):
+                out.append(np.sort(np.repeat(d[i, row], np.minimum(n[row], k)))[:k])
+        return pd.DataFrame({"_row": q["_row"].to_numpy(), "_d": out})
+
+    by = ["_cell", "_part", "_salt"]
+    found = asked.groupBy(*by).cogroup(salted.groupBy(*by)).applyInPandas(nearest, "_row long, _d array<double>")
+    best = (found.groupBy("_row").agg(F.slice(F.sort_array(F.flatten(F.collect_list("_d"))), 1, k).alias("_d"))
+            .select("_row", (F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / F.size("_d")).alias("knn_score")))
+    return rows.join(best, "_row", "left").select(*keep, "knn_score")
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """Indexes of the n nearest centres of each row."""
+    out = []
+    for at in range(0, len(x), 4096):
+        blk = x[at:at + 4096]
+        d = (centres ** 2).sum(1)[None, :] - 2 * blk @ centres.T
+        out.append(np.argsort(d, axis=1, kind="stable")[:, :n])
+    return np.concatenate(out) if out else np.zeros((0, n), dtype=int)
 
 
 def isolation_forest(df: DataFrame, feats: Sequence[str], n_trees: int = 100, sample: int = 256,
@@ -369,16 +416,38 @@ def _centred(v, mu, n_items):
     return x
 
 
-def negatives(pos: DataFrame, items: DataFrame, n: int = 2, oversample: int = 4,
-              key: str = "order_id", item: str = "item_idx") -> DataFrame:
-    """Up to n items per positive that are not in the same order, chosen in
-    hash order from ``n · oversample`` hash-drawn candidates (JN12)."""
-    n_items = items.count()
-    cand = pos.select(key, F.explode(F.sequence(F.lit(1), F.lit(n * oversample))).alias("_j")).distinct()
-    cand = cand.withColumn(item, F.pmod(F.xxhash64(F.lit(SEED), key, "_j"), F.lit(n_items)).cast("int"))
-    cand = cand.join(pos.select(key, item).distinct(), [key, item], "left_anti").dropDuplicates([key, item])
-    w = Window.partitionBy(key).orderBy("_j")
-    return cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r", "_j")
+def negatives(pos: DataFrame, n_items: int, key: str = "order_id", item: str = "item_idx") -> DataFrame:
+    """``min(2, available)`` items for each positive (key, item) that its order does not hold (JN12).
+
+    An order's complement has ``n_items`` − own items; two different ranks in it
+    come from hashes of (order, positive) and are turned into items by stepping
+    over the order's own items, so nothing is drawn twice or thrown away."""
+    own = pos.groupBy(key).agg(F.sort_array(F.collect_set(item)).alias("_own"))      # one order's items
+    p = pos.select(key, item).distinct().join(own, key).withColumn("_free", F.lit(n_items) - F.size("_own"))
+    first = F.pmod(F.xxhash64(F.lit(SEED), key, item), F.col("_free"))
+    step = F.pmod(F.xxhash64(F.lit(SEED + 1), key, item), F.greatest(F.col("_free") - 1, F.lit(1))) + 1
+    ranks = (F.when(F.col("_free") <= 0, F.array().cast("array<bigint>")).when(F.col("_free") == 1, F.array(first))
+             .otherwise(F.array(first, F.pmod(first + step, F.col("_free")))))
+    d = p.select(key, F.col(item).alias("positive_idx"), "_own", F.explode(ranks).alias("_r"))
+    idx = F.aggregate("_own", F.col("_r"), lambda at, o: at + F.when(o <= at, 1).otherwise(0))
+    return d.select(key, "positive_idx", idx.cast("int").alias(item))
+
+
+def hashed(df: DataFrame, cols: Sequence[str], out: str = "fm_features", buckets: int = 1 << 14) -> DataFrame:
+    """Feature vector of hashed name=value pairs; values are neither indexed nor held on the driver."""
+    return FeatureHasher(inputCols=list(cols), outputCol=out, numFeatures=buckets, categoricalCols=list(cols)).transform(df)
+
+
+def fm_compare(data: DataFrame, configs: dict[str, list[str]], key: str = "order_id") -> DataFrame:
+    """AUC of each context configuration on a fifth of the orders that the fit does not see (ML8)."""
+    held = F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(5)) == 0
+    rows = []
+    for name, ctx in configs.items():
+        x = cut_lineage(hashed(data, ["customer", "itm", *ctx]).select("fm_features", "label", held.alias("held")))
+        model = fm_fit(x.filter(~F.col("held")), "fm_features")
+        auc = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC").evaluate(model.transform(x.filter("held")))
+        rows.append((name, len(ctx), float(auc)))
+    return data.sparkSession.createDataFrame(rows, "config string, context_columns int, auc double")
 
 
 def fm_fit(train: DataFrame, col: str = "features", label: str = "label"):

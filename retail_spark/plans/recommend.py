@@ -13,11 +13,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retail_spark.operators.broadcast import bounded
 from retail_spark.operators.ordered import global_row_number
 from retail_spark.session import cut_lineage
 
@@ -26,6 +24,7 @@ FP_WEIGHT, SIM_WEIGHT = 0.6, 0.4
 CANDIDATES_PER_SOURCE = 20
 SCORE_FLOOR = 0.001
 MIN_HISTORY_FOR_SIM = 5
+SALTS = 16                       # copies of a popularity rank that every user joins with
 PRUNE_TOLERANCE = 0.10
 
 
@@ -39,33 +38,50 @@ def min_count(n: int, min_support: float) -> int:
     return max(1, int(min_support * n))
 
 
-def fp_model(b: DataFrame, min_support: float, min_confidence: float = 0.0):
-    """Fit FP-Growth so that its ``ceil(minSupport · n)`` equals the
-    reference's ``floor(min_support · n)`` threshold."""
-    n = b.count()
-    k = min_count(n, min_support)
-    fp = FPGrowth(itemsCol="items", minSupport=(k - 0.5) / n, minConfidence=min_confidence)
-    return fp.fit(b), n
+def _pairs(b: DataFrame, key: str) -> DataFrame:
+    """(key, i1, i2) of the item pairs of each basket, i1 < i2 (a basket is an order's lines)."""
+    pairs = F.flatten(F.transform("items", lambda x, k: F.transform(
+        F.slice("items", k + 2, F.size("items")), lambda y: F.struct(x.alias("i1"), y.alias("i2")))))
+    return b.select(key, F.explode(pairs).alias("p")).select(key, "p.i1", "p.i2")
+
 
+def itemsets(b: DataFrame, min_support: float, key: str = "order_id") -> DataFrame:
+    """Frequent 1-, 2- and 3-itemsets with count and support, level by level (DP2).
 
-def itemsets(b: DataFrame, min_support: float, max_size: int = 3) -> DataFrame:
-    """Frequent 1-, 2-, 3-itemsets with count and support (DP2)."""
-    model, n = fp_model(b, min_support)
-    return (model.freqItemsets.filter(F.size("items") <= max_size)
-            .select(F.sort_array("items").alias("items"), F.col("freq").alias("count"),
-                    (F.col("freq") / F.lit(n)).alias("support"), F.size("items").alias("size")))
+    A level only looks at sets whose parts were frequent: pairs of baskets cut
+    down to frequent items, then triples whose three pairs are frequent.  Counts
+    are grouped sums with map-side combining; no set above three is formed."""
+    n = b.count()
+    least = min_count(n, min_support)
+    frequent = lambda d, *by: cut_lineage(d.groupBy(*by).agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= least))
+    one = frequent(b.select(F.explode("items").alias("i1")), "i1")
+    held = cut_lineage(b.select(key, F.explode("items").alias("i1")).join(one.select("i1"), "i1", "left_semi")
+                       .groupBy(key).agg(F.sort_array(F.collect_set("i1")).alias("items")))
+    two = frequent(_pairs(held, key), "i1", "i2")
+    sides = cut_lineage(_pairs(held, key).join(two.select("i1", "i2"), ["i1", "i2"], "left_semi"))
+    third = sides.select(key, "i1", F.col("i2").alias("i3"))
+    triples = (sides.join(third, [key, "i1"]).filter(F.col("i2") < F.col("i3"))
+               .join(two.select(F.col("i1").alias("i2"), F.col("i2").alias("i3")), ["i2", "i3"], "left_semi"))
+    three = frequent(triples, "i1", "i2", "i3")
+    levels = [one.select(F.array("i1").alias("items"), "count"), two.select(F.array("i1", "i2").alias("items"), "count"),
+              three.select(F.array("i1", "i2", "i3").alias("items"), "count")]
+    out = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    return cut_lineage(out.select("items", "count", (F.col("count") / F.lit(n)).alias("support"), F.size("items").alias("size")))
 
 
 def rules(b: DataFrame, min_support: float, min_confidence: float, min_lift: float) -> DataFrame:
-    """Rules 1→1 and 2→1 with support, confidence, lift, count (DP3)."""
-    model, n = fp_model(b, min_support, min_confidence)
-    r = (model.associationRules.filter(F.size("antecedent") <= 2)
-         .filter(F.col("lift") >= min_lift)
-         .select(F.sort_array("antecedent").alias("antecedent"),
-                 F.col("consequent")[0].alias("consequent"), "support", "confidence", "lift"))
-    # rules (bounded by the frequent itemsets) are read by several branches:
-    # write them once instead of re-mining per branch
-    return cut_lineage(r.withColumn("count", F.round(F.col("support") * n).cast("bigint")))
+    """Rules 1→1 and 2→1 with support, confidence, lift, count (DP3), from the frequent itemsets up to size 3."""
+    sets = itemsets(b, min_support)
+    split = (sets.filter(F.col("size") > 1).select("items", "count", "support", F.explode("items").alias("consequent"))
+             .withColumn("antecedent", F.filter("items", lambda x: x != F.col("consequent"))))
+    of = sets.select(F.col("items").alias("antecedent"), F.col("count").alias("_na"))
+    single = sets.filter(F.col("size") == 1).select(F.col("items")[0].alias("consequent"), F.col("support").alias("_sc"))
+    r = (split.join(of, "antecedent").join(single, "consequent")
+         .withColumn("confidence", F.col("count") / F.col("_na")).withColumn("lift", F.col("confidence") / F.col("_sc"))
+         .filter((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift))
+         .select("antecedent", "consequent", "support", "confidence", "lift", "count"))
+    # rules (bounded by the frequent itemsets) are read by several branches: written once
+    return cut_lineage(r)
 
 
 def prune(r: DataFrame, tol: float = PRUNE_TOLERANCE) -> DataFrame:
@@ -101,12 +117,9 @@ def validate_pairs(r: DataFrame, expected: DataFrame) -> DataFrame:
             .withColumn("found", F.col("rules_found") > 0))
 
 
-def pair_counts(b: DataFrame) -> DataFrame:
+def pair_counts(b: DataFrame, key: str = "order_id") -> DataFrame:
     """Co-occurrence count of every item pair that occurs together (DP6)."""
-    model, _ = fp_model(b, 0.0)
-    return (model.freqItemsets.filter(F.size("items") == 2)
-            .select(F.array_min("items").alias("item_a"), F.array_max("items").alias("item_b"),
-                    F.col("freq").alias("count")))
+    return _pairs(b, key).groupBy(F.col("i1").alias("item_a"), F.col("i2").alias("item_b")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def rules_summary(r: DataFrame) -> DataFrame:
@@ -156,7 +169,7 @@ def item_cosine(interactions: DataFrame, user: str = "customer_id", item: str =
                                     "i long, j long, similarity double")
     a = idx.select(F.col(item).alias("item_a"), F.col("item_idx").alias("i"))
     b = idx.select(F.col(item).alias("item_b"), F.col("item_idx").alias("j"))
-    return entries.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("item_a", "item_b", "similarity")
+    return entries.join(a, "i").join(b, "j").select("item_a", "item_b", "similarity")
 
 
 def recommend_similar(hist: DataFrame, sim: DataFrame, n: int, user: str = "customer_id") -> DataFrame:
@@ -215,13 +228,16 @@ def recommend_popular(hist: DataFrame, n: int, user: str = "customer_id") -> Dat
 
     Items get a global popularity rank; each user needs at most n + |own|
     ranks, so those ranks are generated per user and equi-joined — no user ×
-    item product is formed."""
+    item product is formed.  Every user wants the first ranks, so ranks are
+    salted: a rank stands ``SALTS`` times on the item side."""
     pop = hist.groupBy("item").agg(F.countDistinct(user).alias("buyers"))
     ranked = global_row_number(pop, [F.desc("buyers"), F.asc("item")], "pop_rank")
     own = hist.select(user, "item").distinct()
     need = own.groupBy(user).agg((F.count(F.lit(1)) + n).alias("_k"))
-    wanted = need.select(user, F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("pop_rank"))
-    cand = wanted.join(ranked, "pop_rank").join(own, [user, "item"], "left_anti")
+    wanted = need.select(user, F.pmod(F.xxhash64(user), F.lit(SALTS)).cast("int").alias("_s"),
+                         F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("pop_rank"))
+    salted = ranked.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    cand = wanted.join(salted, ["pop_rank", "_s"]).drop("_s").join(own, [user, "item"], "left_anti")
     w = Window.partitionBy(user).orderBy("pop_rank")
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
             .select(user, "item", F.col("buyers").cast("double").alias("score"), "rank"))
@@ -267,19 +283,28 @@ def hits(recs: DataFrame, truth: DataFrame, k: int, user: str = "customer_id") -
             .withColumn("n_hits", F.size("hits")))
 
 
+def _substrings(c: str):
+    """All substrings of a column, the empty one included (names are short)."""
+    n = F.length(c)
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(
+            F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))), lambda k: F.substring(F.col(c), i, k))))))
+
+
 def resolve_names(names: DataFrame, catalog: DataFrame, name: str = "name") -> DataFrame:
     """Case/space-insensitive exact match; otherwise the first catalogue entry
-    (alphabetical) where one name contains the other (JN14).  The catalogue
-    side is broadcast only under a checked row bound."""
+    (alphabetical) where one name contains the other (JN14).  Containment is an
+    equi-join on the substrings of the longer side; no pairs are compared."""
     key = F.lower(F.trim(F.col(name)))
     nk = names.select(name, key.alias("_k")).distinct()
     ck = catalog.select(F.col(name).alias("match"), F.lower(F.trim(F.col(name))).alias("_c")).distinct()
     exact = nk.join(ck, F.col("_k") == F.col("_c")).select(name, "match")
     rest = nk.join(exact.select(name), name, "left_anti")
-    cb = bounded(ck)
-    sub = rest.join(cb, F.col("_c").contains(F.col("_k")) | F.col("_k").contains(F.col("_c")))
-    w = Window.partitionBy(name).orderBy("match")
-    fuzzy = sub.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(name, "match")
+    first = ck.groupBy("_c").agg(F.min("match").alias("match"))
+    inside = rest.select(name, F.explode(_substrings("_k")).alias("_c")).join(first, "_c").select(name, "match")
+    around = (ck.select("match", F.explode(_substrings("_c")).alias("_k")).groupBy("_k").agg(F.min("match").alias("match"))
+              .join(rest, "_k").select(name, "match"))
+    fuzzy = inside.unionByName(around).groupBy(name).agg(F.min("match").alias("match"))
     return exact.withColumn("how", F.lit("exact")).unionByName(fuzzy.withColumn("how", F.lit("substring")))
 
 
