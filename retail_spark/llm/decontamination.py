@@ -36,66 +36,62 @@ WINDOW = 5
 SHARE_PCT = 80
 BROADCAST_ROWS = 1_000_000     # benchmark windows (two numbers each) that may be broadcast
 #: Fixed word lists.
-NUMBERS = ("zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|"
-           "eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion")
-UNITS = ("mm|cm|km|meters?|metres?|kilometers?|kilometres?|miles?|inch|inches|feet|foot|yards?|mg|kg|grams?|kilograms?|pounds?|ounces?|tons?|tonnes?|"
-         "ml|liters?|litres?|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|percent|degrees?|mph|kmh|kph")
-SPACE = r"[ \t\n\x0b\x0c\r]"
-#: (pattern, replacement with $n groups), applied in this order; names are marked before lower-casing.
-BEFORE = (
-    ("[‹›\x01]", ""),
-    (r"[ \t\x0b\x0c\r]*\n" + SPACE + "*", "¶ "),
-    ("^", "¶ "),
-    (r"([.!?:;…¶][\")”’]*[ \t\x0b\x0c\r]+)(\p{Lu})", "$1\x01$2"),
-    (r"([ \t\x0b\x0c\r])\p{Lu}\p{Ll}+", "$1‹name›"),
-)
-AFTER = (
-    (r"[0-9]+([.,][0-9]+)*", "‹num›"),
-    (r"[^\p{L}\p{M}\p{N}‹› \t\n\x0b\x0c\r]+", ""),
-    (SPACE + "+", "  "),
-    ("^ *", " "),
-    (" *$", " "),
-    (f" ({NUMBERS}) ", " ‹num› "),
-    (f" ({UNITS}) ", " ‹unit› "),
-)
+NUMBERS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
+           "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion").split()
+UNITS = ("mm cm km meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches feet foot yard yards "
+         "mg kg gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes ml liter liters litre litres gallon gallons "
+         "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents "
+         "usd eur percent degree degrees mph kmh kph").split()
+BLANKS = "\t\x0b\x0c\r"
+#: Literal replacements, then patterns with $n groups, in this order.  A line end closes a sentence (¶).
+MARKS = (("‹", ""), ("›", ""), ("\x01", ""), ("\n", "¶ "), *((c, " ") for c in BLANKS))
+NAMES = ((r"([.!?:;…¶][\")”’]* +)(\p{Lu})", "$1\x01$2"), (r" \p{Lu}\p{Ll}+", " ‹name›"))
+REST = ((r"[0-9]+([.,][0-9]+)*", "‹num›"), (r"[^\p{L}\p{M}\p{N}‹› ]+", ""))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda w: w != "")
 
 
 def template(text: Column) -> Column:
     """The template words of a text (array of strings; empty for null)."""
     t = F.coalesce(text, F.lit(""))
-    for pattern, to in BEFORE:
-        t = F.concat(F.lit(to), t) if pattern == "^" else F.regexp_replace(t, pattern, to)
+    for old, new in MARKS:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    t = F.concat(F.lit("¶ "), t)
+    for pattern, new in NAMES:
+        t = F.regexp_replace(t, pattern, new)
     t = F.lower(t)
-    for pattern, to in AFTER:
-        t = F.concat(F.lit(" "), F.ltrim(t)) if pattern == "^ *" else F.concat(F.rtrim(t), F.lit(" ")) if pattern == " *$" else F.regexp_replace(t, pattern, to)
-    t = F.trim(t)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " {2}"))
+    for pattern, new in REST:
+        t = F.regexp_replace(t, pattern, new)
+    return F.transform(_words(t), lambda w: F.when(w.isin(NUMBERS), "‹num›").when(w.isin(UNITS), "‹unit›").otherwise(w))
 
 
 def values(text: Column) -> Column:
     """The words behind ``template(text)``, one for one: lower case, without punctuation."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[‹›\x01]", "")
-    t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{M}\p{N} \t\n\x0b\x0c\r]+", "")
-    t = F.trim(F.regexp_replace(t, SPACE + "+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
-
-
-def _hash(words: Column, i: Column) -> Column:
-    return F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
+    t = F.coalesce(text, F.lit(""))
+    for old, new in MARKS:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return _words(F.regexp_replace(F.lower(t), REST[-1][0], ""))
 
 
 def _windows(words: Column) -> Column:
-    """Hashes of all windows, in order (empty for fewer words than a window)."""
-    return F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: _hash(words, i))
-                  ).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of all windows of five words, in order (empty for fewer): neighbours are hashed in pairs, pairs of pairs, and one more."""
+    one = F.transform(words, lambda w: F.xxhash64(w))
+    ahead = lambda a, k: F.slice(a, k + 1, F.greatest(F.lit(0), F.size(words) - k))
+    both = lambda x, y: F.xxhash64(x, y)
+    pairs = lambda a: F.zip_with(a, ahead(a, 1), both)
+    fours = lambda a: F.zip_with(a, ahead(a, 2), both)
+    # each step is bound to a name by a one-element array, so that it is worked out once
+    step = lambda a, f: F.get(F.transform(F.array(a), f), 0)
+    five = step(one, lambda h: step(pairs(h), lambda h2: F.zip_with(fours(h2), ahead(h, 4), both)))
+    return F.slice(five, 1, F.greatest(F.lit(0), F.size(words) - (WINDOW - 1)))
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
     """(item, pos, h) of each window of ``items`` (item, words) that has a literal word."""
-    return (items.filter(F.size("words") >= WINDOW)
-            .select("item", "words", F.explode(F.sequence(F.lit(0), F.size("words") - WINDOW)).alias("pos"))
-            .filter(F.exists(F.slice("words", F.col("pos") + 1, WINDOW), lambda w: ~w.startswith("‹")))
-            .select("item", "pos", _hash(F.col("words"), F.col("pos")).alias("h")))
+    return (items.select("item", "words", F.posexplode(_windows(F.col("words"))).alias("pos", "h"))
+            .filter(F.exists(F.slice("words", F.col("pos") + 1, WINDOW), lambda w: ~w.startswith("‹"))).select("item", "pos", "h"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -110,7 +106,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     held = (lambda d: F.broadcast(d)) if small else (lambda d: d)
     need = windows.groupBy("item").agg(F.count(F.lit(1)).alias("windows"))
     d = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("text_hash"), template(text).alias("words"))
-    sent = d.select("id", "text_hash", F.explode(F.array_distinct(_windows(F.col("words")))).alias("h"))
+    sent = d.select("id", "text_hash", F.explode(_windows(F.col("words"))).alias("h"))
     found = (sent.join(held(windows), "h").groupBy("id", "text_hash", "item").agg(F.count_distinct("h").alias("matched"))
              .join(held(need), "item").filter(F.col("matched") * 100 >= F.col("windows") * min_share_pct))
     found = cut_lineage(found.select("id", "text_hash", "item", "matched", "windows"))
@@ -129,8 +125,7 @@ def _inconsistent(docs: DataFrame, pairs: DataFrame, items: DataFrame, slots: Da
     held = (pairs.join(d, F.col("id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("doc_hash"))).dropDuplicates(["id", "text_hash", "item"])
             .select("id", "text_hash", "item", template(F.col("text")).alias("words"), values(F.col("text")).alias("raw")))
     held = cut_lineage(held)
-    at = (held.filter(F.size("words") >= WINDOW).select("id", "text_hash", "item", "words", F.explode(F.sequence(F.lit(0), F.size("words") - WINDOW)).alias("p"))
-          .select("id", "text_hash", "item", "p", _hash(F.col("words"), F.col("p")).alias("h")))
+    at = held.select("id", "text_hash", "item", F.posexplode(_windows(F.col("words"))).alias("p", "h"))
     shifts = (at.join(_item_windows(items).withColumnRenamed("pos", "q"), ["item", "h"])
               .groupBy("id", "text_hash", "item", (F.col("p") - F.col("q")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
               .groupBy("id", "text_hash", "item").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift")))
@@ -168,36 +163,44 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.coalesce(F.size("items"), F.lit(0)).cast("int").alias("n_items"), F.coalesce(F.array_join("items", ","), F.lit("")).alias("items"))
 
 
-def _duck(expr: str) -> str:
-    t = f"coalesce({expr}, '')"
-    for pattern, to in BEFORE:
-        t = _duck_step(t, pattern, to)
-    t = f"lower({t})"
-    for pattern, to in AFTER:
-        t = _duck_step(t, pattern, to)
-    return f"trim({t}, ' ')"
+def _lit(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\x01", "' || chr(1) || '") + "'"
+
 
+def _duck_marks(t: str) -> str:
+    t = f"coalesce({t}, '')"
+    for old, new in MARKS:
+        old = f"chr({ord(old)})" if ord(old) < 32 else _lit(old)
+        t = f"replace({t}, {old}, {_lit(new)})"
+    return t
 
-def _duck_step(t: str, pattern: str, to: str) -> str:
-    to = to.replace("$1", "\\1").replace("$2", "\\2").replace("\x01", "' || chr(1) || '")
-    pattern = pattern.replace("\x01", "\\x01")
-    if pattern == "^":
-        return f"('{to}' || {t})"
-    if pattern == "^ *":
-        return f"(' ' || ltrim({t}, ' '))"
-    if pattern == " *$":
-        return f"(rtrim({t}, ' ') || ' ')"
-    return f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
+
+def _duck_replace(t: str, pattern: str, new: str) -> str:
+    return f"regexp_replace({t}, {_lit(pattern)}, {_lit(new.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2'))}, 'g')"
+
+
+def _duck_words(t: str) -> str:
+    return f"list_filter(string_split({t}, ' '), lambda w: w <> '')"
+
+
+def _duck_template(t: str) -> str:
+    t = f"'¶ ' || {_duck_marks(t)}"
+    for pattern, new in NAMES:
+        t = _duck_replace(t, pattern, new)
+    t = f"lower({t})"
+    for pattern, new in REST:
+        t = _duck_replace(t, pattern, new)
+    listed = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+    return f"list_transform({_duck_words(t)}, lambda w: CASE WHEN w IN {listed(NUMBERS)} THEN '‹num›' WHEN w IN {listed(UNITS)} THEN '‹unit›' ELSE w END)"
 
 
-_RAW = (r"trim(regexp_replace(regexp_replace(lower(regexp_replace(coalesce(text, ''), '[‹›\x01]', '', 'g')), "
-        r"'[^\p{L}\p{M}\p{N} \t\n\x0b\x0c\r]+', '', 'g'), '[ \t\n\x0b\x0c\r]+', ' ', 'g'), ' ')")
+_RAW = _duck_words(_duck_replace(f"lower({_duck_marks('text')})", REST[-1][0], ""))
 SQL = f"""
-WITH it AS (SELECT item_id AS item, string_split({_duck('text')}, '  ') AS w, string_split({_RAW}, ' ') AS raw FROM benchmark WHERE item_id IS NOT NULL),
+WITH it AS (SELECT item_id AS item, {_duck_template('text')} AS w, {_RAW} AS raw FROM benchmark WHERE item_id IS NOT NULL),
 iw AS (SELECT item, unnest(list_transform(range(1, len(w) - {WINDOW} + 2), lambda i: {{'p': i, 'g': w[i:i+{WINDOW - 1}]}})) AS x FROM it WHERE len(w) >= {WINDOW}),
 iwin AS (SELECT item, x.p AS p, array_to_string(x.g, ' ') AS g FROM iw WHERE len(list_filter(x.g, lambda s: NOT starts_with(s, '‹'))) > 0),
 need AS (SELECT item, count(DISTINCT g) AS n FROM iwin GROUP BY item),
-dt AS (SELECT doc_id, text, string_split({_duck('text')}, '  ') AS w, string_split({_RAW}, ' ') AS raw FROM documents),
+dt AS (SELECT doc_id, text, {_duck_template('text')} AS w, {_RAW} AS raw FROM documents),
 dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - {WINDOW} + 2), lambda i: {{'p': i, 'g': w[i:i+{WINDOW - 1}]}})) AS x FROM dt WHERE len(w) >= {WINDOW}),
 dwin AS (SELECT doc_id, x.p AS p, array_to_string(x.g, ' ') AS g FROM dw),
 hit AS (SELECT d.doc_id, i.item, count(DISTINCT i.g) AS matched FROM (SELECT DISTINCT doc_id, g FROM dwin) d JOIN iwin i USING (g) GROUP BY ALL),
