@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from retail_spark.catalog import register
 from retail_spark.catalog.segments import cte
 from retail_spark.plans import inventory as INV
+from retail_spark.sources.tables import has_status
 
 # Fixed fixture parameter: allowed next event per event type (the state
 # machine the transition check runs on for the events table).
@@ -173,6 +174,28 @@ def product_stock_with_refunds(t):
     return _ledger_summary(led, "product_id")
 
 
+@register("ingredient_stock_with_refunds", sql="""WITH
+mv AS (SELECT r.ingredient_id, l.order_ts AS ts, l.order_id, l.line_number, l.item_id AS product_id,
+              (CASE WHEN l.is_voided THEN 1.0 ELSE -1.0 END) * l.quantity * r.quantity_needed AS delta
+       FROM sale_lines l JOIN recipe_v r ON r.product_id = l.item_id WHERE l.status = 'paid'),
+led AS (SELECT mv.*, i.current_stock AS start_stock FROM mv LEFT JOIN ingredients_v i USING (ingredient_id)),
+c AS (SELECT *, coalesce(start_stock, 0.0) + sum(delta) OVER (PARTITION BY ingredient_id
+        ORDER BY ts, order_id, line_number, product_id, delta ROWS UNBOUNDED PRECEDING) AS running_unclamped FROM led),
+lv AS (SELECT *, greatest(0.0, running_unclamped - least(0.0, min(running_unclamped) OVER (PARTITION BY ingredient_id
+        ORDER BY ts, order_id, line_number, product_id, delta ROWS UNBOUNDED PRECEDING))) AS stock_level FROM c)
+SELECT ingredient_id, count(*) AS movements, sum(delta) AS net_change,
+       greatest(0.0, max(coalesce(start_stock, 0.0)) + sum(delta) - least(0.0, min(running_unclamped))) AS final_stock,
+       min(stock_level) AS min_level, count(*) FILTER (WHERE stock_level <= 1e-6) AS zero_hits
+FROM lv GROUP BY ingredient_id""")
+def ingredient_stock_with_refunds(t):
+    """DP15: refunded (voided) lines of paid orders put their ingredients back on the ledger."""
+    paid = t.sale_lines.filter(has_status("paid"))
+    mv = INV.ingredient_movements(paid.filter(~F.col("is_voided")), _recipe(t)).unionByName(
+        INV.ingredient_movements(paid.filter(F.col("is_voided")), _recipe(t), "refund", 1.0))
+    start = t.ingredients_v.select("ingredient_id", F.col("current_stock").alias("start_stock"))
+    return _ledger_summary(INV.stock_ledger(mv, start, "ingredient_id", ING_ORDER), "ingredient_id")
+
+
 @register("invalid_event_transitions", sql="""
 WITH allowed AS (SELECT * FROM (VALUES """ + ", ".join(
     f"('{a}', '{b}')" for a, bs in EVENT_TRANSITIONS.items() for b in bs) + """) v(from_state, to_state)),

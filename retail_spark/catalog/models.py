@@ -205,9 +205,9 @@ def ml_knn_scores(t):
 
 @register("ml_isolation_forest")
 def ml_isolation_forest(t):
-    """ML13: isolation forest (100 trees of 256 hash-chosen rows)."""
+    """ML13: isolation forest (100 trees of 256 hash-chosen train-normal rows)."""
     x = _anomaly_vectors(t)
-    return M.isolation_forest(x, CA.FEATS, 100, 256, keep=["order_id", "split", "is_anomaly"])
+    return M.isolation_forest(x, _train_normal(x), CA.FEATS, 100, 256, keep=["order_id", "split", "is_anomaly"])
 
 
 @register("ml_supervised_leaderboard")

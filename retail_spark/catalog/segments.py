@@ -387,3 +387,51 @@ def customer_engagement(t):
     r = r.select("customer_id", expected, F.col("frequency").alias("actual_visits"))
     e = X.engagement("expected_visits", "actual_visits")
     return r.select("*", *[v.alias(k) for k, v in e.items()])
+
+
+@register("hybrid_segment_actions_with_gap", sql=cte(*BASE, NAMED) + """
+, gap AS (SELECT *, CAST(ceil(customer_tenure_days / 30.0) AS BIGINT) + 1 - frequency AS visit_gap FROM named),
+prof2 AS (SELECT hybrid_segment, count(*) AS customers, avg(recency) AS avg_recency, avg(visit_gap) AS avg_visit_gap,
+          avg(avg_basket_size) AS avg_basket_size FROM gap GROUP BY hybrid_segment),
+th AS (SELECT median(recency) AS med_rec, quantile_cont(visit_gap, 0.75) AS q75g, quantile_cont(avg_basket_size, 0.75) AS q75b FROM gap)
+SELECT prof2.*, CASE
+   WHEN lower(hybrid_segment) LIKE '%high-value%' AND avg_recency <= med_rec THEN 'VIP loyalty program and premium personalization'
+   WHEN lower(hybrid_segment) LIKE '%high-value%' AND avg_recency > med_rec THEN 'Win-back campaign for valuable customers'
+   WHEN lower(hybrid_segment) LIKE '%discount%' THEN 'Targeted promotions and coupon campaigns'
+   WHEN avg_visit_gap > q75g THEN 'Reactivation campaign based on visit gap'
+   WHEN avg_basket_size > q75b THEN 'Bundle and cross-sell offers'
+   WHEN lower(hybrid_segment) LIKE '%low-value%' THEN 'Low-cost engagement campaign'
+   ELSE 'Standard personalized communication' END AS recommended_action
+FROM prof2, th""")
+def hybrid_segment_actions_with_gap(t):
+    """DP28, modelling variant: action rules with the visit-gap arm."""
+    return C.recommend_actions_with_gap(named_features(t))
+
+
+@register("hybrid_overview_actions", sql=cte(*BASE, NAMED) + """
+, prof2 AS (SELECT hybrid_segment, count(*) AS customers, avg(recency) AS avg_recency, avg(frequency) AS avg_frequency,
+            avg(monetary) AS avg_monetary, avg(avg_discount_pct) AS avg_discount_pct,
+            avg(CAST(ceil(customer_tenure_days / 30.0) AS BIGINT) + 1 - frequency) AS avg_visit_gap FROM named GROUP BY hybrid_segment),
+th AS (SELECT quantile_cont(avg_frequency, 0.7) AS f, quantile_cont(avg_recency, 0.7) AS r, median(avg_monetary) AS m,
+              quantile_cont(avg_discount_pct, 0.7) AS d, quantile_cont(avg_visit_gap, 0.7) AS g FROM prof2)
+SELECT prof2.*, CASE
+   WHEN starts_with(hybrid_segment, 'High-Value') AND (hybrid_segment LIKE '%Frequent%' OR avg_frequency >= f) THEN 'VIP loyalty program and premium personalization'
+   WHEN hybrid_segment LIKE '%High-Value Inactive%' OR (avg_recency >= r AND avg_monetary >= m) THEN 'Win-back campaign for valuable customers'
+   WHEN hybrid_segment LIKE '%Discount%' OR avg_discount_pct >= d THEN 'Targeted promotions and coupon campaigns'
+   WHEN avg_visit_gap >= g OR hybrid_segment LIKE '%Inactive%' THEN 'Reactivation campaign based on visit gap'
+   ELSE 'Standard nurturing and personalized recommendations' END AS recommended_action
+FROM prof2, th""")
+def hybrid_overview_actions(t):
+    """DP28, overview variant: thresholds over the segment profiles."""
+    return C.overview_actions(named_features(t))
+
+
+@register("customer_basket_features", sql=cte(ORDER_LEVEL) + """
+SELECT customer_id, count(DISTINCT order_id) AS total_orders, avg(order_total) AS avg_order_value, max(order_total) AS max_order_value,
+       avg(basket_size) AS avg_basket_size, avg(n_unique_items) AS avg_unique_items_per_order,
+       sum(order_total * order_discount_pct_mean / 100) AS total_discount_amount_est,
+       median(order_total) AS median_order_value, median(basket_size) AS median_basket_size
+FROM order_level GROUP BY customer_id""")
+def customer_basket_features(t):
+    """AG17: basket and discount measures per customer with medians, maxima and sums."""
+    return C.basket_features(cut_lineage(C.order_level(t.valid_lines)))

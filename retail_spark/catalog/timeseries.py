@@ -550,6 +550,27 @@ def residual_profile(t):
     return TS.residual_profile(preds_long(t))
 
 
+@register("residual_by_month", sql=cte(DAILY, WEEKLY, PREDS) + """
+SELECT model, month(week_start) AS month, avg(abs(actual - predicted)) AS mae, avg(actual - predicted) AS bias FROM preds GROUP BY 1, 2""")
+def residual_by_month(t):
+    """AG45: residual MAE and bias by model and month."""
+    return TS.residual_by_month(preds_long(t))
+
+
+@register("daily_features", sql=cte(DAILY) + """
+SELECT section, order_date, quantity, """ + ", ".join(f"lag(quantity, {n}) OVER w AS lag_{n}" for n in (1, 2, 3, 7, 14, 21, 28)) + """,
+  avg(quantity) OVER w7 AS rolling_mean_7, stddev_samp(quantity) OVER w7 AS rolling_std_7, max(quantity) OVER w7 AS rolling_max_7,
+  min(quantity) OVER w7 AS rolling_min_7, avg(quantity) OVER w14 AS rolling_mean_14, stddev_samp(quantity) OVER w14 AS rolling_std_14,
+  avg(quantity) OVER w28 AS rolling_mean_28
+FROM daily WINDOW w AS (PARTITION BY section ORDER BY order_date),
+  w7 AS (PARTITION BY section ORDER BY order_date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+  w14 AS (PARTITION BY section ORDER BY order_date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING),
+  w28 AS (PARTITION BY section ORDER BY order_date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING)""")
+def daily_features(t):
+    """WN1 + WN3, daily: lags 1, 2, 3, 7, 14, 21, 28 and rolling windows 7, 14, 28 per section."""
+    return TS.daily_features(daily(t), "section")
+
+
 @register("prediction_alignment", sql=cte(DAILY, WEEKLY, PREDS) + """
 SELECT p.section, p.week_start, p.model, p.predicted, w.quantity, w.split
 FROM (SELECT section, week_start, model, predicted FROM preds) p

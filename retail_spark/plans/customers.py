@@ -30,6 +30,7 @@ ACTIONS = {
     "bundle": "Bundle and cross-sell offers",
     "lowcost": "Low-cost engagement campaign",
     "standard": "Standard personalized communication",
+    "nurture": "Standard nurturing and personalized recommendations",
 }
 CHURN_SEGMENTS = ("At Risk", "Lost / Hibernating", "Cannot Lose Them")
 
@@ -183,6 +184,52 @@ def recommend_actions(features: DataFrame) -> DataFrame:
     return prof.crossJoin(F.broadcast(th)).withColumn("recommended_action", action).drop("_med_rec", "_q75_basket")
 
 
+def recommend_actions_with_gap(features: DataFrame) -> DataFrame:
+    """The modelling variant of the action rules (DP28): as ``recommend_actions``
+    with a reactivation rule on the mean visit gap before the bundle rule."""
+    f = cut_lineage(features.withColumn("visit_gap", expected_visits() - F.col("frequency")))
+    prof = f.groupBy("hybrid_segment").agg(F.count(F.lit(1)).alias("customers"), F.avg("recency").alias("avg_recency"),
+                                           F.avg("visit_gap").alias("avg_visit_gap"), F.avg("avg_basket_size").alias("avg_basket_size"))
+    th = exact_quantiles(f, {"_med_rec": ("recency", 0.5), "_q75_gap": ("visit_gap", 0.75), "_q75_basket": ("avg_basket_size", 0.75)})
+    s, c = F.lower("hybrid_segment"), F.col
+    action = (F.when(s.contains("high-value") & (c("avg_recency") <= c("_med_rec")), ACTIONS["vip"])
+              .when(s.contains("high-value") & (c("avg_recency") > c("_med_rec")), ACTIONS["winback"])
+              .when(s.contains("discount"), ACTIONS["promo"])
+              .when(c("avg_visit_gap") > c("_q75_gap"), ACTIONS["reactivate"])
+              .when(c("avg_basket_size") > c("_q75_basket"), ACTIONS["bundle"])
+              .when(s.contains("low-value"), ACTIONS["lowcost"])
+              .otherwise(ACTIONS["standard"]))
+    return prof.crossJoin(F.broadcast(th)).withColumn("recommended_action", action).drop("_med_rec", "_q75_gap", "_q75_basket")
+
+
+def overview_actions(features: DataFrame) -> DataFrame:
+    """The overview variant of the action rules (DP28): thresholds are 70 % quantiles
+    and the median over the segment profiles themselves."""
+    f = features.withColumn("visit_gap", expected_visits() - F.col("frequency"))
+    prof = cut_lineage(f.groupBy("hybrid_segment").agg(
+        F.count(F.lit(1)).alias("customers"), F.avg("recency").alias("avg_recency"), F.avg("frequency").alias("avg_frequency"),
+        F.avg("monetary").alias("avg_monetary"), F.avg("avg_discount_pct").alias("avg_discount_pct"), F.avg("visit_gap").alias("avg_visit_gap")))
+    th = prof.agg(F.percentile("avg_frequency", 0.7).alias("_f"), F.percentile("avg_recency", 0.7).alias("_r"), F.median("avg_monetary").alias("_m"),
+                  F.percentile("avg_discount_pct", 0.7).alias("_d"), F.percentile("avg_visit_gap", 0.7).alias("_g"))     # one row per segment
+    s, c = F.col("hybrid_segment"), F.col
+    action = (F.when(s.startswith("High-Value") & (s.contains("Frequent") | (c("avg_frequency") >= c("_f"))), ACTIONS["vip"])
+              .when(s.contains("High-Value Inactive") | ((c("avg_recency") >= c("_r")) & (c("avg_monetary") >= c("_m"))), ACTIONS["winback"])
+              .when(s.contains("Discount") | (c("avg_discount_pct") >= c("_d")), ACTIONS["promo"])
+              .when((c("avg_visit_gap") >= c("_g")) | s.contains("Inactive"), ACTIONS["reactivate"])
+              .otherwise(ACTIONS["nurture"]))
+    return prof.crossJoin(F.broadcast(th)).withColumn("recommended_action", action).drop("_f", "_r", "_m", "_d", "_g")
+
+
+def basket_features(orders: DataFrame) -> DataFrame:
+    """Mean, median and largest order value, basket and discount measures per customer (AG17)."""
+    g = orders.groupBy("customer_id").agg(
+        F.countDistinct("order_id").alias("total_orders"), F.avg("order_total").alias("avg_order_value"), F.max("order_total").alias("max_order_value"),
+        F.avg("basket_size").alias("avg_basket_size"), F.avg("n_unique_items").alias("avg_unique_items_per_order"),
+        F.sum(F.col("order_total") * F.col("order_discount_pct_mean") / 100).alias("total_discount_amount_est"))
+    q = exact_quantiles(orders, {"median_order_value": ("order_total", 0.5), "median_basket_size": ("basket_size", 0.5)}, ["customer_id"])
+    return g.join(q, "customer_id")
+
+
 def scaled_profile(profiles: DataFrame, seg: str, cols: list[str]) -> DataFrame:
     """(x − mean) / population std across profile rows (DP29)."""
     st = profiles.agg(*[F.avg(x).alias(f"_m_{x}") for x in cols],

@@ -222,10 +222,10 @@ def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, n), dtype=int)
 
 
-def isolation_forest(df: DataFrame, feats: Sequence[str], n_trees: int = 100, sample: int = 256,
-                     keep: Sequence[str] = ()) -> DataFrame:
+def isolation_forest(df: DataFrame, fit: DataFrame, feats: Sequence[str], n_trees: int = 100, sample: int = 256,
+                     keep: Sequence[str] = (), key: str = "order_id") -> DataFrame:
     """Isolation forest (ML13): each tree is grown by ``applyInPandas`` on
-    its own hash-chosen sample of ``sample`` rows; the forest (bounded by
+    its own sample of ``sample`` rows of ``fit``, chosen by a hash of ``key``; the forest (bounded by
     trees × 2·sample nodes) is broadcast; path lengths are scored per batch."""
     depth = int(math.ceil(math.log2(sample)))
     cols = list(feats)
@@ -234,15 +234,15 @@ def isolation_forest(df: DataFrame, feats: Sequence[str], n_trees: int = 100, sa
     # (row, tree) pairs are generated — never rows × trees.  Each tree then
     # keeps the `sample` smallest hashes (the sample size is the operator's
     # definition); a tree short of candidates grows on what it drew.
-    n = df.count()
+    n = fit.count()
     tau = min(1.0, 4.0 * sample / max(n, 1))
     scale = float(2 ** 31)
-    unit = lambda t: F.pmod(F.xxhash64(F.lit(SEED), t, *cols), F.lit(2 ** 31)) / scale
+    unit = lambda t: F.pmod(F.xxhash64(F.lit(SEED), t, key), F.lit(2 ** 31)) / scale
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: unit(t) < tau)
-    cand = (df.select(*cols, F.explode(trees).alias("tree"))
+    cand = (fit.select(*cols, key, F.explode(trees).alias("tree"))
             .withColumn("_h", unit(F.col("tree"))))
-    w = Window.partitionBy("tree").orderBy("_h", *cols)     # ≤ ~4·sample rows per tree
-    samp = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample).drop("_r", "_h")
+    w = Window.partitionBy("tree").orderBy("_h", key)     # ≤ ~4·sample rows per tree
+    samp = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample).drop("_r", "_h", key)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(SEED + int(pdf["tree"].iloc[0]))

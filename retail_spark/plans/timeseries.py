@@ -440,6 +440,27 @@ def residual_profile(preds: DataFrame) -> DataFrame:
             .agg(F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.sum(e).alias("residual_sum")))
 
 
+def residual_by_month(preds: DataFrame) -> DataFrame:
+    """MAE and bias by model and calendar month (AG45)."""
+    e = F.col("actual") - F.col("predicted")
+    return (preds.groupBy("model", F.month("week_start").alias("month"))
+            .agg(F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias")))
+
+
+def daily_features(daily: DataFrame, key: str, lags=(1, 2, 3, 7, 14, 21, 28)) -> DataFrame:
+    """Daily lags and leakage-safe rolling windows of earlier days (WN1, WN3): mean, std, max, min over 7,
+    mean and std over 14, mean over 28.  One row per key and day: a key's window is bounded by the calendar."""
+    w = Window.partitionBy(key).orderBy("order_date")
+    back = lambda n: w.rowsBetween(-n, -1)
+    q = F.col("quantity")
+    return daily.select(
+        key, "order_date", "quantity", *[F.lag("quantity", n).over(w).alias(f"lag_{n}") for n in lags],
+        F.avg(q).over(back(7)).alias("rolling_mean_7"), F.stddev_samp(q).over(back(7)).alias("rolling_std_7"),
+        F.max(q).over(back(7)).alias("rolling_max_7"), F.min(q).over(back(7)).alias("rolling_min_7"),
+        F.avg(q).over(back(14)).alias("rolling_mean_14"), F.stddev_samp(q).over(back(14)).alias("rolling_std_14"),
+        F.avg(q).over(back(28)).alias("rolling_mean_28"))
+
+
 def volume_tiers(weekly: DataFrame, key: str) -> DataFrame:
     """Series tier from its train-split mean weekly quantity (SF21)."""
     return (weekly.filter(F.col("split") == "train").groupBy(key)
