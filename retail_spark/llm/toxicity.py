@@ -13,8 +13,8 @@ second person and exclamation for abuse.  A small logistic model turns the sums
 into a score.
 
 Labels are only used from training rows; lang, source and identifiers are never
-inputs.  The mined lexicon comes from one half of the training rows and the
-logistic model from the other.  Both use a bounded sample of labelled rows
+inputs.  The lexicon and the logistic model are cross-fitted on two halves of the
+training rows (see ``fit``).  They use a bounded sample of labelled rows
 (``max_train``, in hash order), so the fit costs the same at every corpus size;
 scoring reads every document whole, in its own row, without a shuffle.
 
@@ -293,17 +293,18 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = 6000) -> Model:
     """Fit on at most ``max_train`` labelled rows whose id remainder is not 1, taken in hash order.
 
-    Remainder 0 gives the lexicon, remainder 2 the logistic weights."""
+    The logistic weights see each half of them (remainder 0, remainder 2) through the lexicon of the other
+    half, so that no row is judged by terms it gave itself; the lexicon that is kept comes from both halves."""
     key = F.col(quoted(id_col))
     some = (labels.select(key.alias("id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("id").agg(F.max("toxic").alias("toxic"))
             .filter(id_remainder(F.col("id")) != 1).orderBy(F.xxhash64("id"), "id").limit(max_train))
     rows = docs.select(key.alias("id"), F.col(quoted(text_col)).alias("text")).join(F.broadcast(some), "id")   # at most max_train rows
     train = cut_lineage(rows)
-    entries = mine(train.filter(id_remainder(F.col("id")) == 0))
-    sums = add_features(train.filter(id_remainder(F.col("id")) == 2).select("id", "text", "toxic"), entries, "text", "x")
+    half = [train.filter(id_remainder(F.col("id")) == r).select("id", "text", "toxic") for r in (0, 2)]
+    sums = add_features(half[0], mine(half[1]), "text", "x").unionByName(add_features(half[1], mine(half[0]), "text", "x"))
     got = sums.select("x", "toxic").orderBy(F.xxhash64("id", "x"), "toxic").limit(max_train).collect()
     weights = fit_logistic(np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["toxic"] for r in got], dtype=float))
-    return Model(entries, weights)
+    return Model(mine(train), weights)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
