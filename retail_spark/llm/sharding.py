@@ -6,11 +6,11 @@ smallest capacity that lets all groups fit into the shards is found by binary
 search, each candidate being checked greedily, and the cuts are made under it.
 
 The running size at the end of each group lives in a checkpointed table; the
-driver holds a summary of at most ``SUMMARY`` real group ends and how many ends
-lie hidden between them.  A greedy pass over the known ends alone proves that a
+driver holds a summary of some real group ends (``SUMMARY`` at first) and how
+many ends lie hidden between them.  A greedy pass over the known ends alone proves that a
 capacity is enough; a pass that may cut anywhere inside a gap with hidden ends
-proves that one is not.  Where the two disagree, only the stretches that the
-cuts can still fall into are summarised anew, ever finer, until both searches
+proves that one is not.  Where the two disagree, the gaps with hidden ends that
+the cuts can still fall into are summarised anew, ever finer, until both searches
 name the same capacity: it is the exact optimum, whatever the number of groups.
 
 Under that capacity the cuts are then spread evenly: each goes to the known end
@@ -25,8 +25,11 @@ empty result; only the id and text columns are read.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,16 +37,18 @@ from retail_spark.llm.text_udf import quoted
 from retail_spark.operators.ordered import global_running_sum
 from retail_spark.session import cut_lineage
 
-SUMMARY = 20_000      # group ends that the driver holds at a time, or 16 times the square of the shards, if that is more
+SUMMARY = 20_000      # group ends that a summary returns, or 16 times the square of the shards, if that is more
 OVERHEAD = 16         # bytes that each row takes besides its text
 
 
 @dataclass
 class Ends:
-    """Known group ends (ascending, the last is the total), rows up to each, and hidden ends just before each."""
+    """Known group ends (ascending, the last is the total), rows up to each, and the hidden ends just before each:
+    how many, all of them after ``since``."""
     at: list[int]
     rows: list[int]
     hidden: list[int]
+    since: list[int]
 
     def fits(self, capacity: int, shards: int) -> bool:
         """Greedy over known ends: true only if the capacity is enough."""
@@ -68,7 +73,7 @@ class Ends:
             j = bisect_right(self.at, start + capacity)
             if j == len(self.at):
                 start = self.at[-1]
-            elif hopeful and self.hidden[j]:
+            elif hopeful and self.hidden[j] and start + capacity > self.since[j]:
                 start += capacity
             elif j:
                 start = max(start, self.at[j - 1])
@@ -111,18 +116,31 @@ def even_cuts(ends: Ends, capacity: int, shards: int) -> list[int]:
     return out
 
 
-def _summary(groups: DataFrame, stretches: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
-    """(end, rows, number of ends) of equal slices of each stretch (a, b]: at most ``most`` rows in all."""
-    size = sum(b - a for a, b in stretches)
-    width = max(1, -(-size // (most - len(stretches))))
-    cell = F.lit(None).cast("long")
-    first = 0
-    for a, b in stretches:
-        cell = F.when((F.col("upto") > a) & (F.col("upto") <= b), F.lit(first) + F.floor((F.col("upto") - a - 1) / width)).otherwise(cell)
-        first += -(-(b - a) // width)
-    got = (groups.withColumn("cell", cell).filter(F.col("cell").isNotNull()).groupBy("cell")
+def _summary(groups: DataFrame, stretches: list[tuple[int, int]], most: int) -> list[tuple[int, int, int, int]]:
+    """(last end, rows up to it, other ends, where the slice begins) of the slices of each stretch (a, b] (ascending, disjoint).
+
+    Stretches get slices in proportion to their size, two at least: no more than most + 2 * len(stretches) rows in all."""
+    a, b = (np.array(x, dtype=np.int64) for x in zip(*stretches, strict=True))
+    parts = np.maximum(2, most * (b - a) // int((b - a).sum()))
+    width = np.maximum(1, -(-(b - a) // parts))
+    first = np.cumsum(parts) - parts
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto = batch.column(0).to_numpy(zero_copy_only=False)
+            k = np.searchsorted(a, upto, side="left") - 1
+            inside = (k >= 0) & (upto <= b[np.maximum(k, 0)])
+            k, upto = k[inside], upto[inside]
+            yield pa.RecordBatch.from_arrays([pa.array(first[k] + (upto - a[k] - 1) // width[k]), pa.array(upto),
+                                              pa.array(batch.column(1).to_numpy(zero_copy_only=False)[inside])], ["cell", "upto", "rows"])
+
+    got = (groups.select("upto", "rows").mapInArrow(cells, "cell long, upto long, rows long").groupBy("cell")
            .agg(F.max("upto").alias("upto"), F.max("rows").alias("rows"), F.count(F.lit(1)).alias("n")).collect())
-    return sorted((r["upto"], r["rows"], r["n"]) for r in got)
+    out = []
+    for r in got:
+        k = int(np.searchsorted(first, r["cell"], side="right")) - 1
+        out.append((r["upto"], r["rows"], r["n"] - 1, int(a[k] + (r["cell"] - first[k]) * width[k])))
+    return sorted(out)
 
 
 def minimax(groups: DataFrame, shards: int) -> tuple[Ends, int]:
@@ -131,30 +149,22 @@ def minimax(groups: DataFrame, shards: int) -> tuple[Ends, int]:
     total, biggest = top["t"], top["b"]
     floor = max(biggest, -(-total // shards))
     # The cuts can be off by a slice for each shard before them, so together they leave about shards² / most of all
-    # bytes open: with this many slices every round looks at a small part of what the round before looked at.
+    # bytes open after the first round.  Later rounds only cut gaps that still hide ends, each into two at least.
     most = max(SUMMARY, 16 * shards * shards)
     found = _summary(groups, [(0, total)], most)
-    ends = Ends([x[0] for x in found], [x[1] for x in found], [x[2] - 1 for x in found])
+    ends = Ends(*map(list, zip(*found, strict=True)))
     while True:
         enough = least(floor, total, lambda c: ends.fits(c, shards))
         possible = least(floor, enough, lambda c: ends.may_fit(c, shards))
         if enough == possible:
             return ends, enough
-        spans: list[tuple[int, int]] = []
-        for a, b in zip(ends.reach(possible, shards, False), ends.reach(enough, shards, True), strict=True):
-            i, j = bisect_right(ends.at, a), bisect_left(ends.at, b)      # whole gaps only
-            a, b = (ends.at[i - 1] if i else 0), ends.at[min(j, len(ends.at) - 1)]
-            if a < b and any(ends.hidden[i:j + 1]):
-                spans.append((a, b))
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(spans):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        keep = [(p, r, h) for p, r, h in zip(ends.at, ends.rows, ends.hidden, strict=True) if not any(a < p <= b for a, b in merged)]
-        found = sorted(keep + [(p, r, n - 1) for p, r, n in _summary(groups, merged, most)])
-        ends = Ends([x[0] for x in found], [x[1] for x in found], [x[2] for x in found])
+        open_gaps: set[int] = set()       # those with hidden ends that a cut can fall into
+        for low, high in zip(ends.reach(possible, shards, False), ends.reach(enough, shards, True), strict=True):
+            i, j = bisect_right(ends.at, low), bisect_left(ends.at, high)
+            open_gaps.update(k for k in range(i, min(j, len(ends.at) - 1) + 1) if ends.hidden[k])
+        found = _summary(groups, [(ends.since[k], ends.at[k]) for k in sorted(open_gaps)], most)
+        known = [x for k, x in enumerate(zip(ends.at, ends.rows, ends.hidden, ends.since, strict=True)) if k not in open_gaps]
+        ends = Ends(*map(list, zip(*sorted(known + found), strict=True)))
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
