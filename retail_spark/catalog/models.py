@@ -14,6 +14,7 @@ from retail_spark.catalog import recommend as CR
 from retail_spark.catalog import timeseries as CT
 from retail_spark.catalog.segments import features
 from retail_spark.functions import exprs as X
+from retail_spark.operators.broadcast import bounded
 from retail_spark.operators.windows import latest_per
 from retail_spark.plans import anomaly as A
 from retail_spark.plans import customers as C
@@ -25,6 +26,7 @@ from retail_spark.session import cut_lineage
 SEG_NUM = ["avg_order_value", "avg_basket_size", "avg_item_price", "avg_discount_pct", "discount_order_rate",
            "weekend_order_rate", "avg_order_hour", "recency", "frequency", "monetary"]
 SEG_CAT = ["preferred_payment_method", "dominant_meal_period"]
+# The feature list of the demand regressor.
 TREE_FEATS = ["lag_1w", "lag_2w", "lag_3w", "lag_4w", "lag_8w", "lag_1_2_ratio", "lag_1_2_diff", "lag_1_4_mean",
               "rolling_mean_4w", "rolling_std_4w", "rolling_max_4w", "rolling_min_4w", "rolling_mean_8w",
               "rolling_std_8w", "rolling_mean_13w", "rolling_cv_4w", "demand_momentum", "expanding_mean",
@@ -79,7 +81,7 @@ def ml_pca_projection(t):
 def _rec_inputs(t):
     inter = CR._inter(t)
     idx = RC.item_index(inter)
-    inter = inter.join(F.broadcast(idx), "item").select("customer_id", "item", "item_idx", "count")
+    inter = inter.join(bounded(idx), "item").select("customer_id", "item", "item_idx", "count")
     sp = RC.holdout(inter.select("customer_id", "item"))
     train = inter.join(sp.filter("split = 'train'").select("customer_id", "item"), ["customer_id", "item"])
     truth = sp.filter("split = 'test'").select("customer_id", "item")
@@ -90,7 +92,7 @@ def _rec_inputs(t):
 def ml_svd_recommendations(t):
     """ML6: truncated SVD (k=10) on the mean-centred matrix; DP12 metrics@5."""
     train, truth, idx = _rec_inputs(t)
-    recs = M.svd_recommend(train, 5, 10, n_items=idx.count()).join(F.broadcast(idx), "item_idx")
+    recs = M.svd_recommend(train, 5, 10, n_items=idx.count()).join(bounded(idx), "item_idx")
     return RC.rank_metrics(recs, truth, 5).withColumn("model", F.lit("svd_k10"))
 
 
@@ -98,7 +100,7 @@ def ml_svd_recommendations(t):
 def ml_als_recommendations(t):
     """ML7: implicit ALS (rank 10, α 10, λ 0.1), own items excluded; DP12 metrics@5."""
     train, truth, idx = _rec_inputs(t)
-    recs = M.als_recommend(train, 5).join(F.broadcast(idx), "item_idx")
+    recs = M.als_recommend(train, 5).join(bounded(idx), "item_idx")
     return RC.rank_metrics(recs, truth, 5).withColumn("model", F.lit("als_k10"))
 
 
@@ -106,7 +108,7 @@ def _fm_data(t):
     lines = t.valid_lines.select("order_id", "customer_id", "section", "order_ts")
     idx = RC.item_index(lines.select(F.col("section").alias("item")))
     pos = (lines.select("order_id", "customer_id", F.col("section").alias("item"), "order_ts").distinct()
-           .join(F.broadcast(idx), "item"))
+           .join(bounded(idx), "item"))
     neg = M.negatives(pos, idx.count()).join(pos.select("order_id", "customer_id", "order_ts").distinct(), "order_id")
     data = (pos.select("order_id", "customer_id", "item_idx", "order_ts", F.lit(1.0).alias("label"))
             .unionByName(neg.select("order_id", "customer_id", "item_idx", "order_ts", F.lit(0.0).alias("label"))))

@@ -70,11 +70,6 @@ def to_bool(c) -> Column:
     return F.lower(F.trim(col_(c).cast("string"))).isin(*TRUE_TOKENS)
 
 
-def to_double(c) -> Column:
-    """Bad numeric text becomes NULL instead of failing under ANSI (SRC7)."""
-    return F.expr(f"try_cast({c} AS DOUBLE)") if isinstance(c, str) else c.try_cast("double")
-
-
 def clean_token(c) -> Column:
     """NULL and 'nan'/'None' tokens → '' after trimming (SF2)."""
     t = F.trim(F.coalesce(col_(c).cast("string"), F.lit("")))

@@ -86,13 +86,6 @@ def bucketed_row_number(df: DataFrame, bucket: Column, within: list[Column], nam
             .drop("_bkt", "_off"))
 
 
-def with_total(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
-    """Attach whole-table aggregates to every row: one aggregate pass, then a
-    join with its single-row result (broadcast, one row)."""
-    tot = df.agg(*[e.alias(k) for k, e in exprs.items()])
-    return df.crossJoin(F.broadcast(tot))
-
-
 def keyed_clamped_running(df: DataFrame, key: str, order: list[Column], delta: Column,
                           start: Column, name: str = "level") -> DataFrame:
     """Running level per key that never goes below zero (WN24).

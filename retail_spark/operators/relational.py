@@ -74,12 +74,6 @@ def enrich(df: DataFrame, dim: DataFrame, key: str | list[str], bounded: bool =
     return out
 
 
-def rejoin_stats(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
-    """Group aggregates joined back to the detail rows (JN3)."""
-    stats = df.groupBy(*keys).agg(*[e.alias(k) for k, e in aggs.items()])
-    return df.join(stats, keys, "left")
-
-
 def map_or(df: DataFrame, lookup: DataFrame, key: str, value: str, order_cols: list[str],
            default) -> DataFrame:
     """Per-key first value of ``lookup`` in ascending ``order_cols`` with a

@@ -44,26 +44,6 @@ def add_rolling(df: DataFrame, keys, order, value: str, sizes: Iterable[int],
     return df.select("*", *cols)
 
 
-def add_expanding_mean(df: DataFrame, keys, order, value: str, name: str = "expanding_mean") -> DataFrame:
-    """Mean of all previous rows (WN4)."""
-    w = _w(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.avg(value).over(w))
-
-
-def moving_avg_full(df: DataFrame, order, value: str, n: int, keys=(), name: str | None = None,
-                    centred: bool = False) -> DataFrame:
-    """Trailing (WN7) or pandas-style centred (WN8) n-row mean; NULL unless the
-    window is full.  Centred even windows span rows −n/2 … +n/2−1."""
-    w = (_w(keys, order) if keys else Window.orderBy(order))
-    if centred:
-        lo, hi = -(n // 2), (n - 1) // 2 if n % 2 else n // 2 - 1
-    else:
-        lo, hi = -(n - 1), 0
-    w = w.rowsBetween(lo, hi)
-    name = name or f"ma_{n}"
-    return df.withColumn(name, F.when(F.count(F.lit(1)).over(w) == n, F.avg(value).over(w)))
-
-
 def latest_per(df: DataFrame, keys, ts: str, tiebreak: list[str] | None = None) -> DataFrame:
     """Latest row per key (WN14): ``max_by`` of the row over (ts, tie-breaks),
     a partial aggregate, so a hot key is reduced map-side instead of being
@@ -83,12 +63,6 @@ def pick_per(df: DataFrame, keys: list[str], order_cols: list[str], largest: boo
     return df.groupBy(*keys).agg(pick).select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
 
 
-def first_per(df: DataFrame, keys, order: list[Column]) -> DataFrame:
-    """Keep the first row per key in a stated order (SO2)."""
-    return (df.withColumn("_rn", F.row_number().over(_w(keys, order)))
-            .filter("_rn = 1").drop("_rn"))
-
-
 def preferred(df: DataFrame, key: str, c: str, weight: Column | None = None,
               name: str | None = None) -> DataFrame:
     """Most frequent (or highest-weight) value of ``c`` per ``key``; ties go to
@@ -101,13 +75,6 @@ def preferred(df: DataFrame, key: str, c: str, weight: Column | None = None,
             .select(key, F.col(c).alias(name or f"preferred_{c}")))
 
 
-def zscore(df: DataFrame, keys, value: str, name: str) -> DataFrame:
-    """(v − group mean) / group sample std; a zero or NULL std gives 0 (WN17)."""
-    w = Window.partitionBy(*([keys] if isinstance(keys, str) else keys))
-    sd = F.nullif(F.stddev_samp(value).over(w), F.lit(0.0))
-    return df.withColumn(name, F.coalesce(F.try_divide(F.col(value) - F.avg(value).over(w), sd), F.lit(0.0)))
-
-
 def sequences(df: DataFrame, keys, order, feats: list[str], length: int,
               name: str = "sequence") -> DataFrame:
     """Previous ``length`` feature rows as a nested array; only full windows (WN22)."""

@@ -27,8 +27,7 @@ from retail_spark.session import cut_lineage
 # Fixed values of the reference rules.
 RULES = [  # (condition builder key, weight, reason)
     ("very_high_discount", 0.45), ("high_discount", 0.20), ("voided_order", 0.30),
-    ("void_reason_present", 0.10), ("odd_hour", 0.35), ("basket_outlier", 0.25),
-    ("large_price_deviation", 0.40),
+    ("odd_hour", 0.35), ("basket_outlier", 0.25), ("large_price_deviation", 0.40),
 ]
 ENSEMBLE_WEIGHTS = {"density": 0.5, "pca": 0.2, "knn": 0.2, "rules": 0.1}
 PRECISION_FLOORS = (0.60, 0.65, 0.70)

@@ -163,6 +163,7 @@ def event_proximity(days: DataFrame, events: DataFrame, cap: int = 30) -> DataFr
                     F.least(F.coalesce("_next", F.lit(cap)), F.lit(cap)).alias("days_to_event")))
 
 
+# Holiday order and codes.
 HOLIDAY_PRIORITY = ["new_year_eve", "eid_al_fitr", "eid_al_adha", "christmas", "national", "new_year"]
 HOLIDAY_CODES = {"none": 0, "new_year": 1, "new_year_eve": 2, "eid_al_fitr": 3, "eid_al_adha": 4,
                  "national": 5, "christmas": 6}
