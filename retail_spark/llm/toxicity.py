@@ -5,7 +5,7 @@ intersected with Levenshtein automata: a state is the set of (trie node, edits
 spent) pairs that the letters read so far allow, so one pass over a word
 compares it with every lexicon word at once, and a word is given up as soon as
 the set is empty.  States are built when first needed and kept; the verdict on
-the first four letters is remembered, so most words cost one look-up.
+the first four and six letters is remembered, so most words cost one look-up.
 
 Every hit is then weighed by its window of five tokens on either side:
 quotation marks, reporting words or talk about words speak for quotation, the
@@ -53,6 +53,7 @@ FEATURES = ("exact", "fuzzy", "quoted", "abuse", "dense", "kinds")
 #: Used when the labels cannot be fitted: intercept, then one weight for each feature.
 DEFAULT = (-4.0, 1.0, 0.5, -0.5, 0.5, 0.5, 1.0)
 WINDOW = 5
+MEMORY = 200_000       # words whose match a worker process remembers
 
 
 @dataclass(frozen=True)
@@ -96,6 +97,7 @@ class FuzzyTrie:
         self.start = self._state({0: 0})
         self.dead = self._state({})
         self.alive = _Prefixes(self)
+        self.seen: dict[str, tuple[float, int] | None] = {}
 
     def _state(self, nodes: dict[int, int]) -> int:
         todo = list(nodes.items())
@@ -126,6 +128,14 @@ class FuzzyTrie:
             got = self.next[state][c] = self._state(new)
         return got
 
+    def best(self, word: str) -> tuple[float, int] | None:
+        """``match``, remembered for the words met lately (bounded, only saves time)."""
+        if word not in self.seen:
+            if len(self.seen) >= MEMORY:
+                self.seen.clear()
+            self.seen[word] = self.match(word)
+        return self.seen[word]
+
     def match(self, word: str) -> tuple[float, int] | None:
         """The weight and edits of the best entry for a word: fewest edits, then largest weight."""
         state, best = self.start, None
@@ -145,7 +155,7 @@ class FuzzyTrie:
 
 
 class _Prefixes(dict):
-    """First four letters -> whether any entry is still possible after them."""
+    """First letters (four or six) -> whether any entry is still possible after them."""
 
     def __init__(self, trie: FuzzyTrie):
         super().__init__()
@@ -176,7 +186,7 @@ def features(text: str | None, trie: FuzzyTrie) -> tuple[float, ...]:
     hits: dict[str, tuple[float, int]] = {}
     for t in set(tokens):
         w = t.strip(STRIP)
-        if alive[w[:4]] and (got := trie.match(w)):
+        if alive[w[:4]] and alive[w[:6]] and (got := trie.best(w)):
             hits[t] = got
     if not hits:
         return (0.0,) * len(FEATURES)
