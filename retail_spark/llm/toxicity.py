@@ -155,7 +155,7 @@ class FuzzyTrie:
 
 
 class _Prefixes(dict):
-    """First letters (four or six) -> whether any entry is still possible after them."""
+    """First letters (four or six) -> whether any entry is still possible after them, or a stem was passed on the way."""
 
     def __init__(self, trie: FuzzyTrie):
         super().__init__()
@@ -163,10 +163,11 @@ class _Prefixes(dict):
 
     def __missing__(self, prefix: str) -> bool:
         t = self.trie
-        state = t.start
+        state, found = t.start, False
         for c in prefix:
             state = t.step(state, c)
-        self[prefix] = found = state != t.dead
+            found = found or any(e == 0 and node in t.stem for node, e in t.sets[state].items())
+        self[prefix] = found = found or state != t.dead
         return found
 
 

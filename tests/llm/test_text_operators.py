@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import defaultdict
 
 import duckdb
 import numpy as np
@@ -192,6 +193,15 @@ def test_context_separates_quotation_from_abuse():
     assert toxicity.features(None, trie) == toxicity.features("", trie) == (0.0,) * len(toxicity.FEATURES)
 
 
+def test_toxicity_features_keep_the_hits_of_short_stems():
+    entries = [toxicity.Entry("scumb", 2.5, True), toxicity.Entry("vermi", 2.0, True), toxicity.Entry("idiot", 3.0), toxicity.Entry("rat", 1.5, True)]
+    quick, whole = toxicity.FuzzyTrie(entries), toxicity.FuzzyTrie(entries)
+    whole.alive = defaultdict(lambda: True)
+    for text in ("You scumbag!", "vermin and scumbags", "ratbag", "rats", "scumb vermi rat", "an idoit, scummy", "plain words only"):
+        assert toxicity.features(text, quick) == toxicity.features(text, whole)
+    assert quick.match("scumbag") == (2.5, 0) and any(toxicity.features("scumbag", quick))
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in toxicity.query(spark, sf).collect()}
