@@ -5,9 +5,10 @@ placeholders, the rest is lower-cased and loses its punctuation.  Windows of
 five template words are hashed, and the windows of the documents meet those of
 the benchmark in a hash join.  A document is contaminated by an item when it
 holds at least ``min_share`` of the item's distinct windows and its slots are
-consistent: along the best alignment, equal values of the item's slots always
-stand for equal values in the document.  So a question with other numbers and
-names is still found, and a text that merely has the same frame is not.
+consistent: along one alignment that holds that many windows, equal values of
+the item's slots always stand for equal values in the document.  So a question
+with other numbers and names is still found, also with a word more or less, and
+a text that merely has the same frame is not.
 
 Windows that consist of placeholders only say nothing and do not count.  Each
 document sends every window once, whatever its length; the benchmark side is
@@ -110,32 +111,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = (sent.join(held(windows), "h").groupBy("id", "text_hash", "item").agg(F.count_distinct("h").alias("matched"))
              .join(held(need), "item").filter(F.col("matched") * 100 >= F.col("windows") * min_share_pct))
     found = cut_lineage(found.select("id", "text_hash", "item", "matched", "windows"))
-    slots = (items.select("item", F.posexplode("words").alias("slot", "word"), "raw").filter(F.col("word").startswith("‹"))
-             .select("item", "slot", F.get("raw", F.col("slot")).alias("item_value")))
-    slotted = found.join(slots.select("item").distinct(), "item", "left_semi")
-    return found.join(_inconsistent(docs, slotted, items, slots, id_col, text_col),
-                      found["id"].eqNullSafe(F.col("bad_id")) & (F.col("text_hash") == F.col("bad_hash")) & (F.col("item") == F.col("bad_item")),
-                      "left_anti")
+    slotted = items.filter(F.exists("words", lambda w: w.startswith("‹"))).select("item").distinct()
+    held_pairs = found.join(slotted, "item", "left_semi")
+    return found.join(slotted, "item", "left_anti").select(found.columns).unionByName(
+        _consistent(docs, held_pairs, items, id_col, text_col, min_share_pct).select(found.columns))
 
 
-def _inconsistent(docs: DataFrame, pairs: DataFrame, items: DataFrame, slots: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (document, item with slots) whose best alignment gives one item value two document values."""
+def _placed(words: Column, raw: Column) -> Column:
+    """Each window of a text: its place, hash, template words and the values behind them."""
+    return F.transform(_windows(words), lambda h, i: F.struct(
+        i.alias("pos"), h.alias("h"), F.slice(words, i + 1, WINDOW).alias("kinds"), F.slice(raw, i + 1, WINDOW).alias("behind")))
+
+
+def _consistent(docs: DataFrame, pairs: DataFrame, items: DataFrame, id_col: str, text_col: str, min_share_pct: int) -> DataFrame:
+    """Pairs (document, item with slots) of which an alignment holds enough windows and gives every item value one document value.
+
+    Only slots inside a matched window are read.  A window's shift is its place in the document less that in the item; an alignment
+    is a run of shifts that are next to each other among those met, because a word put in or left out moves all later windows.
+    Such a change costs four windows at least, which bounds how many shifts one copy can have; two more are allowed."""
     text = F.col(quoted(text_col))
     d = docs.select(F.col(quoted(id_col)).alias("doc"), F.xxhash64(text).alias("doc_hash"), text.alias("text"))
-    held = (pairs.join(d, F.col("id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("doc_hash"))).dropDuplicates(["id", "text_hash", "item"])
-            .select("id", "text_hash", "item", template(F.col("text")).alias("words"), values(F.col("text")).alias("raw")))
-    held = cut_lineage(held)
-    at = held.select("id", "text_hash", "item", F.posexplode(_windows(F.col("words"))).alias("p", "h"))
-    shifts = (at.join(_item_windows(items).withColumnRenamed("pos", "q"), ["item", "h"])
-              .groupBy("id", "text_hash", "item", (F.col("p") - F.col("q")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
-              .groupBy("id", "text_hash", "item").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift")))
-    a, b = held.alias("a"), shifts.alias("b")
-    aligned = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.text_hash") == F.col("b.text_hash")) & (F.col("a.item") == F.col("b.item"))).select(
-        "a.id", "a.text_hash", "a.item", "a.raw", "b.shift")
-    pairs_of = aligned.join(slots, "item").select("id", "text_hash", "item", "item_value", F.get("raw", F.col("shift") + F.col("slot")).alias("value"))
-    return (pairs_of.filter(F.col("value").isNotNull()).groupBy("id", "text_hash", "item", "item_value").agg(
-                F.min("value").alias("lo"), F.max("value").alias("hi"))
-            .filter(F.col("lo") != F.col("hi")).select(F.col("id").alias("bad_id"), F.col("text_hash").alias("bad_hash"), F.col("item").alias("bad_item")))
+    held = cut_lineage(pairs.join(d, F.col("id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("doc_hash"))).dropDuplicates(["id", "text_hash", "item"])
+                       .select(*pairs.columns, template(F.col("text")).alias("words"), values(F.col("text")).alias("raw")))
+    one = held.select(*pairs.columns, F.explode(_placed(F.col("words"), F.col("raw"))).alias("x")).select(
+        *pairs.columns, F.col("x.pos").alias("p"), F.col("x.h").alias("h"), F.col("x.behind").alias("value"))
+    other = items.select("item", F.explode(_placed(F.col("words"), F.col("raw"))).alias("y")).select(
+        "item", F.col("y.pos").alias("q"), F.col("y.h").alias("h"), F.col("y.kinds").alias("kinds"), F.col("y.behind").alias("item_value"))
+    literal = F.exists("kinds", lambda w: ~w.startswith("‹"))
+    slots = F.filter(F.transform("kinds", lambda w, i: F.when(w.startswith("‹"), i)), lambda i: i.isNotNull())
+    key = [*pairs.columns, "shift"]
+    shifts = (one.join(other, ["item", "h"]).withColumn("shift", F.col("p") - F.col("q")).withColumn("slots", slots)
+              .groupBy(*key).agg(
+                  F.collect_set(F.when(literal, F.col("h"))).alias("hashes"),
+                  F.flatten(F.collect_set(F.transform("slots", lambda i: F.xxhash64(F.get("item_value", i))))).alias("from"),
+                  F.flatten(F.collect_set(F.transform("slots", lambda i: F.xxhash64(F.get("item_value", i), F.get("value", i))))).alias("to"))
+              .filter(F.size("hashes") > 0))
+    runs = shifts.groupBy(*pairs.columns).agg(F.sort_array(F.collect_list(F.struct("shift", "hashes", "from", "to"))).alias("runs"))
+    most = F.floor(F.col("windows") * (100 - min_share_pct) / (100 * (WINDOW - 1))).cast("int") + 3
+    kinds = lambda part, name: F.size(F.array_distinct(F.flatten(F.transform(part, lambda r: r[name]))))
+    holds = lambda part: (kinds(part, "hashes") * 100 >= F.col("windows") * min_share_pct) & (kinds(part, "from") == kinds(part, "to"))
+    return runs.filter(F.exists(F.sequence(F.lit(1), F.size("runs")), lambda k: F.exists(
+        F.sequence(F.lit(1), F.least(most, F.size("runs") - k + 1)), lambda n: holds(F.slice("runs", k, n)))))
 
 
 def mark(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

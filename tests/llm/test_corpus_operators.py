@@ -242,6 +242,24 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     assert sorted(((r["id"], r["item"]) for r in found.collect()), key=key) == [(None, 5), (1, 1)]
 
 
+LONG_ITEM = (1, "On the way home a farmer named John has 12 apples in one large basket and gives 5 apples to Mary near the old stone bridge, "
+                "so how many apples does the farmer John keep in the basket after the walk?")
+
+
+def found_ids(spark, texts, items):
+    found = decontamination.contaminated(spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    return sorted((r["id"], r["item"]) for r in found.collect())
+
+
+def test_slots_are_read_along_every_alignment(spark):
+    item = LONG_ITEM[1]
+    other = item.replace("John", "Peter").replace("Mary", "Susan").replace("12", "30")
+    decoy = other.replace("farmer Peter", "farmer Susan")
+    texts = [(1, other), (2, other.replace("old stone", "old grey stone")), (3, other.replace("large ", "")), (4, f"{decoy} {other}"), (5, f"{other} {decoy}"),
+             (6, decoy), (7, decoy.replace("old stone", "old grey stone")), (8, f"{decoy} Some words. {decoy}")]
+    assert found_ids(spark, texts, [LONG_ITEM]) == [(k, 1) for k in (1, 2, 3, 4, 5)]
+
+
 def test_decontamination_matches_the_sql_twin(spark, edge_dir):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
