@@ -16,7 +16,10 @@ broadcast when its measured size allows it and is joined by a shuffle otherwise.
 Matches are counted per (document, item) with map-side combining.
 
 Names are capitalised words inside a sentence; sentences begin at the start of
-a text or line and after . ! ? : ; …
+a text or line and after . ! ? : ; …  As names can open sentences and have
+several words, both sides are read a second time: a capitalised word that opens
+a sentence is a name as well, and a run of one placeholder is one slot.  A pair
+counts if it holds in one of the two readings.
 
 Edge cases: null and empty texts have no template and stay; items of fewer than
 five template words (null and empty ones too) give no evidence and match
@@ -44,6 +47,8 @@ UNITS = ("mm cm km meter meters metre metres kilometer kilometers kilometre kilo
          "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents "
          "usd eur percent degree degrees mph kmh kph").split()
 BLANKS = "\t\x0b\x0c\r"
+PLAIN, OPEN = 0, 1             # the two readings of a text
+PLACEHOLDERS = ("‹num›", "‹name›", "‹unit›")
 #: Literal replacements, then patterns with $n groups, in this order.  A line end closes a sentence (¶).
 MARKS = (("‹", ""), ("›", ""), ("\x01", ""), ("\n", "¶ "), *((c, " ") for c in BLANKS))
 NAMES = ((r"([.!?:;…¶][\")”’]* +)(\p{Lu})", "$1\x01$2"), (r" \p{Lu}\p{Ll}+", " ‹name›"))
@@ -68,6 +73,53 @@ def template(text: Column) -> Column:
     return F.transform(_words(t), lambda w: F.when(w.isin(NUMBERS), "‹num›").when(w.isin(UNITS), "‹unit›").otherwise(w))
 
 
+def _step(a: Column, f) -> Column:
+    """``f`` of ``a``, bound to a name by a one-element array, so that it is worked out once."""
+    return F.get(F.transform(F.array(a), f), 0)
+
+
+def _marked(text: Column) -> Column:
+    """Template words before word lists: a capital that opens a sentence is marked \x01, and the end of its name \x02."""
+    t = F.replace(F.coalesce(text, F.lit("")), F.lit("\x02"), F.lit("\x03"))   # both go with the punctuation
+    for old, new in MARKS:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    t = F.concat(F.lit("¶ "), t)
+    for pattern, new in (NAMES[0], ("\x01(\\p{Lu}\\p{Ll}+)", "\x01$1\x02"), NAMES[1]):
+        t = F.regexp_replace(t, pattern, new)
+    t = F.lower(t)
+    for pattern, new in (REST[0], (r"[^\p{L}\p{M}\p{N}‹›" + "\x01\x02 ]+", "")):
+        t = F.regexp_replace(t, pattern, new)
+    return _words(t)
+
+
+def _plain(marked: Column) -> Column:
+    """The plain reading, equal to ``template``: names that open a sentence stay words."""
+    listed = lambda w: F.when(w.isin(NUMBERS), "‹num›").when(w.isin(UNITS), "‹unit›").otherwise(w)
+    return F.transform(marked, lambda w: F.when(w.startswith("\x01"), _step(F.translate(w, "\x01\x02", ""), listed)).otherwise(listed(w)))
+
+
+def _name(marked: Column) -> Column:
+    return F.concat(F.lit("‹name›"), F.substring_index(marked, "\x02", -1))
+
+
+def read(frame: DataFrame, reading: int, text_col: str = "text") -> DataFrame:
+    """``frame`` with the template ``words`` of a reading and, one for one, the words behind them (``raw``); the text goes.
+
+    In the open reading names may open sentences, and a run of one placeholder is one, unless a sentence opens in it."""
+    text = F.col(text_col)
+    t = frame.withColumn("raw", values(text)).withColumn("reading", F.lit(reading))
+    if reading == PLAIN:
+        return t.withColumn("words", template(text)).drop(text_col)
+    t = t.withColumn("marked", _marked(text)).withColumn("plain", _plain(F.col("marked")))
+    t = t.withColumn("words", F.zip_with("marked", "plain", lambda w, p: F.when(
+        w.startswith("\x01") & w.contains("\x02") & ~p.isin(*PLACEHOLDERS), _name(w)).otherwise(p)))
+    starts = F.transform("words", lambda w, i: F.when(
+        ~w.eqNullSafe(F.get("words", i - 1)) | ~w.isin(*PLACEHOLDERS) | F.get("marked", i).startswith("\x01"), i))
+    t = t.withColumn("starts", F.filter(starts, lambda i: i.isNotNull()))
+    run = F.transform("starts", lambda i, k: F.array_join(F.slice("raw", i + 1, F.coalesce(F.get("starts", k + 1), F.size("raw")) - i), " "))
+    return t.withColumn("raw", run).withColumn("words", F.transform("starts", lambda i: F.get("words", i))).drop("marked", "plain", "starts", text_col)
+
+
 def values(text: Column) -> Column:
     """The words behind ``template(text)``, one for one: lower case, without punctuation."""
     t = F.coalesce(text, F.lit(""))
@@ -76,45 +128,69 @@ def values(text: Column) -> Column:
     return _words(F.regexp_replace(F.lower(t), REST[-1][0], ""))
 
 
-def _windows(words: Column) -> Column:
+def _windows(words: Column, reading: int = PLAIN) -> Column:
     """Hashes of all windows of five words, in order (empty for fewer): neighbours are hashed in pairs, pairs of pairs, and one more."""
-    one = F.transform(words, lambda w: F.xxhash64(w))
-    ahead = lambda a, k: F.slice(a, k + 1, F.greatest(F.lit(0), F.size(words) - k))
+    return _chained(F.transform(words, lambda w: F.xxhash64(w)), F.size(words), reading)
+
+
+def _chained(one: Column, size: Column, reading: int) -> Column:
+    """Hashes of the windows over the word hashes ``one``."""
+    last = (lambda x, y: F.xxhash64(x, y, F.lit(reading))) if reading else (lambda x, y: F.xxhash64(x, y))
+    ahead = lambda a, k: F.slice(a, k + 1, F.greatest(F.lit(0), size - k))
     both = lambda x, y: F.xxhash64(x, y)
     pairs = lambda a: F.zip_with(a, ahead(a, 1), both)
     fours = lambda a: F.zip_with(a, ahead(a, 2), both)
-    # each step is bound to a name by a one-element array, so that it is worked out once
-    step = lambda a, f: F.get(F.transform(F.array(a), f), 0)
-    five = step(one, lambda h: step(pairs(h), lambda h2: F.zip_with(fours(h2), ahead(h, 4), both)))
-    return F.slice(five, 1, F.greatest(F.lit(0), F.size(words) - (WINDOW - 1)))
+    five = _step(one, lambda h: _step(pairs(h), lambda h2: F.zip_with(fours(h2), ahead(h, 4), last)))
+    return F.slice(five, 1, F.greatest(F.lit(0), size - (WINDOW - 1)))
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
-    """(item, pos, h) of each window of ``items`` (item, words) that has a literal word."""
-    return (items.select("item", "words", F.posexplode(_windows(F.col("words"))).alias("pos", "h"))
-            .filter(F.exists(F.slice("words", F.col("pos") + 1, WINDOW), lambda w: ~w.startswith("‹"))).select("item", "pos", "h"))
+    """(item, reading, h) of each window of ``items`` (item, reading, words) that has a literal word."""
+    h = F.when(F.col("reading") == PLAIN, _windows(F.col("words"))).otherwise(_windows(F.col("words"), OPEN))
+    return (items.select("item", "reading", "words", F.posexplode(h).alias("pos", "h"))
+            .filter(F.exists(F.slice("words", F.col("pos") + 1, WINDOW), lambda w: ~w.startswith("‹"))).select("item", "reading", "h").distinct())
+
+
+def _sent(text: Column) -> Column:
+    """Window hashes of both readings of a text; the open one (see ``read``) is made from the word hashes of the plain one."""
+    def placeholder(x: Column) -> Column:
+        num, name, unit = (F.xxhash64(F.lit(w)) for w in PLACEHOLDERS)
+        return (x == num) | (x == name) | (x == unit)
+
+    def runs(m: Column, h: Column) -> Column:
+        return F.filter(h, lambda x, i: ~x.eqNullSafe(F.get(h, i - 1)) | ~placeholder(x) | F.get(m, i).startswith("\x01"))
+
+    def sent(m: Column, h: Column) -> Column:
+        names = F.zip_with(m, h, lambda w, x: F.when(w.startswith("\x01") & w.contains("\x02") & ~placeholder(x), F.xxhash64(_name(w))).otherwise(x))
+        return F.concat(_chained(h, F.size(h), PLAIN), _step(_step(names, lambda n: runs(m, n)), lambda o: _chained(o, F.size(o), OPEN)))
+
+    return _step(_marked(text), lambda m: _step(F.transform(_plain(m), lambda w: F.xxhash64(w)), lambda h: sent(m, h)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                  item_text_col: str = "text", min_share_pct: int = SHARE_PCT) -> DataFrame:
     """One row for each contaminated (document, item): id, text_hash, item, matched, windows."""
     text = F.col(quoted(text_col))
-    items = cut_lineage(benchmark.select(F.col(quoted(item_col)).alias("item"), F.col(quoted(item_text_col)).alias("text")).filter("item IS NOT NULL")
-                        .select("item", template(F.col("text")).alias("words"), values(F.col("text")).alias("raw")))
-    windows = cut_lineage(_item_windows(items).select("item", "h").distinct())
+    given = benchmark.select(F.col(quoted(item_col)).alias("item"), F.col(quoted(item_text_col)).alias("text")).filter("item IS NOT NULL")
+    items = cut_lineage(read(given, PLAIN).unionByName(read(given, OPEN)))
+    windows = cut_lineage(_item_windows(items))
     small = windows.count() <= BROADCAST_ROWS
     # the benchmark's windows are broadcast only when they were counted to be few enough
     held = (lambda d: F.broadcast(d)) if small else (lambda d: d)
-    need = windows.groupBy("item").agg(F.count(F.lit(1)).alias("windows"))
-    d = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("text_hash"), template(text).alias("words"))
-    sent = d.select("id", "text_hash", F.explode(_windows(F.col("words"))).alias("h"))
-    found = (sent.join(held(windows), "h").groupBy("id", "text_hash", "item").agg(F.count_distinct("h").alias("matched"))
-             .join(held(need), "item").filter(F.col("matched") * 100 >= F.col("windows") * min_share_pct))
-    found = cut_lineage(found.select("id", "text_hash", "item", "matched", "windows"))
-    slotted = items.filter(F.exists("words", lambda w: w.startswith("‹"))).select("item").distinct()
-    held_pairs = found.join(slotted, "item", "left_semi")
-    return found.join(slotted, "item", "left_anti").select(found.columns).unionByName(
-        _consistent(docs, held_pairs, items, id_col, text_col, min_share_pct).select(found.columns))
+    need = windows.groupBy("item", "reading").agg(F.count(F.lit(1)).alias("windows"))
+    sent = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("text_hash"), F.explode(_sent(text)).alias("h"))
+    found = (sent.join(held(windows), "h").groupBy("id", "text_hash", "item", "reading").agg(F.count_distinct("h").alias("matched"))
+             .join(held(need), ["item", "reading"]).filter(F.col("matched") * 100 >= F.col("windows") * min_share_pct))
+    found = cut_lineage(found.select("id", "text_hash", "item", "reading", "matched", "windows"))
+    slotted = items.filter(F.exists("words", lambda w: w.startswith("‹"))).select("item", "reading").distinct()
+    sure = found.join(slotted, ["item", "reading"], "left_anti").select(found.columns)
+    known = sure.select(F.col("id").alias("sure_id"), F.col("text_hash").alias("sure_hash"), F.col("item").alias("sure_item")).distinct()
+    unsure = found.join(slotted, ["item", "reading"], "left_semi").select(found.columns)
+    unsure = unsure.join(known, F.col("id").eqNullSafe(F.col("sure_id")) & (F.col("text_hash") == F.col("sure_hash")) & (F.col("item") == F.col("sure_item")),
+                         "left_anti")
+    either = sure.unionByName(_consistent(docs, unsure, items, id_col, text_col, min_share_pct).drop("runs"))
+    first = F.min_by(F.struct("matched", "windows"), "reading").alias("first")
+    return either.groupBy("id", "text_hash", "item").agg(first).select("id", "text_hash", "item", "first.matched", "first.windows")
 
 
 def _placed(words: Column, raw: Column) -> Column:
@@ -131,16 +207,18 @@ def _consistent(docs: DataFrame, pairs: DataFrame, items: DataFrame, id_col: str
     Such a change costs four windows at least, which bounds how many shifts one copy can have; two more are allowed."""
     text = F.col(quoted(text_col))
     d = docs.select(F.col(quoted(id_col)).alias("doc"), F.xxhash64(text).alias("doc_hash"), text.alias("text"))
-    held = cut_lineage(pairs.join(d, F.col("id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("doc_hash"))).dropDuplicates(["id", "text_hash", "item"])
-                       .select(*pairs.columns, template(F.col("text")).alias("words"), values(F.col("text")).alias("raw")))
+    held = pairs.join(d, F.col("id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("doc_hash"))).dropDuplicates(["id", "text_hash", "item", "reading"])
+    held = cut_lineage(held.select(*pairs.columns, "text"))
+    both = [read(held.filter(F.col("reading") == r), r).select(*pairs.columns, "words", "raw") for r in (PLAIN, OPEN)]
+    held = cut_lineage(both[0].unionByName(both[1]))
     one = held.select(*pairs.columns, F.explode(_placed(F.col("words"), F.col("raw"))).alias("x")).select(
         *pairs.columns, F.col("x.pos").alias("p"), F.col("x.h").alias("h"), F.col("x.behind").alias("value"))
-    other = items.select("item", F.explode(_placed(F.col("words"), F.col("raw"))).alias("y")).select(
-        "item", F.col("y.pos").alias("q"), F.col("y.h").alias("h"), F.col("y.kinds").alias("kinds"), F.col("y.behind").alias("item_value"))
+    other = items.select("item", "reading", F.explode(_placed(F.col("words"), F.col("raw"))).alias("y")).select(
+        "item", "reading", F.col("y.pos").alias("q"), F.col("y.h").alias("h"), F.col("y.kinds").alias("kinds"), F.col("y.behind").alias("item_value"))
     literal = F.exists("kinds", lambda w: ~w.startswith("‹"))
     slots = F.filter(F.transform("kinds", lambda w, i: F.when(w.startswith("‹"), i)), lambda i: i.isNotNull())
     key = [*pairs.columns, "shift"]
-    shifts = (one.join(other, ["item", "h"]).withColumn("shift", F.col("p") - F.col("q")).withColumn("slots", slots)
+    shifts = (one.join(other, ["item", "reading", "h"]).withColumn("shift", F.col("p") - F.col("q")).withColumn("slots", slots)
               .groupBy(*key).agg(
                   F.collect_set(F.when(literal, F.col("h"))).alias("hashes"),
                   F.flatten(F.collect_set(F.transform("slots", lambda i: F.xxhash64(F.get("item_value", i))))).alias("from"),

@@ -260,6 +260,21 @@ def test_slots_are_read_along_every_alignment(spark):
     assert found_ids(spark, texts, [LONG_ITEM]) == [(k, 1) for k in (1, 2, 3, 4, 5)]
 
 
+def test_names_that_open_sentences_and_runs_of_placeholders(spark):
+    item = "Anna has 25 apples in a basket. Anna gives 5 apples to John at the gate. How many apples are left?"
+    texts = [(1, item.replace("Anna", "Zoe")), (2, item.replace("25", "twenty five").replace("Anna", "Zoe")), (3, item.replace("John", "Mary Ann")),
+             (4, item.replace("Anna has", "Zoe has").replace("Anna gives", "Carl gives")), (5, "Question: " + item.replace("Anna", "Mary Ann")),
+             (6, "\x01Anna sings. İpek and I5 walk home, Anna's \u01c5 THE end. Five days pass.")]
+    assert found_ids(spark, texts, [(1, item)]) == [(k, 1) for k in (1, 2, 3, 5)]
+    both = spark.createDataFrame(texts + TEXTS, "doc_id int, text string").select(
+        decontamination.template(F.col("text")).alias("a"), decontamination._plain(decontamination._marked(F.col("text"))).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both)
+    sides = [decontamination.read(spark.createDataFrame(texts + TEXTS, "doc_id int, text string").select("text", F.col("text").alias("kept")), r)
+             .select(F.concat_ws(" ", "words").alias("k"), decontamination._windows(F.col("words"), r).alias("w"), "kept").collect() for r in (0, 1)]
+    sent = spark.createDataFrame(texts + TEXTS, "doc_id int, text string").select(decontamination._sent(F.col("text")).alias("h")).collect()
+    assert [r["h"] for r in sent] == [a["w"] + b["w"] for a, b in zip(*sides)]
+
+
 def test_decontamination_matches_the_sql_twin(spark, edge_dir):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
