@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from retail_spark.llm import (byte_bpe, decontamination, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash,
-                              token_counts, toxicity)
+from retail_spark.llm import (alignment, byte_bpe, decontamination, filter_audit, hilbert_search, packing, quality_classifier, quality_rules,
+                              secret_scan, sharding, simhash, token_counts, toxicity)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,9 +16,14 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.query,
     "op9_token_counts": token_counts.query,
     "op10_toxicity": toxicity.query,
+    "op11_nearest_neighbours": hilbert_search.query,
+    "op12_tokenizer_alignment": alignment.query,
+    "op13_filter_audit": filter_audit.query,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
     "op7_benchmark_decontamination": decontamination.SQL,
+    "op11_nearest_neighbours": hilbert_search.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }

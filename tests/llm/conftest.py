@@ -22,7 +22,7 @@ def edge_dir(tmp_path_factory):
     docs = pq.read_table(f"{SF_SMALL}/documents.parquet").cast(SCHEMA)
     extra = pa.table([pa.array(c, t) for c, t in zip(zip(*EDGE), SCHEMA.types)], schema=SCHEMA)
     pq.write_table(pa.concat_tables([docs, extra]), d / "documents.parquet")
-    for t in ("labels", "benchmark"):
+    for t in ("labels", "benchmark", "embeddings"):
         pq.write_table(pq.read_table(f"{SF_SMALL}/{t}.parquet"), d / f"{t}.parquet")
     return str(d)
 
@@ -31,7 +31,7 @@ def edge_dir(tmp_path_factory):
 def empty_dir(tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
     pq.write_table(SCHEMA.empty_table(), d / "documents.parquet")
-    for t in ("labels", "benchmark"):
+    for t in ("labels", "benchmark", "embeddings"):
         pq.write_table(pq.read_table(f"{SF_SMALL}/{t}.parquet").slice(0, 0), d / f"{t}.parquet")
     return str(d)
 
