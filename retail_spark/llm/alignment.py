@@ -5,9 +5,9 @@ an Arrow pipeline over some documents at a time:
 
 * a text is cut in front of single spaces that follow a visible character; no
   token of either vocabulary reaches across such a cut, so the cuts are
-  dictionary-encoded and each distinct one is encoded once (a bounded memory per
+  numbered and each distinct one is encoded once (a bounded memory per
   worker process only saves time);
-* the cuts' id lists are taken by code, flattened, and parent indices lead each
+* the cuts' id lists are taken by number, flattened, and parent indices lead each
   token back to its document;
 * token lengths are summed up within each document (segmented cumulative sums),
   which gives every token a (document, end) key;
@@ -51,8 +51,7 @@ from retail_spark.llm.token_counts import byte_symbols
 from retail_spark.session import shared_path
 
 TOGETHER = 1 << 20     # characters of the documents that go through the pipeline together
-MEMORY = 24 << 20      # bytes of remembered cuts and ids of a worker process (keys and values, without Python's overhead)
-LONGEST_CUT = 64       # characters of a remembered cut
+MEMORY = 6 << 20       # characters of the cuts that a worker process remembers before it starts anew (all of a run's own come on top)
 MERGED = 1 << 21       # pair rows that a task counts together
 HOT_PAIRS = 1 << 21    # K: pairs that may be sent to every task
 _CUT = re.compile(r"(?<=\S) (?!\Z)")
@@ -91,34 +90,42 @@ class Vocabularies:
         # decimal ids followed by the sign that comes next in the digest: "," "|" ";"
         self.signs = pa.array([d + s for s in ",|;" for d in digits])
         self.n_ids = len(digits)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}                 # number of a cut in both memories
+        self.memories = (Memory(), Memory())
         self.held = 0
 
-    def encode(self, cuts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
-        """Id lists of each distinct cut, read with the space that stands before it."""
-        known = self.known
-        new = [c for c in cuts if c not in known]
+    def encode(self, cuts: list[str]) -> tuple[np.ndarray, pa.ListArray, pa.ListArray]:
+        """Numbers of the cuts, each read with the space that stands before it, and the id lists by number."""
+        if self.held > MEMORY:
+            self._forget()
+        new = list(set(cuts).difference(self.known))
         for at in range(0, len(new), 1 << 14):
             some = new[at:at + (1 << 14)]
             first = self.a.encode_batch([" " + c for c in some], add_special_tokens=False)
-            for c, x, y in zip(some, first, self.b.encode(some, num_threads=1), strict=True):
-                known[c] = (array("i", x.ids).tobytes(), array("i", y).tobytes())
-        both = [known[c] for c in cuts]
-        for c in new:
-            if len(c) > LONGEST_CUT:
-                del known[c]
-            else:
-                self.held += len(c) + sum(map(len, known[c]))
-        if self.held > MEMORY:
-            known.clear()
-            self.held = 0
-        return tuple(_lists([x[side] for x in both]) for side in (0, 1))
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
+            self.memories[0].add([x.ids for x in first])
+            self.memories[1].add(self.b.encode(some, num_threads=1))
+        self.held += sum(map(len, new))
+        return np.fromiter(map(self.known.__getitem__, cuts), np.int32, len(cuts)), *[m.lists() for m in self.memories]
+
+
+class Memory:
+    """A list array that grows."""
+
+    def __init__(self):
+        self.ids, self.ends = array("i"), array("i", [0])
 
+    def add(self, lists: list[list[int]]) -> None:
+        for ids in lists:
+            self.ids.extend(ids)
+            self.ends.append(len(self.ids))
 
-def _lists(packed: list[bytes]) -> pa.ListArray:
-    offsets = np.zeros(len(packed) + 1, np.int32)
-    np.cumsum([len(x) >> 2 for x in packed], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+    def lists(self) -> pa.ListArray:
+        ends, ids = (np.array(x, np.int32) for x in (self.ends, self.ids))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
 
 
 _VOCABULARIES: dict[tuple[str, str], Vocabularies] = {}
@@ -148,10 +155,9 @@ def align(own: Vocabularies, texts: list[str]) -> pa.Table:
     n = len(texts)
     cut = [_CUT.split(t) if t else [] for t in texts]
     doc_of_cut = pa.array(np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in cut]))
-    encoded = pa.array([c for some in cut for c in some], pa.string()).dictionary_encode()
-    a_lists, b_lists = own.encode(encoded.dictionary.to_pylist())
-    a, a_doc, a_key, a_text, a_first, a_base = _side(a_lists, encoded.indices, doc_of_cut, own.a_bytes, own.a_width, n)
-    b, b_doc, b_key, b_text, b_first, b_base = _side(b_lists, encoded.indices, doc_of_cut, own.b_bytes, own.b_width, n)
+    codes, a_lists, b_lists = own.encode([c for some in cut for c in some])
+    a, a_doc, a_key, a_text, a_first, a_base = _side(a_lists, pa.array(codes), doc_of_cut, own.a_bytes, own.a_width, n)
+    b, b_doc, b_key, b_text, b_first, b_base = _side(b_lists, pa.array(codes), doc_of_cut, own.b_bytes, own.b_width, n)
     a_buf, b_buf = (memoryview(x.buffers()[2] or b"").cast("B") for x in (a_text, b_text))
     whole = np.zeros(n, bool)
     for i, t in enumerate(texts):

@@ -43,7 +43,7 @@ from retail_spark.session import shared_path
 
 SEED = 20
 AXES, BITS = 6, 10       # axes of a curve and bits of an axis
-CURVES = 4
+CURVES = 3
 WINDOW = 1024            # neighbours in a run
 CELL = 1024              # rows of a cell, more when that would pass MAX_CELLS
 MAX_CELLS = 4096         # centres and radii that go to every task
@@ -96,7 +96,7 @@ def matrix(column, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     size = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy()
+    flat = column.flatten().to_numpy().astype(float)
     if (size == dim).all():
         return flat.reshape(len(size), dim)
     out = np.zeros((len(size), dim))
@@ -177,7 +177,7 @@ def _entries(table: DataFrame, top: float, dim: int, curves: int) -> DataFrame:
                                            pa.array(np.full(len(at), flag)), *mine.columns],
                                           names=["curve", "key", "asked", "row", "vec_id", "v"])
 
-    return table.mapInArrow(run, "curve int, key long, asked boolean, row long, vec_id long, v array<double>")
+    return table.mapInArrow(run, f"curve int, key long, asked boolean, row long, vec_id long, v {dict(table.dtypes)['v']}")
 
 
 def _cells(base: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,12 +221,13 @@ def search(table: DataFrame, asked: Column, k: int, id_col: str = "vec_id", vec_
     Without ``exact`` the answer is that of the curves' windows alone.
     """
     spark = table.sparkSession
-    vec = F.col(quoted(vec_col)).cast("array<double>")
+    single = table.schema[vec_col].dataType.simpleString() == "array<float>"        # half the bytes to move, and exact
+    vec = F.col(quoted(vec_col)).cast("array<float>" if single else "array<double>")
     path = shared_path(spark, "vectors")
     (table.select(F.col(quoted(id_col)).cast("long").alias("vec_id"), vec.alias("v"), F.coalesce(asked, F.lit(False)).alias("asked"))
      .filter(usable(F.col("v"))).withColumn("row", F.monotonically_increasing_id()).write.parquet(path))
     known = spark.read.parquet(path)
-    square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
+    square = F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda s, c: s + c * c)
     size = known.agg(F.max(F.size("v")).alias("dim"), F.max(F.sqrt(square)).alias("top")).first()
     if not size["dim"]:
         return known.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
@@ -283,7 +284,7 @@ def _reach_further(known: DataFrame, placed: DataFrame, found: DataFrame, k: int
                                           names=["chunk", "row", "vec_id", "v", "least"])
 
     groups = -(-known.filter("asked").count() // chunk) or 1
-    asked = queries.select("row", "vec_id", "v", "least").mapInArrow(ask, "chunk long, row long, vec_id long, v array<double>, least double")
+    asked = queries.select("row", "vec_id", "v", "least").mapInArrow(ask, f"chunk long, row long, vec_id long, v {dict(known.dtypes)['v']}, least double")
     asked = asked.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
     rows = base.select("chunk", "row", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
     asked = asked.toDF(*asked.columns)
