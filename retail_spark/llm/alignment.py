@@ -51,7 +51,7 @@ from retail_spark.llm.token_counts import byte_symbols
 from retail_spark.session import shared_path
 
 TOGETHER = 1 << 20     # characters of the documents that go through the pipeline together
-MEMORY = 6 << 20       # characters of the cuts that a worker process remembers before it starts anew (all of a run's own come on top)
+MEMORY = 10 << 20      # characters of the cuts that a worker process remembers before it starts anew (all of a run's own come on top)
 MERGED = 1 << 21       # pair rows that a task counts together
 HOT_PAIRS = 1 << 21    # K: pairs that may be sent to every task
 _CUT = re.compile(r"(?<=\S) (?!\Z)")
@@ -150,6 +150,12 @@ def _side(lists: pa.ListArray, codes: pa.Array, doc_of_cut: pa.Array, spelled: p
     return ids, doc, key, spelled.take(ids), first, base
 
 
+def _in_order(table: pa.Table, column: str) -> pa.Table:
+    """Sorted by a column that comes in a few ascending runs, which a merge sort takes as they are."""
+    table = table.combine_chunks()
+    return table.take(pa.array(np.argsort(table[column].to_numpy(), kind="stable"))).combine_chunks()
+
+
 def align(own: Vocabularies, texts: list[str]) -> pa.Table:
     """One row for each text: counts, digest, and its id pairs (B id high, A id low) with their links."""
     n = len(texts)
@@ -166,12 +172,11 @@ def align(own: Vocabularies, texts: list[str]) -> pa.Table:
 
     a_side = pa.table({"key": a_key, "a": a, "i": pa.array(np.arange(len(a)))}).filter(pa.array(whole).take(a_doc))
     b_side = pa.table({"key": b_key, "b": b, "j": pa.array(np.arange(len(b)))}).filter(pa.array(whole).take(b_doc))
-    ends = a_side.join(b_side, "key", join_type="full outer", use_threads=False).sort_by("key").combine_chunks()
+    ends = _in_order(a_side.join(b_side, "key", join_type="full outer", use_threads=False), "key")
     shared = pc.and_(pc.is_valid(ends["i"]), pc.is_valid(ends["j"]))
     doc = pc.shift_right(ends["key"], 32)
     pair = pc.add(pc.shift_left(pc.fill_null_backward(ends["b"]).cast(pa.int64()), 32), pc.fill_null_backward(ends["a"]).cast(pa.int64()))
-    counted = (pa.table({"doc": doc, "pair": pair}).group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")])
-               .sort_by([("doc", "ascending"), ("pair", "ascending")]).combine_chunks())
+    counted = _in_order(pa.table({"doc": doc, "pair": pair}).group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")]), "doc")
 
     cuts = ends.filter(shared)
     groups = np.bincount(pc.shift_right(cuts["key"], 32).to_numpy(), minlength=n)
