@@ -21,10 +21,14 @@ names of the outputs, which are replaced; repeated rows give repeated results.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,9 +37,10 @@ from pyspark.sql import types as T
 
 from retail_spark.llm.text_udf import fresh, quoted, small_batches, without
 
-MEMORY = 400_000       # cuts that a worker process remembers for sure (and half as many pre-tokens)
+MEMORY = 56 << 20      # bytes of the cuts that a worker process remembers for sure (and a quarter of that for pre-tokens), at most twice that
 LONGEST_CUT = 64       # characters of a remembered cut
-TOGETHER = 1 << 21     # characters of the texts that share a queue; one longer text has it alone
+ENTRY = 150            # bytes of a remembered entry beside its characters and ids
+TOGETHER = 1 << 19     # characters of the texts that share a queue; one longer text has it alone
 _APART = re.compile(r" (?:\s|$)")   # white space after a space: such texts go through the pattern as a whole
 
 
@@ -44,8 +49,20 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """The ids of each pre-token: lowest rank first, leftmost first among equals.
+class Ranks:
+    """The merge ranks, which are the token ids too, with those of single bytes and byte pairs as arrays."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.of = ranks
+        self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        self.pair = np.full(1 << 16, -1, np.int32)
+        for token, r in ranks.items():
+            if len(token) == 2:
+                self.pair[token[0] << 8 | token[1]] = r
+
+
+def merge_all(pieces: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pre-tokens in a row, and how many each has: lowest rank first, leftmost first among equals.
 
     All pre-tokens share one queue: they do not touch each other, so taking ranks
     in order over all of them takes them in order within each.  A pre-token
@@ -53,29 +70,28 @@ def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
     """
     data = b"\0".join(pieces) + b"\0"
     size = len(data)
-    nxt = list(range(1, size + 1))       # part i spans data[i:nxt[i]]
-    prv = list(range(-1, size - 1))
-    now: list[int | None] = [None] * (size + 1)   # rank of the pair that starts at i; another rank in an entry makes it stale
-    rank_of = ranks.get
-    bucket: dict[int, list[int]] = {}    # positions in descending order, unless in unsorted
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.cumsum([len(p) + 1 for p in pieces]) - 1
+    boxed = list if size <= TOGETHER else partial(array, "i")    # long pre-tokens: four bytes a position instead of a boxed number
+    first = np.full(size + 1, -1, np.int32)                      # rank of the pair that starts at a position
+    first[:size - 1] = ranks.pair[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+    first[ends] = -1
+    first[np.maximum(ends - 1, 0)] = -1
+    following, before = np.arange(1, size + 1, dtype=np.int32), np.arange(-1, size - 1, dtype=np.int32)
+    following[ends] = 0                                          # an end: no part begins here
+    before[0] = -1
+    before[ends[:-1] + 1] = -1
+    part = ranks.byte[raw]                                       # id of the part that begins at a position, -1: none does
+    part[ends] = -1
+    nxt, prv, part = (boxed(x.tolist()) for x in (following, before, part))     # part i spans data[i:nxt[i]]
+    now = boxed(first.tolist())                                  # another rank than an entry's makes that entry stale
+    rank_of = ranks.of.get
+    # positions of each rank in descending order, unless in unsorted
+    down = np.flatnonzero(first >= 0)[::-1]
+    down = down[np.argsort(first[down], kind="stable")]
+    found, at = np.unique(first[down], return_index=True)
+    bucket: dict[int, list[int]] = {r: x.tolist() for r, x in zip(found.tolist(), np.split(down, at[1:]))}
     unsorted: set[int] = set()
-    ends, at = [], 0
-    for p in pieces:
-        prv[at] = -1
-        at += len(p) + 1
-        ends.append(at - 1)
-    for e in ends:
-        nxt[e] = 0                       # an end: no part begins here
-    for first, e in zip([0] + [e + 1 for e in ends], ends):
-        for i in range(first, e - 1):
-            now[i] = rank_of(data[i:i + 2])
-    for i in range(size - 2, -1, -1):
-        r = now[i]
-        if r is not None:
-            if r in bucket:
-                bucket[r].append(i)
-            else:
-                bucket[r] = [i]
     low: dict[int, int] = {}             # bit r & 63 of low[r >> 6]: bucket r holds something
     mid: dict[int, int] = {}             # bit b & 63 of mid[b >> 6]: low[b] is not zero
     top = 0                              # bit a: mid[a] is not zero
@@ -101,13 +117,14 @@ def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
                 continue
             j = nxt[i]                   # the part at j joins the part at i
             k = nxt[i] = nxt[j]
-            now[j] = None
+            now[j] = part[j] = -1
+            part[i] = r
             lower = False
             e = nxt[k]
             if e:
                 prv[k] = i
-                r2 = now[i] = rank_of(data[i:e])
-                if r2 is not None:
+                r2 = now[i] = rank_of(data[i:e], -1)
+                if r2 >= 0:
                     lower = r2 < r
                     if r2 in bucket:
                         bucket[r2].append(i)
@@ -120,11 +137,11 @@ def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
                         mid[d] = mid.get(d, 0) | 1 << (c & 63)
                         top |= 1 << d
             else:
-                now[i] = None
+                now[i] = -1
             p = prv[i]
             if p >= 0:
-                r2 = now[p] = rank_of(data[p:k])
-                if r2 is not None:
+                r2 = now[p] = rank_of(data[p:k], -1)
+                if r2 >= 0:
                     lower = lower or r2 < r
                     if r2 in bucket:
                         bucket[r2].append(p)
@@ -146,23 +163,16 @@ def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
                 mid[a] = m = mid[a] & ~(1 << (b & 63))
                 if not m:
                     top &= ~(1 << a)
-    out, i = [], 0
-    for e in ends:
-        ids = []
-        while i < e:
-            k = nxt[i]
-            ids.append(ranks[data[i:k]])
-            i = k
-        out.append(ids)
-        i = e + 1
-    return out
+    ids = np.array(part, np.int32)
+    counts = np.diff(np.concatenate([[0], np.cumsum(ids >= 0)[ends]]))
+    return ids[ids >= 0], counts
 
 
 class Remembered:
-    """Results by key in two generations: the last ``room`` new keys at least, twice as many at most."""
+    """Results by key in two generations: ``room`` bytes of the last new keys at least, twice as much at most."""
 
     def __init__(self, room: int):
-        self.room, self.now, self.old = room, {}, {}
+        self.room, self.now, self.old, self.held = room, {}, {}, 0
 
     def missing(self, keys: set[str]) -> list[str]:
         """Keys without a result; results of the older generation that are asked for move to the newer one."""
@@ -170,6 +180,7 @@ class Remembered:
         for k in keys.difference(self.now):
             if k in self.old:
                 self.now[k] = self.old[k]
+                self.held += ENTRY + len(k) + len(self.old[k])
             else:
                 rest.append(k)
         return rest
@@ -179,8 +190,10 @@ class Remembered:
         for k in new:
             if len(k) > LONGEST_CUT:
                 del self.now[k]
-        if len(self.now) > self.room:
-            self.now, self.old = {}, self.now
+            else:
+                self.held += ENTRY + len(k) + len(self.now[k])
+        if self.held > self.room:
+            self.now, self.old, self.held = {}, self.now, 0
 
 
 class Codec:
@@ -188,9 +201,10 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
-        self.bytes_of = {v: k for k, v in self.ranks.items()}
+        self.queue = Ranks(self.ranks)
+        self.bytes_of = bytes_by_id(self.ranks)
         self.find = regex.compile(pattern).findall
-        self.tokens = Remembered(MEMORY // 2)
+        self.tokens = Remembered(MEMORY // 4)
         self.cuts = Remembered(MEMORY)      # what follows a space, up to the next one
 
     def plain(self, texts: list[str]) -> list[bytes]:
@@ -204,8 +218,12 @@ class Codec:
                 rest.append(s)
             else:
                 known[s] = whole.to_bytes(4, "little")
-        for s, ids in zip(rest, merge_all([s.encode() for s in rest], self.ranks), strict=True):
-            known[s] = b"".join([i.to_bytes(4, "little") for i in ids])
+        if rest:
+            ids, counts = merge_all([s.encode() for s in rest], self.queue)
+            packed, at = ids.astype("<u4").tobytes(), 0
+            for s, n in zip(rest, (4 * counts).tolist(), strict=True):
+                known[s] = packed[at:at + n]
+                at += n
         out = [b"".join(map(known.__getitem__, x)) for x in spelled]
         self.tokens.trim(new)
         return out
@@ -234,10 +252,22 @@ class Codec:
         return out + self._group(group)
 
     def decode(self, ids: bytes | None) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))) if ids else b""
+        return spelled(ids, self.bytes_of)
+
+
+def bytes_by_id(ranks: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, r in ranks.items():
+        out[r] = token
+    return out
+
+
+def spelled(ids: bytes | None, bytes_of: list[bytes]) -> bytes:
+    return b"".join(map(bytes_of.__getitem__, memoryview(ids).cast("I"))) if ids else b""
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
+_SPELLINGS: dict[str, list[bytes]] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -248,6 +278,13 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[key]
 
 
+def spellings(path: str) -> list[bytes]:
+    """The bytes of each id, which is all that decoding needs."""
+    if path not in _SPELLINGS:
+        _SPELLINGS[path] = bytes_by_id(load_ranks(path))
+    return _SPELLINGS[path]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids",
            count_col: str = "n_tokens") -> DataFrame:
     """Add ``ids_col`` (binary, little-endian unsigned 32-bit ids) and ``count_col`` (long)."""
@@ -270,22 +307,43 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", ou
 
     @F.arrow_udf(T.BinaryType())
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(path, pattern)
+        bytes_of = spellings(path)
         for batch in batches:
-            yield pa.array([own.decode(x.as_py()) for x in batch], pa.binary())
+            yield pa.array([spelled(x.as_py(), bytes_of) for x in batch], pa.binary())
 
     return without(encoded, out_col).withColumn(out_col, text(F.col(quoted(ids_col))))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """Add ``ids``, ``n_tokens`` and the digest ``decoded_sha256`` of what the ids decode to.
+
+    One pass of one worker: the decoded bytes are digested where they are made and do not travel.
+    """
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("ids binary, decoded_sha256 string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path, pattern)
+        for batch in batches:
+            ids = own.encode(batch.to_pylist())
+            digests = [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(digests)], ["ids", "decoded_sha256"])
+
+    coded = fresh(docs, "coded")
+    kept = without(docs, "ids", "n_tokens", "decoded_sha256").columns
+    return (docs.withColumn(coded, both(F.col(quoted(text_col))))
+            .select(*[F.col(quoted(c)) for c in kept], F.col(coded)["ids"].alias("ids"),
+                    F.expr(f"octet_length({coded}.ids) div 4").cast("long").alias("n_tokens"), F.col(coded)["decoded_sha256"].alias("decoded_sha256")))
+
+
 # ---- registered query -------------------------------------------------------
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, with the multilingual rank file."""
     import public_tokenizers as P
 
-    path = P.path("byte_bpe_multi_50k.tiktoken")
-    both = decode(encode(docs.select("doc_id", "text"), path, P.PATTERN), path, P.PATTERN)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = round_trip(docs.select("doc_id", "text"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -83,15 +83,19 @@ def test_byte_bpe_equals_the_library(spark, edge_dir, edge_docs):
     assert sorted(rows(byte_bpe.query(spark, edge_dir)), key=key) == sorted(map(want, edge_docs), key=key)
 
 
-def test_rank_queue_on_long_and_random_pieces():
+def test_rank_queue_on_long_and_random_pieces(monkeypatch):
     ranks = byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    queue = byte_bpe.Ranks(ranks)
     enc = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
     rng = np.random.default_rng(5)
     for n in (1, 2, 3, 7, 50, 400, 3000):
         for alphabet in ("ab", "aeinrst ", "the and of ing"):
             s = "".join(rng.choice(list(alphabet), n))
             want = enc._core_bpe.encode_single_piece(s.encode())
-            assert s.encode() in ranks or byte_bpe.merge_all([b"x", s.encode(), s.encode()], ranks)[1:] == [want, want]
+            for together in (1 << 19, 10):                # boxed numbers, compact arrays
+                monkeypatch.setattr(byte_bpe, "TOGETHER", together)
+                ids, counts = byte_bpe.merge_all([b"x", s.encode(), s.encode()], queue)
+                assert s.encode() in ranks or (ids.tolist()[1:], counts.tolist()) == (want + want, [1, len(want), len(want)])
 
 
 def test_byte_bpe_replaces_clashing_columns(spark):
