@@ -17,6 +17,10 @@ replaced).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +30,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = SYMBOLS + "!?.,;:-_=+/\\~^@()[]{}\"'`"
+END_MARKS = ".!?:;)]\"'”»…"
 TERMINAL = r"[.!?:;)\]\"'”»…][ \t\x0b\x0c\r]*$"
+LINE_ENDS = "\x85\u2028\u2029"      # what a pattern's $ also allows at the very end
 MENU = r"^(home|about|about us|contact|contact us|login|log in|sign in|sign up|register|menu|search|next|previous|back to top|site ?map|read more|share|subscribe|faq|help)$"
 BOILERPLATE = (r"(all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses cookies|accept (all )?cookies|"
                r"enable javascript|javascript is (disabled|required)|copyright (©|\(c\))|click here to|subscribe to our|"
                r"lorem ipsum|powered by wordpress)")
 
+#: Each boilerplate phrase holds one of these, so that lines without any need no pattern.
+HINTS = ["reserved", "terms of ", "policy", "cookies", "javascript", "copyright ", "click here", "subscribe", "lorem", "wordpress"]
+LABEL = 12      # visible characters of the longest menu label, and some
+
 OUTPUTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
            "n_lines", "n_nav_lines", "n_boiler_lines", "n_punct_lines", "line_chars", "lost_chars", "clean_text"]
 
@@ -49,29 +59,39 @@ def line_rule(line: Column, min_words: int = 8, max_punct_pct: int = 15) -> Colu
     characters are punctuation, or a line of fewer than ``min_words`` words that
     ends without a terminal mark.
     """
-    visible = F.length(_without(line, SPACES))
+    return _step(F.length(_without(line, SPACES)), lambda visible: _rule_of(line, visible, min_words, max_punct_pct))
+
+
+def _step(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _terminal(line: Column) -> Column:
+    """Whether the line matches TERMINAL; its last visible character tells, unless that is a line end of its own."""
+    return _step(F.right(F.rtrim(line, F.lit(" \t\x0b\x0c\r")), F.lit(1)), lambda last: F.when(
+        last.isin(*END_MARKS), True).when(last.isin(*LINE_ENDS), line.rlike(TERMINAL)).otherwise(False))
+
+
+def _rule_of(line: Column, visible: Column, min_words: int, max_punct_pct: int) -> Column:
     marks = F.length(line) - F.length(_without(line, "|>»•"))
     words = F.size(F.split(F.regexp_replace(line, r"^[ \t\x0b\x0c\r]+|[ \t\x0b\x0c\r]+$", ""), r"[ \t\x0b\x0c\r]+"))
     punct = F.length(line) - F.length(_without(line, PUNCTUATION))
-    low = F.lower(line)
+    hinted = lambda low: reduce(or_, [low.contains(h) for h in HINTS]) & low.rlike(BOILERPLATE)
     return (F.when(visible == 0, 4)
-            .when(((marks >= 3) & (words <= marks * 5)) | F.trim(low).rlike(MENU), 1)
-            .when(low.rlike(BOILERPLATE), 2)
-            .when((punct * 100 > visible * max_punct_pct) | ((words < min_words) & ~line.rlike(TERMINAL)), 3)
+            .when(((marks >= 3) & (words <= marks * 5)) | ((visible <= LABEL) & F.trim(F.lower(line)).rlike(MENU)), 1)
+            .when(_step(F.lower(line), hinted), 2)
+            .when((punct * 100 > visible * max_punct_pct) | (~_terminal(line) & (words < min_words)), 3)
             .otherwise(0))
 
 
-def _repeat_words(words: Column, sorted_hashes: Column) -> Column:
+def _repeat_words(hashes: Column) -> Column:
     """Words covered by three-word windows that the text holds twice or more.
 
-    Most texts repeat no window; the sorted 64-bit hashes tell, and only texts
-    with a repeat pay for the sort that also carries positions.
+    Most texts repeat no window; the number of distinct 64-bit hashes tells, and
+    only texts with a repeat pay for the sort that carries positions.
     """
-    n = F.size(words)
-    repeats = F.exists(F.sequence(F.lit(1), F.size(sorted_hashes) - 1),
-                       lambda i: F.get(sorted_hashes, i) == F.get(sorted_hashes, i - 1))
-    placed = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(
-        F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("p"))))
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     # one pass over the sorted (hash, position) pairs keeps those with an equal neighbour
     twice = F.transform(F.array(placed), lambda s: F.sort_array(F.transform(F.filter(
         s, lambda x, i: F.coalesce(x["h"] == F.get(s, i - 1)["h"], F.lit(False))
@@ -80,7 +100,7 @@ def _repeat_words(words: Column, sorted_hashes: Column) -> Column:
         p, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
         lambda a, x: F.struct((a["n"] + F.least(F.lit(3), x - a["last"])).alias("n"), x.alias("last")),
         lambda a: a["n"])), 0)
-    return F.when((F.size(sorted_hashes) >= 2) & repeats, covered).otherwise(F.lit(0)).cast("long")
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered).otherwise(F.lit(0)).cast("long")
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repeat_pct: int = 50,
@@ -97,9 +117,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 50,
     d = docs.drop(*clash).withColumn(t, F.coalesce(F.col(quoted(text_col)), F.lit("")))
     d = d.withColumn(w, F.regexp_extract_all(F.col(t), F.lit(f"({WORD})"), F.lit(1)))
     words = F.col(w)
-    d = d.withColumn(h, F.when(F.size(words) >= 4, F.sort_array(F.transform(
+    d = d.withColumn(h, F.when(F.size(words) >= 4, F.transform(
         F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))).otherwise(F.array().cast("array<bigint>")))
+        lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))).otherwise(F.array().cast("array<bigint>")))
     d = d.withColumn(ln, F.transform(F.split(F.col(t), "\n"), lambda x: F.struct(
         x.alias("line"), line_rule(x).alias("rule"), F.length(_without(x, SPACES)).alias("chars"))))
     lines = F.col(ln)
@@ -115,10 +135,10 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 50,
     d = d.select(
         *[F.col(quoted(c)) for c in docs.columns if c not in clash],
         F.size(words).cast("long").alias("n_words"),
-        F.length(_without(F.col(t), SPACES)).cast("long").alias("word_chars"),
+        chars(False).alias("word_chars"),
         (F.length(F.col(t)) - F.length(_without(F.col(t), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size(worded) - F.size(F.array_distinct(worded))).cast("long").alias("n_dup_lines"),
-        _repeat_words(words, F.col(h)).alias("n_repeat_words"),
+        _repeat_words(F.col(h)).alias("n_repeat_words"),
         F.size(worded).cast("long").alias("n_lines"),
         total(1).alias("n_nav_lines"), total(2).alias("n_boiler_lines"), total(3).alias("n_punct_lines"),
         chars(False).alias("line_chars"), chars(True).alias("lost_chars"),
