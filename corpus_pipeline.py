@@ -11,6 +11,14 @@ next one, so a lost executor never sends a job back before the last stage.
    (n_chars follows); widely copied examples stay, and so do all documents
 5. byte-level BPE: token ids of each document, decoded again for the digest
 
+Edge cases: null and empty texts are rated and compared as texts without words
+(and encode to no ids); rows without an id are compared by their text, and of near
+copies one with an id stays first; repeated rows are one group of copies; very long
+texts are read whole by every stage; with no labelled row the first stage keeps everything
+and an empty benchmark matches nothing; an empty table stays empty; extra columns
+pass through the stages up to the fourth, also those with the names of working
+columns.
+
 SQL can express none of the stages 1, 2 and 5, so there is no SQL twin; the
 tests compare the rows with a brute-force run.
 """
@@ -29,20 +37,24 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels, takes for good ones."""
     ratings = quality_classifier.ratings_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.select(docs, quality_classifier.fit(docs, ratings, 3))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of fingerprints within four bits."""
     return simhash.one_of_each(docs, shingle=4, max_bits=4)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
     found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontamination.clean(docs, found)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, live-looking secrets redacted."""
     spans, rid = fresh(docs, "secrets"), fresh(docs, "row")
     path = shared_path(spark, "scanned")
     secret_scan.scan(docs, out=spans).withColumn(rid, F.monotonically_increasing_id()).write.parquet(path)
@@ -54,10 +66,9 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = P.path("byte_bpe_multi_50k.tiktoken")
-    ids = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, P.PATTERN)
-    return byte_bpe.decode(ids, path, P.PATTERN).select(
-        "doc_id", "lang", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+    """Token ids of every document with the digests of the ids and of what they decode to."""
+    coded = byte_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    return coded.select("doc_id", "lang", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256", "ids")
 
 
 STAGES = [
