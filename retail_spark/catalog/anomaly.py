@@ -23,10 +23,11 @@ def frame(t):
     return cut_lineage(f.withColumn("cashier_flagged", F.col("cashier_id").isin(*FLAGGED_CASHIERS).cast("int")))
 
 
-def scored(t):
-    f = A.density_score(A.robust_z(A.rule_score(frame(t)), FEATS), DENSITY_FEATS)
+def scored(t, with_robust_z=False):
+    f = A.density_score(A.rule_score(frame(t)), DENSITY_FEATS)
     f = A.minmax_ref(f, "density_score", "density_norm")
-    f = A.minmax_ref(f, "robust_z_score", "robust_z_norm")
+    if with_robust_z:       # no part of the ensemble
+        f = A.minmax_ref(A.robust_z(f, FEATS), "robust_z_score", "robust_z_norm")
     # the scored frame feeds several aggregates (bounds, curve, evaluation):
     # write it once to the shared checkpoint folder instead of recomputing
     return cut_lineage(A.ensemble(f, {"density": "density_norm", "rules": "rule_score"}))
@@ -299,7 +300,7 @@ def robust_z_scores(t):
 SELECT order_id, split, is_anomaly, density_score, density_norm, robust_z_norm, rule_score, ensemble_score FROM scored2""")
 def ensemble_scores(t):
     """ML10 (one diagonal Gaussian), SF27 validation min-max, DP22 weighted ensemble."""
-    return scored(t).select("order_id", "split", "is_anomaly", "density_score", "density_norm", "robust_z_norm",
+    return scored(t, with_robust_z=True).select("order_id", "split", "is_anomaly", "density_score", "density_norm", "robust_z_norm",
                             "rule_score", "ensemble_score")
 
 
@@ -356,7 +357,7 @@ SELECT *, row_number() OVER (ORDER BY recall DESC, precision DESC, f1 DESC, mode
 def model_leaderboard(t):
     """DP23: each score evaluated on test at its own best-F1 validation
     threshold; ordered by recall, precision, F1."""
-    s = scored(t)
+    s = scored(t, with_robust_z=True)
     rows = []
     for m in ("rule_score", "density_norm", "robust_z_norm", "ensemble_score"):
         th = A.choose_threshold(A.threshold_curve(s.filter(F.col("split") == "val"), m))

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retail_spark.operators.quantiles import one_row, quantile_values
 from retail_spark.session import cut_lineage
 
 _PART, _MID = "_rs_part", "_rs_mid"
@@ -121,7 +122,8 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], by: lis
     """Exact linear quantiles without a buffer of values: one row (per group of
     ``by``), a column ``name`` for each ``name: (column, fraction)``.
 
-    Rows become counts per (group, column, value) with map-side combining, the
+    Whole columns go by bracket refinement (``operators.quantiles``).  With groups,
+    rows become counts per (group, column, value) with map-side combining, the
     counts are range-sorted for running counts, and the two positions around
     each fraction are picked by a partial aggregate.  No task holds a group's or
     a column's values; a group's totals are joined back (adaptive execution
@@ -129,20 +131,20 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], by: lis
     """
     by = list(by or [])
     cols = sorted({c for c, _ in wanted.values()})
+    if not by:
+        asked = {c: [p for col, p in wanted.values() if col == c] for c in cols}
+        found = {c: dict(zip(asked[c], v)) for c, v in quantile_values(df, asked).items()}
+        return one_row(df, {name: found[c].get(p) for name, (c, p) in wanted.items()})
     cells = F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols])
     long = df.select(*by, F.explode(cells).alias("_x")).select(*by, "_x._c", "_x._v").filter(F.col("_v").isNotNull())
     counts = long.groupBy(*by, "_c", "_v").agg(F.count(F.lit(1)).alias("_k"))
     run = global_running_sum(counts, [F.asc(c) for c in [*by, "_c", "_v"]], {"_cum": F.col("_k")})
     span = run.groupBy(*by, "_c").agg(F.min(F.col("_cum") - F.col("_k")).alias("_from"), F.sum("_k").alias("_tot"))
-    if not by:
-        span = F.broadcast(span)          # one row per column
-        j = run.join(span, "_c")
-    else:
-        left = run.select(*[F.col(c).alias(f"_l_{i}") for i, c in enumerate(by)], F.col("_c").alias("_lc"), "_v", "_k", "_cum")
-        same = F.col("_lc") == F.col("_c")
-        for i, c in enumerate(by):
-            same = same & F.col(f"_l_{i}").eqNullSafe(F.col(c))
-        j = left.join(span, same)
+    left = run.select(*[F.col(c).alias(f"_l_{i}") for i, c in enumerate(by)], F.col("_c").alias("_lc"), "_v", "_k", "_cum")
+    same = F.col("_lc") == F.col("_c")
+    for i, c in enumerate(by):
+        same = same & F.col(f"_l_{i}").eqNullSafe(F.col(c))
+    j = left.join(span, same)
     below, upto = F.col("_cum") - F.col("_k") - F.col("_from"), F.col("_cum") - F.col("_from")
     aggs = []
     for name, (c, p) in wanted.items():
@@ -151,25 +153,11 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], by: lis
         for end, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             aggs.append(F.max(F.when(mine & (below <= at) & (at < upto), F.col("_v"))).alias(f"_{end}_{name}"))
         aggs.append(F.max(F.when(mine, pos - F.floor(pos))).alias(f"_f_{name}"))
-    g = (j.groupBy(*by) if by else j).agg(*aggs)
+    g = j.groupBy(*by).agg(*aggs)
     return g.select(*by, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in wanted])
 
 
 def exact_quantile_list(df: DataFrame, c: str, fractions: list[float], name: str) -> DataFrame:
-    """One row with ``name``: the exact linear quantiles of ``c`` at many fractions, in their order.
-
-    As ``exact_quantiles``, but each value of the running counts picks the wanted
-    positions it covers from one array, instead of a column for each fraction."""
-    counts = df.select(F.col(c).cast("double").alias("_v")).filter("_v IS NOT NULL").groupBy("_v").agg(F.count(F.lit(1)).alias("_k"))
-    run = cut_lineage(global_running_sum(counts, [F.asc("_v")], {"_cum": F.col("_k")}))
-    last = F.coalesce(F.sum("_k"), F.lit(0)) - 1
-    grid = cut_lineage(run.agg(last.alias("_last")).withColumn("_at", F.transform(
-        F.array(*[F.lit(float(p)) for p in fractions]), lambda p: p * F.col("_last"))))          # one row
-    ends = F.array_distinct(F.flatten(F.transform("_at", lambda x: F.array(F.floor(x), F.ceil(x)))))
-    covered = F.filter(ends, lambda x: (x >= F.col("_cum") - F.col("_k")) & (x < F.col("_cum")))
-    picks = run.crossJoin(F.broadcast(grid)).select("_v", F.explode(covered).alias("_i"))
-    found = picks.agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_m"))      # two entries for a fraction at most
-    value = lambda x, end: F.element_at("_m", end(x))
-    return found.crossJoin(F.broadcast(grid)).select(F.when(F.col("_last") >= 0, F.transform(
-        "_at", lambda x: value(x, F.floor) + (value(x, F.ceil) - value(x, F.floor)) * (x - F.floor(x)))).otherwise(
-            F.array().cast("array<double>")).alias(name))
+    """One row with ``name``: the exact linear quantiles of ``c`` at many fractions, in their order (none without values)."""
+    found = quantile_values(df, {c: fractions})[c]
+    return df.sparkSession.range(1).select(F.array(*[F.lit(v) for v in found]).cast("array<double>").alias(name))

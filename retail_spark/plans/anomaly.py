@@ -208,7 +208,7 @@ def robust_z(df: DataFrame, feats: Sequence[str]) -> DataFrame:
     """|x − median| / (1.4826 · MAD) per feature from train normal rows; row
     score 0.7 · p99 + 0.3 · max across the features (DP18)."""
     fit = _fit_rows(df)
-    med = cut_lineage(exact_quantiles(fit, {f"_med_{f}": (f, 0.5) for f in feats}))          # one row
+    med = exact_quantiles(fit, {f"_med_{f}": (f, 0.5) for f in feats})          # one row
     off = fit.crossJoin(F.broadcast(med)).select(*[F.abs(F.col(f) - F.col(f"_med_{f}")).alias(f) for f in feats])
     mad = exact_quantiles(off, {f"_mad_{f}": (f, 0.5) for f in feats})
     d = df.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(mad))
@@ -266,7 +266,7 @@ def threshold_curve(df: DataFrame, score: str, label: str = "is_anomaly") -> Dat
     (number of thresholds ≤ score); counts per bucket are suffix-summed over
     ≤ 501 rows — no row × threshold product is formed."""
     fr = curve_fractions()
-    ths = cut_lineage(exact_quantile_list(df, score, fr, "q").select(F.array_distinct(F.sort_array("q")).alias("ths")))   # one row
+    ths = exact_quantile_list(df, score, fr, "q").select(F.array_distinct(F.sort_array("q")).alias("ths"))   # one row
     d = df.select(score, label).crossJoin(F.broadcast(ths))
     b = d.select(F.size(F.filter("ths", lambda t: t <= F.col(score))).alias("bucket"), label)
     per = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_p"))
