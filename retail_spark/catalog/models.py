@@ -18,6 +18,7 @@ from retail_spark.operators.broadcast import bounded
 from retail_spark.operators.windows import latest_per
 from retail_spark.plans import anomaly as A
 from retail_spark.plans import customers as C
+from retail_spark.plans import detectors as D
 from retail_spark.plans import models as M
 from retail_spark.plans import recommend as RC
 from retail_spark.plans import timeseries as TS
@@ -67,9 +68,8 @@ def ml_k_sweep(t):
 
 @register("ml_gmm_sweep")
 def ml_gmm_sweep(t):
-    """ML4: Gaussian mixtures k = 1..5 with log-likelihood, AIC, BIC."""
-    x = _seg_vectors(t)
-    return M.gmm_sweep(x)
+    """ML4: diagonal Gaussian mixtures k = 1..5 (best of three starts) with log-likelihood, AIC, BIC and label quality."""
+    return M.gmm_sweep(cut_lineage(_seg_vectors(t).select("features", vector_to_array("features").alias("x"))))
 
 
 @register("ml_pca_projection")
@@ -169,47 +169,96 @@ def ml_fm_context_scores(t):
     return scored.crossJoin(F.broadcast(mean)).select("item_idx", "score", F.try_divide("score", "m").alias("multiplier"))
 
 
-def _anomaly_vectors(t):
-    f = CA.frame(t)
+def _anomaly_vectors(t, f=None):
+    f = CA.frame(t) if f is None else f
     va = VectorAssembler(inputCols=CA.FEATS, outputCol="raw", handleInvalid="keep")
     x = va.transform(f.fillna(0.0, subset=CA.FEATS))
     from pyspark.ml.feature import StandardScaler
     sc = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(
         x.filter((F.col("split") == "train") & (F.col("is_anomaly") == 0)))
-    return cut_lineage(sc.transform(x).select("order_id", "split", "is_anomaly", "order_ts", "features", *CA.FEATS))
+    return cut_lineage(sc.transform(x).select("order_id", "split", "is_anomaly", "order_ts", "features",
+                                              vector_to_array("features").alias("x"), *CA.FEATS))
 
 
 def _train_normal(x):
     return x.filter((F.col("split") == "train") & (F.col("is_anomaly") == 0))
 
 
+ID = ["order_id", "split", "is_anomaly"]
+
+
+def _chosen(scored, candidates):
+    """Number of the best candidate score on validation rows."""
+    return D.best_on_validation(scored.filter("split = 'val'"), candidates)
+
+
+def _pca(x):
+    """Reconstruction errors for 80, 90, 95 and 99 % of the variance, fitted on train-normal rows; the chosen one."""
+    targets = (0.80, 0.90, 0.95, 0.99)
+    errors = [M.pca_error(M.pca_fit(_train_normal(x), target=p)).alias(f"p{i}") for i, p in enumerate(targets)]
+    scored = cut_lineage(x.select(*ID, *errors))
+    best = _chosen(scored, [f"p{i}" for i in range(len(targets))])
+    return scored.select(*ID, F.col(f"p{best}").alias("pca_error"), F.lit(targets[best]).alias("target_variance"))
+
+
+def _knn(x):
+    """Mean distances to the 5, 10, 20, 35 or 50 nearest of all train-normal rows; the chosen one."""
+    ks = (5, 10, 20, 35, 50)
+    near = D.neighbour_distances(x.select(*ID, "x"), _train_normal(x), max(ks), keep=ID)
+    scored = cut_lineage(near.select(*ID, *[D.mean_of_first(F.col("distances"), k).alias(f"k{k}") for k in ks]))
+    best = ks[_chosen(scored, [f"k{k}" for k in ks])]
+    return scored.select(*ID, F.col(f"k{best}").alias("knn_score"), F.lit(best).alias("k"))
+
+
+def _density(x):
+    """Negative log-likelihoods of diagonal mixtures of 1 to 4 components over all features; the chosen one."""
+    counts = (1, 2, 3, 4)
+    models = D.fit_mixtures(cut_lineage(_train_normal(x).select("x")), "x", [(k, M.SEED) for k in counts])
+    scored = cut_lineage(x.select(*ID, *[D.mixture_score(m, F.col("x")).alias(f"c{k}") for k, m in zip(counts, models)]))
+    best = counts[_chosen(scored, [f"c{k}" for k in counts])]
+    return scored.select(*ID, F.col(f"c{best}").alias("density_score"), F.lit(best).alias("components"))
+
+
 @register("ml_pca_reconstruction")
 def ml_pca_reconstruction(t):
-    """ML11: mean squared PCA reconstruction error, fitted on train-normal rows only; the explained
-    variance (80, 90 or 95 %) with the best average precision on validation rows."""
-    x = _anomaly_vectors(t)
-    keep = ["order_id", "split", "is_anomaly"]
-    best = None
-    for target in (0.80, 0.90, 0.95):
-        scored = cut_lineage(M.pca_reconstruction(x, M.pca_fit(_train_normal(x), target=target), keep=keep))
-        quality = A.evaluate(scored.filter("split = 'val'"), "pca_error", F.lit(0.0), ks=(50,), tiebreak=["order_id"]).first()["pr_auc"] or 0.0
-        if best is None or quality > best[0]:
-            best = (quality, target, scored)
-    return best[2].withColumn("target_variance", F.lit(best[1]))
+    """ML11: mean squared PCA reconstruction error; explained variance chosen by recall, precision, F1 on validation rows."""
+    return _pca(_anomaly_vectors(t))
 
 
 @register("ml_knn_scores")
 def ml_knn_scores(t):
-    """ML12: mean distance to the 5 nearest of all normal train rows (inverted index, see the operator)."""
-    x = _anomaly_vectors(t)
-    return M.knn_score(x, _train_normal(x), 5, keep=["order_id", "split", "is_anomaly"])
+    """ML12: exact mean distance to the nearest train-normal rows; k chosen by recall, precision, F1 on validation rows."""
+    return _knn(_anomaly_vectors(t))
+
+
+@register("ml_density_scores")
+def ml_density_scores(t):
+    """ML10: diagonal Gaussian mixture over all ten features; components chosen by recall, precision, F1 on validation rows."""
+    return _density(_anomaly_vectors(t))
 
 
 @register("ml_isolation_forest")
 def ml_isolation_forest(t):
-    """ML13: isolation forest (100 trees of 256 hash-chosen train-normal rows)."""
+    """ML13: isolation forest (100 trees of 60 % of the train-normal rows)."""
     x = _anomaly_vectors(t)
-    return M.isolation_forest(x, _train_normal(x), CA.FEATS, 100, 256, keep=["order_id", "split", "is_anomaly"])
+    return D.isolation_scores(x, cut_lineage(_train_normal(x).select("order_id", "x")), keep=ID)
+
+
+@register("ml_ensemble_scores")
+def ml_ensemble_scores(t):
+    """DP22: density .5, PCA .2, kNN .2, rules .1, each scaled by its validation bounds, and their weighted mean."""
+    f = CA.frame(t)
+    x = _anomaly_vectors(t, f)
+    parts = {"density": _density(x).select("order_id", "density_score"), "pca": _pca(x).select("order_id", "pca_error"),
+             "knn": _knn(x).select("order_id", "knn_score"), "rules": A.rule_score(f).select("order_id", "rule_score")}
+    joined = x.select(*ID)
+    for p in parts.values():
+        joined = joined.join(p, "order_id")
+    joined = cut_lineage(joined)
+    scaled = {k: f"{k}_norm" for k in parts}
+    for k, p in parts.items():
+        joined = A.minmax_ref(joined, p.columns[1], scaled[k])
+    return A.ensemble(joined, scaled).select(*ID, *[c for k, p in parts.items() for c in (p.columns[1], scaled[k])], "ensemble_score")
 
 
 @register("ml_supervised_leaderboard")

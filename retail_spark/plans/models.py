@@ -1,5 +1,5 @@
-"""Model fitting on MLlib and grouped pandas (ML1–ML20), deterministic
-negative sampling (JN12) and anomaly injection for tests (DP39).
+"""Model fitting on MLlib and grouped pandas (ML1–ML9, ML14–ML20; the detectors of
+ML10–ML13 are in ``plans.detectors``), deterministic negative sampling (JN12) and anomaly injection for tests (DP39).
 
 Random choices are replaced by hash-ordered ones (``xxhash64`` with a fixed
 seed) so reruns — including task retries after an executor loss — agree.
@@ -9,7 +9,7 @@ the number of features, clusters or items (centroids, loadings, factors).
 
 from __future__ import annotations
 
-import math
+import dataclasses
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,22 +17,21 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (FMClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import (PCA, FeatureHasher, Imputer, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retail_spark.plans.detectors import fit_mixtures, mixture_score
 from retail_spark.session import cut_lineage
 
 SEED = 42
-SALTS = 4              # copies of a cell's rows, so that a cell that many rows ask is shared out
 
 
 # ---------------------------------------------------------------------------
@@ -74,15 +73,16 @@ def kmeans(df: DataFrame, k: int, seeds: Sequence[int] = (SEED, SEED + 1, SEED +
     return best, best.transform(df)
 
 
-def cluster_quality(pred: DataFrame, model, col: str = "features") -> dict:
-    """Inertia, silhouette, Davies–Bouldin and Calinski–Harabasz (ML3).
-    Per-cluster scatter is aggregated on the executors; the k centres are
-    model parameters."""
-    centers = np.array(model.clusterCenters())
+def cluster_quality(pred: DataFrame, col: str = "features") -> dict:
+    """Inertia, silhouette, Davies–Bouldin and Calinski–Harabasz (ML3) of the
+    labels in ``cluster``.  Per-cluster means and scatter are aggregated on the
+    executors; only k rows reach the driver."""
+    means = pred.groupBy("cluster").agg(Summarizer.mean(F.col(col)).alias("m")).orderBy("cluster").collect()
+    numbers, centers = [r["cluster"] for r in means], np.array([r["m"].toArray() for r in means])
     k = len(centers)
     sil = ClusteringEvaluator(featuresCol=col, predictionCol="cluster").evaluate(pred)
     spark = pred.sparkSession
-    cdf = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)],
+    cdf = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in zip(numbers, centers)],
                                 "cluster int, center array<double>")
     p = pred.select("cluster", vector_to_array(col).alias("x")).join(F.broadcast(cdf), "cluster")
     sq = F.aggregate(F.zip_with("x", "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
@@ -106,28 +106,29 @@ def k_sweep(df: DataFrame, ks: Sequence[int] = range(2, 11), col: str = "feature
     for k in ks:
         m, p = kmeans(df, k, seeds=(SEED,), col=col)
         if m is not None:
-            rows.append(cluster_quality(p, m, col))
+            rows.append(cluster_quality(p, col))
     out = df.sparkSession.createDataFrame(pd.DataFrame(rows))
     w = Window.orderBy(F.desc("silhouette"), F.asc("k"))   # ≤ 9 rows
     return out.withColumn("is_best", F.row_number().over(w) == 1)
 
 
-def gmm_sweep(df: DataFrame, ks: Sequence[int] = (1, 2, 3, 4, 5), col: str = "features") -> DataFrame:
-    """Gaussian mixtures (full covariance in MLlib; k = 1 in closed form) with
-    AIC / BIC (ML4)."""
-    n = df.count()
-    d = len(df.select(col).first()[0])
+def gmm_sweep(df: DataFrame, ks: Sequence[int] = (1, 2, 3, 4, 5), seeds: Sequence[int] = (SEED, SEED + 1, SEED + 2), max_iter: int = 300) -> DataFrame:
+    """Diagonal Gaussian mixtures of the array column ``x``, the best of several starts for each k, with log-likelihood,
+    AIC, BIC and, from two clusters on, silhouette, Davies–Bouldin and Calinski–Harabasz of the labels (ML4)."""
+    found = fit_mixtures(df, "x", [(k, s) for k in ks for s in (seeds if k > 1 else seeds[:1])], max_iter=max_iter)
     rows = []
     for k in ks:
-        if k == 1:
-            # the maximum likelihood of one Gaussian: -n/2 (d log 2π + log|Σ| + d), degenerate directions floored
-            cov = RowMatrix(df.select(col).rdd.map(lambda r: OldVectors.fromML(r[0]))).computeCovariance().toArray() * (n - 1) / max(n, 1)
-            ll = -n / 2 * (d * math.log(2 * math.pi) + float(np.log(np.maximum(np.linalg.eigvalsh(cov), 1e-6)).sum()) + d)
-        else:
-            ll = GaussianMixture(k=k, seed=SEED, featuresCol=col, maxIter=100).fit(df).summary.logLikelihood
-        p = k * (d + d * (d + 1) / 2) + (k - 1)
-        rows.append({"k": k, "log_likelihood": ll, "aic": 2 * p - 2 * ll, "bic": p * math.log(n) - 2 * ll})
-    return df.sparkSession.createDataFrame(pd.DataFrame(rows))
+        best = max((m for m in found if len(m.weights) == k), key=lambda m: m.log_likelihood)
+        row = {"k": k, "log_likelihood": best.log_likelihood, "aic": best.aic, "bic": best.bic}
+        if k > 1:
+            scores = F.array(*[-mixture_score(dataclasses.replace(best, weights=best.weights[c:c + 1], means=best.means[c:c + 1],
+                                                                  variances=best.variances[c:c + 1]), F.col("x")) for c in range(k)])
+            labelled = cut_lineage(df.select("features", (F.array_position(scores, F.array_max(scores)) - 1).cast("int").alias("cluster")))
+            if labelled.select("cluster").distinct().count() > 1:
+                row |= {c: float(v) for c, v in cluster_quality(labelled).items() if c not in ("k", "inertia")}
+        rows.append(row)
+    schema = "k int, log_likelihood double, aic double, bic double, silhouette double, davies_bouldin double, calinski_harabasz double"
+    return df.sparkSession.createDataFrame([tuple(r.get(c.split()[0]) for c in schema.split(", ")) for r in rows], schema)
 
 
 def pca2(df: DataFrame, col: str = "features", keep: Sequence[str] = ()) -> DataFrame:
@@ -146,172 +147,12 @@ def pca_fit(fit: DataFrame, col: str = "features", target: float = 0.9) -> np.nd
     return v @ v.T
 
 
-def pca_reconstruction(df: DataFrame, proj: np.ndarray, col: str = "features", keep: Sequence[str] = ()) -> DataFrame:
-    """Mean squared reconstruction error under a fitted projection (ML11)."""
-    x = vector_to_array(col)
+def pca_error(proj: np.ndarray, x: str = "x") -> Column:
+    """Mean squared reconstruction error of the array column ``x`` under a fitted projection (ML11)."""
     recon = F.array(*[F.aggregate(F.zip_with(x, F.array(*[F.lit(float(c)) for c in row]), lambda a, b: a * b),
                                   F.lit(0.0), lambda s, t: s + t) for row in proj])
     err = F.aggregate(F.zip_with(x, recon, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t)
-    return df.select(*keep, (err / F.lit(float(len(proj)))).alias("pca_error"))
-
-
-def knn_score(df: DataFrame, ref: DataFrame, k: int = 5, col: str = "features", keep: Sequence[str] = (),
-              fit_rows: int = 20_000, cell_rows: int = 1024, probes: int = 8, chunk: int = 4096) -> DataFrame:
-    """Mean distance to the k nearest of all reference rows (ML12), by an inverted index.
-
-    Centres are fitted on a bounded sample (``fit_rows`` rows in hash order); every
-    reference row goes to its nearest centre and every scored row asks its
-    ``probes`` nearest cells, with exact distances inside them — approximate only
-    in that farther cells are not asked.  Equal reference vectors are one row
-    with a count.  A cell above ``chunk`` rows is dealt in chunks, each of which
-    is asked, so no group grows with the data."""
-    v = ref.select(vector_to_array(col).alias("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-    v = cut_lineage(v)
-    sample = v.orderBy(F.xxhash64("_v"), "_v").limit(fit_rows).select("_v").collect()
-    pts = np.array([r["_v"] for r in sample], dtype=float)
-    rng = np.random.default_rng(SEED)
-    n_cells = int(min(max(1, -(-v.count() // cell_rows)), 4096, len(pts)))
-    centres = pts[rng.choice(len(pts), n_cells, replace=False)]
-    for _ in range(10):
-        near = _nearest(pts, centres, 1)[:, 0]
-        centres = np.array([pts[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(n_cells)])
-    centres_b = df.sparkSession.sparkContext.broadcast(centres)         # at most 4096 rows
-    probes = min(probes, n_cells)
-
-    @F.pandas_udf("array<int>")
-    def cells(x: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(list(_nearest(np.stack(x.to_numpy()), centres_b.value, int(n.iloc[0])).astype("int32")))
-
-    placed = cut_lineage(v.withColumn("_cell", cells("_v", F.lit(1))[0]))
-    parts = placed.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_parts"))     # one row per cell
-    placed = placed.join(F.broadcast(parts), "_cell").withColumn("_part", F.pmod(F.xxhash64("_v"), F.col("_parts")).cast("int"))
-    rows = cut_lineage(df.select(*keep, vector_to_array(col).alias("_v")).withColumn("_row", F.monotonically_increasing_id()))
-    asked = (rows.select("_row", F.col("_v").alias("_q"), F.explode(cells("_v", F.lit(probes))).alias("_cell"))
-             .join(F.broadcast(parts), "_cell").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-             .withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")))
-    salted = placed.select("_cell", "_part", "_v", "_n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-
-    def nearest(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"_row": pd.Series(dtype="int64"), "_d": pd.Series(dtype=object)})
-        x, y, n = np.stack(q["_q"].to_numpy()), np.stack(r["_v"].to_numpy()), r["_n"].to_numpy()
-        out = []
-        for at in range(0, len(x), 512):
-            blk = x[at:at + 512]
-            d = np.sqrt(np.maximum((blk ** 2).sum(1)[:, None] + (y ** 2).sum(1)[None, :] - 2 * blk @ y.T, 0.0))
-            m = min(k, d.shape[1])
-            idx = np.argpartition(d, m - 1, axis=1)[:, :m]
-            for i, row in enumerate(idx):
-                out.append(np.sort(np.repeat(d[i, row], np.minimum(n[row], k)))[:k])
-        return pd.DataFrame({"_row": q["_row"].to_numpy(), "_d": out})
-
-    by = ["_cell", "_part", "_salt"]
-    found = asked.groupBy(*by).cogroup(salted.groupBy(*by)).applyInPandas(nearest, "_row long, _d array<double>")
-    best = (found.groupBy("_row").agg(F.slice(F.sort_array(F.flatten(F.collect_list("_d"))), 1, k).alias("_d"))
-            .select("_row", (F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / F.size("_d")).alias("knn_score")))
-    return rows.join(best, "_row", "left").select(*keep, "knn_score")
-
-
-def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-    """Indexes of the n nearest centres of each row."""
-    out = []
-    for at in range(0, len(x), 4096):
-        blk = x[at:at + 4096]
-        d = (centres ** 2).sum(1)[None, :] - 2 * blk @ centres.T
-        out.append(np.argsort(d, axis=1, kind="stable")[:, :n])
-    return np.concatenate(out) if out else np.zeros((0, n), dtype=int)
-
-
-def isolation_forest(df: DataFrame, fit: DataFrame, feats: Sequence[str], n_trees: int = 100, sample: int = 256,
-                     keep: Sequence[str] = (), key: str = "order_id") -> DataFrame:
-    """Isolation forest (ML13): each tree is grown by ``applyInPandas`` on
-    its own sample of ``sample`` rows of ``fit``, chosen by a hash of ``key``; the forest (bounded by
-    trees × 2·sample nodes) is broadcast; path lengths are scored per batch."""
-    depth = int(math.ceil(math.log2(sample)))
-    cols = list(feats)
-    # Threshold hash sampling: a row joins tree t when its hash for t falls
-    # under tau, sized for ~4 × sample candidates per tree, so only candidate
-    # (row, tree) pairs are generated — never rows × trees.  Each tree then
-    # keeps the `sample` smallest hashes (the sample size is the operator's
-    # definition); a tree short of candidates grows on what it drew.
-    n = fit.count()
-    tau = min(1.0, 4.0 * sample / max(n, 1))
-    scale = float(2 ** 31)
-    unit = lambda t: F.pmod(F.xxhash64(F.lit(SEED), t, key), F.lit(2 ** 31)) / scale
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: unit(t) < tau)
-    cand = (fit.select(*cols, key, F.explode(trees).alias("tree"))
-            .withColumn("_h", unit(F.col("tree"))))
-    w = Window.partitionBy("tree").orderBy("_h", key)     # ≤ ~4·sample rows per tree
-    samp = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample).drop("_r", "_h", key)
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(SEED + int(pdf["tree"].iloc[0]))
-        x = pdf[cols].to_numpy(dtype=float)
-        nodes = []
-
-        def build(idx, d):
-            me = len(nodes)
-            nodes.append([me, -1, 0.0, -1, -1, float(len(idx))])
-            if d >= depth or len(idx) <= 1:
-                return me
-            sub = x[idx]
-            f = int(rng.integers(len(cols)))
-            lo, hi = sub[:, f].min(), sub[:, f].max()
-            if lo == hi:
-                return me
-            s = float(rng.uniform(lo, hi))
-            left, right = idx[sub[:, f] < s], idx[sub[:, f] >= s]
-            nodes[me][1], nodes[me][2] = f, s
-            nodes[me][3] = build(left, d + 1)
-            nodes[me][4] = build(right, d + 1)
-            return me
-
-        build(np.arange(len(x)), 0)
-        out = pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "size"])
-        out.insert(0, "tree", int(pdf["tree"].iloc[0]))
-        return out
-
-    forest = samp.groupBy("tree").applyInPandas(
-        grow, "tree int, node int, feature int, split double, left int, right int, size double")
-    nodes = forest.toPandas()   # trees × ≤ 2·sample rows: bounded by construction
-    bnodes = df.sparkSession.sparkContext.broadcast(nodes)
-
-    def c(n):
-        return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else (1.0 if n == 2 else 0.0)
-
-    cn = c(sample)
-    schema = ", ".join([f"{k} {t}" for k, t in df.select(*keep).dtypes] + ["iforest_score double"])
-
-    cvec = np.vectorize(c, otypes=[float])
-
-    def score(batches):
-        nd = bnodes.value
-        trees = []
-        for _, g in nd.groupby("tree"):
-            g = g.sort_values("node")
-            trees.append(tuple(g[k].to_numpy() for k in ("feature", "split", "left", "right", "size")))
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=float)
-            rows = np.arange(len(x))
-            total = np.zeros(len(x))
-            for feat, split, left, right, size in trees:      # all rows of the batch walk a tree together
-                node = np.zeros(len(x), dtype=int)
-                depth_ = np.zeros(len(x))
-                while True:
-                    f = feat[node]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    xv = x[rows, np.where(inner, f, 0)]
-                    nxt = np.where(xv < split[node], left[node], right[node])
-                    node = np.where(inner, nxt, node)
-                    depth_ += inner
-                total += depth_ + cvec(size[node])
-            out = pdf[list(keep)].copy()
-            out["iforest_score"] = 2 ** (-(total / max(len(trees), 1)) / cn)
-            yield out
-
-    return df.select(*keep, *[c_ for c_ in cols if c_ not in keep]).mapInPandas(score, schema)
+    return err / F.lit(float(len(proj)))
 
 
 # ---------------------------------------------------------------------------
@@ -333,7 +174,7 @@ def fit_classifier(train: DataFrame, kind: str, label: str = "is_anomaly", col:
     if kind == "logit":
         est = LogisticRegression(featuresCol=col, weightCol="weight", maxIter=100, regParam=0.0)
     elif kind == "rf":
-        est = RandomForestClassifier(featuresCol=col, weightCol="weight", numTrees=100, seed=SEED, maxDepth=8)
+        est = RandomForestClassifier(featuresCol=col, weightCol="weight", numTrees=400, seed=SEED, maxDepth=8)
     else:
         est = GBTClassifier(featuresCol=col, weightCol="weight", maxIter=50, maxDepth=4, stepSize=0.1, seed=SEED)
     return est.fit(tr)
