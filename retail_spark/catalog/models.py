@@ -19,6 +19,7 @@ from retail_spark.operators.windows import latest_per
 from retail_spark.plans import anomaly as A
 from retail_spark.plans import customers as C
 from retail_spark.plans import detectors as D
+from retail_spark.plans import factors as F_
 from retail_spark.plans import models as M
 from retail_spark.plans import recommend as RC
 from retail_spark.plans import timeseries as TS
@@ -78,30 +79,67 @@ def ml_pca_projection(t):
     return M.pca2(_seg_vectors(t), keep=["customer_id"])
 
 
-def _rec_inputs(t):
-    inter = CR._inter(t)
-    idx = RC.item_index(inter)
+def _rec_inputs(t, item="section"):
+    inter = CR._inter(t, item)
+    idx = cut_lineage(RC.item_index(inter))
     inter = inter.join(bounded(idx), "item").select("customer_id", "item", "item_idx", "count")
-    sp = RC.holdout(inter.select("customer_id", "item"))
-    train = inter.join(sp.filter("split = 'train'").select("customer_id", "item"), ["customer_id", "item"])
-    truth = sp.filter("split = 'test'").select("customer_id", "item")
-    return cut_lineage(train), truth, idx
+    sp = cut_lineage(RC.holdout(inter.select("customer_id", "item")))
+    train = cut_lineage(inter.join(sp.filter("split = 'train'").select("customer_id", "item"), ["customer_id", "item"]))
+    return train, sp.filter("split = 'test'").select("customer_id", "item"), idx, idx.count()
+
+
+# The numbers of factors, confidences and penalties that are compared, and the iterations.
+SVD_FACTORS = (5, 10, 15, 20, 30, 50)
+ALS_FACTORS, ALS_ALPHAS, ALS_PENALTIES = (5, 10, 15, 20, 30), (10.0, 20.0, 40.0, 80.0), (0.01, 0.1, 0.5, 1.0)
+
+
+def _sweep(t, rows):
+    """Held-out quality of each tried setting, the best by F1@5 marked."""
+    cols = ["users", "precision_at_k", "recall_at_k", "ndcg_at_k", "f1_at_k"]
+    best = max(range(len(rows)), key=lambda i: (rows[i][1]["f1_at_k"], -i))
+    names = list(rows[0][0])
+    schema = ", ".join([f"{c} {'string' if c == 'model' else 'double' if c in ('alpha', 'reg') else 'int'}" for c in names] + ["users long"]
+                       + [f"{c} double" for c in cols[1:]] + ["is_best boolean"])
+    return t.spark.createDataFrame([(*setting.values(), *[q[c] for c in cols], i == best) for i, (setting, q) in enumerate(rows)], schema)
+
+
+def _svd_sweep(t, item="section"):
+    train, truth, idx, n_items = _rec_inputs(t, item)
+    rows = F_.user_rows(train, n_items)
+    ks = [k for k in SVD_FACTORS if k < n_items]
+    _, vectors = F_.truncated_svd(rows, n_items, max(ks), tol=1e-4)
+    recs = cut_lineage(F_.svd_recommendations(rows, vectors, ks, 5))
+    return recs, idx, _sweep(t, [({"model": f"svd_k{k}", "k": k}, F_.held_out_quality(recs.filter(F.col("k") == k), idx, truth, 5)) for k in ks])
 
 
 @register("ml_svd_recommendations")
 def ml_svd_recommendations(t):
-    """ML6: truncated SVD (k=10) on the mean-centred matrix; DP12 metrics@5."""
-    train, truth, idx = _rec_inputs(t)
-    recs = M.svd_recommend(train, 5, 10, n_items=idx.count()).join(bounded(idx), "item_idx")
-    return RC.rank_metrics(recs, truth, 5).withColumn("model", F.lit("svd_k10"))
+    """ML6: truncated SVD of the mean-centred matrix, k swept by held-out F1@5 (DP12 metrics for each k)."""
+    return _svd_sweep(t)[2]
+
+
+@register("ml_svd_item_recommendations")
+def ml_svd_item_recommendations(t):
+    """ML6 on single items: top five for every customer under the k with the best held-out F1@5."""
+    recs, idx, sweep = _svd_sweep(t, "item_id")
+    best = sweep.filter("is_best").first()["k"]
+    return (recs.filter(F.col("k") == best).join(idx, "item_idx")
+            .select(F.col("user").alias("customer_id"), F.col("item").alias("item_id"), "k", "score", "rank"))
 
 
 @register("ml_als_recommendations")
 def ml_als_recommendations(t):
-    """ML7: implicit ALS (rank 10, α 10, λ 0.1), own items excluded; DP12 metrics@5."""
-    train, truth, idx = _rec_inputs(t)
-    recs = M.als_recommend(train, 5).join(bounded(idx), "item_idx")
-    return RC.rank_metrics(recs, truth, 5).withColumn("model", F.lit("als_k10"))
+    """ML7: implicit ALS; factors first (alpha 40, penalty 0.1), then alpha and penalty, by held-out F1@5; own items masked."""
+    train, truth, idx, n_items = _rec_inputs(t)
+    rows = F_.user_rows(train, n_items)
+
+    def tried(k, alpha, reg, iterations):
+        recs = cut_lineage(F_.als_recommendations(train, rows, n_items, k, alpha, reg, 5, iterations))
+        return {"model": "als", "k": k, "alpha": alpha, "reg": reg}, F_.held_out_quality(recs, idx, truth, 5)
+
+    factors = [tried(k, 40.0, 0.1, 20) for k in ALS_FACTORS]
+    k = max(factors, key=lambda x: x[1]["f1_at_k"])[0]["k"]
+    return _sweep(t, factors + [tried(k, a, r, 15) for a in ALS_ALPHAS for r in ALS_PENALTIES])
 
 
 def _fm_data(t):

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from retail_spark.catalog import register
 from retail_spark.functions import exprs as X
 from retail_spark.catalog.segments import cte
+from retail_spark.plans import factors as N
 from retail_spark.plans import recommend as RC
+from retail_spark.session import cut_lineage
 
 MIN_SUPPORT, MIN_CONF, MIN_LIFT = 0.001, 0.05, 1.0
 TOP_N = 5
@@ -29,8 +31,8 @@ def _hist(t):
     return t.valid_lines.select("customer_id", F.col("section").alias("item")).distinct()
 
 
-def _inter(t):
-    return t.valid_lines.groupBy("customer_id", F.col("section").alias("item")).agg(F.count(F.lit(1)).alias("count"))
+def _inter(t, item="section"):
+    return t.valid_lines.groupBy("customer_id", F.col(item).alias("item")).agg(F.count(F.lit(1)).alias("count"))
 
 
 # SQL twins ---------------------------------------------------------------------
@@ -206,6 +208,47 @@ def item_cosine(t):
     return RC.item_cosine(_inter(t))
 
 
+NEAR_ITEMS, NEAR_COSINE = 20, 0.05
+
+NEAR = f"""
+inter AS (SELECT customer_id, item_id AS item, count(*) AS count FROM valid_lines GROUP BY 1, 2),
+norms AS (SELECT item, sqrt(sum(count * count)) AS nrm FROM inter GROUP BY item),
+dots AS (SELECT a.item AS item, b.item AS neighbour, sum(a.count * b.count) AS dot FROM inter a JOIN inter b
+         ON a.customer_id = b.customer_id AND a.item <> b.item GROUP BY 1, 2),
+sims AS (SELECT dots.item, neighbour, dot / (na.nrm * nb.nrm) AS similarity FROM dots
+         JOIN norms na ON na.item = dots.item JOIN norms nb ON nb.item = neighbour),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY round(similarity, 9) DESC, neighbour) AS rank
+         FROM sims WHERE similarity >= {NEAR_COSINE}) WHERE rank <= {NEAR_ITEMS})"""
+
+
+def _near(t):
+    return cut_lineage(N.item_neighbours(_inter(t, "item_id"), NEAR_ITEMS, NEAR_COSINE))
+
+
+@register("item_interactions", sql="""
+SELECT customer_id, item_id, count(*) AS count, sum(quantity) AS quantity FROM valid_lines GROUP BY 1, 2""")
+def item_interactions(t):
+    """AG30 on single items: user-item interaction counts in long form."""
+    return t.valid_lines.groupBy("customer_id", "item_id").agg(F.count(F.lit(1)).alias("count"), F.sum("quantity").alias("quantity"))
+
+
+@register("item_neighbours", sql=cte(NEAR) + "SELECT * FROM near")
+def item_neighbours(t):
+    """DP13 on single items: the 20 most similar of each, cosine 0.05 or more."""
+    return _near(t)
+
+
+@register("neighbour_recommendations", sql=cte(NEAR) + f"""
+, own AS (SELECT DISTINCT customer_id, item_id AS item FROM valid_lines),
+sc AS (SELECT customer_id, neighbour AS item, sum(similarity) AS score FROM own JOIN near USING (item) GROUP BY 1, 2),
+sc2 AS (SELECT * FROM sc WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.customer_id = sc.customer_id AND x.item = sc.item))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 9) DESC, item) AS rank FROM sc2) WHERE rank <= {TOP_N}""")
+def neighbour_recommendations(t):
+    """DP8 on single items, from the stored neighbours: top five per customer, own items left out."""
+    hist = t.valid_lines.select("customer_id", F.col("item_id").alias("item"))
+    return N.recommend_neighbours(hist, _near(t), TOP_N)
+
+
 @register("similar_item_recommendations", sql=cte(HIST, SIM, SIM_RECS) + "SELECT * FROM sim_recs WHERE rank <= 5")
 def similar_item_recommendations(t):
     """DP8: similarity-sum top-5 per customer, history excluded."""

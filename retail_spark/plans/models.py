@@ -22,7 +22,6 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvalu
 from pyspark.ml.feature import (PCA, FeatureHasher, Imputer, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -194,67 +193,7 @@ def importance(model, names: Sequence[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Recommendation models (ML6–ML9, JN12)
-
-
-def als_recommend(train: DataFrame, n: int, user: str = "customer_id", item: str = "item_idx",
-                  value: str = "count", rank: int = 10, alpha: float = 10.0, reg: float = 0.1) -> DataFrame:
-    """Implicit ALS, own items excluded, top-n (ML7)."""
-    model = ALS(userCol=user, itemCol=item, ratingCol=value, implicitPrefs=True, rank=rank, alpha=alpha,
-                regParam=reg, seed=SEED, coldStartStrategy="drop", maxIter=10).fit(train)
-    need = train.groupBy(user).agg(F.count(F.lit(1)).alias("_o")).agg(F.max("_o")).first()[0] or 0
-    recs = model.recommendForAllUsers(int(need) + n)
-    ex = recs.select(user, F.explode("recommendations").alias("r")).select(
-        user, F.col(f"r.{item}").alias(item), F.col("r.rating").alias("score"))
-    ex = ex.join(train.select(user, item), [user, item], "left_anti")
-    w = Window.partitionBy(user).orderBy(F.desc("score"), F.asc(item))
-    return ex.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-
-
-def svd_recommend(inter: DataFrame, n: int, k: int = 10, user: str = "customer_id", item: str = "item_idx",
-                  value: str = "count", n_items: int | None = None) -> DataFrame:
-    """Truncated SVD of the user-mean-centred user × item matrix (ML6):
-    ``RowMatrix.computeSVD``; scores U·S·Vᵀ + mean per user in numpy blocks,
-    own items excluded, top-n.  V (items × k) is broadcast under a size check."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    n_items = n_items or inter.agg(F.max(item)).first()[0] + 1
-    mean = inter.groupBy(user).agg((F.sum(value) / F.lit(float(n_items))).alias("_mu"))
-    rows = (inter.groupBy(user).agg(F.collect_list(F.struct(item, F.col(value).cast("double").alias(value))).alias("v"))
-            .join(mean, user).orderBy(user))
-    rows = cut_lineage(rows)
-    dense = rows.rdd.map(lambda r: Vectors.dense(_centred(r.v, r._mu, n_items)))
-    k = min(k, n_items - 1)
-    svd = RowMatrix(dense).computeSVD(k, computeU=False)
-    v = svd.V.toArray()
-    proj = v @ v.T          # rank-k reconstruction of a row x is x·V·Vᵀ (= U·S·Vᵀ)
-    bproj = inter.sparkSession.sparkContext.broadcast(proj)
-
-    def score(batches):
-        p = bproj.value
-        for pdf in batches:
-            out = []
-            for u, items, mu in zip(pdf[user], pdf["v"], pdf["_mu"]):
-                x = np.full(n_items, -mu)
-                own = set()
-                for e in items:          # struct elements arrive as dicts
-                    it, val = int(e[item]), float(e[value])
-                    x[it] = val - mu
-                    own.add(it)
-                sc = x @ p + mu
-                order = [int(i) for i in np.lexsort((np.arange(n_items), -sc)) if int(i) not in own][:n]
-                out.extend((u, i, float(sc[i]), r + 1) for r, i in enumerate(order))
-            yield pd.DataFrame(out, columns=[user, item, "score", "rank"])
-
-    return rows.select(user, "v", "_mu").mapInPandas(score, f"{user} bigint, {item} int, score double, rank int")
-
-
-def _centred(v, mu, n_items):
-    x = [-mu] * n_items
-    for it, val in v:
-        x[int(it)] = val - mu
-    return x
+# Recommendation models (ML8, ML9, JN12; ML6 and ML7 are in plans.factors)
 
 
 def negatives(pos: DataFrame, n_items: int, key: str = "order_id", item: str = "item_idx") -> DataFrame:
