@@ -88,8 +88,8 @@ def bucketed_row_number(df: DataFrame, bucket: Column, within: list[Column], nam
 
 
 def keyed_clamped_running(df: DataFrame, key: str, order: list[Column], delta: Column,
-                          start: Column, name: str = "level") -> DataFrame:
-    """Running level per key that never goes below zero (WN24).
+                          start: Column, name: str = "level", previous: str | None = None) -> DataFrame:
+    """Running level per key that never goes below zero (WN24); ``previous`` names a column for the level ahead of each row.
 
     ``L_t = max(0, L_{t−1} + d_t)`` with ``L_0 = start`` equals
     ``C_t − min(0, min_{k≤t} C_k)`` where ``C`` is the unclamped running sum
@@ -103,6 +103,8 @@ def keyed_clamped_running(df: DataFrame, key: str, order: list[Column], delta: C
     local = Window.partitionBy(_PART, key).orderBy(_MID)
     run = local.rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("_ls", F.sum("_d").over(run)).withColumn("_lmin", F.min("_ls").over(run))
+    if previous:
+        s = s.withColumn("_lahead", F.min("_ls").over(local.rowsBetween(Window.unboundedPreceding, -1)))
     seg = s.groupBy(_PART, key).agg(F.sum("_d").alias("_segsum"), F.min("_ls").alias("_segmin"))
     before = Window.partitionBy(key).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("_off", F.coalesce(F.sum("_segsum").over(before), F.lit(0.0)))
@@ -113,6 +115,9 @@ def keyed_clamped_running(df: DataFrame, key: str, order: list[Column], delta: C
     c_t = F.col("_s0") + F.col("_off") + F.col("_ls")
     run_min = F.col("_s0") + F.col("_off") + F.col("_lmin")
     run_min = F.least(run_min, F.coalesce(F.col("_s0") + F.col("_prevmin"), run_min))
+    if previous:      # least() passes over what is missing, so the first row of a key starts from its own start
+        ahead = F.least(F.lit(0.0), F.col("_s0") + F.col("_off") + F.col("_lahead"), F.col("_s0") + F.col("_prevmin"))
+        out = out.withColumn(previous, c_t - F.col("_d") - ahead).drop("_lahead")
     return (out.withColumn("running_unclamped", c_t)
             .withColumn(name, F.greatest(F.lit(0.0), c_t - F.least(F.lit(0.0), run_min)))
             .drop(_PART, _MID, "_d", "_s0", "_ls", "_lmin", "_off", "_prevmin"))

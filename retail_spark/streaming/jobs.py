@@ -1,8 +1,13 @@
 """Structured Streaming jobs (ST1, ST2).
 
-* ``stock_ledger_stream`` — stock movements arrive as a file stream; a
-  keyed ``applyInPandasWithState`` keeps each product's level, floors it at
-  zero after every movement and counts low-stock crossings (ST1).
+* ``stock_ledger_stream`` — stock movements arrive as a file stream; each
+  product's level is floored at zero after every movement and low-stock
+  crossings are counted (ST1).  A micro-batch is sorted over many tasks; each
+  (task, product) segment is a pair (sum, lowest running sum) under an
+  associative operation, so segments combine without passing a product's rows
+  through one task, and the level of the state table is applied to the result.
+  The state table has a row for each product and a version for each batch, so
+  a batch that runs again starts from the same levels.
 * ``daily_sales_stream`` — paid orders arrive as a file stream; a
   watermarked one-day tumbling window counts orders and sums revenue (ST2).
 
@@ -14,14 +19,11 @@ key over all batches, so re-emitted (updated) keys are read correctly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from retail_spark.operators.broadcast import bounded
+from retail_spark.operators.ordered import keyed_clamped_running
 from retail_spark.session import shared_path
 
 LINEITEM_SCHEMA = ("l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
@@ -30,9 +32,6 @@ LINEITEM_SCHEMA = ("l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_lin
 ORDERS_SCHEMA = ("o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
                  "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING")
 
-LEDGER_OUT = ("product_id BIGINT, movements BIGINT, final_stock DOUBLE, min_level DOUBLE, "
-              "zero_hits BIGINT, low_stock_alerts BIGINT")
-LEDGER_STATE = ("level DOUBLE, movements BIGINT, min_level DOUBLE, zero_hits BIGINT, alerts BIGINT")
 ORDER_COLS = ["ts", "order_id", "line_number", "supplier_id", "delta", "amount", "flag"]
 
 
@@ -41,28 +40,6 @@ def _file_stream(spark: SparkSession, folder: str, table: str, schema: str) -> D
             .option("maxFilesPerTrigger", 1).parquet(folder))
 
 
-def _clamp_group(key, batches: Iterator[pd.DataFrame], state: GroupState,
-                 threshold: float) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches), ignore_index=True)
-    pdf = pdf.sort_values(ORDER_COLS, kind="mergesort")
-    if state.exists:
-        level, moves, low, zeros, alerts = state.get
-    else:
-        level, moves, low, zeros, alerts = float(pdf["start_stock"].iloc[0]), 0, None, 0, 0
-    d = pdf["delta"].to_numpy(dtype=float)
-    c = level + np.cumsum(d)
-    lv = np.maximum(0.0, c - np.minimum(0.0, np.minimum.accumulate(c)))   # floored running level
-    prev = np.concatenate([[level], lv[:-1]])
-    alerts += int(np.sum((lv <= threshold) & (prev > threshold)))
-    zeros += int(np.sum(lv <= 1e-6))
-    low = float(lv.min()) if low is None else min(low, float(lv.min()))
-    moves += len(lv)
-    level = float(lv[-1])
-    state.update((level, moves, low, zeros, alerts))
-    yield pd.DataFrame({"product_id": [key[0]], "movements": [moves], "final_stock": [level],
-                        "min_level": [low], "zero_hits": [zeros], "low_stock_alerts": [alerts]})
-
-
 def _latest(path: str, spark: SparkSession, keys: list[str]) -> DataFrame:
     out = spark.read.parquet(path)
     w = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
@@ -82,9 +59,52 @@ def _run(query_df: DataFrame, spark: SparkSession, name: str, mode: str) -> str:
     return out
 
 
+def apply_movements(moves: DataFrame, state: DataFrame | None, start: DataFrame, threshold: float) -> DataFrame:
+    """The state table after some movements: level, movements, lowest level, zero hits and low-stock crossings by product."""
+    opened = start.select("product_id", "start_stock")
+    if state is not None:
+        opened = opened.join(state.select("product_id", "level"), "product_id", "full_outer")
+        opened = opened.select("product_id", F.coalesce("level", "start_stock").alias("start_stock"))
+    joined = moves.join(bounded(opened), "product_id", "left").fillna(0.0, subset=["start_stock"])
+    run = keyed_clamped_running(joined, "product_id", [F.asc(c) for c in ORDER_COLS], F.col("delta"), F.col("start_stock"), "level", "ahead")
+    new = run.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("movements"), F.min("level").alias("min_level"), F.count_if(F.col("level") <= 1e-6).alias("zero_hits"),
+        F.count_if((F.col("level") <= threshold) & (F.col("ahead") > threshold)).alias("low_stock_alerts"),
+        # the last level without picking a last row: C_T - min(0, min C)
+        F.greatest(F.lit(0.0), F.max("start_stock") + F.sum("delta") - F.least(F.lit(0.0), F.min("running_unclamped"))).alias("level"))
+    if state is None:
+        return new
+    both = new.select("product_id", *[F.col(c).alias(f"_{c}") for c in new.columns[1:]]).join(state, "product_id", "full_outer")
+    total = lambda c: (F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c)
+    return both.select("product_id", total("movements"), F.least("min_level", "_min_level").alias("min_level"), total("zero_hits"),
+                       total("low_stock_alerts"), F.coalesce("_level", "level").alias("level"))
+
+
+def stock_ledger(moves: DataFrame, products: DataFrame, threshold: float = 100.0) -> DataFrame:
+    """ST1 over a stream of movements: per-product floored running stock and low-stock crossings."""
+    spark = moves.sparkSession
+    versions = shared_path(spark, "stock-ledger-state")
+    start = products.select("product_id", F.col("stock_quantity").cast("double").alias("start_stock"))
+    done: list[int] = []
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        here = batch.sparkSession
+        state = here.read.parquet(f"{versions}/{batch_id - 1}") if batch_id else None
+        apply_movements(batch, state, start, threshold).write.mode("overwrite").parquet(f"{versions}/{batch_id}")
+        done.append(batch_id)
+
+    q = (moves.writeStream.option("checkpointLocation", shared_path(spark, "stock-ledger-ckpt"))
+         .foreachBatch(step).trigger(availableNow=True).start())
+    q.awaitTermination()
+    if not done:
+        return spark.createDataFrame([], "product_id long, movements long, final_stock double, min_level double, zero_hits long, low_stock_alerts long")
+    return spark.read.parquet(f"{versions}/{max(done)}").select(
+        "product_id", "movements", F.col("level").alias("final_stock"), "min_level", "zero_hits", "low_stock_alerts")
+
+
 def stock_ledger_stream(spark: SparkSession, folder: str, products: DataFrame,
                         threshold: float = 100.0) -> DataFrame:
-    """ST1: per-product floored running stock and low-stock crossings."""
+    """ST1 on the line items: sales take from the stock, returns add to it."""
     li = _file_stream(spark, folder, "lineitem", LINEITEM_SCHEMA)
     q = F.col("l_quantity")
     moves = li.select(F.col("l_partkey").alias("product_id"), F.col("l_shipdate").alias("ts"),
@@ -92,16 +112,7 @@ def stock_ledger_stream(spark: SparkSession, folder: str, products: DataFrame,
                       F.col("l_suppkey").alias("supplier_id"),
                       F.when(F.col("l_returnflag") == "R", q).otherwise(-q).alias("delta"),
                       F.col("l_extendedprice").alias("amount"), F.col("l_returnflag").alias("flag"))
-    start = products.select("product_id", F.col("stock_quantity").cast("double").alias("start_stock"))
-    joined = moves.join(start, "product_id", "left").fillna(0.0, subset=["start_stock"])   # stream-static join
-
-    def fn(key, it, state):
-        return _clamp_group(key, it, state, threshold)
-
-    stateful = joined.groupBy("product_id").applyInPandasWithState(
-        fn, LEDGER_OUT, LEDGER_STATE, "update", GroupStateTimeout.NoTimeout)
-    out = _run(stateful, spark, "stock-ledger-stream", "update")
-    return _latest(out, spark, ["product_id"])
+    return stock_ledger(moves, products, threshold)
 
 
 def daily_sales_stream(spark: SparkSession, folder: str, watermark: str = "1 day") -> DataFrame:
