@@ -16,6 +16,7 @@ from retail_spark.catalog.segments import features
 from retail_spark.functions import exprs as X
 from retail_spark.operators.broadcast import bounded
 from retail_spark.operators.windows import latest_per
+from retail_spark.plans import additive as AD
 from retail_spark.plans import anomaly as A
 from retail_spark.plans import customers as C
 from retail_spark.plans import detectors as D
@@ -358,8 +359,17 @@ def ml_score_next_week(t):
 
 @register("ml_additive_forecast")
 def ml_additive_forecast(t):
-    """ML20: per-section trend + yearly Fourier least squares (applyInPandas), 80 % band."""
-    return M.additive_forecast(CT.weekly(t), "section")
+    """ML20: per-section piecewise-linear trend, yearly seasonality and holidays fitted on train weeks, 80 % band."""
+    weekly = CT.weekly(t)
+    history = weekly.filter("split = 'train'")
+    d = AD.design(history, "week_start", CT.HOLIDAYS)
+    return AD.forecast(weekly, cut_lineage(AD.fit(history, "section", "week_start", "quantity", d)), "section", d)
+
+
+@register("ml_additive_forecast_metrics")
+def ml_additive_forecast_metrics(t):
+    """ML20 + DP31: metrics of the additive forecast by split."""
+    return TS.forecast_metrics(ml_additive_forecast(t).filter("split <> 'train'"), ["split"])
 
 
 @register("ml_injected_anomalies")

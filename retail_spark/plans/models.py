@@ -237,7 +237,7 @@ def fm_fit(train: DataFrame, col: str = "features", label: str = "label"):
 
 
 # ---------------------------------------------------------------------------
-# Forecasting models (ML18–ML20)
+# Forecasting models (ML18, ML19; ML20 is in plans.additive)
 
 
 def gbt_forecast(feats: DataFrame, cols: Sequence[str], label: str = "quantity"):
@@ -251,30 +251,6 @@ def gbt_forecast(feats: DataFrame, cols: Sequence[str], label: str = "quantity")
     return model, pred.withColumn("prediction", F.greatest(F.lit(0.0), F.col("prediction")))
 
 
-def additive_forecast(weekly: DataFrame, key: str, harmonics: int = 3) -> DataFrame:
-    """Per-series additive model: linear trend + yearly Fourier terms fitted by
-    least squares on train+val, 80 % band from residual spread, clipped at 0
-    (ML20, re-aimed).  One group = one series of weeks (bounded)."""
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("week_start")
-        t = (pd.to_datetime(pdf["week_start"]) - pd.Timestamp("1970-01-01")).dt.days.to_numpy() / 365.25
-        cols = [np.ones_like(t), t]
-        for h in range(1, harmonics + 1):
-            cols += [np.sin(2 * np.pi * h * t), np.cos(2 * np.pi * h * t)]
-        x = np.column_stack(cols)
-        fitm = (pdf["split"] != "test").to_numpy()
-        y = pdf["quantity"].to_numpy(dtype=float)
-        beta, *_ = np.linalg.lstsq(x[fitm], y[fitm], rcond=None)
-        yhat = x @ beta
-        sd = float(np.std(y[fitm] - yhat[fitm], ddof=1)) if fitm.sum() > 1 else 0.0
-        return pd.DataFrame({key: pdf[key], "week_start": pdf["week_start"], "split": pdf["split"],
-                             "actual": y, "predicted": np.maximum(0.0, yhat),
-                             "lower": np.maximum(0.0, yhat - 1.2816 * sd), "upper": np.maximum(0.0, yhat + 1.2816 * sd)})
-
-    schema = f"{key} string, week_start date, split string, actual double, predicted double, lower double, upper double"
-    return weekly.groupBy(key).applyInPandas(fit, schema)
-
-
 # ---------------------------------------------------------------------------
 # Test data: anomaly injection (DP39)
 
