@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from retail_spark.catalog import register
 from retail_spark.catalog.segments import cte
+from retail_spark.operators.ordered import keyed_state_machine
 from retail_spark.plans import inventory as INV
 from retail_spark.sources.tables import has_status
 
@@ -196,6 +197,23 @@ def ingredient_stock_with_refunds(t):
     return _ledger_summary(INV.stock_ledger(mv, start, "ingredient_id", ING_ORDER), "ingredient_id")
 
 
+@register("applied_event_transitions", sql="""
+WITH RECURSIVE allowed AS (SELECT * FROM (VALUES """ + ", ".join(
+    f"('{a}', '{b}')" for a, bs in EVENT_TRANSITIONS.items() for b in bs) + """) v(from_state, to_state)),
+r AS (SELECT user_id, ts, event_id, state, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM transitions_v),
+w AS (SELECT user_id, ts, event_id, state, n, CAST(NULL AS VARCHAR) AS state_before, true AS accepted, state AS state_after FROM r WHERE n = 1
+      UNION ALL
+      SELECT r.user_id, r.ts, r.event_id, r.state, r.n, w.state_after, a.to_state IS NOT NULL,
+             CASE WHEN a.to_state IS NOT NULL THEN r.state ELSE w.state_after END
+      FROM w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1
+      LEFT JOIN allowed a ON a.from_state = w.state_after AND a.to_state = r.state)
+SELECT user_id, ts, event_id, state, state_before, accepted, state_after FROM w""")
+def applied_event_transitions(t):
+    """DP16: each user's requests taken in order; a disallowed one is rejected and leaves the state."""
+    log = t.transitions_v.select("user_id", "ts", "event_id", "state")
+    return keyed_state_machine(log, "user_id", [F.asc("ts"), F.asc("event_id")], "state", EVENT_TRANSITIONS, None)
+
+
 @register("invalid_event_transitions", sql="""
 WITH allowed AS (SELECT * FROM (VALUES """ + ", ".join(
     f"('{a}', '{b}')" for a, bs in EVENT_TRANSITIONS.items() for b in bs) + """) v(from_state, to_state)),

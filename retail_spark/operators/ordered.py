@@ -17,6 +17,9 @@ A global row number or a running sum is then ``offset + local value``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +126,70 @@ def keyed_clamped_running(df: DataFrame, key: str, order: list[Column], delta: C
             .drop(_PART, _MID, "_d", "_s0", "_ls", "_lmin", "_off", "_prevmin"))
 
 
+def keyed_state_machine(log: DataFrame, key: str, order: list[Column], request: str, allowed: dict[str, list[str]],
+                        start: str | None) -> DataFrame:
+    """Requests to change a key's state, taken in order: adds ``state_before``, ``accepted`` and ``state_after`` (DP16).
+
+    A request is accepted if the table allows it from the state of that moment, and changes nothing otherwise, so a
+    state depends on all requests before it.  Each run of requests is a function from states to states, and functions
+    compose: rows are sorted by (key, order) over many tasks, each task gives one function for its first and one for
+    its last key (the only ones that other tasks can share), a scan over those summaries (one row for each task) gives
+    the state that every task begins with, and the tasks replay their requests.  Without ``start`` a key's first
+    request is accepted whatever it is.  Unknown and null requests are rejected.
+    """
+    states = sorted({*allowed, *[s for to in allowed.values() for s in to], *([start] if start else [])})
+    code = {s: i for i, s in enumerate(states)}
+    none = len(states)                              # no state yet
+    first = code[start] if start else none
+    moves = {(code[a], code[b]) for a, to in allowed.items() for b in to} | {(none, i) for i in range(none)}
+    columns = log.columns
+    s = _sorted_tagged(log, [F.asc(key), *order])
+
+    def requests(batch: pa.RecordBatch) -> tuple[list, list[int]]:
+        return batch.column(key).to_pylist(), [code.get(r, -1) for r in batch.column(request).to_pylist()]
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, keys, ends = None, [], []             # a function for the first key and for the latest one
+        for batch in batches:
+            if batch.num_rows:
+                here = batch.column(_PART)[0].as_py()
+            for k, r in zip(*requests(batch)):
+                if not keys or keys[-1] != k:
+                    keys, ends = [*keys[:1], k], [*ends[:1], list(range(none + 1))]
+                if r >= 0:
+                    ends[-1] = [r if (x, r) in moves else x for x in ends[-1]]
+        if here is not None:
+            yield pa.record_batch([pa.array([here], pa.int32()), pa.array([[str(k) for k in keys]]), pa.array([ends])], names=["part", "keys", "ends"])
+
+    began, held = {}, (None, first)
+    for r in sorted(s.select(_PART, key, request).mapInArrow(summarise, "part int, keys array<string>, ends array<array<bigint>>").collect(),
+                    key=lambda r: r["part"]):       # one row for each task
+        began[r["part"]] = held[1] if held[0] == r["keys"][0] else first
+        held = (r["keys"][-1], r["ends"][-1][began[r["part"]] if len(r["keys"]) == 1 else first])
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, now = [], first
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if not last:
+                last, now = [batch.column(key)[0].as_py()], began[batch.column(_PART)[0].as_py()]
+            before, taken, after = [], [], []
+            for k, r in zip(*requests(batch)):
+                if k != last[0]:
+                    last, now = [k], first
+                before.append(now)
+                taken.append((now, r) in moves)
+                now = r if taken[-1] else now
+                after.append(now)
+            names = [[None if x == none else states[x] for x in side] for side in (before, after)]
+            yield pa.record_batch([*[batch.column(c) for c in columns], pa.array(names[0], pa.string()), pa.array(taken), pa.array(names[1], pa.string())],
+                                  names=[*columns, "state_before", "accepted", "state_after"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in log.dtypes) + ", state_before string, accepted boolean, state_after string"
+    return s.select(*columns, _PART).mapInArrow(replay, schema)
+
+
 def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], by: list[str] | None = None) -> DataFrame:
     """Exact linear quantiles without a buffer of values: one row (per group of
     ``by``), a column ``name`` for each ``name: (column, fraction)``.
