@@ -47,6 +47,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     body = sql.strip()
     ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n].strip()})" for n in names)
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_spark.operators.ordered import global_row_number
@@ -283,28 +283,46 @@ def hits(recs: DataFrame, truth: DataFrame, k: int, user: str = "customer_id") -
             .withColumn("n_hits", F.size("hits")))
 
 
-def _substrings(c: str):
-    """All substrings of a column, the empty one included (names are short)."""
-    n = F.length(c)
-    return F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(
-            F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))), lambda k: F.substring(F.col(c), i, k))))))
+GRAM = 3
+
+
+def _grams(c: Column, n: int) -> Column:
+    """The distinct substrings of length ``n``."""
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def contained_pairs(short: DataFrame, long: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs (a, b) of the two frames' distinct texts where ``b`` contains ``a``; ``a`` is not empty.
+
+    An inverted index: the long side is listed by its substrings of up to three characters, and a short text looks up
+    one of them, the one that fewest long texts hold (itself, if it has fewer than three characters).  A text with a
+    part that no long text holds drops out at once; what is left is checked whole."""
+    index = long.select(b, F.explode(F.concat(*[_grams(F.col(b), n) for n in range(1, GRAM + 1)])).alias("_g"))
+    held = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    parts = short.filter(F.length(a) > 0).select(a, F.when(F.length(a) < GRAM, F.array(a)).otherwise(_grams(F.col(a), GRAM)).alias("_p"))
+    looked = (parts.select(a, F.size("_p").alias("_all"), F.explode("_p").alias("_g")).join(held, "_g").groupBy(a, "_all")
+              .agg(F.count(F.lit(1)).alias("_known"), F.min(F.struct("_n", "_g")).alias("_r")).filter("_known = _all").select(a, F.col("_r._g").alias("_g")))
+    return looked.join(index, "_g").filter(F.col(b).contains(F.col(a))).select(a, b)
 
 
 def resolve_names(names: DataFrame, catalog: DataFrame, name: str = "name") -> DataFrame:
     """Case/space-insensitive exact match; otherwise the first catalogue entry
-    (alphabetical) where one name contains the other (JN14).  Containment is an
-    equi-join on the substrings of the longer side; no pairs are compared."""
+    (alphabetical) where one name contains the other (JN14).  Containment goes
+    through an inverted index of trigrams; an empty name is in every other."""
     key = F.lower(F.trim(F.col(name)))
     nk = names.select(name, key.alias("_k")).distinct()
     ck = catalog.select(F.col(name).alias("match"), F.lower(F.trim(F.col(name))).alias("_c")).distinct()
     exact = nk.join(ck, F.col("_k") == F.col("_c")).select(name, "match")
     rest = nk.join(exact.select(name), name, "left_anti")
     first = ck.groupBy("_c").agg(F.min("match").alias("match"))
-    inside = rest.select(name, F.explode(_substrings("_k")).alias("_c")).join(first, "_c").select(name, "match")
-    around = (ck.select("match", F.explode(_substrings("_c")).alias("_k")).groupBy("_k").agg(F.min("match").alias("match"))
-              .join(rest, "_k").select(name, "match"))
-    fuzzy = inside.unionByName(around).groupBy(name).agg(F.min("match").alias("match"))
+    texts, entries = rest.select("_k").distinct(), first.select("_c")
+    inside = contained_pairs(entries, texts, "_c", "_k").join(first, "_c").groupBy("_k").agg(F.min("match").alias("match"))
+    around = contained_pairs(texts, entries, "_k", "_c").join(first, "_c").groupBy("_k").agg(F.min("match").alias("match"))
+    blank = texts.crossJoin(F.broadcast(first.filter("_c = ''").select("match")))                                  # one entry at most
+    none = texts.filter("_k = ''").crossJoin(F.broadcast(first.agg(F.min("match").alias("match")))).filter("match IS NOT NULL")    # one row
+    best = inside.unionByName(around).unionByName(blank.select("_k", "match")).unionByName(none).groupBy("_k").agg(F.min("match").alias("match"))
+    fuzzy = rest.join(best, "_k").select(name, "match")
     return exact.withColumn("how", F.lit("exact")).unionByName(fuzzy.withColumn("how", F.lit("substring")))
 
 
