@@ -438,6 +438,16 @@ def cashier_risk(t):
     return A.cashier_risk(frame(t))
 
 
+@register("suspicious_discounts", sql="""
+SELECT order_id, customer_id, cashier_id, max(discount_rate) * 10 AS discount, sum(line_total) AS amount FROM sale_lines
+GROUP BY ALL HAVING max(discount_rate) * 10 > 0.5""")
+def suspicious_discounts(t):
+    """AG42: orders with over 50 % discount (the fixture's rates times ten)."""
+    orders = t.sale_lines.groupBy("order_id", "customer_id", "cashier_id").agg(
+        (F.max("discount_rate") * 10).alias("discount"), F.sum("line_total").alias("amount"))
+    return A.suspicious_discounts(orders)
+
+
 @register("anomaly_type_mix", sql=cte(*BASE) + """
 , lab AS (SELECT * FROM frame WHERE anomaly_type IS NOT NULL),
 a AS (SELECT anomaly_type, count(*) AS all_count FROM lab GROUP BY 1),

@@ -144,25 +144,29 @@ def ml_als_recommendations(t):
 
 
 def _fm_data(t):
-    lines = t.valid_lines.select("order_id", "customer_id", "section", "order_ts")
+    lines = t.valid_lines.select("order_id", "customer_id", "section", "category", "cashier_id", "order_ts")
     idx = RC.item_index(lines.select(F.col("section").alias("item")))
-    pos = (lines.select("order_id", "customer_id", F.col("section").alias("item"), "order_ts").distinct()
-           .join(bounded(idx), "item"))
-    neg = M.negatives(pos, idx.count()).join(pos.select("order_id", "customer_id", "order_ts").distinct(), "order_id")
-    data = (pos.select("order_id", "customer_id", "item_idx", "order_ts", F.lit(1.0).alias("label"))
-            .unionByName(neg.select("order_id", "customer_id", "item_idx", "order_ts", F.lit(0.0).alias("label"))))
-    return _context(data), idx
+    of_item = lines.groupBy(F.col("section").alias("item")).agg(F.mode("category", True).alias("category"))      # an item's usual category
+    idx = cut_lineage(idx.join(of_item, "item"))
+    order = ["order_id", "customer_id", "cashier_id", "order_ts"]
+    pos = lines.select(*order, F.col("section").alias("item")).distinct().join(bounded(idx.select("item", "item_idx")), "item")
+    neg = M.negatives(pos, idx.count()).join(pos.select(*order).distinct(), "order_id")
+    data = (pos.select(*order, "item_idx", F.lit(1.0).alias("label"))
+            .unionByName(neg.select(*order, "item_idx", F.lit(0.0).alias("label"))))
+    return _context(data.join(bounded(idx.select("item_idx", "category")), "item_idx")), idx
 
 
 def _context(data):
-    """Weekday, meal period and month beside customer and item, all as hashable text."""
-    return data.select("*", F.weekday("order_ts").cast("string").alias("weekday"), X.meal_period(F.hour("order_ts"), "training").alias("meal"),
-                       F.month("order_ts").cast("string").alias("month"), F.col("customer_id").cast("string").alias("customer"),
-                       F.col("item_idx").cast("string").alias("itm"))
+    """Meal, weekday, weekend, hour, restaurant (the cashier stands for it) and category beside customer and item; texts are hashed."""
+    hour, day = F.hour("order_ts"), F.weekday("order_ts")
+    return data.select("*", X.meal_period(hour, "training").alias("meal"), day.cast("string").alias("weekday"), (day >= 5).cast("double").alias("weekend"),
+                       (hour / 23.0).alias("hour"), F.col("cashier_id").cast("string").alias("restaurant"),
+                       F.col("customer_id").cast("string").alias("customer"), F.col("item_idx").cast("string").alias("itm"))
 
 
-# the four context configurations
-FM_CONFIGS = {"base": [], "time": ["meal"], "calendar": ["weekday", "month"], "full": ["meal", "weekday", "month"]}
+# the four context configurations, each with all of the one before
+FM_CONFIGS = {"user_item": [], "meal": ["meal"], "day": ["meal", "weekday", "weekend"],
+              "full": ["meal", "weekday", "weekend", "hour", "restaurant", "category"]}
 
 
 @register("ml_negative_samples")
@@ -196,13 +200,13 @@ def ml_fm_configs(t):
 @register("ml_fm_context_scores")
 def ml_fm_context_scores(t):
     """ML8 + ML9: factorisation machine with the full context; every item scored
-    in one context (customer 7, Monday, dinner, January) and DP10's multiplier,
+    in one context (customer 7, Monday, dinner at 20 h, the first cashier) and DP10's multiplier,
     score ÷ mean score of all items."""
     data, idx = _fm_data(t)
     cols = ["customer", "itm", *FM_CONFIGS["full"]]
     fm = M.fm_fit(cut_lineage(M.hashed(data, cols)), "fm_features")
-    ctx = idx.select("item_idx", F.col("item_idx").cast("string").alias("itm"), F.lit("7").alias("customer"),
-                     F.lit("0").alias("weekday"), F.lit("dinner").alias("meal"), F.lit("1").alias("month"))
+    ctx = idx.select("item_idx", "category", F.col("item_idx").cast("string").alias("itm"), F.lit("7").alias("customer"), F.lit("dinner").alias("meal"),
+                     F.lit("0").alias("weekday"), F.lit(0.0).alias("weekend"), F.lit(20 / 23.0).alias("hour"), F.lit("1-URGENT").alias("restaurant"))
     scored = cut_lineage(fm.transform(M.hashed(ctx, cols)).select("item_idx", vector_to_array("probability")[1].alias("score")))
     mean = scored.agg(F.avg("score").alias("m"))
     return scored.crossJoin(F.broadcast(mean)).select("item_idx", "score", F.try_divide("score", "m").alias("multiplier"))

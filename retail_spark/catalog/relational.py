@@ -125,6 +125,16 @@ def line_projections(t):
     return out.select(*front, *[c for c in out.columns if c not in front])
 
 
+@register("order_totals", sql="""
+WITH a AS (SELECT order_id, sum(CAST(round(CAST(price * quantity AS DECIMAL(20, 6)), 2) AS DECIMAL(20, 2))) AS subtotal,
+                  max(discount_rate) * 100 AS pct FROM sale_lines GROUP BY order_id),
+b AS (SELECT *, CAST(round(CAST(CAST(subtotal AS DOUBLE) * pct / 100 AS DECIMAL(20, 6)), 2) AS DECIMAL(20, 2)) AS discount FROM a)
+SELECT order_id, CAST(subtotal AS DOUBLE) AS subtotal, CAST(discount AS DOUBLE) AS discount_amount, CAST(subtotal - discount AS DOUBLE) AS total_amount FROM b""")
+def order_totals(t):
+    """SF16: order subtotal, order discount and total, each rounded to cents (an order's discount is its highest line rate)."""
+    return X.order_totals(t.sale_lines, F.col("price") * F.col("quantity"), F.max("discount_rate") * 100)
+
+
 @register("section_codes", sql="""
 SELECT section, CAST(dense_rank() OVER (ORDER BY section) - 1 AS BIGINT) AS section_code
 FROM (SELECT DISTINCT section FROM sale_lines)""")

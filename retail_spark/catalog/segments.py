@@ -356,6 +356,26 @@ def targeting_summary(t):
     return C.targeting_summary(named_features(t))
 
 
+@register("profile_by_archetype", sql=cte(*BASE) + """
+SELECT archetype, count(*) AS customers, avg(recency) AS avg_recency, avg(frequency) AS avg_frequency,
+       avg(monetary) AS avg_monetary, avg(avg_basket_size) AS avg_basket_size
+FROM features GROUP BY archetype""")
+def profile_by_archetype(t):
+    """AG44: RFM and basket means by archetype."""
+    return C.rfm_by_profile(features(t)[1], "archetype")
+
+
+@register("filled_customers", sql=cte(*BASE) + """
+, j AS (SELECT c.customer_id, f.* EXCLUDE (customer_id) FROM customers_v c LEFT JOIN features f USING (customer_id))
+SELECT customer_id, coalesce(frequency, 0) AS frequency, coalesce(monetary, 0.0) AS monetary, coalesce(recency, (SELECT max(recency) + 30 FROM j)) AS recency,
+       coalesce(avg_item_price, (SELECT median(avg_item_price) FROM j)) AS avg_item_price, coalesce(r_score, 1) AS r_score, coalesce(f_score, 1) AS f_score,
+       coalesce(m_score, 1) AS m_score, coalesce(rfm_code, '111') AS rfm_code, coalesce(preferred_payment_method, 'unknown') AS preferred_payment_method FROM j""")
+def filled_customers(t):
+    """PRJ3: customers without orders: zeros, recency of the column's highest plus 30, plain median price, lowest scores, 'unknown'."""
+    f = t.customers_v.select("customer_id").join(features(t)[1], "customer_id", "left")
+    return C.fill_missing(f)
+
+
 @register("profile_check", sql=cte(*BASE) + """
 SELECT price_tier, count(*) AS customers, avg(recency) AS avg_recency, avg(frequency) AS avg_frequency,
        avg(monetary) AS avg_monetary, avg(avg_basket_size) AS avg_basket_size FROM features GROUP BY price_tier""")

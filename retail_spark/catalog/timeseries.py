@@ -542,6 +542,29 @@ def model_winners(t):
     return TS.winners(per, "section")
 
 
+@register("model_votes", sql=cte(DAILY, WEEKLY, PREDS) + """
+, tiers AS (SELECT section, CASE WHEN avg(quantity) >= 35 THEN 'High' WHEN avg(quantity) >= 7 THEN 'Medium' ELSE 'Low' END AS volume_tier
+            FROM weekly WHERE split = 'train' GROUP BY section),
+ps AS (SELECT *, CASE WHEN week_start <= DATE '""" + str(VAL_END) + """' THEN 'val' ELSE 'test' END AS split FROM preds),
+p2 AS (SELECT ps.*, 'section' AS scope, section AS name FROM ps UNION ALL SELECT ps.*, 'tier', volume_tier FROM ps JOIN tiers USING (section)
+       UNION ALL SELECT ps.*, 'all', 'all' FROM ps),
+m AS (""" + _metrics(["split", "scope", "name", "model"]) + """ FROM p2 GROUP BY split, scope, name, model),
+b AS (SELECT split, scope, name, first(model ORDER BY wape, model) AS wape_winner, first(model ORDER BY r2 DESC, model) AS r2_winner,
+             first(model ORDER BY abs(bias), model) AS bias_winner FROM m GROUP BY ALL),
+v AS (SELECT b.*, x.model, (wape_winner = x.model)::INT + (r2_winner = x.model)::INT + (bias_winner = x.model)::INT AS votes
+      FROM b, (SELECT DISTINCT model FROM m) x)
+SELECT split, scope, name, wape_winner, r2_winner, bias_winner, model AS winner, votes FROM v
+QUALIFY row_number() OVER (PARTITION BY split, scope, name ORDER BY votes DESC, model = wape_winner DESC, model DESC) = 1""")
+def model_votes(t):
+    """DP36: winners by WAPE, R² and |bias| and the vote over them, by split: all, each section, each volume tier."""
+    p = TS.split_by_date(preds_long(t), "week_start", TRAIN_END, VAL_END)
+    tiers = TS.volume_tiers(weekly(t), "section").select("section", "volume_tier")
+    scoped = (p.select("*", F.lit("section").alias("scope"), F.col("section").alias("name"))
+              .unionByName(p.join(tiers, "section").select(*p.columns, F.lit("tier").alias("scope"), F.col("volume_tier").alias("name")))
+              .unionByName(p.select("*", F.lit("all").alias("scope"), F.lit("all").alias("name"))))
+    return TS.votes(scoped, ["split", "scope", "name"])
+
+
 @register("residual_profile", sql=cte(DAILY, WEEKLY, PREDS) + """
 SELECT model, weekofyear(week_start) AS week_of_year, avg(abs(actual - predicted)) AS mae,
        avg(actual - predicted) AS bias, sum(actual - predicted) AS residual_sum FROM preds GROUP BY 1, 2""")

@@ -215,6 +215,19 @@ def discount_rate(pct) -> Column:
     return F.when(d > 1, d / 100).otherwise(d)
 
 
+def cents(x: Column) -> Column:
+    """Rounded half up to two decimals, as a decimal."""
+    return F.round(x.cast("decimal(20,6)"), 2).cast("decimal(20,2)")
+
+
+def order_totals(lines, amount: Column, pct: Column, key: str = "order_id"):
+    """Subtotal of the lines, discount of ``pct`` per cent and what is left, each rounded to cents (SF16)."""
+    o = lines.groupBy(key).agg(F.sum(cents(amount)).cast("decimal(20,2)").alias("_s"), pct.alias("_p"))
+    o = o.withColumn("_d", cents(F.col("_s").cast("double") * F.col("_p") / 100))
+    return o.select(key, F.col("_s").cast("double").alias("subtotal"), F.col("_d").cast("double").alias("discount_amount"),
+                    (F.col("_s") - F.col("_d")).cast("double").alias("total_amount"))
+
+
 def line_amount(price, qty, discount_pct) -> Column:
     """round(price·qty·(1 − d/100), 2) (SF16), rounded half-up on a decimal so
     the result does not depend on the binary representation of the double."""

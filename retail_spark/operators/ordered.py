@@ -72,24 +72,6 @@ def global_running_sum(df: DataFrame, order: list[Column], values: dict[str, Col
     return out.drop(*drop)
 
 
-def bucketed_row_number(df: DataFrame, bucket: Column, within: list[Column], name: str = "rn") -> DataFrame:
-    """1-based position in the order (bucket, *within) when the bucket is a
-    coarse monotone key such as a calendar day.
-
-    Per-bucket counts (one row per bucket — bounded by the calendar, not by
-    the data) give offsets; rows are ranked inside their bucket only.  Fully
-    deterministic, so recomputation after an executor loss gives the same
-    positions without a checkpoint or a global sort."""
-    b = df.withColumn("_bkt", bucket)
-    counts = b.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)   # one row per bucket
-    offsets = counts.select("_bkt", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy("_bkt").orderBy(*within)
-    return (b.join(F.broadcast(offsets), "_bkt")
-            .withColumn(name, F.col("_off") + F.row_number().over(inner))
-            .drop("_bkt", "_off"))
-
-
 def keyed_clamped_running(df: DataFrame, key: str, order: list[Column], delta: Column,
                           start: Column, name: str = "level", previous: str | None = None) -> DataFrame:
     """Running level per key that never goes below zero (WN24); ``previous`` names a column for the level ahead of each row.

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_spark.functions import exprs as X
-from retail_spark.operators.ordered import exact_quantile_list, exact_quantiles, bucketed_row_number, global_row_number, global_running_sum
+from retail_spark.operators.ordered import exact_quantile_list, exact_quantiles, global_row_number, global_running_sum
 from retail_spark.session import cut_lineage
 
 # Fixed values of the reference rules.
@@ -134,16 +134,11 @@ def label_rollup(labels: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("description")), " | ").alias("anomaly_description"))
 
 
-def split_by_position(df: DataFrame, order: list[Column], fracs=(0.7, 0.85),
-                      day: Column | None = None) -> DataFrame:
+def split_by_position(df: DataFrame, order: list[Column], fracs=(0.7, 0.85)) -> DataFrame:
     """Chronological split by row position: first floor(0.7n) train, up to
-    floor(0.85n) validation, rest test (WN19).  With a calendar ``day`` that
-    leads the order, positions come from per-day offsets and a rank within
-    the day; otherwise from the distributed global row number."""
-    if day is not None:
-        ranked = bucketed_row_number(df, day, order, "_pos")
-    else:
-        ranked = global_row_number(df, order, "_pos")
+    floor(0.85n) validation, rest test (WN19).  Positions come from a range
+    sort, so rows of one moment spread over many tasks."""
+    ranked = global_row_number(df, order, "_pos")
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     idx = F.col("_pos") - 1
     return (ranked.crossJoin(F.broadcast(n))
@@ -169,9 +164,7 @@ def model_frame(lines: DataFrame, labels: DataFrame, label_lines: DataFrame) ->
     o = o.select("*", *[v.alias(k) for k, v in flags.items()])
     o = (o.join(labels, "order_id", "left").fillna(0, subset=["is_anomaly"])
          .join(label_rollup(label_lines), "order_id", "left"))
-    # hour buckets lead the (order_ts, order_id) order: offsets over the calendar's
-    # hours, ranking inside an hour only
-    return split_by_position(o, [F.asc("order_ts"), F.asc("order_id")], day=F.date_trunc("hour", "order_ts"))
+    return split_by_position(cut_lineage(o), [F.asc("order_ts"), F.asc("order_id")])
 
 
 # ---------------------------------------------------------------------------
@@ -403,6 +396,11 @@ def recall_by_type(alerts: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("anomalies"), F.avg("predicted_is_anomaly").alias("recall")))
 
 
+def suspicious_discounts(orders: DataFrame, rate: str = "discount", limit: float = 0.5) -> DataFrame:
+    """Orders with a discount over the limit, the highest first (AG42)."""
+    return orders.filter(F.col(rate) > limit)
+
+
 def cashier_risk(orders: DataFrame) -> DataFrame:
     """Void and anomaly rate per cashier versus the mean of the other
     cashiers' orders (AG36): totals minus own, one aggregate pass."""

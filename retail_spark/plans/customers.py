@@ -310,6 +310,17 @@ def action_summary(profiles_with_action: DataFrame) -> DataFrame:
                  F.sum("total_revenue").alias("revenue")))
 
 
+def fill_missing(f: DataFrame) -> DataFrame:
+    """Customers without orders (PRJ3): nothing bought, a recency above the highest, the median price, the lowest scores."""
+    f = cut_lineage(f)
+    known = f.agg((F.max("recency") + 30).alias("_late")).crossJoin(exact_quantiles(f, {"_price": ("avg_item_price", 0.5)}))      # one row
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return f.crossJoin(F.broadcast(known)).select(
+        "customer_id", zero("frequency"), F.coalesce("monetary", F.lit(0.0)).alias("monetary"), F.coalesce("recency", "_late").alias("recency"),
+        F.coalesce("avg_item_price", "_price").alias("avg_item_price"), *[F.coalesce(F.col(c), F.lit(1)).alias(c) for c in ("r_score", "f_score", "m_score")],
+        F.coalesce("rfm_code", F.lit("111")).alias("rfm_code"), F.coalesce("preferred_payment_method", F.lit("unknown")).alias("preferred_payment_method"))
+
+
 def rfm_by_profile(features: DataFrame, by: str) -> DataFrame:
     """RFM means and basket by a profile attribute (AG44)."""
     return features.groupBy(by).agg(

@@ -38,8 +38,11 @@ SEED = 42
 
 
 def preprocess(df: DataFrame, num: Sequence[str], cat: Sequence[str] = (), out: str = "features"):
-    """Median impute + standardise numerics; index + one-hot categoricals
-    (unseen → extra slot); assemble (ML1).  Returns (model, transformed)."""
+    """Median impute + standardise numerics; mode impute, index + one-hot
+    categoricals (unseen → extra slot); assemble (ML1).  Returns (model, transformed)."""
+    if cat:
+        modes = df.agg(*[F.mode(c, True).alias(c) for c in cat]).first().asDict()       # the smallest among the most frequent
+        df = df.fillna({c: m for c, m in modes.items() if m is not None}, subset=list(cat))
     imp = Imputer(strategy="median", inputCols=list(num), outputCols=[f"{c}__imp" for c in num])
     num_vec = VectorAssembler(inputCols=[f"{c}__imp" for c in num], outputCol="_num")
     scaler = StandardScaler(inputCol="_num", outputCol="_num_std", withMean=True, withStd=True)
@@ -214,8 +217,10 @@ def negatives(pos: DataFrame, n_items: int, key: str = "order_id", item: str = "
 
 
 def hashed(df: DataFrame, cols: Sequence[str], out: str = "fm_features", buckets: int = 1 << 14) -> DataFrame:
-    """Feature vector of hashed name=value pairs; values are neither indexed nor held on the driver."""
-    return FeatureHasher(inputCols=list(cols), outputCol=out, numFeatures=buckets, categoricalCols=list(cols)).transform(df)
+    """Feature vector of hashed name=value pairs (texts) and named numbers; values are neither indexed nor held on the driver."""
+    texts = [c for c in cols if dict(df.dtypes)[c] == "string"]
+    df = df.withColumns({c: F.nullif(c, F.lit(0.0)) for c in cols if c not in texts})      # a zero is no entry of the vector
+    return FeatureHasher(inputCols=list(cols), outputCol=out, numFeatures=buckets, categoricalCols=texts).transform(df)
 
 
 def fm_compare(data: DataFrame, configs: dict[str, list[str]], key: str = "order_id") -> DataFrame:

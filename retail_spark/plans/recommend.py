@@ -2,7 +2,7 @@
 rule / similarity / hybrid / popularity recommenders, hold-out split and
 ranking metrics (DP1–DP13, AG30, AG31, AG39, WN21, SO4, JN14).
 
-Itemsets come from MLlib's FP-Growth (conditional FP-trees, distributed by
+Itemsets come from MLlib's Frequent itemsets (conditional FP-trees, distributed by
 item), not from enumerating pairs inside baskets.  Item–item cosine
 similarity uses MLlib's exact ``RowMatrix.columnSimilarities``.  Every
 per-user step is a join on the user key followed by a top-n window per user,

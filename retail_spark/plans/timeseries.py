@@ -19,8 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_spark.functions import exprs as X
+from retail_spark.operators.broadcast import bounded
+from retail_spark.operators.ordered import exact_quantiles, global_running_sum
 from retail_spark.operators.relational import dense_grid
 from retail_spark.operators.windows import add_lags, add_rolling
+from retail_spark.session import cut_lineage
 
 EPS = 1e-6
 LAGS_WEEKLY = (1, 2, 3, 4, 8)
@@ -106,8 +109,9 @@ def hierarchy_features(weekly: DataFrame, key: str, parent: str) -> DataFrame:
     cw = Window.partitionBy(key).orderBy("week_start").rowsBetween(-4, -1)
     df = (weekly.withColumn("rolling_mean_4w", F.avg("quantity").over(cw))
           .join(pw, [parent, "week_start"], "left"))
-    med = Window.partitionBy(parent)
-    return (df.withColumn("parent_lag_1w", F.coalesce("parent_lag_1w", F.median("parent_lag_1w").over(med)))
+    df = cut_lineage(df)
+    med = exact_quantiles(df, {"_med": ("parent_lag_1w", 0.5)}, [parent])
+    return (df.join(bounded(med), parent, "left").withColumn("parent_lag_1w", F.coalesce("parent_lag_1w", "_med")).drop("_med")
             .withColumn("share_of_parent",
                         F.coalesce(F.col("rolling_mean_4w") / (F.col("parent_rolling_4w") + EPS), F.lit(0.0))))
 
@@ -242,7 +246,8 @@ def split_summary(df: DataFrame, date_col: str, key: str) -> DataFrame:
 def median_cv(daily: DataFrame, key: str) -> DataFrame:
     """Per-series coefficient of variation and the median of it (AG29)."""
     cv = daily.groupBy(key).agg((F.stddev_samp("quantity") / F.avg("quantity")).alias("cv"))
-    return cv.agg(F.median("cv").alias("median_cv"), F.count(F.lit(1)).alias("series"))
+    cv = cut_lineage(cv)
+    return exact_quantiles(cv, {"median_cv": ("cv", 0.5)}).crossJoin(cv.agg(F.count(F.lit(1)).alias("series")))      # one row each
 
 
 def group_monthly(daily: DataFrame, key: str, groups: dict[str, Sequence[str]]) -> DataFrame:
@@ -279,7 +284,7 @@ def acf(series: DataFrame, nlags: int, key: str | None = None) -> DataFrame:
     exploded, so no ordered window spans the whole series."""
     keys = [key] if key else []
     mu = series.groupBy(*keys).agg(F.avg("quantity").alias("_mu"))
-    s = (series.join(F.broadcast(mu), keys) if keys else series.crossJoin(F.broadcast(mu)))
+    s = (series.join(bounded(mu), keys) if keys else series.crossJoin(F.broadcast(mu)))
     s = s.withColumn("_x", F.col("quantity") - F.col("_mu"))
     den = s.groupBy(*keys).agg(F.sum(F.col("_x") * F.col("_x")).alias("_den"))
     lagged = (s.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(nlags))).alias("lag"),
@@ -412,9 +417,8 @@ def wilcoxon(per_series: DataFrame, key: str, a: str, b: str, metric: str = "mae
     # average rank of |d| among ties = (lowest rank + highest rank) / 2; one
     # row per distinct |d| (bounded by the number of series) carries the ranks
     ties = d.groupBy("ad").agg(F.count(F.lit(1)).alias("t"))
-    w = Window.orderBy("ad").rowsBetween(Window.unboundedPreceding, -1)
-    ties = ties.withColumn("r", F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2.0)
-    r = d.join(F.broadcast(ties), "ad")
+    ties = cut_lineage(global_running_sum(ties, [F.asc("ad")], {"upto": F.col("t")}).withColumn("r", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2.0))
+    r = d.join(bounded(ties), "ad")
     g = r.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"),
               F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
     tc = ties.agg(F.coalesce(F.sum(F.pow("t", 3) - F.col("t")), F.lit(0.0)).alias("_tc"))
@@ -434,6 +438,19 @@ def winners(per_series: DataFrame, key: str, metric: str = "mae") -> DataFrame:
     return best.groupBy(F.col("model").alias("winner")).agg(F.count(F.lit(1)).alias("series_won"))
 
 
+def votes(preds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Winner of each group by WAPE, R² and |bias| (ties by name), and the vote over the three (DP36).
+
+    Models that win as many criteria are told apart by the WAPE winner, then by name."""
+    m = forecast_metrics(preds, [*by, "model"])
+    order = {"wape": F.col("wape"), "r2": -F.col("r2"), "bias": F.abs("bias")}
+    best = m.groupBy(*by).agg(*[F.min(F.struct(v.alias("v"), F.col("model"))).getField("model").alias(f"{c}_winner") for c, v in order.items()])
+    picks = F.array(*[F.col(f"{c}_winner") for c in order])
+    score = F.array_max(F.transform(F.array_distinct(picks), lambda x: F.struct(
+        F.size(F.filter(picks, lambda y: y == x)).alias("votes"), (x == F.col("wape_winner")).alias("first"), x.alias("model"))))
+    return best.withColumn("_s", score).select(*by, *[f"{c}_winner" for c in order], F.col("_s.model").alias("winner"), F.col("_s.votes").cast("int").alias("votes"))
+
+
 def residual_profile(preds: DataFrame) -> DataFrame:
     """MAE and bias by week-of-year (AG45)."""
     e = F.col("actual") - F.col("predicted")
