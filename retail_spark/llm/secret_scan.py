@@ -2,8 +2,9 @@
 
 Every text is searched for candidate credentials.  The hash of a candidate's
 value is then counted over the whole corpus by distinct owners and distinct
-repositories: a value that several owners hold is a copied example, a value that
-stays with few owners and looks random is treated as live.
+repositories: a value that several owners hold, or that lies in many
+repositories of few owners, is a copied example; a value that stays in few
+places and looks random is treated as live.
 
 The scan runs once; its result (spans and hashes, no text unless asked for) is
 checkpointed into the shared folder.  The ownership count first reduces the
@@ -59,6 +60,30 @@ SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value_start", pa.int32()),
                              ("value_end", pa.int32()), ("value_hash", pa.string()), ("random", pa.bool_())]))
 _COMPILED = {k: re.compile(p) for k, (p, _, _) in KINDS.items()}
+_PART = re.compile(r"[A-Za-z0-9_-]+")
+
+
+def jwt_spans(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the jwt pattern, found over its dot-separated parts: time in proportion to the text, whatever it repeats."""
+    parts = [m.span() for m in _PART.finditer(text)]
+    i = 0
+    while i + 2 < len(parts):
+        (a, a_end), (b, b_end), (c, c_end) = parts[i:i + 3]
+        found = -1
+        if b - a_end == c - b_end == 1 and text[a_end] == text[b_end] == "." and b_end - b >= 8 and c_end - c >= 8:
+            found = text.find("eyJ", a, max(a, a_end - 8))            # eight characters follow it in its part
+        if found >= 0:
+            yield found, c_end
+        i += 3 if found >= 0 else 1
+
+
+def matches(kind: str, text: str) -> Iterator[tuple[int, int, int, int]]:
+    """start, end, start of the value, end of the value."""
+    if kind == "jwt":
+        yield from ((a, b, a, b) for a, b in jwt_spans(text))
+    else:
+        group = KINDS[kind][1]
+        yield from ((*m.span(), *m.span(group)) for m in _COMPILED[kind].finditer(text))
 
 
 def looks_random(value: str) -> bool:
@@ -74,15 +99,14 @@ def find_spans(text: str | None) -> list[dict]:
     if not text:
         return []
     out = []
-    for order, (kind, (_, group, least)) in enumerate(KINDS.items()):
+    for order, (kind, (_, _, least)) in enumerate(KINDS.items()):
         if kind in NEEDS and not any(s in text for s in NEEDS[kind]):
             continue
-        for m in _COMPILED[kind].finditer(text):
-            value = m[group]
-            if len(value) >= least:
-                a, b = m.span(group)
-                out.append((m.start(), order, {
-                    "kind": kind, "start": m.start(), "end": m.end(), "value_start": a, "value_end": b,
+        for start, end, a, b in matches(kind, text):
+            if b - a >= least:
+                value = text[a:b]
+                out.append((start, order, {
+                    "kind": kind, "start": start, "end": end, "value_start": a, "value_end": b,
                     "value_hash": blake2b(value.encode(), digest_size=16).hexdigest(), "random": looks_random(value)}))
     out.sort(key=lambda x: x[:2])
     return [x[2] for x in out]
@@ -111,13 +135,15 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.join(repos, "value_hash")
 
 
-def classify(scanned: DataFrame, rid: str, owner: Column, repo: Column, out: str = "secrets", min_owners: int = 3) -> DataFrame:
+def classify(scanned: DataFrame, rid: str, owner: Column, repo: Column, out: str = "secrets", min_owners: int = 3,
+             min_repos: int = 8) -> DataFrame:
     """Add to every span of ``scanned`` n_owners, n_repos and class; drops ``rid``.
 
     ``scanned`` is a stored result of ``scan`` with a unique row id ``rid`` in it
     (stored, so that a lost task cannot number the rows anew).  A repository is
     a pair of owner and repo.  class: ``example`` when at least ``min_owners``
-    owners hold the value, else ``live`` when it looks random, else ``weak``.
+    owners or ``min_repos`` repositories hold the value, else ``live`` when it
+    looks random, else ``weak``.
     """
     cols = [c for c in scanned.columns if c != rid]
     none = scanned.filter(F.size(out) == 0).drop(rid)
@@ -132,7 +158,7 @@ def classify(scanned: DataFrame, rid: str, owner: Column, repo: Column, out: str
     known = some.join(held, rid)
 
     def labelled(span: Column, n: Column) -> Column:
-        kind = (F.when(n["n_owners"] >= min_owners, "example").when(span["random"], "live").otherwise("weak"))
+        kind = (F.when((n["n_owners"] >= min_owners) | (n["n_repos"] >= min_repos), "example").when(span["random"], "live").otherwise("weak"))
         return F.struct(*[span[f].alias(f) for f in SPAN.names], n["n_owners"].alias("n_owners"), n["n_repos"].alias("n_repos"),
                         kind.alias("class"))
 
@@ -174,7 +200,8 @@ def joined(spans: Column) -> Column:
 # ---- registered query -------------------------------------------------------
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Secrets of every whole text: base counts and digest, all spans, and how many are live or copied examples.
+    """Secrets of every whole text: base counts and digest, all spans, how many are live or copied examples, and the
+    owners and repositories of each span's value (in the order of ``spans``).
 
     Owners are the sources; a repository is a source's part in one language."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
@@ -185,7 +212,11 @@ def query(spark, sf_dir: str) -> DataFrame:
     def n(field: str, value: str) -> Column:
         return F.size(F.filter(s, lambda x: x[field] == value)).cast("long")
 
+    def counts(field: str) -> Column:
+        return F.array_join(F.transform(s, lambda x: x[field].cast("string")), ",")
+
     base = F.filter(s, lambda x: x["kind"].isin(*BASE))
     return d.select("doc_id", n("kind", "assign").alias("n_assign"), n("kind", "access").alias("n_access"), n("kind", "hex").alias("n_hex"),
                     F.sha2(joined(base), 256).alias("base_sha256"), joined(s).alias("spans"),
-                    n("class", "live").alias("n_live"), n("class", "example").alias("n_example"), n("class", "weak").alias("n_weak"))
+                    n("class", "live").alias("n_live"), n("class", "example").alias("n_example"), n("class", "weak").alias("n_weak"),
+                    counts("n_owners").alias("n_owners"), counts("n_repos").alias("n_repos"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -147,6 +148,26 @@ def test_secret_spans(spark, edge_dir, edge_docs):
     assert {s["kind"] for s in secret_scan.find_spans(SECRETS[-1][3])} == {"url", "vendor"}
 
 
+def test_jwt_search_is_linear_and_equals_the_pattern():
+    rng = np.random.default_rng(6)
+    pattern = re.compile(secret_scan.KINDS["jwt"][0])
+    for _ in range(3000):
+        s = "".join(rng.choice(["eyJ", "abcdefgh", ".", "a", " ", "eyJabcdefgh."], rng.integers(1, 14)))
+        assert list(secret_scan.jwt_spans(s)) == [m.span() for m in pattern.finditer(s)]
+    start = time.process_time()
+    for s in ("eyJ" * 350_000, "eyJabcdefgh." * 90_000 + " ", "eyJ." * 250_000):
+        secret_scan.find_spans(s)
+    assert time.process_time() - start < 10
+
+
+def test_secrets_in_many_repositories_of_one_owner(spark):
+    rows = [(i, "a", f"r{i % 9}", 'token="Zk3vQ9pLw8Rt2Yx7"') for i in range(20)] + [(90, "a", "r1", 'token="Qp7LmN2bVx8Kd4Ws"')]
+    docs = spark.createDataFrame(rows, "i long, owner string, repo string, text string")
+    known = secret_scan.classify(secret_scan.scan(docs).withColumn("rid", F.col("i")), "rid", F.col("owner"), F.col("repo"))
+    got = {r["i"]: (r["secrets"][0]["n_owners"], r["secrets"][0]["n_repos"], r["secrets"][0]["class"]) for r in known.collect()}
+    assert got == {**{i: (1, 9, "example") for i in range(20)}, 90: (1, 1, "live")}
+
+
 def test_secret_ownership_and_redaction(spark):
     docs = spark.createDataFrame([(i, o, r, t, "own") for i, o, r, t in SECRETS], "i int, owner string, repo string, text string, held string")
     scanned = secret_scan.scan(docs).withColumn("rid", F.col("i").cast("long"))
