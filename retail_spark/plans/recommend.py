@@ -2,9 +2,9 @@
 rule / similarity / hybrid / popularity recommenders, hold-out split and
 ranking metrics (DP1–DP13, AG30, AG31, AG39, WN21, SO4, JN14).
 
-Itemsets come from MLlib's Frequent itemsets (conditional FP-trees, distributed by
-item), not from enumerating pairs inside baskets.  Item–item cosine
-similarity uses MLlib's exact ``RowMatrix.columnSimilarities``.  Every
+Itemsets are counted level by level: pairs of a basket's frequent items, then triples
+whose pairs are all frequent.  Item–item cosine of few items uses MLlib's exact
+``RowMatrix.columnSimilarities``; ``plans.factors`` has the search for many items.  Every
 per-user step is a join on the user key followed by a top-n window per user,
 so a user's work is proportional to that user's own rows.
 """

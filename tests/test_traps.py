@@ -90,14 +90,12 @@ def test_global_row_number_and_running_sum(spark):
     assert np.allclose(rs["cum"], pdf["v"].cumsum())
 
 
-def test_bucketed_row_number_matches_sort(spark):
-    from retail_spark.operators.ordered import bucketed_row_number
+def test_position_split_with_half_of_the_rows_at_one_moment(spark):
     rng = np.random.default_rng(5)
-    pdf = pd.DataFrame({"id": rng.permutation(300), "day": rng.integers(0, 20, 300)})
+    pdf = pd.DataFrame({"id": rng.permutation(300), "day": np.where(rng.random(300) < 0.5, 9, rng.integers(0, 20, 300))})
     df = spark.createDataFrame(pdf).repartition(7)
-    got = bucketed_row_number(df, F.col("day"), [F.asc("id")], "rn").toPandas().sort_values("rn")
-    exp = pdf.sort_values(["day", "id"])
-    assert got["id"].tolist() == exp["id"].tolist() and got["rn"].tolist() == list(range(1, 301))
+    got = A.split_by_position(df, [F.asc("day"), F.asc("id")]).toPandas().sort_values(["day", "id"])
+    assert got["split"].tolist() == ["train"] * 210 + ["val"] * 45 + ["test"] * 45
 
 
 def _greedy_prune(rules, tol=0.10):
