@@ -199,13 +199,15 @@ class Remembered:
 class Codec:
     """Encoder and decoder for one rank file and pre-token pattern, with bounded memory."""
 
+    together, memory = TOGETHER, MEMORY
+
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
         self.queue = Ranks(self.ranks)
         self.bytes_of = bytes_by_id(self.ranks)
         self.find = regex.compile(pattern).findall
-        self.tokens = Remembered(MEMORY // 4)
-        self.cuts = Remembered(MEMORY)      # what follows a space, up to the next one
+        self.tokens = Remembered(self.memory // 4)
+        self.cuts = Remembered(self.memory)      # what follows a space, up to the next one
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without the memory of cuts."""
@@ -246,7 +248,7 @@ class Codec:
         for t in texts:
             group.append(t or "")
             held += len(group[-1])
-            if held >= TOGETHER:
+            if held >= self.together:
                 out += self._group(group)
                 group, held = [], 0
         return out + self._group(group)

@@ -90,7 +90,11 @@ def best_fit_decreasing(lengths: list[int], row: int) -> list[list[int]]:
 
 
 class LibraryCodec(Codec):
-    """The codec with the merges left to tiktoken: packing needs ids, not this library's own merging."""
+    """The codec with the merges left to tiktoken: packing needs ids, not this library's own merging.
+
+    It keeps no queue and no pre-tokens, so more texts go together and more cuts are remembered."""
+
+    together, memory = 1 << 21, 80 << 20
 
     def __init__(self, path: str, pattern: str):
         super().__init__(path, pattern)
