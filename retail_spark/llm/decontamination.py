@@ -15,22 +15,26 @@ document sends every window once, whatever its length; the benchmark side is
 broadcast when its measured size allows it and is joined by a shuffle otherwise.
 Matches are counted per (document, item) with map-side combining.
 
-Names are capitalised words inside a sentence; sentences begin at the start of
-a text or line and after . ! ? : ; …  As names can open sentences and have
-several words, both sides are read a second time: a capitalised word that opens
-a sentence is a name as well, and a run of one placeholder is one slot.  A pair
-counts if it holds in one of the two readings.
-
-Edge cases: null and empty texts have no template and stay; items of fewer than
-five template words (null and empty ones too) give no evidence and match
-nothing; items that share an id count as one item; very long texts are compared
+Names are capitalised words inside a sentence, with hyphens, apostrophes and
+inner capitals; sentences begin at the start of a text or line and after
+. ! ? : ; …  As names can open sentences, stand in capitals and have several
+words, both sides are read a second time: a capitalised word that opens a
+sentence and a word all in capitals are names as well, and a run of one
+placeholder is one slot.  A pair counts if it holds in one of the two readings.
+
+Items without a window that counts in the second reading (fewer than five
+template words, or numbers and names only, such as 12 + 7 = 19) are also found
+word for word: all their words, three at least, in a row.
+
+Edge cases: null and empty texts have no template and stay; items of fewer
+than three words (null and empty ones too) give no evidence and match nothing; items that share an id count as one item; very long texts are compared
 whole; repeated rows get equal verdicts; null ids are kept apart by their text;
 empty tables give empty or clean results; extra columns are left alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_spark.llm.text_udf import fresh, quoted
@@ -38,6 +42,7 @@ from retail_spark.session import cut_lineage
 
 WINDOW = 5
 SHARE_PCT = 80
+EXACT = 3                      # words that an item without windows must have
 BROADCAST_ROWS = 1_000_000     # benchmark windows (two numbers each) that may be broadcast
 #: Fixed word lists.
 NUMBERS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
@@ -51,7 +56,8 @@ PLAIN, OPEN = 0, 1             # the two readings of a text
 PLACEHOLDERS = ("‹num›", "‹name›", "‹unit›")
 #: Literal replacements, then patterns with $n groups, in this order.  A line end closes a sentence (¶).
 MARKS = (("‹", ""), ("›", ""), ("\x01", ""), ("\n", "¶ "), *((c, " ") for c in BLANKS))
-NAMES = ((r"([.!?:;…¶][\")”’]* +)(\p{Lu})", "$1\x01$2"), (r" \p{Lu}\p{Ll}+", " ‹name›"))
+NAMES = ((r"[-'’](\p{Lu})", "$1"), (r"([.!?:;…¶][\")”’]* +)(\p{Lu})", "$1\x01$2"), (r" \p{Lu}+\p{Ll}[\p{L}\p{M}]*", " ‹name›"))
+OPEN_NAMES = ("([\x01 ]\\p{Lu}[\\p{L}\\p{M}]+)", "$1\x02")
 REST = ((r"[0-9]+([.,][0-9]+)*", "‹num›"), (r"[^\p{L}\p{M}\p{N}‹› ]+", ""))
 
 
@@ -79,12 +85,13 @@ def _step(a: Column, f) -> Column:
 
 
 def _marked(text: Column) -> Column:
-    """Template words before word lists: a capital that opens a sentence is marked \x01, and the end of its name \x02."""
+    """Template words before word lists: a capital that opens a sentence is marked \x01, and the end of a name that only the open
+    reading takes for one (it opens a sentence, or is all in capitals) \x02."""
     t = F.replace(F.coalesce(text, F.lit("")), F.lit("\x02"), F.lit("\x03"))   # both go with the punctuation
     for old, new in MARKS:
         t = F.replace(t, F.lit(old), F.lit(new))
     t = F.concat(F.lit("¶ "), t)
-    for pattern, new in (NAMES[0], ("\x01(\\p{Lu}\\p{Ll}+)", "\x01$1\x02"), NAMES[1]):
+    for pattern, new in (*NAMES, OPEN_NAMES):
         t = F.regexp_replace(t, pattern, new)
     t = F.lower(t)
     for pattern, new in (REST[0], (r"[^\p{L}\p{M}\p{N}‹›" + "\x01\x02 ]+", "")):
@@ -93,9 +100,10 @@ def _marked(text: Column) -> Column:
 
 
 def _plain(marked: Column) -> Column:
-    """The plain reading, equal to ``template``: names that open a sentence stay words."""
+    """The plain reading, equal to ``template``: names that open a sentence or are all in capitals stay words."""
     listed = lambda w: F.when(w.isin(NUMBERS), "‹num›").when(w.isin(UNITS), "‹unit›").otherwise(w)
-    return F.transform(marked, lambda w: F.when(w.startswith("\x01"), _step(F.translate(w, "\x01\x02", ""), listed)).otherwise(listed(w)))
+    return F.transform(marked, lambda w: F.when(
+        w.startswith("\x01") | w.contains("\x02"), _step(F.translate(w, "\x01\x02", ""), listed)).otherwise(listed(w)))
 
 
 def _name(marked: Column) -> Column:
@@ -112,7 +120,7 @@ def read(frame: DataFrame, reading: int, text_col: str = "text") -> DataFrame:
         return t.withColumn("words", template(text)).drop(text_col)
     t = t.withColumn("marked", _marked(text)).withColumn("plain", _plain(F.col("marked")))
     t = t.withColumn("words", F.zip_with("marked", "plain", lambda w, p: F.when(
-        w.startswith("\x01") & w.contains("\x02") & ~p.isin(*PLACEHOLDERS), _name(w)).otherwise(p)))
+        w.contains("\x02") & ~p.isin(*PLACEHOLDERS), _name(w)).otherwise(p)))
     starts = F.transform("words", lambda w, i: F.when(
         ~w.eqNullSafe(F.get("words", i - 1)) | ~w.isin(*PLACEHOLDERS) | F.get("marked", i).startswith("\x01"), i))
     t = t.withColumn("starts", F.filter(starts, lambda i: i.isNotNull()))
@@ -161,7 +169,7 @@ def _sent(text: Column) -> Column:
         return F.filter(h, lambda x, i: ~x.eqNullSafe(F.get(h, i - 1)) | ~placeholder(x) | F.get(m, i).startswith("\x01"))
 
     def sent(m: Column, h: Column) -> Column:
-        names = F.zip_with(m, h, lambda w, x: F.when(w.startswith("\x01") & w.contains("\x02") & ~placeholder(x), F.xxhash64(_name(w))).otherwise(x))
+        names = F.zip_with(m, h, lambda w, x: F.when(w.contains("\x02") & ~placeholder(x), F.xxhash64(_name(w))).otherwise(x))
         return F.concat(_chained(h, F.size(h), PLAIN), _step(_step(names, lambda n: runs(m, n)), lambda o: _chained(o, F.size(o), OPEN)))
 
     return _step(_marked(text), lambda m: _step(F.transform(_plain(m), lambda w: F.xxhash64(w)), lambda h: sent(m, h)))
@@ -189,10 +197,61 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     unsure = unsure.join(known, F.col("id").eqNullSafe(F.col("sure_id")) & (F.col("text_hash") == F.col("sure_hash")) & (F.col("item") == F.col("sure_item")),
                          "left_anti")
     either = sure.unionByName(_consistent(docs, unsure, items, id_col, text_col, min_share_pct).drop("runs"))
+    bare = given.join(windows.filter(F.col("reading") == OPEN).select("item").distinct(), "item", "left_anti")
+    bare = cut_lineage(bare.select("item", _exact_words(F.col("text")).alias("words")).filter(F.size("words") >= EXACT).distinct())
+    levels = [r.level for r in bare.select(_level(F.size("words")).alias("level")).distinct().collect()]
+    if levels:
+        either = either.unionByName(_verbatim(docs, bare, sorted(levels), id_col, text_col))
     first = F.min_by(F.struct("matched", "windows"), "reading").alias("first")
     return either.groupBy("id", "text_hash", "item").agg(first).select("id", "text_hash", "item", "first.matched", "first.windows")
 
 
+def _exact_words(text: Column) -> Column:
+    """The words of a text in lower case without punctuation; signs such as + and = are words."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"([\p{S}*/%-])", " $1 ")
+    t = F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}\p{S}*/%\s-]+", "")
+    return _words(F.regexp_replace(t, r"\s+", " "))
+
+
+def _level(size: Column) -> Column:
+    """The largest j with 2^j <= size."""
+    return (F.length(F.bin(size)) - 1).cast("int")
+
+
+def _verbatim(docs: DataFrame, bare: DataFrame, levels: list[int], id_col: str, text_col: str) -> DataFrame:
+    """Documents that hold all words of a ``bare`` item (item, words) in a row.
+
+    A window's hash is made from those of its halves, so spans of 1, 2, 4, … words cost one step each.  An item of n words is its
+    first and its last span of 2^j words, the largest j that fits; both must be met at places n - 2^j apart.  ``levels`` are the
+    j of the items, at most one for each doubling of the longest."""
+    def spans(t: DataFrame, keep: list[str]) -> DataFrame:
+        t = t.select(*keep, F.col("words"), F.transform("words", lambda w: F.xxhash64(w)).alias("s0"))
+        for j in range(levels[-1]):
+            ahead = F.slice(f"s{j}", 2 ** j + 1, F.greatest(F.lit(0), F.size(f"s{j}") - 2 ** j))
+            both = F.zip_with(f"s{j}", ahead, lambda x, y: F.xxhash64(x, y))
+            t = t.withColumn(f"s{j + 1}", F.slice(both, 1, F.greatest(F.lit(0), F.size(f"s{j}") - 2 ** j)))
+        return t
+
+    item = spans(bare, ["item"]).withColumn("level", _level(F.size("words"))).withColumn("apart", F.size("words") - F.pow(F.lit(2), F.col("level")).cast("int"))
+    own = F.coalesce(*[F.when(F.col("level") == j, F.col(f"s{j}")) for j in levels])
+    name = F.xxhash64(F.array_join("words", " "))
+    ends = item.select("item", name.alias("wording"), "level", F.explode(F.array(
+        F.struct(F.lit(0).alias("end"), F.lit(0).alias("back"), F.get(own, 0).alias("h")),
+        F.struct(F.lit(1).alias("end"), F.col("apart").alias("back"), F.get(own, F.col("apart")).alias("h")))).alias("e")).select("item", "wording", "level", "e.*")
+    ends = cut_lineage(ends)
+    held = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+    text = F.col(quoted(text_col))
+    d = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("text_hash"), _exact_words(text).alias("words"))
+    d = spans(d, ["id", "text_hash"])
+    at = lambda j: F.transform(f"s{j}", lambda h, i: F.struct(F.lit(j).alias("level"), i.alias("p"), h.alias("h")))
+    placed = F.flatten(F.array(*map(at, levels)))
+    met = d.select("id", "text_hash", F.explode(placed).alias("x")).select("id", "text_hash", "x.*").join(held, ["level", "h"])
+    whole = (met.groupBy("id", "text_hash", "item", "wording", (F.col("p") - F.col("back")).alias("start"))
+             .agg(F.count_distinct("end").alias("ends")).filter("ends = 2"))
+    return whole.select("id", "text_hash", "item").distinct().select(
+        "id", "text_hash", "item", F.lit(PLAIN).alias("reading"), F.lit(1).cast("long").alias("matched"), F.lit(1).cast("long").alias("windows"))
+
+
 def _placed(words: Column, raw: Column) -> Column:
     """Each window of a text: its place, hash, template words and the values behind them."""
     return F.transform(_windows(words), lambda h, i: F.struct(
@@ -204,7 +263,9 @@ def _consistent(docs: DataFrame, pairs: DataFrame, items: DataFrame, id_col: str
 
     Only slots inside a matched window are read.  A window's shift is its place in the document less that in the item; an alignment
     is a run of shifts that are next to each other among those met, because a word put in or left out moves all later windows.
-    Such a change costs four windows at least, which bounds how many shifts one copy can have; two more are allowed."""
+    Such a change costs four windows at least, which bounds how many shifts one copy can have; two more are allowed.  Windows that
+    the item repeats also meet at foreign shifts: a hit is left out when its place in the item and its place in the document both
+    belong to longer blocks (windows in a row at one shift)."""
     text = F.col(quoted(text_col))
     d = docs.select(F.col(quoted(id_col)).alias("doc"), F.xxhash64(text).alias("doc_hash"), text.alias("text"))
     held = pairs.join(d, F.col("id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("doc_hash"))).dropDuplicates(["id", "text_hash", "item", "reading"])
@@ -217,9 +278,13 @@ def _consistent(docs: DataFrame, pairs: DataFrame, items: DataFrame, id_col: str
         "item", "reading", F.col("y.pos").alias("q"), F.col("y.h").alias("h"), F.col("y.kinds").alias("kinds"), F.col("y.behind").alias("item_value"))
     literal = F.exists("kinds", lambda w: ~w.startswith("‹"))
     slots = F.filter(F.transform("kinds", lambda w, i: F.when(w.startswith("‹"), i)), lambda i: i.isNotNull())
-    key = [*pairs.columns, "shift"]
-    shifts = (one.join(other, ["item", "reading", "h"]).withColumn("shift", F.col("p") - F.col("q")).withColumn("slots", slots)
-              .groupBy(*key).agg(
+    hits = one.join(other, ["item", "reading", "h"]).withColumn("shift", F.col("p") - F.col("q")).repartition(*pairs.columns)
+    along = lambda *by: Window.partitionBy(*pairs.columns, *by)
+    hits = hits.withColumn("block", F.col("q") - F.row_number().over(along("shift").orderBy("q")))
+    hits = hits.withColumn("n", F.count(F.lit(1)).over(along("shift", "block")))
+    foreign = (F.col("n") < F.max("n").over(along("q"))) & (F.col("n") < F.max("n").over(along("p")))
+    shifts = (hits.withColumn("foreign", foreign).filter(~F.col("foreign")).withColumn("slots", slots)
+              .groupBy(*pairs.columns, "shift").agg(
                   F.collect_set(F.when(literal, F.col("h"))).alias("hashes"),
                   F.flatten(F.collect_set(F.transform("slots", lambda i: F.xxhash64(F.get("item_value", i))))).alias("from"),
                   F.flatten(F.collect_set(F.transform("slots", lambda i: F.xxhash64(F.get("item_value", i), F.get("value", i))))).alias("to"))

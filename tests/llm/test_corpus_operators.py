@@ -264,7 +264,7 @@ def test_names_that_open_sentences_and_runs_of_placeholders(spark):
     item = "Anna has 25 apples in a basket. Anna gives 5 apples to John at the gate. How many apples are left?"
     texts = [(1, item.replace("Anna", "Zoe")), (2, item.replace("25", "twenty five").replace("Anna", "Zoe")), (3, item.replace("John", "Mary Ann")),
              (4, item.replace("Anna has", "Zoe has").replace("Anna gives", "Carl gives")), (5, "Question: " + item.replace("Anna", "Mary Ann")),
-             (6, "\x01Anna sings. İpek and I5 walk home, Anna's \u01c5 THE end. Five days pass.")]
+             (6, "\x01Anna sings. PETER's O'Brien-Smith, NASA; DeShawn: JEAN-LUC. İpek and I5 walk home, Anna's \u01c5 THE end. Five days pass.")]
     assert found_ids(spark, texts, [(1, item)]) == [(k, 1) for k in (1, 2, 3, 5)]
     both = spark.createDataFrame(texts + TEXTS, "doc_id int, text string").select(
         decontamination.template(F.col("text")).alias("a"), decontamination._plain(decontamination._marked(F.col("text"))).alias("b")).collect()
@@ -275,6 +275,39 @@ def test_names_that_open_sentences_and_runs_of_placeholders(spark):
     assert [r["h"] for r in sent] == [a["w"] + b["w"] for a, b in zip(*sides)]
 
 
+def test_names_of_every_spelling(spark):
+    item = LONG_ITEM[1]
+    texts = [(k, item.replace("John", name)) for k, name in enumerate(("PETER", "Jean-Luc", "O'Brien", "DeShawn", "McDonald", "Marie-Luise-Anna", "O’Neil"))]
+    texts += [(20, item.replace("farmer John", "farmer DeShawn")), (21, item.replace("farmer John", "farmer Jean-Luc"))]
+    assert found_ids(spark, texts, [LONG_ITEM]) == [(k, 1) for k in range(7)]
+
+
+def test_asides_of_any_length_in_items_that_repeat_a_window(spark):
+    item = ("In the first year John sold 12 apples at the market and in the first year Mary sold 5 apples at the big fair by the sea, "
+            "so how many apples did both of them sell in all of that time together when nothing else was sold?")
+    other = item.replace("John", "Peter").replace("Mary", "Susan").replace("12", "30").replace("5", "7")
+    wrong = item.replace("John", "Peter").replace("12", "30").replace("5", "30")
+    aside = "which was well known to all of us here but never said aloud by any of the people who lived there then".split()
+    texts = [(n, other.replace(" by the sea", " " + " ".join(aside[:n]) + " by the sea")) for n in range(len(aside) + 1)]
+    texts += [(100 + n, other.replace(" market", " " + " ".join(aside[:n]) + " market")) for n in range(len(aside) + 1)]
+    same = "John met John. " + item
+    assert found_ids(spark, texts, [(1, item)]) == [(k, 1) for k, _ in texts]
+    assert found_ids(spark, [(1, wrong + " " + other), (2, same.replace("John met John", "Peter met Susan").replace("year John", "year Peter"))], [(1, same)]) == [(1, 1)]
+
+
+def test_items_without_windows_are_found_word_for_word(spark, monkeypatch):
+    items = [(1, "12 + 7 = 19"), (2, "Anna, Ben, Carl, Dora, Emil"), (3, "What is DNA?"), (4, "Paris"), (5, " "), (None, "Anna, Ben, Carl"), (6, None)]
+    texts = [(1, "We know: 12+7 = 19."), (2, "We know: 12 + 8 = 19."), (3, "Meet Anna, Ben, Carl, Dora, Emil and Fay"), (4, "Meet Anna, Ben, Dora, Carl, Emil"),
+             (5, "So\nwhat is\tDNA?"), (6, "Paris"), (7, "12, 7, 19"), (8, None), (9, "")]
+    assert found_ids(spark, texts, items) == [(1, 1), (3, 2), (5, 3)]
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", -1)
+    rng = np.random.default_rng(5)
+    lists = lambda n, low, high: [" ".join(rng.choice(["1", "2"], rng.integers(low, high))) for _ in range(n)]
+    items, texts = list(enumerate(lists(40, 3, 14))), list(enumerate(lists(30, 0, 40)))
+    brute = sorted((d, i) for d, text in texts for i, item in items if f" {item} " in f" {text} ")
+    assert brute and found_ids(spark, texts, items) == brute
+
+
 def test_decontamination_matches_the_sql_twin(spark, edge_dir):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
