@@ -274,6 +274,32 @@ def test_quality_on_held_out_rows(spark):
     assert all(abs(r["tail_1"] + r["tail_2"] - r["expected_grade"]) < 1e-9 and r["tail_1"] >= r["tail_2"] for r in got)
 
 
+def slow_latent(text, weights):
+    """Byte trigrams hashed one at a time and the three shape facts, in exact integers."""
+    raw, counts = (text or "").encode(), defaultdict(int)
+    for a, b, c in zip(raw, raw[1:], raw[2:]):
+        h = (a * 0x9E3779B1 ^ b * 0x9E3D0001 ^ c * 0x85EBCA77) & 0xFFFFFFFF
+        h = (h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF
+        counts[(h ^ h >> 13) % quality_classifier.BUCKETS] += 1
+    total = sum((n / max(1, len(raw) - 2)) ** 0.5 * float(weights[k]) for k, n in counts.items())
+    words = (text or "").split()
+    same = sum(words[i] == words[i - 1] for i in range(1, len(words)))
+    levels = (min(15, len(bin(len(words))) - 2 if words else 0), 15 * len(set(words)) // len(words) if words else 0,
+              15 * same // (len(words) - 1) if len(words) > 1 else 0)
+    return total + sum(0.5 * float(weights[quality_classifier.BUCKETS + 16 * k + level]) for k, level in enumerate(levels))
+
+
+def test_quality_scores_equal_brute_force(spark, edge_dir):
+    weights = np.random.default_rng(8).normal(size=quality_classifier.BUCKETS + quality_classifier.SHAPES).astype(np.float32)
+    cuts = (-1.5, 0.25, 2.0)
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    got = quality_classifier.score(docs, quality_classifier.Model(weights, cuts)).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        tails = [1 / (1 + np.exp(cut - slow_latent(r["text"], weights))) for cut in cuts]
+        assert np.allclose([r["tail_1"], r["tail_2"], r["tail_3"], r["expected_grade"]], [*tails, sum(tails)], atol=1e-4)
+
+
 def test_quality_selection_keeps_columns(spark, edge_dir):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet").withColumns({c: F.lit(1) for c in ("tail_1", "_qtail_1", "EXPECTED_GRADE")})
     model = quality_classifier.fit(docs, quality_classifier.ratings_of(spark.read.parquet(f"{edge_dir}/labels.parquet")), 3)
