@@ -3,9 +3,11 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from retail_spark.plans import anomaly as A
 from retail_spark.plans import detectors as D
 
 
@@ -177,3 +179,59 @@ def test_ensemble_of_four_chosen_scores(spark):
     assert any(got["pca_error"].to_numpy() == pytest.approx(e, abs=1e-6) for e in errors)
     near = np.sort(np.sqrt(((x[:, None] - x[fit][None]) ** 2).sum(2)), axis=1)
     assert any(got["knn_score"].to_numpy() == pytest.approx(near[:, :k].mean(axis=1), abs=1e-6) for k in (5, 10, 20, 35, 50))
+
+
+# -- order features -----------------------------------------------------------
+
+
+def _sale_lines(spark, n=3000):
+    rng = np.random.default_rng(11)
+    order = rng.integers(0, 700, n)
+    item = np.where(rng.random(n) < 0.4, 3, rng.integers(0, 90, n))
+    pdf = pd.DataFrame({
+        "order_id": order, "line_number": np.arange(n) % 7 + 1, "item_id": pd.array(np.where(rng.random(n) < 0.02, None, item), dtype="Int64"),
+        "order_ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(order % 40, unit="D"), "cashier_id": ["c" + str(o % 4) for o in order],
+        "customer_id": order % 50, "payment_method": ["p" + str(o % 3) for o in order], "category": ["k" + str(i % 6) for i in item],
+        "quantity": rng.integers(1, 9, n).astype(float), "price": np.round(rng.random(n) * 20, 2), "discount_rate": rng.integers(0, 5, n) / 10,
+        "is_voided": rng.random(n) < 0.2})
+    pdf["line_total"] = pdf["price"] * pdf["quantity"]
+    return spark.createDataFrame(pdf).withColumn("order_date", F.to_date("order_ts")).repartition(5).cache()
+
+
+def _feature_rows(df):
+    return df.toPandas().sort_values(["order_id"]).reset_index(drop=True)
+
+
+def test_order_features_do_not_depend_on_how_items_are_gathered(spark):
+    lines = _sale_lines(spark)
+    whole, spread = _feature_rows(A.order_features(lines)), _feature_rows(A.order_features(lines, hot_rows=200))
+    assert 3 in A.hot_items(lines, 200) and A.hot_items(lines) == []
+    assert list(whole.columns) == list(spread.columns) and len(whole) == len(spread)
+    for c in whole.columns:
+        if whole[c].dtype == float:
+            np.testing.assert_allclose(whole[c], spread[c], rtol=1e-9, atol=1e-9)
+        else:
+            assert whole[c].astype(str).tolist() == spread[c].astype(str).tolist(), c
+    pdf = lines.toPandas()
+    items = pdf.groupby("order_id")["item_id"].nunique().sort_index()
+    assert whole["n_unique_items"].tolist() == items.tolist()
+    day = pdf.dropna(subset=["item_id"]).groupby(["item_id", "order_date"])["quantity"].sum()
+    mean, std = day.groupby("item_id").mean(), day.groupby("item_id").std()
+    z = [0.0 if pd.isna(i) or not std[i] > 0 else (day[i, d] - mean[i]) / std[i] for i, d in zip(pdf["item_id"], pdf["order_date"])]
+    np.testing.assert_allclose(whole["mean_demand_zscore"], pd.Series(z).groupby(pdf["order_id"]).mean().sort_index(), rtol=1e-9, atol=1e-9)
+
+
+def test_lines_move_twice_at_most_for_order_features(spark):
+    """A shuffle by item and one by order; sets and item-day tables used to add five more."""
+    plan = A.order_features(_sale_lines(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "collect_set" not in plan
+
+
+def test_split_by_key_cuts_equal_keys_at_the_position(spark):
+    df = spark.createDataFrame([(None if i < 3 else i // 8, i % 2) for i in range(100)], "ts int, id int").repartition(4)
+    got = A.split_by_key(df, ["ts", "id"]).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in got} == {"train": 70, "val": 15, "test": 15}
+    single = spark.createDataFrame([(None if i < 3 else i // 2, i) for i in range(99)], "ts int, id int").repartition(4)
+    a = A.split_by_key(single, ["ts", "id"]).orderBy("ts", "id").toPandas()["split"].tolist()
+    assert a == ["train"] * 69 + ["val"] * 15 + ["test"] * 15
