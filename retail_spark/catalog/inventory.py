@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from retail_spark.catalog import register
 from retail_spark.catalog.segments import cte
-from retail_spark.operators.ordered import keyed_state_machine
+from retail_spark.operators.ordered import keyed_clamped_summary, keyed_state_machine
 from retail_spark.plans import inventory as INV
 from retail_spark.sources.tables import has_status
 
@@ -190,11 +190,13 @@ SELECT ingredient_id, count(*) AS movements, sum(delta) AS net_change,
 FROM lv GROUP BY ingredient_id""")
 def ingredient_stock_with_refunds(t):
     """DP15: refunded (voided) lines of paid orders put their ingredients back on the ledger."""
-    paid = t.sale_lines.filter(has_status("paid"))
-    mv = INV.ingredient_movements(paid.filter(~F.col("is_voided")), _recipe(t)).unionByName(
-        INV.ingredient_movements(paid.filter(F.col("is_voided")), _recipe(t), "refund", 1.0))
+    paid = t.sale_lines.filter(has_status("paid")).filter(F.col("is_voided").isNotNull())
+    signed = paid.withColumn("quantity", F.when(F.col("is_voided"), F.col("quantity")).otherwise(-F.col("quantity")))
+    mv = INV.ingredient_movements(signed, _recipe(t), "sale or refund", 1.0)       # one pass over the lines for both
     start = t.ingredients_v.select("ingredient_id", F.col("current_stock").alias("start_stock"))
-    return _ledger_summary(INV.stock_ledger(mv, start, "ingredient_id", ING_ORDER), "ingredient_id")
+    if not start.groupBy("ingredient_id").count().filter("count > 1").isEmpty():     # a movement for each of an ingredient's rows
+        return _ledger_summary(INV.stock_ledger(mv, start, "ingredient_id", ING_ORDER), "ingredient_id")
+    return keyed_clamped_summary(mv, "ingredient_id", [F.col(c) for c in ING_ORDER], F.col("delta").cast("double"), start, "start_stock")
 
 
 @register("applied_event_transitions", sql="""

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_spark.operators.quantiles import one_row, quantile_values
-from retail_spark.session import cut_lineage
+from retail_spark.session import cut_lineage, shared_path
 
 _PART, _MID = "_rs_part", "_rs_mid"
 
@@ -108,6 +108,40 @@ def keyed_clamped_running(df: DataFrame, key: str, order: list[Column], delta: C
             .drop(_PART, _MID, "_d", "_s0", "_ls", "_lmin", "_off", "_prevmin"))
 
 
+def keyed_clamped_summary(df: DataFrame, key: str, order: list[Column], delta: Column, start: DataFrame, at_start: str) -> DataFrame:
+    """What ``keyed_clamped_running`` gives, summed up for each key: ``movements``, ``net_change``, ``final_stock``, the
+    least level ``min_level`` and ``zero_hits``, the rows after which nothing is left.
+
+    Rows are sorted over many tasks as there, but only key, change and place are written, as Parquet: in this order keys
+    repeat and take next to no room.  Start levels (``at_start`` of ``start``, a row for each key) join the segments of
+    keys, not the rows."""
+    spark = df.sparkSession
+    path = shared_path(spark, "ledger")
+    (df.select(F.col(key), *[c.alias(f"_o{i}") for i, c in enumerate(order)], delta.alias("_d"))
+     .orderBy(F.asc(key), *[F.asc(f"_o{i}") for i in range(len(order))])
+     .select(key, "_d", F.spark_partition_id().alias(_PART), F.monotonically_increasing_id().alias(_MID)).write.parquet(path))
+    s = spark.read.parquet(path)
+    run = Window.partitionBy(_PART, key).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_ls", F.sum("_d").over(run)).withColumn("_lmin", F.min("_ls").over(run)).drop(_MID)
+    seg = s.groupBy(_PART, key).agg(F.count(F.lit(1)).alias("_n"), F.sum("_d").alias("_segsum"), F.min("_ls").alias("_segmin"))
+    seg = cut_lineage(seg.join(start.select(key, F.col(at_start).alias("_s0")), key, "left")
+                      .withColumn("_s0", F.coalesce(F.col("_s0"), F.lit(0.0)).cast("double")))      # a row for each task and key
+    before = Window.partitionBy(key).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    seg = (seg.withColumn("_off", F.coalesce(F.sum("_segsum").over(before), F.lit(0.0)))
+           .withColumn("_low", F.col("_s0") + F.col("_off") + F.col("_segmin"))
+           .withColumn("_prevmin", F.min("_low").over(before)))
+    c_t = F.col("_s0") + F.col("_off") + F.col("_ls")
+    run_min = F.least(F.col("_s0") + F.col("_off") + F.col("_lmin"), F.col("_prevmin"))            # least() passes over nulls
+    level = F.greatest(F.lit(0.0), c_t - F.least(F.lit(0.0), run_min))
+    rows = s.join(seg.select(_PART, key, "_s0", "_off", "_prevmin"), [_PART, key])
+    hit = rows.groupBy(key).agg(F.min(level).alias("min_level"), F.count_if(level <= 1e-6).alias("zero_hits"))
+    whole = seg.groupBy(key).agg(
+        F.sum("_n").alias("movements"), F.sum("_segsum").alias("net_change"),
+        F.greatest(F.lit(0.0), F.max("_s0") + F.sum("_segsum") - F.least(F.lit(0.0), F.min("_low"))).alias("final_stock"))
+    return (hit.join(whole, key)
+            .select(key, "movements", "net_change", "final_stock", "min_level", "zero_hits"))
+
+
 def keyed_state_machine(log: DataFrame, key: str, order: list[Column], request: str, allowed: dict[str, list[str]],
                         start: str | None) -> DataFrame:
     """Requests to change a key's state, taken in order: adds ``state_before``, ``accepted`` and ``state_after`` (DP16).

@@ -248,3 +248,20 @@ def test_two_item_antecedent_fires_only_on_full_match(spark):
     hist = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "customer_id long, item string")
     got = {(r.customer_id, r.item) for r in RC.recommend_rules(hist, rules, 5).collect()}
     assert got == {(1, "c"), (1, "d"), (2, "d")}
+
+
+def test_ledger_summary_equals_the_summed_ledger(spark):
+    from retail_spark.catalog.inventory import _ledger_summary
+    from retail_spark.operators.ordered import keyed_clamped_summary
+    rng = np.random.default_rng(8)
+    n = 600
+    pdf = pd.DataFrame({"k": np.where(rng.random(n) < 0.6, 1, rng.integers(2, 9, n)), "t": rng.integers(0, 50, n), "id": np.arange(n),
+                        "delta": rng.integers(-6, 6, n).astype(float)})
+    moves = spark.createDataFrame(pdf).repartition(6)
+    start = spark.createDataFrame([(k, 5.0 * k) for k in range(1, 7)], "k long, s double")       # keys 7 and 8 start from nothing
+    order = [F.col("t"), F.col("id")]
+    rows = keyed_clamped_running(moves.join(start, "k", "left"), "k", order, F.col("delta"), F.coalesce(F.col("s"), F.lit(0.0)), "stock_level")
+    old = _ledger_summary(rows.withColumnRenamed("s", "start_stock"), "k").toPandas().sort_values("k").reset_index(drop=True)
+    new = keyed_clamped_summary(moves, "k", order, F.col("delta"), start, "s").toPandas().sort_values("k").reset_index(drop=True)
+    pd.testing.assert_frame_equal(old, new)
+    assert new["zero_hits"].sum() > 0
