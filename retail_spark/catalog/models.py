@@ -149,7 +149,9 @@ def _fm_data(t):
     of_item = lines.groupBy(F.col("section").alias("item")).agg(F.mode("category", True).alias("category"))      # an item's usual category
     idx = cut_lineage(idx.join(of_item, "item"))
     order = ["order_id", "customer_id", "cashier_id", "order_ts"]
-    pos = lines.select(*order, F.col("section").alias("item")).distinct().join(bounded(idx.select("item", "item_idx")), "item")
+    # an order's lines meet first: distinct rows, own items and negatives then need no other shuffle, and no task
+    # gathers the rows of a large input split in a hash table
+    pos = lines.select(*order, F.col("section").alias("item")).repartition("order_id").distinct().join(bounded(idx.select("item", "item_idx")), "item")
     neg = M.negatives(pos, idx.count()).join(pos.select(*order).distinct(), "order_id")
     data = (pos.select(*order, "item_idx", F.lit(1.0).alias("label"))
             .unionByName(neg.select(*order, "item_idx", F.lit(0.0).alias("label"))))

@@ -205,8 +205,9 @@ def negatives(pos: DataFrame, n_items: int, key: str = "order_id", item: str = "
     An order's complement has ``n_items`` − own items; two different ranks in it
     come from hashes of (order, positive) and are turned into items by stepping
     over the order's own items, so nothing is drawn twice or thrown away."""
-    own = pos.groupBy(key).agg(F.sort_array(F.collect_set(item)).alias("_own"))      # one order's items
-    p = pos.select(key, item).distinct().join(own, key).withColumn("_free", F.lit(n_items) - F.size("_own"))
+    own = pos.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(item)).alias("_own"))      # one order's items
+    # an order's positives are its own items: no join of the two
+    p = own.select(key, "_own", F.explode("_own").alias(item), (F.lit(n_items) - F.size("_own")).alias("_free"))
     first = F.pmod(F.xxhash64(F.lit(SEED), key, item), F.col("_free"))
     step = F.pmod(F.xxhash64(F.lit(SEED + 1), key, item), F.greatest(F.col("_free") - 1, F.lit(1))) + 1
     ranks = (F.when(F.col("_free") <= 0, F.array().cast("array<bigint>")).when(F.col("_free") == 1, F.array(first))

@@ -235,3 +235,15 @@ def test_split_by_key_cuts_equal_keys_at_the_position(spark):
     single = spark.createDataFrame([(None if i < 3 else i // 2, i) for i in range(99)], "ts int, id int").repartition(4)
     a = A.split_by_key(single, ["ts", "id"]).orderBy("ts", "id").toPandas()["split"].tolist()
     assert a == ["train"] * 69 + ["val"] * 15 + ["test"] * 15
+
+
+def test_negatives_take_positives_from_the_own_items(spark):
+    """An order's rows are sorted for no join with themselves."""
+    from retail_spark.plans import models as M
+    pos = spark.createDataFrame([(o, i) for o in range(40) for i in range(o % 5 + 1)], "order_id long, item_idx int")
+    neg = M.negatives(pos, 6)
+    assert "Join" not in neg._jdf.queryExecution().optimizedPlan().toString()
+    own = {(r[0], r[1]) for r in pos.collect()}
+    rows = neg.collect()
+    assert not any((r["order_id"], r["item_idx"]) in own for r in rows)
+    assert len(rows) == sum(min(2, 6 - (o % 5 + 1)) * (o % 5 + 1) for o in range(40))
