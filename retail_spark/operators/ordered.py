@@ -24,21 +24,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_spark.operators.quantiles import one_row, quantile_values
-from retail_spark.session import cut_lineage, shared_path
+from retail_spark.session import cut_lineage, shared_path, stored
 
 _PART, _MID = "_rs_part", "_rs_mid"
 
 
+def _tagged(df: DataFrame, order: list[Column]) -> DataFrame:
+    return (df.orderBy(*order)
+            .select("*", F.spark_partition_id().alias(_PART),
+                    F.monotonically_increasing_id().alias(_MID)))
+
+
 def _sorted_tagged(df: DataFrame, order: list[Column]) -> DataFrame:
-    tagged = (df.orderBy(*order)
-              .select("*", F.spark_partition_id().alias(_PART),
-                      F.monotonically_increasing_id().alias(_MID)))
-    return cut_lineage(tagged)
+    return cut_lineage(_tagged(df, order))
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     """1-based position of each row in the total order ``order``."""
-    s = _sorted_tagged(df, order)
+    s = stored(_tagged(df, order), "ranked")
     per_part = s.groupBy(_PART).agg(F.count(F.lit(1)).alias("_n"), F.min(_MID).alias("_m0"))
     w = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select(_PART, "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -206,11 +209,12 @@ def keyed_state_machine(log: DataFrame, key: str, order: list[Column], request:
     return s.select(*columns, _PART).mapInArrow(replay, schema)
 
 
-def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], by: list[str] | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], by: list[str] | None = None, written: bool = False) -> DataFrame:
     """Exact linear quantiles without a buffer of values: one row (per group of
     ``by``), a column ``name`` for each ``name: (column, fraction)``.
 
-    Whole columns go by bracket refinement (``operators.quantiles``).  With groups,
+    Whole columns go by bracket refinement (``operators.quantiles``; ``written`` rows are not
+    written again).  With groups,
     rows become counts per (group, column, value) with map-side combining, the
     counts are range-sorted for running counts, and the two positions around
     each fraction are picked by a partial aggregate.  No task holds a group's or
@@ -221,7 +225,7 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], by: lis
     cols = sorted({c for c, _ in wanted.values()})
     if not by:
         asked = {c: [p for col, p in wanted.values() if col == c] for c in cols}
-        found = {c: dict(zip(asked[c], v)) for c, v in quantile_values(df, asked).items()}
+        found = {c: dict(zip(asked[c], v)) for c, v in quantile_values(df, asked, written).items()}
         return one_row(df, {name: found[c].get(p) for name, (c, p) in wanted.items()})
     cells = F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols])
     long = df.select(*by, F.explode(cells).alias("_x")).select(*by, "_x._c", "_x._v").filter(F.col("_v").isNotNull())

@@ -9,8 +9,8 @@ one.  No row is shuffled or sorted across tasks, and a value that holds a large
 part of the rows is one point.
 
 Sizes: ``SAMPLE`` values over all brackets and ``COLLECT`` counted values reach
-the driver at a time.  The rows are written once (checkpoint), so every pass
-reads the same partitions and a lost task draws the same sample again.
+the driver at a time.  The rows are written once (checkpoint, if the caller has not
+written them), so every pass reads the same partitions and a lost task draws the same sample again.
 """
 
 from __future__ import annotations
@@ -68,10 +68,13 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]      # nulls become NaN
 
 
-def quantile_values(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str, list[float]]:
-    """Exact linear quantiles of each column at its fractions; no value for a column of nulls (NaN counts as null)."""
+def quantile_values(df: DataFrame, wanted: dict[str, Sequence[float]], written: bool = False) -> dict[str, list[float]]:
+    """Exact linear quantiles of each column at its fractions; no value for a column of nulls (NaN counts as null).
+
+    ``written``: the rows are a projection of written ones, which every pass reads as they are."""
     names = list(wanted)
-    rows = cut_lineage(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]))
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    rows = rows if written else cut_lineage(rows)
     counted = rows.agg(*[F.count(F.when(F.col(c).isNotNull() & ~F.isnan(c), 1)).alias(c) for c in rows.columns]).first()
     n = list(counted)
     at = [[p * (n[i] - 1) for p in wanted[c]] if n[i] else [] for i, c in enumerate(names)]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from retail_spark.functions import exprs as X
 from retail_spark.operators.broadcast import bounded
 from retail_spark.operators.ordered import exact_quantile_list, exact_quantiles, global_row_number, global_running_sum
-from retail_spark.session import cut_lineage
+from retail_spark.session import cut_lineage, stored
 
 # Fixed values of the reference rules.
 RULES = [  # (condition builder key, weight, reason)
@@ -84,13 +84,17 @@ def _item_context_joined(lines: DataFrame) -> DataFrame:
 
 
 def _item_context_windowed(lines: DataFrame) -> DataFrame:
-    """The same for items of a bounded number of lines: these meet in one task, and every statistic is taken there."""
+    """The same for items of a bounded number of lines: these meet in one task, and every statistic is taken there.
+
+    One shuffle by item and one sort, by item, day and order, serve all windows."""
     item, day = Window.partitionBy("item_id"), Window.partitionBy("item_id", "order_date")
+    along = item.orderBy("order_date", "order_id")
     known, dated = F.col("item_id").isNotNull(), F.col("item_id").isNotNull() & F.col("order_date").isNotNull()
-    l = lines.withColumn("item_median_price", F.when(known, F.median(F.col("price").cast("double")).over(item)))
-    l = l.withColumns({"_day": F.sum("quantity").over(day), "_first": F.row_number().over(day.orderBy("order_date")) == 1})
+    new_day = (F.row_number().over(along) == 1) | ~F.lag("order_date").over(along).eqNullSafe(F.col("order_date"))
+    l = lines.withColumn("_first", new_day).withColumn("_day", F.sum("quantity").over(day))
     once = F.when(F.col("_first"), F.col("_day"))              # one value for each day
-    l = l.withColumns({"item_mean_daily_quantity": F.when(known, F.avg(once).over(item)),
+    l = l.withColumns({"item_median_price": F.when(known, F.median(F.col("price").cast("double")).over(item)),
+                       "item_mean_daily_quantity": F.when(known, F.avg(once).over(item)),
                        "item_std_daily_quantity": F.when(known, F.stddev_samp(once).over(item)),
                        "item_daily_quantity": F.when(dated, F.col("_day"))})
     return l.drop("_day", "_first")
@@ -153,13 +157,17 @@ def order_measures(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.max(F.abs("demand_zscore")).alias("max_abs_demand_zscore"))
 
 
+RATIOS = {  # name → (columns it is made of, expression)
+    "has_discount_order": (["discount_line_count"], lambda: _i(F.col("discount_line_count") > 0)),
+    "discount_line_rate": (["discount_line_count", "basket_size"], lambda: X.safe_div("discount_line_count", "basket_size")),
+    "void_line_rate": (["void_line_count", "basket_size"], lambda: X.safe_div("void_line_count", "basket_size")),
+    "avg_amount_per_item": (["total_amount", "basket_size"], lambda: X.safe_div("total_amount", "basket_size")),
+    "unique_item_ratio": (["n_unique_items", "basket_size"], lambda: X.safe_div("n_unique_items", "basket_size"))}
+
+
 def with_ratios(orders: DataFrame) -> DataFrame:
-    """Order measures with the flags and ratios that follow from them (SF17)."""
-    return orders.withColumns({"has_discount_order": _i(F.col("discount_line_count") > 0),
-                               "discount_line_rate": X.safe_div("discount_line_count", "basket_size"),
-                               "void_line_rate": X.safe_div("void_line_count", "basket_size"),
-                               "avg_amount_per_item": X.safe_div("total_amount", "basket_size"),
-                               "unique_item_ratio": X.safe_div("n_unique_items", "basket_size")})
+    """Order measures with the flags and ratios that follow from the columns that are there (SF17)."""
+    return orders.withColumns({name: made() for name, (of, made) in RATIOS.items() if set(of) <= set(orders.columns)})
 
 
 def order_features(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -209,7 +217,7 @@ def split_by_key(df: DataFrame, keys: list[str], fracs=(0.7, 0.85)) -> DataFrame
     """``split_by_position`` in ascending order of columns of a written frame, which stays where it lies: only the
     keys are range-sorted, and rows compare theirs with the keys at both positions.  Rows themselves are sorted only
     if some with equal keys lie on both sides of a position."""
-    ranked = cut_lineage(global_row_number(df.select(*keys), [F.asc(k) for k in keys], "_pos"))
+    ranked = global_row_number(df.select(*keys), [F.asc(k) for k in keys], "_pos")      # of written keys
     n = ranked.count()
     at = [int(np.floor(n * f)) for f in fracs]
     ends = ranked.filter(F.col("_pos").isin([a + 1 for a in at])).groupBy("_pos").agg(F.first(F.struct(*keys)).alias("_end"))
@@ -225,33 +233,56 @@ def split_by_key(df: DataFrame, keys: list[str], fracs=(0.7, 0.85)) -> DataFrame
             .drop("_e0", "_e1"))
 
 
-def model_frame(lines: DataFrame, labels: DataFrame, label_lines: DataFrame) -> DataFrame:
+# What the split, the profiles and the ratios of one column read; kept whatever columns are wanted.
+FRAME_BASE = ["order_id", "order_ts", "cashier_id", "customer_id", "total_amount", "basket_size", "is_voided_order", "discount_line_count"]
+
+
+def model_frame(lines: DataFrame, labels: DataFrame, label_lines: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Orders with cashier / customer context, z-scores (WN17), basket
-    deviation (WN18), time flags (SF13), labels (one row for an order) and the 70/15/15 split."""
-    # order features feed two profiles and the join back: materialize once.  The labels
+    deviation (WN18), time flags (SF13), labels (one row for an order) and the 70/15/15 split.
+
+    ``columns``: those that the caller reads (all if left out); the lines carry, and the written rows hold, only what
+    these are made of."""
+    wanted = lambda names: columns is None or not set(names).isdisjoint(columns)
+    # order features feed two profiles and the join back: written once.  The labels
     # join first, where an order's lines met: no other shuffle by order
     f = order_measures(lines)
-    o = cut_lineage(f.join(labels, "order_id", "left").fillna(0, subset=["is_anomaly"]).join(label_rollup(label_lines), "order_id", "left"))
+    o = f.join(labels, "order_id", "left").fillna(0, subset=["is_anomaly"]).join(label_rollup(label_lines), "order_id", "left")
     marks = [c for c in o.columns if c not in f.columns]
-    # a few cashiers are broadcast: a join by shuffle would gather the orders of each of them in a task
-    cashiers = bounded(cut_lineage(cashier_profile(with_ratios(o))))
-    customers = customer_profile(o)
-    own = [c for c in with_ratios(o).columns if c not in o.columns]
-    last = [c for c in (*cashiers.columns, *customers.columns) if c not in o.columns]
-    o = with_ratios(o.join(customers, "customer_id", "left").join(cashiers, "cashier_id", "left"))
-    o = o.select("order_id", "customer_id", "cashier_id", *[c for c in f.columns if c not in ("order_id", "customer_id", "cashier_id")],
-                 *own, *last, *marks)
+    if columns is not None:
+        kept = {*FRAME_BASE, *columns, *[c for name, (of, _) in RATIOS.items() if name in columns for c in of]}
+        o = o.select(*[c for c in o.columns if c in kept])
+    o = stored(o, "orders")
+    measures = [c for c in f.columns if c in o.columns]
+    marks = [c for c in marks if c in o.columns]
+    o = with_ratios(split_by_key(o, ["order_ts", "order_id"]))
+    own = [c for c in o.columns if c not in (*measures, *marks, "split")]
     z = lambda v, m, s: F.coalesce(X.safe_div(F.col(v) - F.col(m), s), F.lit(0.0))
-    o = o.select("*", z("total_amount", "cashier_mean_amount", "cashier_std_amount").alias("amount_z_cashier"),
-                 z("total_amount", "customer_mean_amount", "customer_std_amount").alias("amount_z_customer"),
-                 (F.col("basket_size") - F.col("customer_mean_basket")).alias("basket_vs_customer"),
-                 X.safe_div("basket_size", "customer_mean_basket").alias("basket_ratio_customer"),
-                 F.hour("order_ts").alias("order_hour"), X.weekday0("order_ts").alias("order_dayofweek"),
-                 F.month("order_ts").alias("order_month"))
+    last, context = [], {}
+    cashiers, customers = cashier_profile(o), customer_profile(o)
+    of_customer = {"amount_z_customer": z("total_amount", "customer_mean_amount", "customer_std_amount"),
+                   "basket_vs_customer": F.col("basket_size") - F.col("customer_mean_basket"),
+                   "basket_ratio_customer": X.safe_div("basket_size", "customer_mean_basket")}
+    by_customer = wanted([*customers.columns[1:], *of_customer])
+    if by_customer:
+        o = o.join(customers, "customer_id", "left")
+    if wanted([*cashiers.columns[1:], "amount_z_cashier"]):
+        # a few cashiers are broadcast: a join by shuffle would gather the orders of each of them in a task
+        o = o.join(bounded(cut_lineage(cashiers)), "cashier_id", "left")
+        last += cashiers.columns[1:]
+        context["amount_z_cashier"] = z("total_amount", "cashier_mean_amount", "cashier_std_amount")
+    if by_customer:
+        last += customers.columns[1:]
+        context |= of_customer
+    o = o.select("order_id", "customer_id", "cashier_id", *[c for c in measures if c not in ("order_id", "customer_id", "cashier_id")],
+                 *own, *last, *[v.alias(k) for k, v in context.items()], F.hour("order_ts").alias("order_hour"),
+                 X.weekday0("order_ts").alias("order_dayofweek"), F.month("order_ts").alias("order_month"), *marks, "split")
     flags = X.time_flags("order_hour", "order_dayofweek")
-    o = o.select("*", *[v.alias(k) for k, v in flags.items()])
-    o = cut_lineage(o.select(*[c for c in o.columns if c not in marks], *marks))
-    return split_by_key(o, ["order_ts", "order_id"])
+    o = o.select(*[c for c in o.columns if c not in (*marks, "split")], *[v.alias(k) for k, v in flags.items()], *marks, "split")
+    if columns is not None:
+        o = o.select(*[c for c in o.columns if c in columns])
+    # the customers' join shuffles orders: written for those that read it several times
+    return stored(o, "frame") if by_customer else o
 
 
 # ---------------------------------------------------------------------------
@@ -286,11 +317,12 @@ def _fit_rows(df: DataFrame) -> DataFrame:
 
 def robust_z(df: DataFrame, feats: Sequence[str]) -> DataFrame:
     """|x − median| / (1.4826 · MAD) per feature from train normal rows; row
-    score 0.7 · p99 + 0.3 · max across the features (DP18)."""
+    score 0.7 · p99 + 0.3 · max across the features (DP18).  ``df`` should be a
+    projection of written rows: each pass of the quantiles reads it."""
     fit = _fit_rows(df)
-    med = exact_quantiles(fit, {f"_med_{f}": (f, 0.5) for f in feats})          # one row
+    med = exact_quantiles(fit, {f"_med_{f}": (f, 0.5) for f in feats}, written=True)          # one row
     off = fit.crossJoin(F.broadcast(med)).select(*[F.abs(F.col(f) - F.col(f"_med_{f}")).alias(f) for f in feats])
-    mad = exact_quantiles(off, {f"_mad_{f}": (f, 0.5) for f in feats})
+    mad = exact_quantiles(off, {f"_mad_{f}": (f, 0.5) for f in feats}, written=True)
     d = df.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(mad))
     zs = [F.abs((F.col(f) - F.col(f"_med_{f}")) /
                 (MAD_SCALE * F.greatest(F.col(f"_mad_{f}"), F.lit(1e-6)))) for f in feats]
@@ -306,8 +338,8 @@ def robust_z(df: DataFrame, feats: Sequence[str]) -> DataFrame:
 def density_score(df: DataFrame, feats: Sequence[str], reg: float = 1e-6) -> DataFrame:
     """Negative log-likelihood under one diagonal Gaussian fitted on train
     normal rows (ML10 with a single component; variances + 1e-6)."""
-    st = _fit_rows(df).agg(*[F.avg(f).alias(f"_mu_{f}") for f in feats],
-                           *[(F.var_pop(f) + reg).alias(f"_v_{f}") for f in feats])
+    st = cut_lineage(_fit_rows(df).agg(*[F.avg(f).alias(f"_mu_{f}") for f in feats],
+                                       *[(F.var_pop(f) + reg).alias(f"_v_{f}") for f in feats]))      # one row
     d = df.crossJoin(F.broadcast(st))
     nll = sum((0.5 * (F.log(2 * np.pi * F.col(f"_v_{f}")) + F.pow(F.col(f) - F.col(f"_mu_{f}"), 2) / F.col(f"_v_{f}"))
                for f in feats), F.lit(0.0))
@@ -317,7 +349,7 @@ def density_score(df: DataFrame, feats: Sequence[str], reg: float = 1e-6) -> Dat
 def minmax_ref(df: DataFrame, score: str, name: str, ref_split: str = "val") -> DataFrame:
     """Min-max normalisation with validation bounds, clipped to [0, 1] (SF27);
     constant validation scores give 0."""
-    b = df.filter(F.col("split") == ref_split).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    b = cut_lineage(df.filter(F.col("split") == ref_split).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi")))      # one row
     d = df.crossJoin(F.broadcast(b))
     norm = F.when(F.col("_hi") - F.col("_lo") < 1e-12, F.lit(0.0)).otherwise(
         (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))

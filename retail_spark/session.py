@@ -76,3 +76,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Written once as Parquet into the shared checkpoint folder and read from there: each reader takes its columns only."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -247,3 +247,53 @@ def test_negatives_take_positives_from_the_own_items(spark):
     rows = neg.collect()
     assert not any((r["order_id"], r["item_idx"]) in own for r in rows)
     assert len(rows) == sum(min(2, 6 - (o % 5 + 1)) * (o % 5 + 1) for o in range(40))
+
+
+def test_item_statistics_share_one_sort(spark):
+    """Median, day sums and their mean and deviation used to sort an item's lines more than once."""
+    plan = A.line_context(_sale_lines(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
+    rows_ = [(o, o % 3, None if o % 7 == 0 else o % 5, float(o)) for o in range(60)] + [(o, None, 1, 2.0) for o in range(3)]
+    lines = spark.createDataFrame([(o, i, None if d is None else d, p, 1.0 + o % 2, 0.1) for o, i, d, p in rows_],
+                                  "order_id int, item_id int, order_date int, price double, quantity double, discount_rate double")
+    got = A.line_context(lines).toPandas()
+    for item, g in got[got["item_id"].notna()].groupby("item_id"):
+        days = g.groupby("order_date", dropna=False)["quantity"].sum()
+        assert g["item_median_price"].tolist() == [g["price"].median()] * len(g)
+        assert g["item_mean_daily_quantity"].tolist() == pytest.approx([days.mean()] * len(g))
+        assert g["item_std_daily_quantity"].tolist() == pytest.approx([days.std()] * len(g))
+        dated = g[g["order_date"].notna()]
+        assert dated["item_daily_quantity"].tolist() == [days[d] for d in dated["order_date"]]
+        assert g[g["order_date"].isna()]["item_daily_quantity"].isna().all()
+    assert got[got["item_id"].isna()][["item_median_price", "item_mean_daily_quantity", "item_daily_quantity"]].isna().all().all()
+
+
+@pytest.mark.parametrize("part", ["scores", "robust", "types"])
+def test_frame_holds_what_is_read(spark, part):
+    """The frame of a few columns has the whole frame's rows, and its written rows hold no others (all were written before)."""
+    from retail_spark.catalog import anomaly as CA
+    from retail_spark.sources.tables import Tables
+    from tests.conftest import SF_SMALL
+
+    t = Tables(spark, SF_SMALL)
+    columns = {"scores": CA.SCORED_COLUMNS, "robust": ["order_id", "is_anomaly", "split", *CA.FEATS],
+               "types": ["order_id", "anomaly_type", "void_line_rate", "cashier_void_rate", "basket_vs_customer"]}[part]
+    few = CA.frame(t, ["cashier_id", *columns])
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "avg_item_price" not in plan and "Scan ExistingRDD[order_id" not in plan
+    whole = CA.frame(t)
+    assert [c for c in whole.columns if c in few.columns] == few.columns
+    a, b = [f.select(*columns).toPandas().sort_values("order_id").reset_index(drop=True) for f in (few, whole)]
+    pd.testing.assert_frame_equal(a, b, rtol=1e-9)
+
+
+def test_scores_are_not_written_again(spark):
+    """Scored rows are expressions over the frame's written rows; they used to be a checkpoint of all columns."""
+    from retail_spark.catalog import anomaly as CA
+    from retail_spark.sources.tables import Tables
+    from tests.conftest import SF_SMALL
+
+    s = CA.scored(Tables(spark, SF_SMALL)).select("order_id", "density_score")
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    read = plan[plan.index("ReadSchema: "):].split("\n")[0]
+    assert "total_amount" in read and "anomaly_type" not in read and "is_odd_hour" not in read
