@@ -297,3 +297,18 @@ def test_scores_are_not_written_again(spark):
     plan = s._jdf.queryExecution().executedPlan().toString()
     read = plan[plan.index("ReadSchema: "):].split("\n")[0]
     assert "total_amount" in read and "anomaly_type" not in read and "is_odd_hour" not in read
+
+
+@pytest.mark.parametrize("sizes", [dict(cell_rows=20, probes=1, chunk=8, group_rows=10, block_rows=64), dict(cell_rows=20, probes=2, group_rows=40)])
+def test_neighbours_beyond_the_first_cells_meet_in_blocks(spark, sizes, monkeypatch):
+    """Rows that the first cells do not settle used to be sent to every cell that could matter, round by round."""
+    x = sample_data(700, seed=5)
+    x[100:300] = x[100]
+    x[300:310] *= 1e4                               # far away: few rows near, limits in large squares
+    q = np.concatenate([x[::7] + 0.01, [[50.0] * 5], x[100:101]])
+    asked, ask = [], D._ask
+    monkeypatch.setattr(D, "_ask", lambda *a: asked.append(1) or ask(*a))
+    got = {r["order_id"]: r["distances"] for r in D.neighbour_distances(rows(spark, q), rows(spark, x), 50, keep=["order_id"], **sizes).collect()}
+    want = np.sort(np.sqrt(((q[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, :50]
+    assert len(asked) == 1 and len(got) == len(q)
+    assert all(got[i] == pytest.approx(want[i].tolist(), rel=1e-9, abs=1e-9) for i in range(len(q)))
