@@ -21,6 +21,7 @@ from retail_spark.plans import anomaly as A
 from retail_spark.plans import customers as C
 from retail_spark.plans import detectors as D
 from retail_spark.plans import factors as F_
+from retail_spark.plans import machines as MA
 from retail_spark.plans import models as M
 from retail_spark.plans import recommend as RC
 from retail_spark.plans import timeseries as TS
@@ -206,10 +207,10 @@ def ml_fm_context_scores(t):
     score ÷ mean score of all items."""
     data, idx = _fm_data(t)
     cols = ["customer", "itm", *FM_CONFIGS["full"]]
-    fm = M.fm_fit(cut_lineage(M.hashed(data, cols)), "fm_features")
+    fm = M.fm_fit(M.hashed(data, cols), "fm_features")
     ctx = idx.select("item_idx", "category", F.col("item_idx").cast("string").alias("itm"), F.lit("7").alias("customer"), F.lit("dinner").alias("meal"),
                      F.lit("0").alias("weekday"), F.lit(0.0).alias("weekend"), F.lit(20 / 23.0).alias("hour"), F.lit("1-URGENT").alias("restaurant"))
-    scored = cut_lineage(fm.transform(M.hashed(ctx, cols)).select("item_idx", vector_to_array("probability")[1].alias("score")))
+    scored = cut_lineage(MA.with_raw(M.hashed(ctx, cols), "fm_features", fm, ["item_idx"]).select("item_idx", "score"))
     mean = scored.agg(F.avg("score").alias("m"))
     return scored.crossJoin(F.broadcast(mean)).select("item_idx", "score", F.try_divide("score", "m").alias("multiplier"))
 

@@ -15,8 +15,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (FMClassifier, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import (PCA, FeatureHasher, Imputer, OneHotEncoder, StandardScaler, StringIndexer,
@@ -28,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_spark.plans.detectors import fit_mixtures, mixture_score, with_scores
+from retail_spark.plans.machines import Machine, fit_machines, with_raw
 from retail_spark.session import cut_lineage
 
 SEED = 42
@@ -225,19 +225,22 @@ def hashed(df: DataFrame, cols: Sequence[str], out: str = "fm_features", buckets
 def fm_compare(data: DataFrame, configs: dict[str, list[str]], key: str = "order_id") -> DataFrame:
     """AUC of each context configuration on a fifth of the orders that the fit does not see (ML8)."""
     held = F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(5)) == 0
-    rows = []
-    for name, ctx in configs.items():
-        x = cut_lineage(hashed(data, ["customer", "itm", *ctx]).select("fm_features", "label", held.alias("held")))
-        model = fm_fit(x.filter(~F.col("held")), "fm_features")
-        auc = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC").evaluate(model.transform(x.filter("held")))
+    rows, vectors = [], [f"fm_{i}" for i in range(len(configs))]
+    x = data.withColumn("held", held)
+    for out, ctx in zip(vectors, configs.values()):
+        x = hashed(x, ["customer", "itm", *ctx], out)
+    x = x.select("label", "held", *vectors)
+    models = fit_machines(x.filter(~F.col("held")), vectors)          # all in the same passes
+    for out, model, (name, ctx) in zip(vectors, models, configs.items()):
+        scored = with_raw(x.filter("held"), out, model, ["label"])
+        auc = BinaryClassificationEvaluator(rawPredictionCol="raw", labelCol="label", metricName="areaUnderROC").evaluate(scored)
         rows.append((name, len(ctx), float(auc)))
     return data.sparkSession.createDataFrame(rows, "config string, context_columns int, auc double")
 
 
-def fm_fit(train: DataFrame, col: str = "features", label: str = "label"):
+def fm_fit(train: DataFrame, col: str = "features", label: str = "label") -> Machine:
     """Factorisation machine classifier, 20 factors (ML8)."""
-    return FMClassifier(featuresCol=col, labelCol=label, factorSize=20, stepSize=0.05, regParam=0.001,
-                        maxIter=50, seed=SEED).fit(train)
+    return fit_machines(train, [col], label)[0]
 
 
 # ---------------------------------------------------------------------------
