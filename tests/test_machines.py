@@ -38,3 +38,14 @@ def test_configurations_share_passes(spark, monkeypatch):
     monkeypatch.setattr(MA, "_gradients", lambda blocks, machines: seen.append(len(machines)) or once(blocks, machines))
     got = M.fm_compare(_rows(spark), {"one": [], "two": ["meal"]}).collect()
     assert seen == [2, 2, 2] and [r["context_columns"] for r in got] == [0, 1]
+
+
+def test_classifiers_fit_in_no_more_tasks_than_run_at_once(spark, monkeypatch):
+    """Each task of a forest's level sends the sums of all open nodes."""
+    from pyspark.ml.functions import array_to_vector
+
+    seen = []
+    monkeypatch.setattr(M.RandomForestClassifier, "fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), df.count())))
+    train = spark.range(500).select((F.col("id") % 5 == 0).cast("int").alias("is_anomaly"), array_to_vector(F.array(F.col("id").cast("double"))).alias("features"))
+    M.fit_classifier(train.repartition(40), "rf")
+    assert seen[0][0] <= spark.sparkContext.defaultParallelism and seen[0][1] == 500
