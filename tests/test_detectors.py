@@ -312,3 +312,28 @@ def test_neighbours_beyond_the_first_cells_meet_in_blocks(spark, sizes, monkeypa
     want = np.sort(np.sqrt(((q[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, :50]
     assert len(asked) == 1 and len(got) == len(q)
     assert all(got[i] == pytest.approx(want[i].tolist(), rel=1e-9, abs=1e-9) for i in range(len(q)))
+
+
+def test_fits_of_many_passes_read_packed_rows(spark, monkeypatch):
+    """Each pass used to turn every row into Arrow again."""
+    seen = []
+    for name in ("_mixture_sums", "_bounds"):
+        once = getattr(D, name)
+        monkeypatch.setattr(D, name, lambda data, *a, once=once: seen.append(data.dtypes) or once(data, *a))
+    df = rows(spark, sample_data(300, seed=6))
+    D.fit_mixtures(df, "x", [(2, 1)], max_iter=2)
+    D.grow_forest(df, "x", "order_id", trees=2, height=2)
+    assert seen and all(kind == "binary" for dtypes in seen for _, kind in dtypes)
+
+
+def test_split_is_not_worked_out_for_those_that_do_not_read_it(spark, monkeypatch):
+    from retail_spark.catalog import anomaly as CA
+    from retail_spark.plans import anomaly as A
+    from retail_spark.sources.tables import Tables
+    from tests.conftest import SF_SMALL
+
+    whole = CA.frame(Tables(spark, SF_SMALL))
+    want = {r["cashier_id"]: r for r in whole.groupBy("cashier_id").agg(F.count("*").alias("n"), F.avg("is_anomaly").alias("a")).collect()}
+    monkeypatch.setattr(A, "split_by_key", lambda *a: pytest.fail("positions were looked up"))
+    got = CA.cashier_risk(Tables(spark, SF_SMALL)).collect()
+    assert {r["cashier_id"]: (r["orders"], r["anomaly_rate"]) for r in got} == {c: (r["n"], pytest.approx(r["a"])) for c, r in want.items()}
