@@ -255,8 +255,10 @@ def model_frame(lines: DataFrame, labels: DataFrame, label_lines: DataFrame, col
     o = stored(o, "orders")
     measures = [c for c in f.columns if c in o.columns]
     marks = [c for c in marks if c in o.columns]
-    o = with_ratios(split_by_key(o, ["order_ts", "order_id"]))
-    own = [c for c in o.columns if c not in (*measures, *marks, "split")]
+    # positions are looked up, by a sort of all orders, for those that read the split
+    ends = [*marks, "split"] if wanted(["split"]) else marks
+    o = with_ratios(split_by_key(o, ["order_ts", "order_id"]) if "split" in ends else o)
+    own = [c for c in o.columns if c not in (*measures, *ends)]
     z = lambda v, m, s: F.coalesce(X.safe_div(F.col(v) - F.col(m), s), F.lit(0.0))
     last, context = [], {}
     cashiers, customers = cashier_profile(o), customer_profile(o)
@@ -276,9 +278,9 @@ def model_frame(lines: DataFrame, labels: DataFrame, label_lines: DataFrame, col
         context |= of_customer
     o = o.select("order_id", "customer_id", "cashier_id", *[c for c in measures if c not in ("order_id", "customer_id", "cashier_id")],
                  *own, *last, *[v.alias(k) for k, v in context.items()], F.hour("order_ts").alias("order_hour"),
-                 X.weekday0("order_ts").alias("order_dayofweek"), F.month("order_ts").alias("order_month"), *marks, "split")
+                 X.weekday0("order_ts").alias("order_dayofweek"), F.month("order_ts").alias("order_month"), *ends)
     flags = X.time_flags("order_hour", "order_dayofweek")
-    o = o.select(*[c for c in o.columns if c not in (*marks, "split")], *[v.alias(k) for k, v in flags.items()], *marks, "split")
+    o = o.select(*[c for c in o.columns if c not in ends], *[v.alias(k) for k, v in flags.items()], *ends)
     if columns is not None:
         o = o.select(*[c for c in o.columns if c in columns])
     # the customers' join shuffles orders: written for those that read it several times
