@@ -43,7 +43,7 @@ def _cells(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of the i-th vector of each row, padded by zeros to the longest: entries x rows."""
     at, value = batch.column(f"i{i}"), batch.column(f"v{i}")
     size = np.diff(at.offsets.to_numpy())
-    there = np.arange(size.max(initial=0)) < size[:, None]
+    there = np.arange(size.max(initial=1)) < size[:, None]
     index, values = np.zeros(there.shape, np.int32), np.zeros(there.shape)
     index[there], values[there] = at.flatten().to_numpy(), value.flatten().to_numpy()
     return index.T, values.T
