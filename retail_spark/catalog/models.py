@@ -163,10 +163,13 @@ def _fm_data(t):
     # an order's lines meet first: distinct rows, own items and negatives then need no other shuffle, and no task
     # gathers the rows of a large input split in a hash table
     pos = lines.select(*order, F.col("section").alias("item")).repartition("order_id").distinct().join(bounded(idx.select("item", "item_idx")), "item")
-    neg = M.negatives(pos, idx.count()).join(pos.select(*order).distinct(), "order_id")
-    data = (pos.select(*order, "item_idx", F.lit(1.0).alias("label"))
-            .unionByName(neg.select(*order, "item_idx", F.lit(0.0).alias("label"))))
-    return _context(data.join(bounded(idx.select("item_idx", "category")), "item_idx")), idx
+    own = pos.groupBy(*order).agg(F.collect_set("item_idx").alias("_own"))
+    neg = M.negatives(pos, idx.count()).groupBy("order_id").agg(F.collect_list("item_idx").alias("_neg"))
+    # a row's positives and negatives lie together: no union that would part them
+    marked = lambda c, label: F.transform(c, lambda i: F.struct(i.cast("long").alias("item_idx"), F.lit(label).alias("label")))
+    rows = F.concat(marked(F.col("_own"), 1.0), F.coalesce(marked(F.col("_neg"), 0.0), F.array().cast("array<struct<item_idx:bigint,label:double>>")))
+    data = own.join(neg, "order_id", "left").select(*order, F.inline(rows))
+    return data.join(bounded(idx.select("item_idx", "category")), "item_idx"), idx
 
 
 def _context(data):
@@ -207,7 +210,7 @@ def negative_sample_counts(t):
 def ml_fm_configs(t):
     """ML8: the four context configurations of the factorisation machine, AUC on held-out orders."""
     data, _ = _fm_data(t)
-    return M.fm_compare(cut_lineage(data), FM_CONFIGS)
+    return M.fm_compare(_context(stored(data, "pairs")), FM_CONFIGS)
 
 
 @register("ml_fm_context_scores")
@@ -217,7 +220,7 @@ def ml_fm_context_scores(t):
     score ÷ mean score of all items."""
     data, idx = _fm_data(t)
     cols = ["customer", "itm", *FM_CONFIGS["full"]]
-    fm = M.fm_fit(M.hashed(data, cols), "fm_features")
+    fm = M.fm_fit(_context(data), cols)
     ctx = idx.select("item_idx", "category", F.col("item_idx").cast("string").alias("itm"), F.lit("7").alias("customer"), F.lit("dinner").alias("meal"),
                      F.lit("0").alias("weekday"), F.lit(0.0).alias("weekend"), F.lit(20 / 23.0).alias("hour"), F.lit("1-URGENT").alias("restaurant"))
     scored = cut_lineage(MA.with_raw(M.hashed(ctx, cols), "fm_features", fm, ["item_idx"]).select("item_idx", "score"))

@@ -224,15 +224,24 @@ def hashed(df: DataFrame, cols: Sequence[str], out: str = "fm_features", buckets
     return FeatureHasher(inputCols=list(cols), outputCol=out, numFeatures=buckets, categoricalCols=texts).transform(df)
 
 
+def _item_columns(cols: Sequence[str]) -> list[str]:
+    """Those that an item has whatever the context."""
+    return [c for c in cols if c in ("itm", "category")]
+
+
 def fm_compare(data: DataFrame, configs: dict[str, list[str]], key: str = "order_id") -> DataFrame:
     """AUC of each context configuration on a fifth of the orders that the fit does not see (ML8)."""
     held = F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(5)) == 0
     rows, vectors = [], [f"fm_{i}" for i in range(len(configs))]
+    used = [["customer", "itm", *ctx] for ctx in configs.values()]
+    parts = ["_".join(["part", *_item_columns(cols)]) for cols in used]
     x = data.withColumn("held", held)
-    for out, ctx in zip(vectors, configs.values()):
-        x = hashed(x, ["customer", "itm", *ctx], out)
-    x = x.select("label", "held", *vectors)
-    models = fit_machines(x.filter(~F.col("held")), vectors)          # all in the same passes
+    for part, cols in dict(zip(parts, map(_item_columns, used))).items():
+        x = hashed(x, cols, part)
+    for out, cols in zip(vectors, used):
+        x = hashed(x, cols, out)
+    x = x.select("label", "held", *vectors, *dict.fromkeys(parts))
+    models = fit_machines(x.filter(~F.col("held")), vectors, parts=parts)          # all in the same passes
     for out, model, (name, ctx) in zip(vectors, models, configs.items()):
         scored = with_raw(x.filter("held"), out, model, ["label"])
         auc = BinaryClassificationEvaluator(rawPredictionCol="raw", labelCol="label", metricName="areaUnderROC").evaluate(scored)
@@ -240,9 +249,10 @@ def fm_compare(data: DataFrame, configs: dict[str, list[str]], key: str = "order
     return data.sparkSession.createDataFrame(rows, "config string, context_columns int, auc double")
 
 
-def fm_fit(train: DataFrame, col: str = "features", label: str = "label") -> Machine:
-    """Factorisation machine classifier, 20 factors (ML8)."""
-    return fit_machines(train, [col], label)[0]
+def fm_fit(train: DataFrame, cols: Sequence[str], label: str = "label") -> Machine:
+    """Factorisation machine classifier of hashed columns, 20 factors (ML8)."""
+    x = hashed(hashed(train, cols), _item_columns(cols), "fm_item")
+    return fit_machines(x, ["fm_features"], label, ["fm_item"])[0]
 
 
 # ---------------------------------------------------------------------------

@@ -78,8 +78,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+def stored(df: DataFrame, name: str = "rows", options: dict[str, str] | None = None) -> DataFrame:
     """Written once as Parquet into the shared checkpoint folder and read from there: each reader takes its columns only."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

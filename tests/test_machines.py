@@ -49,3 +49,46 @@ def test_classifiers_fit_in_no_more_tasks_than_run_at_once(spark, monkeypatch):
     train = spark.range(500).select((F.col("id") % 5 == 0).cast("int").alias("is_anomaly"), array_to_vector(F.array(F.col("id").cast("double"))).alias("features"))
     M.fit_classifier(train.repartition(40), "rf")
     assert seen[0][0] <= spark.sparkContext.defaultParallelism and seen[0][1] == 500
+
+
+@pytest.mark.parametrize("buckets", [64, 8])               # eight buckets: an item's entry often meets another column's
+def test_machines_of_contexts_and_items_equal_mllib(spark, monkeypatch, buckets):
+    """A block holds an order's context once for all its rows, and few numbers for a row."""
+    monkeypatch.setattr(MA, "PASSES", 4)
+    x = _rows(spark, 600)
+    x = x.unionAll(x.limit(200)).repartition(2)             # equal rows
+    cols = ["customer", "itm", "meal", "hour"]
+    x = M.hashed(M.hashed(x, cols, "all", buckets), ["itm"], "item", buckets).cache()
+    got = MA.fit_machines(x, ["all"], parts=["item"])[0]
+    want = FMClassifier(featuresCol="all", factorSize=20, stepSize=0.05, regParam=0.001, maxIter=4, seed=42).fit(x)
+    assert got.factors == pytest.approx(want.factors.toArray(), abs=1e-9)
+    assert got.linear == pytest.approx(want.linear.toArray(), abs=1e-9)
+    assert got.intercept == pytest.approx(want.intercept, abs=1e-9)
+
+
+def test_slopes_of_few_and_of_most_pairs_are_the_same():
+    rng = np.random.default_rng(2)
+    m = MA.Machine(rng.standard_normal((50, 20)), rng.standard_normal(50), 0.3)
+    ci, cv, ii, iv = rng.integers(0, 50, (40, 3)), rng.random((40, 3)), rng.integers(0, 50, (40, 1)), np.ones((40, 1))
+    cell = np.flatnonzero(np.eye(40).ravel())               # few of the 1600 pairs
+    parts = MA._part(MA._table(m), ci, cv), MA._part(MA._table(m), ii, iv)
+    few = MA._slopes(m, *parts, cell, np.ones(40), np.zeros(40))
+    every = MA._slopes(m, *parts, np.arange(1600), np.eye(40).ravel(), np.zeros(1600))
+    assert all(a == pytest.approx(b) for a, b in zip(few, every))
+
+
+def test_blocks_are_small_and_read_a_few_at_a_time(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(MA, "PACK", 500)
+    monkeypatch.setattr(MA, "_GROUPS", MA._GROUPS | {"parquet.block.size": "20000"})
+    x = spark.range(40_000, numPartitions=1).select(F.col("id").cast("string").alias("customer"), (F.col("id") % 7).cast("string").alias("itm"), F.lit(1.0).alias("label"))
+    x = M.hashed(M.hashed(x, ["customer", "itm"], "all"), ["itm"], "item")
+    blocks = MA._packed(x, ["all"], "label", ["item"])
+    sizes = [len(v) for r in blocks.drop("size").collect() for v in r]
+    assert sum(sizes) < 40_000 * 12                         # of two entries and a label: 32 bytes as plain numbers
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in blocks.inputFiles()]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert len(groups) > 5 and max(g.total_byte_size for g in groups) < 100_000
