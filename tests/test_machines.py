@@ -92,3 +92,18 @@ def test_blocks_are_small_and_read_a_few_at_a_time(spark, monkeypatch):
     files = [pq.ParquetFile(f.removeprefix("file:")) for f in blocks.inputFiles()]
     groups = [f.metadata.row_group(i) for f in files for i in range(f.num_row_groups)]
     assert len(groups) > 5 and max(g.total_byte_size for g in groups) < 100_000
+
+
+def test_only_scores_that_are_read_are_worked_out(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from retail_spark.catalog import models as CM
+
+    x = spark.range(60).select(F.col("id").alias("order_id"), F.when(F.col("id") < 42, "train").when(F.col("id") < 51, "val").otherwise("test").alias("split"),
+                               (F.col("id") % 3 == 0).cast("int").alias("is_anomaly"), F.current_timestamp().alias("order_ts"))
+    seen = []
+    monkeypatch.setattr(CM, "_anomaly_vectors", lambda t: x)
+    monkeypatch.setattr(M, "fit_classifier", lambda train, kind: seen.append(train.count()))
+    monkeypatch.setattr(M, "probability", lambda m, df, keep: seen.append(df.count()) or df.select(*keep, (F.col("order_id") / 60).alias("score")))
+    assert CM.ml_supervised_leaderboard(None).count() == 3
+    assert seen == [42, 18] * 3
