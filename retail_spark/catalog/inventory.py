@@ -129,6 +129,14 @@ def _ledger_summary(df, key):
         F.min("stock_level").alias("min_level"), F.count_if(F.col("stock_level") <= 1e-6).alias("zero_hits"))
 
 
+def _ingredient_summary(mv, t):
+    start = t.ingredients_v.select("ingredient_id", F.col("current_stock").alias("start_stock"))
+    if not start.groupBy("ingredient_id").count().filter("count > 1").isEmpty():     # a movement for each of an ingredient's rows
+        return _ledger_summary(INV.stock_ledger(mv, start, "ingredient_id", ING_ORDER), "ingredient_id")
+    # the change comes last in the order, and is sorted by anyway
+    return keyed_clamped_summary(mv, "ingredient_id", [F.col(c) for c in ING_ORDER[:-1]], F.col("delta").cast("double"), start, "start_stock")
+
+
 @register("ingredient_stock_after_sales", sql="""WITH
 mv AS (SELECT r.ingredient_id, l.order_ts AS ts, l.order_id, l.line_number, l.item_id AS product_id,
               -1.0 * l.quantity * r.quantity_needed AS delta
@@ -146,9 +154,7 @@ def ingredient_stock_after_sales(t):
     """DP14 + WN24: ingredient ledger of paid sales (−qty × recipe), floored at 0."""
     paid = t.valid_lines.filter(F.col("status") == "paid")
     mv = INV.ingredient_movements(paid, _recipe(t))
-    start = t.ingredients_v.select("ingredient_id", F.col("current_stock").alias("start_stock"))
-    led = INV.stock_ledger(mv, start, "ingredient_id", ING_ORDER)
-    return _ledger_summary(led, "ingredient_id")
+    return _ingredient_summary(mv, t)
 
 
 @register("product_stock_with_refunds", sql="""
@@ -193,10 +199,7 @@ def ingredient_stock_with_refunds(t):
     paid = t.sale_lines.filter(has_status("paid")).filter(F.col("is_voided").isNotNull())
     signed = paid.withColumn("quantity", F.when(F.col("is_voided"), F.col("quantity")).otherwise(-F.col("quantity")))
     mv = INV.ingredient_movements(signed, _recipe(t), "sale or refund", 1.0)       # one pass over the lines for both
-    start = t.ingredients_v.select("ingredient_id", F.col("current_stock").alias("start_stock"))
-    if not start.groupBy("ingredient_id").count().filter("count > 1").isEmpty():     # a movement for each of an ingredient's rows
-        return _ledger_summary(INV.stock_ledger(mv, start, "ingredient_id", ING_ORDER), "ingredient_id")
-    return keyed_clamped_summary(mv, "ingredient_id", [F.col(c) for c in ING_ORDER], F.col("delta").cast("double"), start, "start_stock")
+    return _ingredient_summary(mv, t)
 
 
 @register("applied_event_transitions", sql="""

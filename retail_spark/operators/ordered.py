@@ -19,14 +19,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retail_spark.operators.broadcast import DEFAULT_MAX_ROWS
 from retail_spark.operators.quantiles import one_row, quantile_values
-from retail_spark.session import cut_lineage, shared_path, stored
+from retail_spark.session import cut_lineage, stored
 
 _PART, _MID = "_rs_part", "_rs_mid"
+LEFT = 1e-6            # a level up to this is none
 
 
 def _tagged(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -112,37 +116,98 @@ def keyed_clamped_running(df: DataFrame, key: str, order: list[Column], delta: C
 
 
 def keyed_clamped_summary(df: DataFrame, key: str, order: list[Column], delta: Column, start: DataFrame, at_start: str) -> DataFrame:
-    """What ``keyed_clamped_running`` gives, summed up for each key: ``movements``, ``net_change``, ``final_stock``, the
-    least level ``min_level`` and ``zero_hits``, the rows after which nothing is left.
-
-    Rows are sorted over many tasks as there, but only key, change and place are written, as Parquet: in this order keys
-    repeat and take next to no room.  Start levels (``at_start`` of ``start``, a row for each key) join the segments of
-    keys, not the rows."""
-    spark = df.sparkSession
-    path = shared_path(spark, "ledger")
-    (df.select(F.col(key), *[c.alias(f"_o{i}") for i, c in enumerate(order)], delta.alias("_d"))
-     .orderBy(F.asc(key), *[F.asc(f"_o{i}") for i in range(len(order))])
-     .select(key, "_d", F.spark_partition_id().alias(_PART), F.monotonically_increasing_id().alias(_MID)).write.parquet(path))
-    s = spark.read.parquet(path)
-    run = Window.partitionBy(_PART, key).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_ls", F.sum("_d").over(run)).withColumn("_lmin", F.min("_ls").over(run)).drop(_MID)
-    seg = s.groupBy(_PART, key).agg(F.count(F.lit(1)).alias("_n"), F.sum("_d").alias("_segsum"), F.min("_ls").alias("_segmin"))
-    seg = cut_lineage(seg.join(start.select(key, F.col(at_start).alias("_s0")), key, "left")
-                      .withColumn("_s0", F.coalesce(F.col("_s0"), F.lit(0.0)).cast("double")))      # a row for each task and key
+    """What ``keyed_clamped_running`` gives in ``order`` (ties by the change), summed up for each key: ``movements``,
+    ``net_change``, ``final_stock``, the least level ``min_level`` and ``zero_hits``, the rows after which nothing is left.
+
+    Rows move once, by the range sort, and are not written: a task sums up its keys as they come.  Start levels
+    (``at_start`` of ``start``, a row for each key) are sorted along and come ahead of their key's changes, so only a
+    task's first key can begin in an earlier task.  Such a segment is summed up for any level that it may start from:
+    its sum, its lowest running sum, and (written, in pieces) the running sums that are no higher than any before, as only
+    after these nothing can be left."""
+    rows = (df.select(F.col(key), F.lit(1).cast("byte").alias("_kind"), *[c.alias(f"_o{i}") for i, c in enumerate(order)], delta.alias("_d"))
+            .filter(F.col(key).isNotNull()))
+    types = dict(rows.dtypes)
+    ahead = start.filter(F.col(key).isNotNull()).select(F.col(key).cast(types[key]), F.lit(0).cast("byte").alias("_kind"),
+                         *[F.lit(None).cast(types[f"_o{i}"]).alias(f"_o{i}") for i in range(len(order))], F.col(at_start).cast("double").alias("_d"))
+    by = [key, "_kind", *[f"_o{i}" for i in range(len(order))], "_d"]
+    ordered = rows.unionByName(ahead).orderBy(*[F.asc(c) for c in by]).select(key, "_kind", "_d", F.spark_partition_id().alias(_PART))
+    names = [key, _PART, "_n", "_segsum", "_segmin", "_lead", "_hits", "_s0", "_lows"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict = {}                                  # the key that the task is at
+        part, first, done = None, True, []
+
+        def segments(some: list[dict]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([x["key"] for x in some], schema_key), pa.array([part] * len(some), pa.int32()),
+                                    *[pa.array([x[c] for x in some], t) for c, t in (("n", pa.int64()), ("sum", pa.float64()), ("low", pa.float64()), ("lead", pa.int64()),
+                                      ("hits", pa.int64()), ("s0", pa.float64()), ("lows", pa.list_(pa.float64())))]], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            schema_key, part = batch.schema.field(key).type, batch.column(_PART)[0].as_py()
+            keys, kinds = batch.column(key), batch.column("_kind").to_numpy()
+            known = batch.column("_d").is_valid().to_numpy(zero_copy_only=False)
+            change = batch.column("_d").fill_null(0.0).to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)])) if batch.num_rows > 1 else np.array([0])
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows]):
+                k = keys[a].as_py()
+                if not now or now["key"] != k:
+                    if now:
+                        done.append(now)
+                        first = False
+                    now = {"key": k, "n": 0, "sum": None, "low": None, "lead": 0, "hits": 0, "s0": None, "lows": None, "settled": not first}
+                if kinds[a] == 0:
+                    now["s0"], now["settled"] = float(change[a]) if known[a] else 0.0, True
+                    a += 1
+                if a == b:
+                    continue
+                now["n"] += b - a
+                if now["sum"] is None:                  # missing changes ahead of the first one
+                    there = np.flatnonzero(known[a:b])
+                    lead = int(there[0]) if len(there) else b - a
+                    now["lead"] += lead
+                    a += lead
+                    if a == b:
+                        continue
+                sums = (now["sum"] or 0.0) + np.cumsum(change[a:b])
+                lows = np.minimum.accumulate(sums)
+                if now["low"] is not None:
+                    lows = np.minimum(lows, now["low"])
+                now["sum"], now["low"] = float(sums[-1]), float(lows[-1])
+                if now["settled"]:
+                    at = now["s0"] or 0.0
+                    now["hits"] += int((at + sums - np.minimum(at + lows, 0.0) <= LEFT).sum())
+                else:
+                    few = sums[sums - lows <= LEFT]
+                    if len(few):
+                        yield segments([now | {"n": 0, "sum": None, "low": None, "lead": 0, "hits": 0, "lows": few}])
+            if len(done) >= 4096:
+                yield segments(done)
+                done = []
+        if now:
+            yield segments([*done, now])
+
+    s = stored(ordered.mapInArrow(run, f"`{key}` {types[key]}, {_PART} int, _n long, _segsum double, _segmin double, _lead long, _hits long, _s0 double, _lows array<double>"), "ledger")
+    seg = s.filter(F.col("_lows").isNull()).drop("_lows")                # a row for each key, and for each task
     before = Window.partitionBy(key).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    seg = (seg.withColumn("_off", F.coalesce(F.sum("_segsum").over(before), F.lit(0.0)))
-           .withColumn("_low", F.col("_s0") + F.col("_off") + F.col("_segmin"))
-           .withColumn("_prevmin", F.min("_low").over(before)))
-    c_t = F.col("_s0") + F.col("_off") + F.col("_ls")
-    run_min = F.least(F.col("_s0") + F.col("_off") + F.col("_lmin"), F.col("_prevmin"))            # least() passes over nulls
-    level = F.greatest(F.lit(0.0), c_t - F.least(F.lit(0.0), run_min))
-    rows = s.join(seg.select(_PART, key, "_s0", "_off", "_prevmin"), [_PART, key])
-    hit = rows.groupBy(key).agg(F.min(level).alias("min_level"), F.count_if(level <= 1e-6).alias("zero_hits"))
+    seg = (seg.withColumn("_s0", F.coalesce(F.max("_s0").over(Window.partitionBy(key)), F.lit(0.0)))
+           .withColumn("_off", F.sum("_segsum").over(before))
+           .withColumn("_low", F.col("_s0") + F.coalesce("_off", F.lit(0.0)) + F.col("_segmin")))
+    lowest = F.least(F.lit(0.0), F.min("_low").over(before))                       # least() passes over nulls
+    seg = cut_lineage(seg.withColumn("_base", F.col("_s0") + F.coalesce("_off", F.lit(0.0)) - lowest))
+    # changes that are missing leave the level of before, or nothing if there was none
+    still = F.when(F.col("_lead") > 0, F.when(F.col("_off").isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.col("_base"))))
+    waiting = s.filter(F.col("_lows").isNotNull()).select(key, _PART, "_lows")
+    later = (waiting.join(F.broadcast(seg.select(key, _PART, "_base")), [key, _PART]) if seg.count() <= DEFAULT_MAX_ROWS else waiting.join(seg.select(key, _PART, "_base"), [key, _PART]))
+    later = later.groupBy(key).agg(F.sum(F.size(F.filter("_lows", lambda x: x + F.col("_base") <= LEFT))).alias("_more"))
     whole = seg.groupBy(key).agg(
         F.sum("_n").alias("movements"), F.sum("_segsum").alias("net_change"),
-        F.greatest(F.lit(0.0), F.max("_s0") + F.sum("_segsum") - F.least(F.lit(0.0), F.min("_low"))).alias("final_stock"))
-    return (hit.join(whole, key)
-            .select(key, "movements", "net_change", "final_stock", "min_level", "zero_hits"))
+        F.greatest(F.lit(0.0), F.max("_s0") + F.sum("_segsum") - F.least(F.lit(0.0), F.min("_low"))).alias("final_stock"),
+        F.min(F.least(F.when(F.col("_segmin").isNotNull(), F.greatest(F.lit(0.0), F.col("_base") + F.col("_segmin"))), still)).alias("min_level"),
+        F.sum(F.col("_hits") + F.when(still <= LEFT, F.col("_lead")).otherwise(0)).alias("zero_hits"))
+    return (whole.filter("movements > 0").join(later, key, "left")
+            .select(key, "movements", "net_change", "final_stock", "min_level", (F.col("zero_hits") + F.coalesce("_more", F.lit(0))).alias("zero_hits")))
 
 
 def keyed_state_machine(log: DataFrame, key: str, order: list[Column], request: str, allowed: dict[str, list[str]],

@@ -265,3 +265,42 @@ def test_ledger_summary_equals_the_summed_ledger(spark):
     new = keyed_clamped_summary(moves, "k", order, F.col("delta"), start, "s").toPandas().sort_values("k").reset_index(drop=True)
     pd.testing.assert_frame_equal(old, new)
     assert new["zero_hits"].sum() > 0
+
+
+@pytest.mark.parametrize("parts", ["2", "7"])
+def test_clamped_summary_moves_rows_once(spark, parts):
+    """Few keys over many tasks, missing changes, keys without a start or without changes: as the running ledger, with one
+    exchange of the rows and no row written."""
+
+
+    from retail_spark.operators import ordered as O
+
+    # k 0: missing changes first; k 1: hot; k 3: without a start; k 9: without changes; k 5: falls and stays at nothing
+    d = F.when((F.col("k") == 0) & (F.col("t") < 40), None).when(F.col("k") == 5, -1.0).otherwise((F.pmod(F.xxhash64("t", "k"), F.lit(13)) - 6).cast("double"))
+    moves = spark.range(4000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.pmod("id", F.lit(7))).cast("long").alias("k"), F.col("id").alias("t")).withColumn("d", d)
+    start = spark.createDataFrame([(0, 3.0), (1, 25.0), (2, None), (4, 0.0), (5, 30.0), (6, -4.0), (9, 1.0)], "k long, s double")
+    levels = {r["k"]: r["s"] or 0.0 for r in start.collect()}
+    want, rows = {}, sorted(((r["k"], r["t"], r["d"]) for r in moves.collect()))
+    for k, _, x in rows:
+        n, total, low, least, zeros, now = want.get(k, (0, None, None, None, 0, 0.0))
+        if x is not None:
+            total = (total or 0.0) + x
+            c = levels.get(k, 0.0) + total
+            low = c if low is None else min(low, c)
+            now = max(0.0, c - min(0.0, low))
+        want[k] = (n + 1, total, low, now if least is None else min(least, now), zeros + (now <= 1e-6), now)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    written, kept = [], O.stored
+    O.stored = lambda df, name="rows", options=None: written.append(df) or kept(df, name, options)
+    try:
+        got = {r["k"]: r for r in O.keyed_clamped_summary(moves, "k", [F.col("t")], F.col("d"), start, "s").collect()}
+    finally:
+        O.stored = kept
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got.keys() == want.keys()
+    for k, (n, total, _, least, zeros, now) in want.items():
+        assert (got[k]["movements"], got[k]["net_change"], got[k]["min_level"], got[k]["zero_hits"], got[k]["final_stock"]) == (n, total, least, zeros, now), k
+    assert len(written) == 1
+    assert written[0]._jdf.queryExecution().executedPlan().toString().count("rangepartitioning") == 1
+    assert written[0].filter("_lows IS NULL").count() < 40 and "Window" not in written[0]._jdf.queryExecution().executedPlan().toString()
