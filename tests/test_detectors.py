@@ -337,3 +337,24 @@ def test_split_is_not_worked_out_for_those_that_do_not_read_it(spark, monkeypatc
     monkeypatch.setattr(A, "split_by_key", lambda *a: pytest.fail("positions were looked up"))
     got = CA.cashier_risk(Tables(spark, SF_SMALL)).collect()
     assert {r["cashier_id"]: (r["orders"], r["anomaly_rate"]) for r in got} == {c: (r["n"], pytest.approx(r["a"])) for c, r in want.items()}
+
+
+def test_a_row_asks_only_cells_whose_ball_and_box_it_reaches(monkeypatch):
+    from retail_spark.plans import detectors as D
+
+    monkeypatch.setattr(D, "SLICE", 64)
+    rng = np.random.default_rng(4)
+    cell = np.repeat(np.arange(20), 40)
+    centres = rng.standard_normal((20, 4)) * 3
+    y = centres[cell] + rng.standard_normal((800, 4)) * np.array([2.0, 0.01, 0.01, 0.01])        # long and flat: balls overlap, boxes do not
+    n, x = rng.integers(1, 4, 800), y[rng.choice(800, 300)] + 0.01
+    radius = np.array([np.sqrt(((y[cell == c] - centres[c]) ** 2).sum(axis=1)).max() for c in range(20)])
+    far = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    want = [np.sort(np.repeat(f, n))[:10] for f in far]
+    seen, nonzero = [], np.nonzero
+    monkeypatch.setattr(D.np, "nonzero", lambda a: (seen.append(a.size) if a.ndim == 2 else None) or nonzero(a))
+    for bound in (np.full(300, np.inf), np.array([w[-1] for w in want])):
+        seen.clear()
+        got = D._nearest(x, bound, y, n, cell, centres, radius, 10)
+        assert all(a == pytest.approx(b) for a, b in zip(got, want))
+    assert sum(seen) < 300 * 800 / 3                  # with a bound, of 240,000 pairs
